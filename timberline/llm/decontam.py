@@ -147,7 +147,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """
     names = [f.name for f in _OUT]
     kept = docs.drop(*[n for n in names if n != text_col])
-    at, width = kept.columns.index(text_col), len(kept.columns)
+    columns_in = kept.columns
+    at, width = columns_in.index(text_col), len(columns_in)
     schema = T.StructType([*kept.schema.fields, *_OUT])
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
 
@@ -164,7 +165,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                         found = [_joined(a, b) for a, b in zip(old, found)]
                     columns = [pa.array([f[k] for f in found], schema_arrow[k]) for k in range(len(_OUT))]
                     yield pa.RecordBatch.from_arrays(
-                        [*(piece.column(k) for k in range(width)), *columns], names=[*kept.columns, *names]
+                        [*(piece.column(k) for k in range(width)), *columns], names=[*columns_in, *names]
                     )
 
         return df.mapInArrow(run, schema)
