@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, decontam, langid, pii, simhash
-from timberline.llm.tables import fold, table
+from timberline.llm import bpe, decontam, langid, pii, simhash, toxicity
+from timberline.llm.tables import bounded_sample, fold, table
 
 
 def tokenizer(name: str) -> str:
@@ -29,6 +29,16 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    known = labels.filter(~held & F.col("toxic").isNotNull())
+    model = toxicity.learn(docs.join(bounded_sample(known, "doc_id", toxicity.MAX_TRAIN_DOCS), "doc_id"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.filter(fold("doc_id", 3) != 1))
@@ -61,6 +71,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
+    "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op8_decontamination": op8_decontamination,
     "op10_simhash": op10_simhash,
