@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fpd = materialize(fingerprints(docs, id_col, text_col, shingle))
     fps = materialize(fpd.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    edges = links(fps.filter("rep is not null"), max_bits, max_bucket)
+    edges = materialize(links(fps.filter("rep is not null"), max_bits, max_bucket))
     parts = materialize(connected_components(edges))
     whole = materialize(
         fps.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))

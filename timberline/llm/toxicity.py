@@ -181,26 +181,25 @@ def learn(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", id_
 
     def count(batches):
         held: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        n = [0, 0]
         for batch in batches:
             for piece, texts in slices(batch, 1):
                 for text, y in zip(texts, piece.column(2).to_pylist()):
-                    n[y] += 1
                     for f in _features(text):
                         held[f][y] += 1
-        keys = ["", *held]
-        values = [n, *held.values()]
+        keys, values = list(held), list(held.values())
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.string()), pa.array([v[1] for v in values], pa.int64()), pa.array([v[0] for v in values], pa.int64())],
             names=["f", "a", "b"],
         )
 
     counted = rows.mapInArrow(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counted = counted.filter("f = '' or (a >= 3 and a > b)")
-    top = counted.orderBy((F.col("f") != "").cast("int"), (F.col("a") - F.col("b")).desc(), "f").limit(20 * MAX_STEMS).collect()
-    pos, neg = next(((r["a"], r["b"]) for r in top if r["f"] == ""), (0, 0))
-    some = [r for r in top if r["f"]]
-    if not pos or not neg or not some:
+    size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    pos, neg = size.get(1, 0), size.get(0, 0)
+    if not pos or not neg:
+        return ToxicityModel()
+    lean = F.col("a") * neg - 3 * F.col("b") * pos
+    some = counted.filter((F.col("a") >= 3) & (lean > 0)).orderBy(lean.desc(), "f").limit(20 * MAX_STEMS).collect()
+    if not some:
         return ToxicityModel()
     g = _g([r["a"] for r in some], [r["b"] for r in some], pos, neg)
     order = sorted(range(len(some)), key=lambda k: (-g[k], -len(some[k]["f"]), some[k]["f"]))
