@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, chat, decontam, langid, pii, records, simhash, topk, toxicity
+from timberline.llm import bpe, chat, decontam, langid, phrases, pii, records, simhash, topk, toxicity
 from timberline.llm.tables import bounded_sample, fold, table
 
 
@@ -55,6 +55,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.dedup_phrases(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -87,6 +91,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op6_chat": op6_chat,
+    "op7_phrases": op7_phrases,
     "op8_decontamination": op8_decontamination,
     "op9_records": op9_records,
     "op10_simhash": op10_simhash,
