@@ -20,11 +20,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.llm.tables import bounded_sample, slices
+from timberline.session import materialize
 
 #: At most about so many labelled documents are used to learn.
 MAX_TRAIN_DOCS = 10_000
@@ -155,6 +157,12 @@ def _features(text: str) -> set[str]:
     return {w[:n] for w in words for n in range(STEM[0], len(w) + 1)}
 
 
+def _sketch(text: str) -> int:
+    """Least hash of a pair of neighbouring words; near copies mostly agree on it."""
+    words = text.lower().split()
+    return min((xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1 for a, b in zip(words, words[1:])), default=xxhash.xxh3_64_intdigest(text) >> 1)
+
+
 def _g(a, b, pos, neg):
     """G statistic of a feature seen in ``a`` of ``pos`` and ``b`` of ``neg`` documents; 0 unless it leans to the first."""
     a, b = np.asarray(a, float), np.asarray(b, float)
@@ -173,12 +181,21 @@ def learn(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", id_
 
     Tasks count, per word beginning, the toxic and other documents that have
     it; sums by key follow, and only beginnings with a significant lean come
-    to the driver, ``MAX_STEMS`` at most. Of beginnings that extend each
+    to the driver, ``MAX_STEMS`` at most. Of near copies one is counted. Of beginnings that extend each
     other the most telling is kept. No usable labels: no stems, low scores.
     """
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
     rows = bounded_sample(rows.filter("t is not null and y in (0, 1)"), "i", max_docs).repartition(8)
 
+    def sketch(batches):
+        for batch in batches:
+            for piece, texts in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([_sketch(t) for t in texts], pa.int64())], names=["i", "t", "y", "s"])
+
+    # near copies share their rare words, which would pass for telling ones
+    sketched = rows.mapInArrow(sketch, "i long, t string, y int, s long")
+    rows = materialize(sketched.groupBy("s", "y").agg(F.min("i").alias("i"), F.min_by("t", "i").alias("t")).select("i", "t", "y"))
+
     def count(batches):
         held: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for batch in batches:
