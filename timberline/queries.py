@@ -2,5 +2,571 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from timberline.functions import geometry as geo
+from timberline.operators import cells as op_cells
+from timberline.operators import classify as op_classify
+from timberline.operators import learn, network, norms, pointcloud, stations, stencils
+from timberline.operators.cells import Rule
+from timberline.plans.views import load, with_views
+from timberline.sources import acquisition
+from timberline.sources import catalog as op_catalog
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+GRID = {"xmin": 0.0, "ymin": 0.0, "xmax": 64.0, "ymax": 64.0, "res": 1.0, "nrow": 64, "ncol": 64}
+
+
+def query(sql: str | None = None, *views: str):
+    """Register a query under its function's name; ``sql`` goes on from the named views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def r(col: str | Column, digits: int = 4) -> Column:
+    return F.round(col, digits)
+
+
+def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+# ---------------------------------------------------------------- stations
+
+_TRUCK = """
+SELECT *, concat_ws('+', CASE WHEN LARGEUR_ROULABLE < 3 THEN 'largeur' END, CASE WHEN abs(PENTE_LONG) > 0.1 THEN 'pente' END,
+  CASE WHEN RAYON_COURBURE < 12 THEN 'rayon' END, CASE WHEN GABARIT_LIBRE < 4.5 THEN 'gabarit' END,
+  CASE WHEN SURPLOMB > 0 AND HAUT_SURPLOMB < 4.5 THEN 'surplomb' END) AS MOTIF_INAPTITUDE FROM v_stations"""
+
+
+@query(f"WITH j AS ({_TRUCK}) SELECT trace_id, station, MOTIF_INAPTITUDE, MOTIF_INAPTITUDE = '' AS APTE_GRUMIER FROM j", "v_stations")
+def trafficability(spark, sf):
+    return stations.trafficability(load(spark, sf, "v_stations")[0]).select("trace_id", "station", "MOTIF_INAPTITUDE", "APTE_GRUMIER")
+
+
+@query(f"""WITH j AS ({_TRUCK}), w AS (SELECT trace_id, MOTIF_INAPTITUDE AS m, string_split(MOTIF_INAPTITUDE, '+') AS p FROM j)
+SELECT trace_id, count(*) AS n_stations, round(avg(CASE WHEN m = '' THEN 1.0 ELSE 0.0 END), 6) AS part_apte,
+  count(*) FILTER (WHERE list_contains(p, 'largeur')) AS n_largeur, count(*) FILTER (WHERE list_contains(p, 'pente')) AS n_pente,
+  count(*) FILTER (WHERE list_contains(p, 'rayon')) AS n_rayon, count(*) FILTER (WHERE list_contains(p, 'gabarit')) AS n_gabarit,
+  count(*) FILTER (WHERE list_contains(p, 'surplomb')) AS n_surplomb FROM w GROUP BY trace_id""", "v_stations")
+def trafficability_summary(spark, sf):
+    return stations.trafficability_summary(stations.trafficability(load(spark, sf, "v_stations")[0]))
+
+
+@query("""WITH m AS (SELECT trace_id, median(LARGEUR_ROULABLE) + 1.5 AS seuil FROM v_stations GROUP BY trace_id),
+w AS (SELECT s.*, coalesce(LARGEUR_ROULABLE >= seuil, FALSE) AS wide FROM v_stations s JOIN m USING (trace_id)),
+e AS (SELECT *, CASE WHEN wide IS NOT DISTINCT FROM lag(wide) OVER (PARTITION BY trace_id ORDER BY station) AND station > 1 THEN 0 ELSE 1 END AS new FROM w),
+g AS (SELECT *, sum(new) OVER (PARTITION BY trace_id ORDER BY station) AS run FROM e)
+SELECT trace_id, arg_min(chainage, struct_pack(a := -LARGEUR_ROULABLE, b := station)) AS chainage, max(chainage) - min(chainage) AS longueur, max(LARGEUR_ROULABLE) AS largeur_max,
+  arg_min(x, struct_pack(a := -LARGEUR_ROULABLE, b := station)) AS x, arg_min(y, struct_pack(a := -LARGEUR_ROULABLE, b := station)) AS y
+FROM g WHERE wide GROUP BY trace_id, run HAVING max(chainage) - min(chainage) >= 2""", "v_stations")
+def passing_places(spark, sf):
+    return stations.passing_places(load(spark, sf, "v_stations")[0], 1.5, 2.0)
+
+
+@query("""SELECT trace_id, station, round(avg(z) OVER (PARTITION BY trace_id ORDER BY station ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS lisse FROM v_stations""", "v_stations")
+def smoothing(spark, sf):
+    return load(spark, sf, "v_stations")[0].select("trace_id", "station", r(stations.smooth("z", 5), 9).alias("lisse"))
+
+
+@query("""WITH g AS (SELECT trace_id, station, (lead(z) OVER w - z) / (lead(chainage) OVER w - chainage) AS a, (z - lag(z) OVER w) / (chainage - lag(chainage) OVER w) AS b
+  FROM v_stations WINDOW w AS (PARTITION BY trace_id ORDER BY station))
+SELECT trace_id, station, round(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END, 9) AS pente FROM g""", "v_stations")
+def longitudinal_slope(spark, sf):
+    return load(spark, sf, "v_stations")[0].select("trace_id", "station", r(stations.long_slope(), 9).alias("pente"))
+
+
+_TRIPLE = """WITH n AS (SELECT trace_id, station, x, y, lag(x) OVER w AS xa, lag(y) OVER w AS ya, lead(x) OVER w AS xb, lead(y) OVER w AS yb
+  FROM v_stations WINDOW w AS (PARTITION BY trace_id ORDER BY station)),
+d AS (SELECT *, sqrt((x-xa)*(x-xa)+(y-ya)*(y-ya)) AS a, sqrt((xb-x)*(xb-x)+(yb-y)*(yb-y)) AS b, sqrt((xb-xa)*(xb-xa)+(yb-ya)*(yb-ya)) AS c,
+  abs((x-xa)*(yb-ya)-(xb-xa)*(y-ya))/2 AS s FROM n)
+SELECT trace_id, station, CASE WHEN s > 1e-9 THEN round(a*b*c/(4*s), 4) ELSE CAST('Infinity' AS DOUBLE) END AS rayon FROM d"""
+
+
+@query(_TRIPLE, "v_stations")
+def curvature_triples(spark, sf):
+    v = stations.triple_radius()
+    return load(spark, sf, "v_stations")[0].withColumn("v", v).select("trace_id", "station", F.when(F.col("v") == float("inf"), F.col("v")).otherwise(r("v")).alias("rayon"))
+
+
+@query("""WITH m AS (SELECT trace_id, avg(x) AS mx, avg(y) AS my FROM v_stations GROUP BY trace_id),
+p AS (SELECT s.trace_id, station, chainage, x - mx AS u, y - my AS v FROM v_stations s JOIN m USING (trace_id)),
+w AS (SELECT trace_id, station, count(*) OVER f AS n, sum(u) OVER f AS su, sum(v) OVER f AS sv, sum(u*u) OVER f AS suu, sum(v*v) OVER f AS svv, sum(u*v) OVER f AS suv,
+  sum(u*u+v*v) OVER f AS sq, sum(u*(u*u+v*v)) OVER f AS suq, sum(v*(u*u+v*v)) OVER f AS svq
+  FROM p WINDOW f AS (PARTITION BY trace_id ORDER BY chainage RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
+k AS (SELECT *, suu-su*su/n AS cuu, svv-sv*sv/n AS cvv, suv-su*sv/n AS cuv, suq-su*sq/n AS cuq, svq-sv*sq/n AS cvq FROM w),
+s AS (SELECT *, (cuq*cvv-cvq*cuv)/(cuu*cvv-cuv*cuv)/2 AS a, (cvq*cuu-cuq*cuv)/(cuu*cvv-cuv*cuv)/2 AS b FROM k)
+SELECT trace_id, station, CASE WHEN n >= 4 THEN round(ln(sqrt((sq-2*a*su-2*b*sv)/n + a*a + b*b)), 3) END AS log_rayon FROM s""", "v_stations")
+def curvature_circle(spark, sf):
+    got = stations.fitted_radius(load(spark, sf, "v_stations")[0], 20.0, out="rayon")
+    return got.select("trace_id", "station", F.when(F.col("rayon") < float("inf"), r(F.log("rayon"), 3)).alias("log_rayon"))
+
+
+@query("""WITH d AS (SELECT *, sqrt((x-lag(x) OVER w)*(x-lag(x) OVER w)+(y-lag(y) OVER w)*(y-lag(y) OVER w)) AS step FROM v_stations WINDOW w AS (PARTITION BY trace_id ORDER BY station)),
+g AS (SELECT trace_id, sum(step) AS longueur, sqrt((arg_max(x,station)-arg_min(x,station))*(arg_max(x,station)-arg_min(x,station))+(arg_max(y,station)-arg_min(y,station))*(arg_max(y,station)-arg_min(y,station))) AS corde FROM d GROUP BY trace_id)
+SELECT trace_id, round(longueur,4) AS longueur, round(corde,4) AS corde, round(CASE WHEN corde >= 1e-9 THEN longueur/corde END,4) AS sinuosite FROM g""", "v_stations")
+def sinuosity(spark, sf):
+    return rounded(stations.sinuosity(load(spark, sf, "v_stations")[0]), 4, "longueur", "corde", "sinuosite")
+
+
+_STATE = """CASE WHEN sigma_geo IS NULL OR sigma_surf IS NULL THEN NULL WHEN sigma_geo >= 0.5 AND sigma_surf >= 0.5 THEN 1 WHEN sigma_geo >= 0.5 THEN 2 WHEN sigma_surf >= 0.5 THEN 3 ELSE 4 END"""
+_LABEL = "CASE etat WHEN 1 THEN 'en_service' WHEN 2 THEN 'abandonnee' WHEN 3 THEN 'trouee_sans_route' WHEN 4 THEN 'hors_route' END"
+_RUNS = f"""s AS (SELECT *, {_STATE} AS etat, lead(chainage) OVER (PARTITION BY trace_id ORDER BY station) AS nxt FROM v_stations),
+t AS (SELECT *, CASE WHEN etat IS NOT DISTINCT FROM lag(etat) OVER (PARTITION BY trace_id ORDER BY station) AND station > 1 THEN 0 ELSE 1 END AS new FROM s WHERE nxt IS NOT NULL),
+u AS (SELECT *, sum(new) OVER (PARTITION BY trace_id ORDER BY station) AS run FROM t),
+runs AS (SELECT trace_id, run, any_value(etat) AS etat, min(chainage) AS debut, max(nxt) AS fin, count(*) AS n_sommets, avg(sigma_geo) AS sigma_geo, avg(sigma_surf) AS sigma_surf, max(nxt) - min(chainage) AS longueur FROM u GROUP BY trace_id, run)"""
+
+
+@query(f"WITH {_RUNS} SELECT trace_id, CAST(run AS BIGINT) AS run, etat, debut, fin, n_sommets, round(sigma_geo, 6) AS sigma_geo, round(sigma_surf, 6) AS sigma_surf, longueur, {_LABEL} AS etat_label FROM runs", "v_stations")
+def state_runs(spark, sf):
+    return rounded(stations.state_runs(stations.state_profile(load(spark, sf, "v_stations")[0])), 6, "sigma_geo", "sigma_surf")
+
+
+@query(f"""WITH {_RUNS}, l AS (SELECT trace_id, {_LABEL} AS etat_label, sum(longueur) AS longueur FROM runs GROUP BY ALL),
+p AS (SELECT trace_id, etat_label, longueur, round(100 * longueur / sum(longueur) OVER (PARTITION BY trace_id), 1) AS pourcentage FROM l) SELECT * FROM p WHERE etat_label IS NOT NULL""", "v_stations")
+def state_summary(spark, sf):
+    return stations.state_summary(stations.state_runs(stations.state_profile(load(spark, sf, "v_stations")[0])))
+
+
+@query("""SELECT trace_id, station, (coalesce(chainage - lag(chainage) OVER w, 0) + coalesce(lead(chainage) OVER w - chainage, 0)) / 2 AS longueur
+FROM v_stations WINDOW w AS (PARTITION BY trace_id ORDER BY station)""", "v_stations")
+def applicable_lengths(spark, sf):
+    return load(spark, sf, "v_stations")[0].select("trace_id", "station", stations.applicable_length().alias("longueur"))
+
+
+# ---------------------------------------------------------------- profiles
+
+
+@query("""WITH a AS (SELECT *, coalesce(z <= 6, FALSE) AS i FROM v_profiles),
+b AS (SELECT *, CASE WHEN i IS NOT DISTINCT FROM lag(i) OVER (PARTITION BY trace_id, station ORDER BY off) THEN 0 ELSE 1 END AS new FROM a),
+c AS (SELECT *, sum(new) OVER (PARTITION BY trace_id, station ORDER BY off) AS run FROM b),
+d AS (SELECT trace_id, station, run, any_value(i) AS i, min(off) AS gauche, max(off) AS droite, min(abs(off)) AS m FROM c GROUP BY ALL),
+e AS (SELECT *, row_number() OVER (PARTITION BY trace_id, station ORDER BY m, run) AS k FROM d)
+SELECT trace_id, station, CASE WHEN i THEN droite - gauche ELSE 0 END AS largeur, CASE WHEN i THEN gauche END AS gauche, CASE WHEN i THEN droite END AS droite FROM e WHERE k = 1""", "v_profiles")
+def central_run(spark, sf):
+    p = load(spark, sf, "v_profiles")[0]
+    return stations.central_run(p, F.col("z") <= 6, offset="off")
+
+
+@query("""WITH e AS (SELECT min(z) AS lo, max(z) AS hi FROM v_profiles), h AS (SELECT CAST(least(floor((z - lo) / (hi - lo) * 256), 255) AS INT) AS k, lo, hi, count(*) AS n FROM v_profiles, e WHERE z IS NOT NULL GROUP BY ALL),
+m AS (SELECT *, lo + (k + 0.5) * (hi - lo) / 256 AS mid FROM h), c AS (SELECT *, sum(n) OVER a AS w0, sum(n * mid) OVER a AS s0, sum(n) OVER () AS w, sum(n * mid) OVER () AS s FROM m WINDOW a AS (ORDER BY k)),
+v AS (SELECT mid, k, w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) AS b FROM c WHERE w0 < w)
+SELECT round(mid, 6) AS seuil FROM v ORDER BY b DESC, k LIMIT 1""", "v_profiles")
+def otsu_threshold(spark, sf):
+    return rounded(stations.otsu(load(spark, sf, "v_profiles")[0], "z"), 6, "seuil")
+
+
+@query("""SELECT trace_id, station, round(sum(CASE WHEN z - 4 > 0 THEN (z - 4) * 0.5 ELSE 0 END), 4) AS deblai, round(sum(CASE WHEN z - 4 < 0 THEN (4 - z) * 0.5 ELSE 0 END), 4) AS remblai
+FROM v_profiles GROUP BY ALL""", "v_profiles")
+def cut_fill_sections(spark, sf):
+    gap = F.col("z") - 4
+    part = lambda test, v: r(F.sum(F.when(test, v * 0.5).otherwise(0.0)))
+    return load(spark, sf, "v_profiles")[0].groupBy("trace_id", "station").agg(part(gap > 0, gap).alias("deblai"), part(gap < 0, -gap).alias("remblai"))
+
+
+@query("""SELECT trace_id, station, round(regr_slope(z, off), 6) AS devers, round(regr_intercept(z, off), 6) AS z_axe FROM v_profiles WHERE abs(off) <= 1 AND z IS NOT NULL GROUP BY ALL""", "v_profiles")
+def central_plane(spark, sf):
+    p = load(spark, sf, "v_profiles")[0].filter("abs(off) <= 1 and z is not null")
+    return p.groupBy("trace_id", "station").agg(r(F.regr_slope("z", "off"), 6).alias("devers"), r(F.regr_intercept("z", "off"), 6).alias("z_axe"))
+
+
+# ---------------------------------------------------------------- cells
+
+
+@query("""WITH q AS (SELECT quantile_cont(z, 0.5) AS a, quantile_cont(z, 0.95) AS b FROM v_cells)
+SELECT row, col, round(greatest(0, least(1, (z - a) / (b - a))), 6) AS mu FROM v_cells, q""", "v_cells")
+def membership_up(spark, sf):
+    return op_cells.membership(load(spark, sf, "v_cells")[0], "z").select("row", "col", r("mu", 6).alias("mu"))
+
+
+@query("""WITH q AS (SELECT quantile_cont(z, 0.25) AS a, quantile_cont(z, 0.75) AS b FROM v_cells), m AS (SELECT *, (b - a) / 2 AS m FROM q)
+SELECT row, col, round(greatest(0, least(1, least((z - (a - m)) / m, ((b + m) - z) / m))), 6) AS mu FROM v_cells, m""", "v_cells")
+def membership_bell(spark, sf):
+    return op_cells.membership(load(spark, sf, "v_cells")[0], "z", "bell").select("row", "col", r("mu", 6).alias("mu"))
+
+
+_GEO = """round(exp((2 * ln(greatest(greatest(0, least(1, vesselness / 0.6)), 0.05)) + ln(greatest(greatest(0, least(1, (rugosite - 0.2) / 0.5)), 0.05))) / 3), 6)"""
+
+
+@query(f"SELECT row, col, {_GEO} AS sigma_geo FROM v_cells", "v_cells")
+def terrain_conductivity(spark, sf):
+    rules = {"vesselness": Rule("up", 2.0, 0.0, 0.6), "rugosite": Rule("up", 1.0, 0.2, 0.7)}
+    return op_cells.conductivity(load(spark, sf, "v_cells")[0], rules).select("row", "col", r("sigma_geo", 6).alias("sigma_geo"))
+
+
+@query("""SELECT row, col, CASE WHEN row % 9 = 0 THEN 0.05 ELSE round(exp((2 * ln(greatest(greatest(0, least(1, (60 - densite_sousetage) / 60)), 0.05)) + ln(greatest(greatest(0, least(1, (taux_penetration - 0.2) / 0.6)), 0.05))) / 3), 6) END AS sigma_surf FROM v_cells""", "v_cells")
+def surface_conductivity(spark, sf):
+    rules = {"densite_sousetage": Rule("down", 2.0, 0.0, 60.0), "taux_penetration": Rule("up", 1.0, 0.2, 0.8)}
+    c = load(spark, sf, "v_cells")[0].withColumn("excl", F.when(F.col("row") % 9 == 0, 1).otherwise(0))
+    return op_cells.surface_conductivity(c, rules, excluded="excl").select("row", "col", r("sigma_surf", 6).alias("sigma_surf"))
+
+
+@query("""WITH m AS (SELECT greatest(0, least(1, (rugosite - 0.45E0) / (0.5E0 - 0.45E0))) AS mu FROM v_cells), s AS (SELECT avg(CASE WHEN mu <= 0 THEN 1.0 ELSE 0 END) AS lo, avg(CASE WHEN mu >= 1 THEN 1.0 ELSE 0 END) AS hi FROM m)
+SELECT round(lo, 6) AS share_low, round(hi, 6) AS share_high, greatest(lo, hi) >= 0.8 AS saturated FROM s""", "v_cells")
+def bound_saturation(spark, sf):
+    m = op_cells.membership(load(spark, sf, "v_cells")[0], "rugosite", a=0.45, b=0.5)
+    return rounded(op_cells.saturation(m), 6, "share_low", "share_high")
+
+
+@query("""WITH g AS (SELECT row, col, rugosite AS sigma_geo FROM v_cells WHERE row % 5 > 0), s AS (SELECT row, col, taux_penetration AS sigma_surf FROM v_cells WHERE col % 7 > 0),
+e AS (SELECT *, sigma_geo - sigma_surf AS divergence, """ + _STATE + """ AS etat FROM g JOIN s USING (row, col))
+SELECT row, col, round(divergence, 6) AS divergence, etat, """ + _LABEL + """ AS etat_label FROM e""", "v_cells")
+def state_map(spark, sf):
+    c = load(spark, sf, "v_cells")[0]
+    a = c.filter("row % 5 > 0").select("row", "col", F.col("rugosite").alias("sigma_geo"))
+    b = c.filter("col % 7 > 0").select("row", "col", F.col("taux_penetration").alias("sigma_surf"))
+    return op_cells.state_map(a, b).select("row", "col", r("divergence", 6).alias("divergence"), "etat", "etat_label")
+
+
+@query("""WITH c AS (SELECT *, col + 0.5E0 AS x, 64 - (row + 0.5E0) AS y FROM v_cells), ref AS (SELECT 10.0E0 AS x1, 20.0E0 AS y1, 50.0E0 AS x2, 45.0E0 AS y2 UNION ALL SELECT 5, 60, 60, 5),
+d AS (SELECT row, col, min(sqrt((x-(x1+t*(x2-x1)))*(x-(x1+t*(x2-x1)))+(y-(y1+t*(y2-y1)))*(y-(y1+t*(y2-y1))))) AS dist FROM
+  (SELECT *, greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM c, ref) GROUP BY row, col)
+SELECT row, col, CASE WHEN dist > 4 THEN round(exp((ln(greatest(rugosite,1e-6)) + 0.5*ln(greatest(taux_penetration,1e-6)) + ln(greatest(greatest(0,least(1,(vesselness-0.3)/0.7)),1e-6)))/2.5), 6) END AS indice
+FROM c JOIN d USING (row, col)""", "v_cells")
+def detection_index(spark, sf):
+    c = load(spark, sf, "v_cells")[0].select("row", "col", (F.col("col") + 0.5).alias("x"), (64 - (F.col("row") + 0.5)).alias("y"), F.col("rugosite").alias("sigma_geo"), F.col("taux_penetration").alias("sigma_surf"), "vesselness")
+    ref = spark.createDataFrame([(10.0, 20.0, 50.0, 45.0), (5.0, 60.0, 60.0, 5.0)], "x1 double, y1 double, x2 double, y2 double")
+    return op_cells.detection_index(c, reference=ref, reference_buffer=4.0).select("row", "col", r("indice", 6).alias("indice"))
+
+
+@query("SELECT row, col, CASE WHEN rugosite + vesselness = 0 THEN NULL ELSE round((rugosite - vesselness) / (rugosite + vesselness), 6) END AS ndvi FROM v_cells", "v_cells")
+def ndvi(spark, sf):
+    return load(spark, sf, "v_cells")[0].select("row", "col", r(op_cells.ndvi("rugosite", "vesselness"), 6).alias("ndvi"))
+
+
+def _box(band: str, size: int) -> str:
+    h = size // 2
+    return f"""(SELECT row, col, {band} AS v, sum(s) OVER d / sum(n) OVER d AS m FROM (SELECT *, sum({band}) OVER a AS s, count({band}) OVER a AS n FROM cc
+      WINDOW a AS (PARTITION BY row ORDER BY col RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING)) WINDOW d AS (PARTITION BY col ORDER BY row RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING))"""
+
+
+@query("WITH cc AS (SELECT * FROM v_cells) SELECT a.row, a.col, round(a.v - a.m, 6) AS slrm_5, round(b.v - b.m, 6) AS slrm_15 FROM " + _box("z", 5) + " a JOIN " + _box("z", 15) + " b USING (row, col)", "v_cells")
+def local_relief(spark, sf):
+    return rounded(stencils.local_relief(load(spark, sf, "v_cells")[0].select("row", "col", "z"), 1.0).drop("z"), 6, "slrm_5", "slrm_15")
+
+
+@query("""WITH b0 AS (SELECT a.row, a.col, avg(b.z) AS m FROM v_cells a JOIN v_cells b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY ALL),
+e AS (SELECT c.row, c.col, (z - m) * (z - m) AS q FROM v_cells c JOIN b0 USING (row, col))
+SELECT a.row, a.col, round(sqrt(avg(b.q)), 5) AS rugosite FROM e a JOIN e b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY ALL""", "v_cells")
+def roughness(spark, sf):
+    got = stencils.roughness(load(spark, sf, "v_cells")[0].select("row", "col", "z"), 1.0, out="rug")
+    return got.select("row", "col", r("rug", 5).alias("rugosite"))
+
+
+@query("""WITH n AS (SELECT a.row, a.col, count(*) AS k, sum(b.z * (b.col - a.col) * (CASE WHEN b.row = a.row THEN 2 ELSE 1 END)) / 8 AS gx, sum(b.z * (a.row - b.row) * (CASE WHEN b.col = a.col THEN 2 ELSE 1 END)) / 8 AS gy
+  FROM v_cells a JOIN v_cells b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL)
+SELECT row, col, CASE WHEN k = 9 THEN round(degrees(atan(sqrt(gx * gx + gy * gy))), 5) END AS pente FROM n""", "v_cells")
+def slope(spark, sf):
+    return stencils.slope(load(spark, sf, "v_cells")[0].select("row", "col", "z"), 1.0).select("row", "col", r("pente", 5).alias("pente"))
+
+
+def _sky_sql(radius: int, directions: int = 8) -> str:
+    rows = [f"({d}, {a}, {b}, {dist!r}E0)" for d, s in enumerate(stencils.horizon_shifts(directions, radius)) for a, b, dist in s]
+    reflect = lambda v: f"CASE WHEN {v} < 0 THEN -({v}) WHEN {v} > 63 THEN 126 - ({v}) ELSE {v} END"
+    return f"""WITH sh(d, dr, dc, dist) AS (VALUES {', '.join(rows)}), p AS (SELECT c.row, c.col, c.z, d, dist, {reflect('c.row + dr')} AS nr, {reflect('c.col + dc')} AS nc FROM v_cells c, sh),
+m AS (SELECT p.row, p.col, d, atan(max((n.z - p.z) / dist)) AS up, atan(max((p.z - n.z) / dist)) AS down FROM p JOIN v_cells n ON n.row = nr AND n.col = nc GROUP BY p.row, p.col, d)
+SELECT row, col, round(avg(1 - sin(greatest(up, 0))), 5) AS svf, round(degrees(pi() / 2 - avg(up)), 5) AS openness_pos, round(degrees(pi() / 2 - avg(down)), 5) AS openness_neg FROM m GROUP BY row, col"""
+
+
+@query(_sky_sql(3), "v_cells")
+def micro_relief(spark, sf):
+    got = stencils.micro_relief(load(spark, sf, "v_cells")[0], GRID, 3, 8, tile=24)
+    return rounded(got, 5, "svf", "openness_pos", "openness_neg")
+
+
+@query("""SELECT row, col, round(CASE WHEN l2 > 0 THEN exp(-(l1/l2)*(l1/l2)/0.5)*(1-exp(-(l1*l1+l2*l2)/2)) ELSE 0 END, 6) AS v FROM (
+  SELECT row, col, CASE WHEN abs(m-d) > abs(m+d) THEN m+d ELSE m-d END AS l1, CASE WHEN abs(m-d) > abs(m+d) THEN m-d ELSE m+d END AS l2 FROM (
+    SELECT row, col, (rugosite+vesselness)/2 - 0.4 AS m, sqrt(((rugosite-vesselness)/2)*((rugosite-vesselness)/2) + (taux_penetration-0.5)*(taux_penetration-0.5)) AS d FROM v_cells))""", "v_cells")
+def valley_response(spark, sf):
+    """The eigenvalue formula of vesselness on given second derivatives, as Column math."""
+    c = load(spark, sf, "v_cells")[0]
+    m, half, x = (F.col("rugosite") + F.col("vesselness")) / 2 - 0.4, (F.col("rugosite") - F.col("vesselness")) / 2, F.col("taux_penetration") - 0.5
+    e = c.select("row", "col", m.alias("m"), F.sqrt(half * half + x * x).alias("d"))
+    swap = F.abs(F.col("m") - F.col("d")) > F.abs(F.col("m") + F.col("d"))
+    e = e.withColumn("l1", F.when(swap, F.col("m") + F.col("d")).otherwise(F.col("m") - F.col("d"))).withColumn("l2", F.when(swap, F.col("m") - F.col("d")).otherwise(F.col("m") + F.col("d")))
+    ratio = F.col("l1") / F.col("l2")
+    v = F.when(F.col("l2") > 0, F.exp(-ratio * ratio / 0.5) * (1 - F.exp(-(F.col("l1") * F.col("l1") + F.col("l2") * F.col("l2")) / 2))).otherwise(0.0)
+    return e.select("row", "col", r(v, 6).alias("v"))
+
+
+@query()
+def terrain_layers(spark, sf):
+    return stencils.terrain_layers(load(spark, sf, "v_cells")[0].select("row", "col", "z"), GRID, (2, 4), (5, 15), 5, (1, 2), c=[1.0, 1.0], tile=32)
+
+
+@query("""WITH g AS (SELECT CAST(range AS INT) AS k FROM range(1024)), t AS (SELECT k // 32 AS row, k % 32 AS col FROM g)
+SELECT CAST(t.row AS INT) AS row, CAST(t.col AS INT) AS col, c.z FROM t LEFT JOIN v_cells c ON c.row = CAST(floor((64 - (64 - (t.row + 0.5) * 2.5))) AS INT) AND c.col = CAST(floor((t.col + 0.5) * 2.5) AS INT)""", "v_cells")
+def resample_nearest(spark, sf):
+    grid = {"xmin": 0.0, "ymin": -16.0, "xmax": 80.0, "ymax": 64.0, "res": 2.5, "nrow": 32, "ncol": 32}
+    return op_cells.resample_nearest(load(spark, sf, "v_cells")[0], GRID, op_cells.grid_cells(spark, grid), ["z"]).select("row", "col", "z")
+
+
+@query("""WITH q AS (SELECT trace_id, station, x, y, (x - 0.0) - 0.5 AS fx, (64 - y) - 0.5 AS fy FROM v_stations),
+p AS (SELECT *, CAST(floor(fx) AS INT) AS c0, CAST(floor(fy) AS INT) AS r0, fx - floor(fx) AS tx, fy - floor(fy) AS ty FROM q),
+f AS (SELECT trace_id, station, r0 AS rr, c0 AS cc, (1-tx)*(1-ty) AS w FROM p UNION ALL SELECT trace_id, station, r0, c0+1, tx*(1-ty) FROM p UNION ALL SELECT trace_id, station, r0+1, c0, (1-tx)*ty FROM p UNION ALL SELECT trace_id, station, r0+1, c0+1, tx*ty FROM p)
+SELECT f.trace_id, f.station, CASE WHEN count(c.z) = count(*) THEN round(sum(w * c.z), 5) END AS z_mnt FROM f LEFT JOIN v_cells c ON c.row = rr AND c.col = cc WHERE w > 0 GROUP BY ALL""", "v_stations", "v_cells")
+def sample_bilinear(spark, sf):
+    st, c = load(spark, sf, "v_stations", "v_cells")
+    got = op_cells.resample_bilinear(c, GRID, st.select("trace_id", "station", "x", "y"), "z", "z_mnt")
+    return got.select("trace_id", "station", r("z_mnt", 5).alias("z_mnt"))
+
+
+# ---------------------------------------------------------------- points
+
+
+@query("""SELECT row, col, count(*) AS n_points, count(*) FILTER (WHERE cls = 2) / 1.0E0 AS densite_sol, count(*) FILTER (WHERE cls = 2) / count(*) AS taux_penetration,
+  CAST(count(*) FILTER (WHERE h >= 0.3 AND h < 3) AS DOUBLE) AS densite_sousetage, round(quantile_cont(h, 0.95) FILTER (WHERE cls = 5), 6) AS hauteur_couvert,
+  CAST(count(*) FILTER (WHERE cls IN (6, 9, 64, 66)) > 0 AS INT) AS masque_exclusion, CAST(count(*) FILTER (WHERE cls = 17) > 0 AS INT) AS masque_pont FROM v_points GROUP BY ALL""", "v_points")
+def point_layers(spark, sf):
+    return rounded(pointcloud.point_layers(load(spark, sf, "v_points")[0]), 6, "hauteur_couvert")
+
+
+@query("""WITH c AS (SELECT row, col, min(h) AS h FROM v_points WHERE h > 2 GROUP BY ALL), s AS (SELECT trace_id, station, CAST(floor(x) % 64 AS INT) AS row, CAST(floor(y) AS INT) AS col FROM v_stations)
+SELECT trace_id, station, least(coalesce(min(h), 8), 8) AS GABARIT_LIBRE FROM s LEFT JOIN c USING (row, col) GROUP BY ALL""", "v_points", "v_stations")
+def free_clearance(spark, sf):
+    p, st = load(spark, sf, "v_points", "v_stations")
+    at = st.select("trace_id", "station", (F.floor("x") % 64).cast("int").alias("row"), F.floor("y").cast("int").alias("col"))
+    return pointcloud.free_clearance(at, pointcloud.clearance_cells(p, 2.0))
+
+
+# ---------------------------------------------------------------- norms
+
+_NORM_ROWS = ", ".join("('{}', '{}', '{}', {}, {}, {}, {}, {})".format(*x.split("|")) for x in norms.NORM_TABLE.strip().splitlines())
+_PLAIN = lambda c: f"trim(lower(regexp_replace(translate({c}, '{norms.ACCENTED}', '{norms.PLAIN}'), '[^A-Za-z0-9]+', ' ', 'g')))"
+_WIDTHS = f"""norm(a, b, x, n, w, s, v, e) AS (VALUES {_NORM_ROWS}),
+k AS (SELECT *, {_PLAIN('cl_admin')} AS ka, {_PLAIN('nature')} AS kb, {_PLAIN("coalesce(nullif(franchisst, ''), 'NC')")} AS kx, coalesce(nb_voies, 0) AS kn FROM v_segments),
+widths AS (SELECT id, cl_admin, nature, CAST(w AS DOUBLE) AS LARGEUR_CHAUSSEE_CERTU, CAST(s AS DOUBLE) AS BANDE_ARRET_CERTU, CAST(v AS DOUBLE) AS BERME_CERTU, CAST(2 * e AS DOUBLE) AS LARGEUR_EMPRISE_CERTU
+  FROM k LEFT JOIN norm ON ka = {_PLAIN('a')} AND kb = {_PLAIN('b')} AND kx = {_PLAIN('x')} AND kn = n)"""
+
+
+@query(f"WITH {_WIDTHS} SELECT id, LARGEUR_CHAUSSEE_CERTU, BANDE_ARRET_CERTU, BERME_CERTU, LARGEUR_EMPRISE_CERTU FROM widths", "v_segments")
+def normative_widths(spark, sf):
+    return norms.normative_widths(load(spark, sf, "v_segments")[0]).select("id", "LARGEUR_CHAUSSEE_CERTU", "BANDE_ARRET_CERTU", "BERME_CERTU", "LARGEUR_EMPRISE_CERTU")
+
+
+@query(f"WITH {_WIDTHS} SELECT cl_admin, nature, count(*) AS n FROM widths WHERE LARGEUR_CHAUSSEE_CERTU IS NULL GROUP BY ALL", "v_segments")
+def unmatched_norms(spark, sf):
+    return norms.unmatched(norms.normative_widths(load(spark, sf, "v_segments")[0]), ["cl_admin", "nature"])
+
+
+@query(f"""WITH {_WIDTHS}, s AS (SELECT trace_id AS id, count(*) AS N_STATIONS, median(LARGEUR_ROULABLE) AS m, avg(CASE WHEN BORDS_CHAUSSEE > 0 THEN 1.0 ELSE 0 END) AS b FROM v_stations GROUP BY trace_id)
+SELECT s.id, N_STATIONS, round(m, 9) AS LARGEUR_MED, LARGEUR_CHAUSSEE_CERTU AS LARGEUR_NORME, round(m - LARGEUR_CHAUSSEE_CERTU, 9) AS ECART_NORME,
+  round(CASE WHEN LARGEUR_CHAUSSEE_CERTU <> 0 THEN (m - LARGEUR_CHAUSSEE_CERTU) / LARGEUR_CHAUSSEE_CERTU END, 9) AS ECART_REL, round(b, 9) AS BORDS_RESOLUS FROM s LEFT JOIN widths w ON s.id = w.id""", "v_segments", "v_stations")
+def norm_gap(spark, sf):
+    seg, st = load(spark, sf, "v_segments", "v_stations")
+    got = norms.norm_gap(st.withColumnRenamed("trace_id", "id"), norms.normative_widths(seg), "id")
+    return rounded(got, 9, "LARGEUR_MED", "ECART_NORME", "ECART_REL", "BORDS_RESOLUS")
+
+
+@query(f"SELECT DISTINCT nature, {_PLAIN('nature')} AS plain FROM v_segments", "v_segments")
+def plain_labels(spark, sf):
+    return load(spark, sf, "v_segments")[0].select("nature", norms.plain_label("nature").alias("plain")).distinct()
+
+
+# ---------------------------------------------------------------- network
+
+
+_PARTS = """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 600 AS a, o_orderkey * 7 % 600 AS b FROM orders WHERE o_orderkey % 30 = 0),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(n, m) AS (SELECT a, a FROM u UNION SELECT r.n, u.b FROM reach r JOIN u ON u.a = r.m)
+SELECT n AS node, min(m) AS component FROM reach GROUP BY n"""
+
+
+@query(_PARTS)
+def components(spark, sf):
+    from timberline.plans.components import connected_components
+
+    o = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 30 = 0")
+    return connected_components(o.select((F.col("o_custkey") % 600).alias("src"), (F.col("o_orderkey") * 7 % 600).alias("dst")))
+
+
+_SEG = "s AS (SELECT * FROM v_segments WHERE id % 4 = 0)"
+_DIST = "sqrt((x-(x1+t*(x2-x1)))*(x-(x1+t*(x2-x1)))+(y-(y1+t*(y2-y1)))*(y-(y1+t*(y2-y1))))"
+
+
+@query(f"""WITH p AS (SELECT trace_id AS pid, station, x * 20 AS x, y * 200 AS y FROM v_stations), {_SEG},
+d AS (SELECT pid, station, id, {_DIST} AS d FROM (SELECT *, greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM p JOIN s ON abs(x - x1) <= 90 AND abs(y - y1) <= 90))
+SELECT pid, station, round(min(d), 5) AS d, arg_min(id, struct_pack(a := d, b := id)) AS id FROM d WHERE d <= 20 GROUP BY pid, station""", "v_stations", "v_segments")
+def nearest_segment(spark, sf):
+    st, seg = load(spark, sf, "v_stations", "v_segments")
+    pts = st.select(F.col("trace_id").alias("pid"), "station", (F.col("x") * 20).alias("x"), (F.col("y") * 200).alias("y"))
+    got = network.nearest_feature(pts, seg.filter("id % 4 = 0").select("id", "x1", "y1", "x2", "y2"), 20.0, ["id"])
+    return got.select("pid", "station", r("d", 5).alias("d"), "id")
+
+
+@query("""WITH s AS (SELECT id, x1, y1, x2, y2, greatest(2, CAST(ceil(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))/5) AS INT)) AS n FROM v_segments WHERE id % 8 = 1),
+p AS (SELECT id, k, x1+(x2-x1)*k/(n-1) AS x, y1+(y2-y1)*k/(n-1) AS y FROM (SELECT *, unnest(range(n)) AS k FROM s)), q AS (SELECT x1, y1, x2, y2 FROM v_segments WHERE id % 4 = 0),
+d AS (SELECT id, k, min(sqrt((x-(x1+t*(x2-x1)))*(x-(x1+t*(x2-x1)))+(y-(y1+t*(y2-y1)))*(y-(y1+t*(y2-y1))))) AS d FROM (SELECT *, greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM p LEFT JOIN q ON abs(x - x1) <= 90 AND abs(y - y1) <= 90) GROUP BY id, k)
+SELECT id, round(avg(CASE WHEN d <= 10.5 THEN 1.0 ELSE 0 END), 6) AS part FROM d GROUP BY id""", "v_segments")
+def share_along(spark, sf):
+    seg = load(spark, sf, "v_segments")[0].select("id", "x1", "y1", "x2", "y2")
+    return rounded(network.share_along(seg.filter("id % 8 = 1"), seg.filter("id % 4 = 0").drop("id"), 10.5), 6, "part")
+
+
+@query("""WITH RECURSIVE e AS (SELECT 2*id AS pid, x1 AS x, y1 AS y FROM v_segments WHERE id % 25 = 3 UNION ALL SELECT 2*id+1, x2, y2 FROM v_segments WHERE id % 25 = 3),
+n AS (SELECT a.pid AS a, b.pid AS b FROM e a JOIN e b ON sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 40), reach(p, q) AS (SELECT a, a FROM n UNION SELECT r.p, n.b FROM reach r JOIN n ON n.a = r.q),
+c AS (SELECT p AS pid, min(q) AS cl FROM reach GROUP BY p), m AS (SELECT cl, avg(x) AS cx, avg(y) AS cy FROM c JOIN e USING (pid) GROUP BY cl), z AS (SELECT pid, cx, cy FROM c JOIN m USING (cl))
+SELECT s.id, round(a.cx, 4) AS x1, round(a.cy, 4) AS y1, round(b.cx, 4) AS x2, round(b.cy, 4) AS y2 FROM v_segments s JOIN z a ON a.pid = 2*s.id JOIN z b ON b.pid = 2*s.id+1""".replace("WITH RECURSIVE", "WITH"), "v_segments")
+def snap_nodes(spark, sf):
+    seg = load(spark, sf, "v_segments")[0].filter("id % 25 = 3").select("id", "x1", "y1", "x2", "y2")
+    return rounded(network.snap_nodes(seg, 40.0), 4, "x1", "y1", "x2", "y2")
+
+
+ORACLE_SQL["snap_nodes"] = ORACLE_SQL["snap_nodes"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query()
+def network_edges(spark, sf):
+    seg = load(spark, sf, "v_segments")[0].filter("id % 25 = 3").select("id", "x1", "y1", "x2", "y2")
+    pub = load(spark, sf, "v_segments")[0].filter("id % 500 = 0").select("x1", "y1", "x2", "y2")
+    edges, nodes = network.network(network.snap_nodes(seg, 40.0), pub, 20.0)
+    return rounded(network.network_summary(edges, nodes), 3, "longueur_deconnectee")
+
+
+@query()
+def dedupe_parallels(spark, sf):
+    return network.dedupe_parallels(load(spark, sf, "v_segments")[0].filter("id % 5 = 0").select("id", "x1", "y1", "x2", "y2"), 6.0)
+
+
+@query()
+def parallel_combs(spark, sf):
+    return network.combs(load(spark, sf, "v_segments")[0].filter("id % 5 = 0").select("id", "x1", "y1", "x2", "y2"), 2.0)
+
+
+@query("""SELECT id, round(((degrees(atan2(y2 - y1, x2 - x1)) % 180) + 180) % 180, 6) AS cap, round(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)), 6) AS longueur FROM v_segments""", "v_segments")
+def line_headings(spark, sf):
+    s = load(spark, sf, "v_segments")[0]
+    return s.select("id", r(geo.heading("x1", "y1", "x2", "y2"), 6).alias("cap"), r(geo.distance("x1", "y1", "x2", "y2"), 6).alias("longueur"))
+
+
+_CRIT = ("reference", "peigne", "minerale", "fosses", "connecte", "parcelle", "crete")
+_SAID = " || '+' || ".join(f"(CASE WHEN {k} IS NULL THEN '{k}?' WHEN {k} THEN '{k}' ELSE '!{k}' END)" for k in _CRIT)
+_KNOWN = " + ".join(f"CAST({k} IS NOT NULL AS INT)" for k in _CRIT)
+
+
+@query(f"""WITH c AS (SELECT *, CASE WHEN coalesce(reference, FALSE) OR coalesce(fosses, FALSE) THEN CASE WHEN minerale IS NULL THEN 'desserte' WHEN minerale THEN 'route_forestiere' ELSE 'piste_forestiere' END
+  WHEN crete AND NOT minerale THEN 'pare_feu' WHEN parcelle AND NOT coalesce(minerale, FALSE) THEN 'layon_parcellaire' WHEN peigne AND NOT coalesce(minerale, FALSE) THEN 'cloisonnement_exploitation' ELSE 'indetermine' END AS CLASSE FROM v_criteria)
+SELECT id, CLASSE, round(({_KNOWN}) / 7.0E0, 6) AS CLASSE_CONF, {_SAID} AS CLASSE_MOTIF, CASE CLASSE WHEN 'layon_parcellaire' THEN 'man_made=cutline;cutline=section' {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in op_classify.TAGS.items())} END AS OSM_TAGS FROM c""", "v_criteria")
+def classify(spark, sf):
+    return rounded(op_classify.classify(load(spark, sf, "v_criteria")[0]).select("id", "CLASSE", "CLASSE_CONF", "CLASSE_MOTIF", "OSM_TAGS"), 6, "CLASSE_CONF")
+
+
+@query("SELECT trace_id AS id, avg(CASE WHEN FOSSES > 0 THEN 1.0 ELSE 0 END) >= 0.75 AS fosses FROM v_stations GROUP BY trace_id", "v_stations")
+def ditch_criterion(spark, sf):
+    return op_classify.ditch_criterion(load(spark, sf, "v_stations")[0].withColumnRenamed("trace_id", "id"), 0.75)
+
+
+# ---------------------------------------------------------------- learning
+
+_AUC = """c AS (SELECT score, count(*) AS c, sum(y) AS p FROM v_scores GROUP BY score), r AS (SELECT *, sum(c) OVER (ORDER BY score) - c + (c + 1) / 2.0E0 AS mid FROM c),
+s AS (SELECT sum(p * mid) AS r, sum(p) AS np, sum(c) - sum(p) AS nn FROM r)"""
+
+
+@query(f"WITH {_AUC} SELECT round((r - np * (np + 1) / 2) / (np * nn), 6) AS auc FROM s", "v_scores")
+def auc(spark, sf):
+    return rounded(learn.auc(load(spark, sf, "v_scores")[0]), 6, "auc")
+
+
+@query("""WITH l AS (SELECT massif, 'score' AS canal, score AS v, y FROM v_scores UNION ALL SELECT massif, 'size', size, y FROM v_scores), p AS (SELECT a.massif, a.canal, avg(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0 END) AS auc FROM l a JOIN l b ON a.massif = b.massif AND a.canal = b.canal AND a.y = 1 AND b.y = 0 GROUP BY ALL),
+f AS (SELECT massif, canal, count(*) FILTER (WHERE y = 1) AS n_pres, count(*) FILTER (WHERE y = 0) AS n_abs, quantile_cont(v, 0.25) FILTER (WHERE y = 1) AS q25_pres, quantile_cont(v, 0.75) FILTER (WHERE y = 1) AS q75_pres, quantile_cont(v, 0.5) FILTER (WHERE y = 0) AS q50_abs FROM l GROUP BY ALL)
+SELECT massif, canal, n_pres, n_abs, q25_pres, q75_pres, q50_abs, CASE WHEN n_pres >= 5 AND n_abs >= 5 THEN round(greatest(auc, 1 - auc), 6) END AS auc, CASE WHEN n_pres >= 5 AND n_abs >= 5 THEN CASE WHEN auc >= 0.5 THEN 1 ELSE -1 END END AS sens FROM f JOIN p USING (massif, canal)""", "v_scores")
+def channel_areas(spark, sf):
+    rows = load(spark, sf, "v_scores")[0].withColumnRenamed("y", "presence")
+    return rounded(learn.channel_areas(rows, ["score", "size"], n_min=5), 6, "auc")
+
+
+@query()
+def calibrated_rules(spark, sf):
+    rows = load(spark, sf, "v_scores")[0].withColumnRenamed("y", "presence")
+    return learn.calibrate(learn.channel_areas(rows, ["score", "size"], n_min=5), 0.5)
+
+
+@query()
+def stratified_folds(spark, sf):
+    return learn.folds(load(spark, sf, "v_scores")[0]).groupBy("y", "pli").count()
+
+
+_STRATA = "CASE WHEN ref >= 0 AND ref <= 2 THEN '[0,2]' WHEN ref > 2 AND ref <= 5 THEN '(2,5]' WHEN ref > 5 THEN '(5,inf]' END"
+
+
+@query(f"""WITH g AS (SELECT unnest([0.9E0, 1.0E0, 1.1E0]) AS facteur), p AS (SELECT facteur, LARGEUR_ROULABLE * facteur AS m, z / 10 AS ref FROM v_stations, g)
+SELECT facteur, {_STRATA} AS strate, count(*) AS n, round(avg(m - ref), 5) AS biais, round(avg(abs(m - ref)), 5) AS mae, round(sqrt(avg((m - ref) * (m - ref))), 5) AS rmse, round(median(m), 5) AS mediane_mesure, round(median(ref), 5) AS mediane_reference FROM p GROUP BY ALL""", "v_stations")
+def parameter_sweep(spark, sf):
+    grid = spark.createDataFrame([(0.9,), (1.0,), (1.1,)], "facteur double")  # parameters: a stated handful
+    rows = load(spark, sf, "v_stations")[0].crossJoin(F.broadcast(grid)).select("facteur", (F.col("LARGEUR_ROULABLE") * F.col("facteur")).alias("m"), (F.col("z") / 10).alias("ref"))
+    got = learn.errors(rows.withColumn("strate", learn.strata("ref")), "m", "ref", ("facteur", "strate"))
+    return rounded(got, 5, "biais", "mae", "rmse", "mediane_mesure", "mediane_reference")
+
+
+@query("SELECT round(median(z), 6) AS pente_mediane, round(quantile_cont(z, 0.9), 6) AS pente_p90, round(median(rugosite), 6) AS rugosite_mediane, round(quantile_cont(vesselness, 0.75) - quantile_cont(vesselness, 0.25), 6) AS slrm_iqr FROM v_cells", "v_cells")
+def terrain_facts(spark, sf):
+    got = learn.terrain_facts(load(spark, sf, "v_cells")[0], "z", "rugosite", "vesselness")
+    return rounded(got, 6, *got.columns)
+
+
+# ---------------------------------------------------------------- sources
+
+_TILES = """t AS (SELECT *, nullif(regexp_extract(regexp_extract(path, '[^/]*$', 0), '_(\\d{4})_(\\d{4})_', 1), '') AS a, nullif(regexp_extract(regexp_extract(path, '[^/]*$', 0), '_(\\d{4})_(\\d{4})_', 2), '') AS b FROM v_tiles),
+k AS (SELECT *, a || '_' || b AS cle, CAST(a AS DOUBLE) * 1000 AS xmin, CAST(b AS DOUBLE) * 1000 AS ymax FROM t)"""
+
+
+@query(f"WITH {_TILES} SELECT path, type, cle, xmin, ymax - 1000 AS ymin, xmin + 1000 AS xmax, ymax FROM k", "v_tiles")
+def parse_tiles(spark, sf):
+    return op_catalog.parse_tiles(load(spark, sf, "v_tiles")[0])
+
+
+@query(f"WITH {_TILES} SELECT cle, xmin, ymax - 1000 AS ymin, xmin + 1000 AS xmax, ymax, min(path) FILTER (WHERE type = 'laz') AS laz, min(path) FILTER (WHERE type = 'mnt') AS mnt, min(path) FILTER (WHERE type = 'mnh') AS mnh FROM k WHERE cle IS NOT NULL GROUP BY cle, xmin, ymax", "v_tiles")
+def tile_catalog(spark, sf):
+    return op_catalog.catalog(load(spark, sf, "v_tiles")[0])
+
+
+@query("SELECT count(DISTINCT c_nationkey) AS n_annees, count(DISTINCT c_mktsegment) AS n_logiciels, count(DISTINCT c_nationkey) > 1 OR count(DISTINCT c_mktsegment) > 1 AS heterogene FROM customer")
+def homogeneity(spark, sf):
+    return op_catalog.homogeneity(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_nationkey").alias("annee"), F.col("c_mktsegment").alias("logiciel")))
+
+
+@query("""WITH t AS (SELECT CAST(a.range AS DOUBLE) * 1000 AS xmin, CAST(b.range AS DOUBLE) * 1000 AS ymin FROM range(6) a, range(6) b), s AS (SELECT * FROM v_segments WHERE id % 700 = 5),
+p AS (SELECT xmin, ymin, x1 + (x2 - x1) * k / 200 AS x, y1 + (y2 - y1) * k / 200 AS y FROM t, s, (SELECT unnest(range(201)) AS k))
+SELECT DISTINCT xmin, ymin, xmin + 1000 AS xmax, ymin + 1000 AS ymax FROM p WHERE sqrt(pow(greatest(xmin - x, 0, x - xmin - 1000), 2) + pow(greatest(ymin - y, 0, y - ymin - 1000), 2)) <= 40""", "v_segments")
+def tiles_required(spark, sf):
+    t = spark.range(36).select((F.floor(F.col("id") / 6) * 1000.0).alias("xmin"), (F.col("id") % 6 * 1000.0).alias("ymin"))
+    t = t.withColumn("xmax", F.col("xmin") + 1000).withColumn("ymax", F.col("ymin") + 1000)
+    return network.tiles_required(t, load(spark, sf, "v_segments")[0].filter("id % 700 = 5"))
+
+
+@query("""WITH r AS (SELECT *, lower(regexp_extract(content, '<remark>(.*?)</remark>', 1)) AS rem FROM v_responses)
+SELECT id, CASE WHEN error IS NOT NULL AND regexp_matches(lower(error), 'timeout|timed out') THEN 'timeout' WHEN error IS NOT NULL OR status_code IS NULL THEN 'reseau' WHEN status_code = 429 THEN 'quota' WHEN status_code = 504 THEN 'timeout'
+  WHEN status_code < 200 OR status_code >= 300 THEN 'http' WHEN coalesce(strlen(content), 0) < 100 THEN 'tronque' WHEN contains(content, '<remark>') AND regexp_matches(rem, 'quota|rate limit|too many') THEN 'quota'
+  WHEN contains(content, '<remark>') AND regexp_matches(rem, 'memory|timed out|timeout|too large') THEN 'volume' WHEN contains(content, '<remark>') THEN 'remark' ELSE 'ok' END AS verdict,
+  TRY_CAST(nullif(regexp_extract(headers, '(?i)retry-after:\\s*(\\d+)', 1), '') AS INT) AS attente FROM r""", "v_responses")
+def response_verdicts(spark, sf):
+    return load(spark, sf, "v_responses")[0].select("id", acquisition.verdict().alias("verdict"), acquisition.retry_after().alias("attente"))
+
+
+@query("""WITH w AS (SELECT CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 300 AS VARCHAR) END AS osm_id, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS highway, '"a"=>"b","highway"=>"' || event_type || '"' AS tags FROM events)
+SELECT osm_id, event_id, coalesce(highway, nullif(regexp_extract(tags, '"highway"=>"([^"]*)"', 1), '')) AS highway FROM w QUALIFY osm_id IS NULL OR row_number() OVER (PARTITION BY osm_id ORDER BY event_id) = 1""")
+def distinct_ways(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    w = e.select(F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 300).cast("string")).alias("osm_id"), "event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("highway"),
+                 F.concat(F.lit('"a"=>"b","highway"=>"'), "event_type", F.lit('"')).alias("other_tags"))
+    return acquisition.distinct_ways(acquisition.normalise(w), ["event_id"]).select("osm_id", "event_id", "highway")
+
+
+@query("SELECT min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM v_stations", "v_stations")
+def extent(spark, sf):
+    return acquisition.extent(load(spark, sf, "v_stations")[0])
+
+
+@query("SELECT user_id, count(*) AS n, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS INT) <> 42) AS changes FROM events GROUP BY user_id")
+def provenance_changes(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("p", F.from_json("props", "k int"))
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("p.k") != 42).alias("changes"))
