@@ -91,8 +91,8 @@ def smooth(col: str, width: int, trace: str = "trace_id", order: str = "station"
 def long_slope(z: str = "z", chainage: str = "chainage", trace: str = "trace_id") -> Column:
     """Mean of the gradients before and after a station; at an end the one there is."""
     w = along(trace)
-    after = (F.lead(z).over(w) - F.col(z)) / (F.lead(chainage).over(w) - F.col(chainage))
-    before = (F.col(z) - F.lag(z).over(w)) / (F.col(chainage) - F.lag(chainage).over(w))
+    after = F.try_divide(F.lead(z).over(w) - F.col(z), F.lead(chainage).over(w) - F.col(chainage))
+    before = F.try_divide(F.col(z) - F.lag(z).over(w), F.col(chainage) - F.lag(chainage).over(w))
     return F.when(after.isNull(), before).when(before.isNull(), after).otherwise((after + before) / 2)
 
 
@@ -125,10 +125,10 @@ def fitted_radius(stations: DataFrame, base: float = 30.0, trace: str = "trace_i
     cuu, cvv, cuv = g("uu") - g("u") * g("u") / n, g("vv") - g("v") * g("v") / n, g("uv") - g("u") * g("v") / n
     cuq, cvq = g("uq") - g("u") * g("q") / n, g("vq") - g("v") * g("q") / n
     det = cuu * cvv - cuv * cuv
-    a, b = (cuq * cvv - cvq * cuv) / det / 2, (cvq * cuu - cuq * cuv) / det / 2
+    a, b = F.try_divide(cuq * cvv - cvq * cuv, 2 * det), F.try_divide(cvq * cuu - cuq * cuv, 2 * det)
     c0 = (g("q") - 2 * a * g("u") - 2 * b * g("v")) / n
     r = F.sqrt(c0 + a * a + b * b)
-    fine = (n >= 4) & (F.abs(det) > 1e-9 * F.greatest(cuu * cvv, F.lit(1e-9))) & (c0 + a * a + b * b > 0)
+    fine = (n >= 4) & a.isNotNull() & (F.abs(det) > 1e-9 * F.greatest(cuu * cvv, F.lit(1e-9))) & (c0 + a * a + b * b > 0)
     return s.withColumn(out, F.when(fine, r).otherwise(float("inf"))).drop("__u", "__v", "__q", *[f"__s{k}" for k in terms])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions import geometry as geo
+from timberline.operators import agent, curves, earthworks, measure, pathfind, skeleton
 from timberline.operators import cells as op_cells
 from timberline.operators import classify as op_classify
 from timberline.operators import learn, network, norms, pointcloud, stations, stencils
@@ -570,3 +571,108 @@ def extent(spark, sf):
 def provenance_changes(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("p", F.from_json("props", "k int"))
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("p.k") != 42).alias("changes"))
+
+
+# ---------------------------------------------------------------- kernels in groups (no SQL; tests hold them against known answers)
+
+
+def _scene(spark, sf) -> DataFrame:
+    """Cells with centres, and a conductivity that has a road along row 30 and one along column 40."""
+    c = load(spark, sf, "v_cells")[0].withColumn("x", F.col("col") + 0.5).withColumn("y", 64 - (F.col("row") + 0.5))
+    road = (F.abs(F.col("row") - 30) <= 1) | (F.abs(F.col("col") - 40) <= 1)
+    return c.withColumn("sigma", F.when(road, 0.7 + 0.3 * F.col("vesselness")).otherwise(0.05 + 0.2 * F.col("vesselness")))
+
+
+def _traces(spark) -> DataFrame:
+    rows = [(1, [(4.0, 33.0), (58.0, 31.0)]), (2, [(40.0, 4.0), (41.0, 30.0), (38.0, 60.0)])]
+    return spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in g]) for i, g in rows], "trace_id long, geom array<struct<x:double,y:double>>")
+
+
+@query()
+def cross_profiles(spark, sf):
+    st = measure.densify(_traces(spark), 4.0)
+    return measure.cross_profiles(st, _scene(spark, sf), GRID, half=3.0)
+
+
+@query()
+def measured_stations(spark, sf):
+    st = measure.densify(_traces(spark), 2.0)
+    return rounded(measure.measure(measure.cross_profiles(st, _scene(spark, sf), GRID, half=4.0), 4.0, tol=3.0), 5, "LARGEUR_ROULABLE", "PENTE_LONG")
+
+
+@query()
+def measured_summary(spark, sf):
+    return measure.measure_summary(measured_stations(spark, sf))
+
+
+@query()
+def lateral_clearance(spark, sf):
+    st = measure.densify(_traces(spark), 2.0)
+    p = measure.cross_profiles(st, _scene(spark, sf).withColumn("h", F.when(F.col("sigma") > 0.5, 0.0).otherwise(10.0)), GRID, "h", half=4.0)
+    return measure.lateral_clearance(p, p.select("trace_id", "station", F.lit(4.0).alias("LARGEUR_ROULABLE")), half=4.0)
+
+
+@query()
+def mineral_width(spark, sf):
+    st = measure.densify(_traces(spark), 2.0)
+    p = measure.cross_profiles(st, _scene(spark, sf), GRID, "sigma", half=4.0, step=0.5)
+    return measure.mineral_width(p, 0.5, half=4.0, step=0.5)
+
+
+@query()
+def earthwork_volumes(spark, sf):
+    st = measure.densify(_traces(spark), 4.0)
+    p = measure.cross_profiles(st, _scene(spark, sf).withColumn("z", F.col("z") / 30 + 0.3 * F.col("y")), GRID, half=7.0, step=0.25)
+    return earthworks.earthworks_summary(earthworks.earthworks(p, 3.0, 7.0, 0.25, rock=10.0))
+
+
+@query()
+def platform_share(spark, sf):
+    st = measure.densify(_traces(spark), 4.0)
+    return earthworks.platform_share(measure.cross_profiles(st, _scene(spark, sf), GRID, half=5.0, step=0.5), 4.0, 5.0, 0.5)
+
+
+@query()
+def repositioned(spark, sf):
+    seg = spark.createDataFrame([(1, 4.0, 36.0, 58.0, 36.0), (2, 36.0, 4.0, 36.0, 60.0)], "id long, x1 double, y1 double, x2 double, y2 double")
+    return pathfind.reposition(seg, _scene(spark, sf), GRID).select("id", "RECALE", r("DEPLACEMENT_MAX").alias("DEPLACEMENT_MAX"), r("DEPLACEMENT_MOY").alias("DEPLACEMENT_MOY"), F.size("geom").alias("n"))
+
+
+@query()
+def skeleton_lines(spark, sf):
+    return skeleton.skeleton_lines(_scene(spark, sf).filter("sigma > 0.5"), GRID).select("id", F.size("geom").alias("n"), r(geo.line_length("geom")).alias("longueur"))
+
+
+@query()
+def straight_lines(spark, sf):
+    return skeleton.straight_lines(_scene(spark, sf).filter("sigma > 0.5 and col < 38"), GRID, 10.0).select("id", F.size("geom").alias("n"))
+
+
+@query()
+def smoothed_lines(spark, sf):
+    lines = skeleton.skeleton_lines(_scene(spark, sf).filter("sigma > 0.5"), GRID)
+    return curves.finalise(curves.smooth_lines(lines), 0.5, 5.0).select("id", r("longueur").alias("longueur"), F.size("geom").alias("n"))
+
+
+@query()
+def agent_seeds(spark, sf):
+    return agent.seeds(_scene(spark, sf).withColumn("p", F.col("sigma")), GRID, size=5.0)
+
+
+@query()
+def agent_lines(spark, sf):
+    got = agent.vectorise(_scene(spark, sf).withColumn("p", F.col("sigma")), GRID, length_min=10.0, rounds=2, tile=64, halo=16, reach=12.0, buffer=3.0)
+    return got.select("round", "why", F.size("geom").alias("n"), r(geo.line_length("geom")).alias("longueur"))
+
+
+@query()
+def vessels(spark, sf):
+    return rounded(stencils.vesselness(_scene(spark, sf).select("row", "col", "z"), GRID, (1, 2), tile=32), 6, "vesselness", "theta")
+
+
+@query()
+def learned_conductivity(spark, sf):
+    c = _scene(spark, sf)
+    pos = spark.createDataFrame([(0.0, 33.5, 64.0, 33.5), (40.5, 0.0, 40.5, 64.0)], "x1 double, y1 double, x2 double, y2 double")
+    sample = learn.sample_cells(c, pos, ["sigma", "rugosite"], 1.2, 6.0, n_max=600)
+    return learn.predict_conductivity(c, learn.learn_conductivity(sample, ["sigma", "rugosite"]), out="p").select("row", "col", r("p").alias("p"))
