@@ -98,17 +98,18 @@ def on_tiles(cells: DataFrame, grid: dict, halo: int, kernel: Callable[[dict[str
         r1, c1 = min(r0 + tile, nrow), min(c0 + tile, ncol)
         a0, b0, a1, b1 = max(r0 - halo, 0), max(c0 - halo, 0), min(r1 + halo, nrow), min(c1 + halo, ncol)
         rows, cols = pdf["row"].to_numpy() - a0, pdf["col"].to_numpy() - b0
-        arrays = {}
+        arrays, given = {}, np.zeros((a1 - a0, b1 - b0), bool)
+        given[rows, cols] = True
         for b in bands:
             a = np.full((a1 - a0, b1 - b0), np.nan)
             a[rows, cols] = pdf[b].to_numpy(dtype=float)
             arrays[b] = a
         got = kernel(arrays, {"top": r0 - a0, "left": c0 - b0, "bottom": a1 - r1, "right": b1 - c1})
         inner = (slice(r0 - a0, r1 - a0), slice(c0 - b0, c1 - b0))
-        rr, cc = np.meshgrid(np.arange(r0, r1), np.arange(c0, c1), indexing="ij")
-        out = pd.DataFrame({"row": rr.ravel().astype(np.int32), "col": cc.ravel().astype(np.int32)})
+        rr, cc = np.nonzero(given[inner])
+        out = pd.DataFrame({"row": (rr + r0).astype(np.int32), "col": (cc + c0).astype(np.int32)})
         for o in outputs:
-            out[o] = got[o][inner].ravel()
+            out[o] = got[o][inner][rr, cc]
         return out
 
     done = sent.groupBy("tr", "tc").applyInPandas(run, schema)

@@ -275,7 +275,7 @@ def _sky_sql(radius: int, directions: int = 8) -> str:
     rows = [f"({d}, {a}, {b}, {dist!r}E0)" for d, s in enumerate(stencils.horizon_shifts(directions, radius)) for a, b, dist in s]
     reflect = lambda v: f"CASE WHEN {v} < 0 THEN -({v}) WHEN {v} > 63 THEN 126 - ({v}) ELSE {v} END"
     return f"""WITH sh(d, dr, dc, dist) AS (VALUES {', '.join(rows)}), p AS (SELECT c.row, c.col, c.z, d, dist, {reflect('c.row + dr')} AS nr, {reflect('c.col + dc')} AS nc FROM v_cells c, sh),
-m AS (SELECT p.row, p.col, d, atan(max((n.z - p.z) / dist)) AS up, atan(max((p.z - n.z) / dist)) AS down FROM p JOIN v_cells n ON n.row = nr AND n.col = nc GROUP BY p.row, p.col, d)
+m AS (SELECT p.row, p.col, d, atan(coalesce(max((n.z - p.z) / dist), -1000)) AS up, atan(coalesce(max((p.z - n.z) / dist), -1000)) AS down FROM p LEFT JOIN v_cells n ON n.row = nr AND n.col = nc GROUP BY p.row, p.col, d)
 SELECT row, col, round(avg(1 - sin(greatest(up, 0))), 5) AS svf, round(degrees(pi() / 2 - avg(up)), 5) AS openness_pos, round(degrees(pi() / 2 - avg(down)), 5) AS openness_neg FROM m GROUP BY row, col"""
 
 
@@ -479,7 +479,7 @@ def auc(spark, sf):
 
 @query("""WITH l AS (SELECT massif, 'score' AS canal, score AS v, y FROM v_scores UNION ALL SELECT massif, 'size', size, y FROM v_scores), p AS (SELECT a.massif, a.canal, avg(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0 END) AS auc FROM l a JOIN l b ON a.massif = b.massif AND a.canal = b.canal AND a.y = 1 AND b.y = 0 GROUP BY ALL),
 f AS (SELECT massif, canal, count(*) FILTER (WHERE y = 1) AS n_pres, count(*) FILTER (WHERE y = 0) AS n_abs, quantile_cont(v, 0.25) FILTER (WHERE y = 1) AS q25_pres, quantile_cont(v, 0.75) FILTER (WHERE y = 1) AS q75_pres, quantile_cont(v, 0.5) FILTER (WHERE y = 0) AS q50_abs FROM l GROUP BY ALL)
-SELECT massif, canal, n_pres, n_abs, q25_pres, q75_pres, q50_abs, CASE WHEN n_pres >= 5 AND n_abs >= 5 THEN round(greatest(auc, 1 - auc), 6) END AS auc, CASE WHEN n_pres >= 5 AND n_abs >= 5 THEN CASE WHEN auc >= 0.5 THEN 1 ELSE -1 END END AS sens FROM f JOIN p USING (massif, canal)""", "v_scores")
+SELECT massif, canal, n_pres, n_abs, q25_pres, q75_pres, q50_abs, CASE WHEN n_pres >= 5 AND n_abs >= 5 THEN round(greatest(auc, 1 - auc), 6) END AS auc, CASE WHEN n_pres >= 5 AND n_abs >= 5 THEN CASE WHEN auc >= 0.5 THEN 1 ELSE -1 END END AS sens FROM f LEFT JOIN p USING (massif, canal)""", "v_scores")
 def channel_areas(spark, sf):
     rows = load(spark, sf, "v_scores")[0].withColumnRenamed("y", "presence")
     return rounded(learn.channel_areas(rows, ["score", "size"], n_min=5), 6, "auc")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,17 +75,15 @@ _HEADER = "path string, version string, annee int, jour int, logiciel string, n_
 
 def read_headers(files: DataFrame) -> DataFrame:
     """Header of each LAS file (``path, content``); unreadable ones keep a row of nulls."""
-    names = [f.split()[0] for f in _HEADER.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (f.split() for f in _HEADER.split(", "))])
 
-    def run(frames):
-        for pdf in frames:
-            rows = [{"path": p, **(las_header(bytes(b) if b is not None else None) or {})} for p, b in zip(pdf["path"], pdf["content"])]
-            out = pd.DataFrame(rows, columns=names)
-            for k in ("annee", "jour", "n_points"):
-                out[k] = out[k].astype("Int64")
-            yield out
+    def run(batches):
+        for batch in batches:
+            rows = [{"path": p, **(las_header(b) or {})} for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("path", "content").mapInPandas(run, _HEADER)
+    return files.select("path", "content").mapInArrow(run, _HEADER)
 
 
 def homogeneity(headers: DataFrame) -> DataFrame:
