@@ -13,6 +13,7 @@ from timberline.operators import cells as op_cells
 from timberline.operators import classify as op_classify
 from timberline.operators import learn, network, norms, pointcloud, stations, stencils
 from timberline.operators.cells import Rule
+from timberline.plans import chains
 from timberline.plans.views import load, with_views
 from timberline.sources import acquisition
 from timberline.sources import catalog as op_catalog
@@ -676,3 +677,69 @@ def learned_conductivity(spark, sf):
     pos = spark.createDataFrame([(0.0, 33.5, 64.0, 33.5), (40.5, 0.0, 40.5, 64.0)], "x1 double, y1 double, x2 double, y2 double")
     sample = learn.sample_cells(c, pos, ["sigma", "rugosite"], 1.2, 6.0, n_max=600)
     return learn.predict_conductivity(c, learn.learn_conductivity(sample, ["sigma", "rugosite"]), out="p").select("row", "col", r("p").alias("p"))
+
+
+# ---------------------------------------------------------------- chains
+
+
+@query("""WITH c AS (SELECT z, CASE WHEN row % 3 = 0 THEN 1 ELSE 0 END AS presence FROM v_cells), p AS (SELECT avg(CASE WHEN a.z > b.z THEN 1.0 WHEN a.z = b.z THEN 0.5 ELSE 0 END) AS auc FROM c a JOIN c b ON a.presence = 1 AND b.presence = 0)
+SELECT round((SELECT median(z) FROM c WHERE presence = 1) - (SELECT median(z) FROM c WHERE presence = 0), 6) AS contraste, round(auc, 6) AS auc FROM p""", "v_cells")
+def road_contrast(spark, sf):
+    c = load(spark, sf, "v_cells")[0].withColumn("presence", F.when(F.col("row") % 3 == 0, 1).otherwise(0))
+    return rounded(chains.contrast(c, "z"), 6, "contraste", "auc")
+
+
+@query("""WITH k AS (SELECT floor(densite_sousetage / 2) AS k, count(*) AS n FROM v_cells GROUP BY ALL), t AS (SELECT k AS top FROM k ORDER BY n DESC, k LIMIT 1)
+SELECT round(100 * avg(CASE WHEN abs(densite_sousetage - (top + 0.5) * 2) < 2 THEN 1.0 ELSE 0 END), 6) AS pourcentage FROM v_cells, t""", "v_cells")
+def mode_mass(spark, sf):
+    return chains.mode_mass(load(spark, sf, "v_cells")[0], "densite_sousetage", 2.0)
+
+
+def _along(name: str, lines: str, targets: str) -> str:
+    return f"""{name}p AS (SELECT id, k, x1+(x2-x1)*k/(n-1) AS x, y1+(y2-y1)*k/(n-1) AS y FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, greatest(2, CAST(ceil(s/2) AS INT)) AS n FROM (SELECT *, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) AS s FROM {lines}) WHERE s > 2))),
+{name}d AS (SELECT p.id, k, min(d) FILTER (WHERE d <= 105) AS d FROM {name}p p LEFT JOIN LATERAL (SELECT {_DIST} AS d FROM (SELECT x1, y1, x2, y2, p.x AS x, p.y AS y, greatest(0, least(1, ((p.x-x1)*(x2-x1)+(p.y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM {targets} WHERE abs(x1 - p.x) <= 150 AND abs(y1 - p.y) <= 150)) ON TRUE GROUP BY p.id, k)"""
+
+
+@query(f"""WITH f AS (SELECT * FROM v_segments WHERE id % 40 = 1), g AS (SELECT * FROM v_segments WHERE id % 20 = 0), {_along('a', 'g', 'f')}, {_along('b', 'f', 'g')},
+r AS (SELECT avg(CASE WHEN d <= 10.5 THEN 1.0 ELSE 0 END) AS rappel FROM ad), p AS (SELECT avg(CASE WHEN d <= 10.5 THEN 1.0 ELSE 0 END) AS precision, median(d) AS ecart_median FROM bd)
+SELECT round(rappel, 6) AS rappel, round(precision, 6) AS precision, round(ecart_median, 5) AS ecart_median, round(2 * rappel * precision / nullif(rappel + precision, 0), 6) AS f1 FROM r, p""", "v_segments")
+def detection_scores(spark, sf):
+    seg = load(spark, sf, "v_segments")[0].select("id", "x1", "y1", "x2", "y2")
+    got = chains.evaluate(seg.filter("id % 40 = 1"), seg.filter("id % 20 = 0"), 10.5)
+    return rounded(rounded(got, 6, "rappel", "precision", "f1"), 5, "ecart_median")
+
+
+@query()
+def state_of_traces(spark, sf):
+    c = _scene(spark, sf)
+    _, runs, _ = chains.state_of_traces(_traces(spark), c.select("row", "col", F.col("sigma").alias("sigma_geo")), c.select("row", "col", F.col("taux_penetration").alias("sigma_surf")), GRID)
+    return runs.select("trace_id", "etat", "debut", "fin", "longueur")
+
+
+@query()
+def width_calibration(spark, sf):
+    ref = spark.createDataFrame([(4.0, 33.0, 58.0, 31.0, 3.0), (40.0, 4.0, 38.0, 60.0, 4.0)], "x1 double, y1 double, x2 double, y2 double, largeur double")
+    return rounded(chains.calibrate_width(_traces(spark), _scene(spark, sf), GRID, ref, [("planeite", 1.0), ("gradient", 1.0)], half=4.0), 5, "biais", "mae", "rmse", "mediane_mesure")
+
+
+@query()
+def detected_roads(spark, sf):
+    c = _scene(spark, sf).select("row", "col", "x", "y", F.col("sigma").alias("sigma_geo"), F.col("sigma").alias("sigma_surf"), F.greatest("sigma", F.lit(0.3)).alias("vesselness"))
+    return chains.detect(c, GRID, level=0.5, method="squelette", length_min=8.0).select("id", r("longueur").alias("longueur"))
+
+
+@query()
+def line_criteria(spark, sf):
+    seg, st = load(spark, sf, "v_segments", "v_stations")
+    e = seg.filter("id % 5 = 0").select("id", "x1", "y1", "x2", "y2")
+    got = chains.criteria(e, st.withColumnRenamed("trace_id", "id"), reference=seg.filter("id % 4 = 1").select("x1", "y1", "x2", "y2"))
+    return op_classify.classify(got).select("id", "CLASSE", "CLASSE_MOTIF", "OSM_TAGS")
+
+
+@query()
+def external_channels(spark, sf):
+    c = load(spark, sf, "v_cells")[0]
+    coarse = {"xmin": 0.0, "ymin": 0.0, "xmax": 64.0, "ymax": 64.0, "res": 4.0, "nrow": 16, "ncol": 16}
+    low = c.groupBy(F.floor(F.col("row") / 4).cast("int").alias("row"), F.floor(F.col("col") / 4).cast("int").alias("col")).agg(F.min("vesselness").alias("v"))
+    same = c.select("row", "col", F.col("z").alias("v"))
+    return chains.external_channels({"rugosite": (same, GRID), "vesselness": (low, coarse)}, GRID, spark).select("row", "col", r("rugosite").alias("rugosite"), r("vesselness", 6).alias("vesselness"))
