@@ -26,6 +26,15 @@ def point_segment_distance(px, py, x1, y1, x2, y2) -> Column:
     return F.sqrt(ex * ex + ey * ey)
 
 
+def segment_distance(x1, y1, x2, y2, u1, v1, u2, v2) -> Column:
+    """Distance of two segments; zero where they cross."""
+    ends = [(u1, v1, x1, y1, x2, y2), (u2, v2, x1, y1, x2, y2), (x1, y1, u1, v1, u2, v2), (x2, y2, u1, v1, u2, v2)]
+    side = lambda ax, ay, bx, by, px, py: (c(bx) - c(ax)) * (c(py) - c(ay)) - (c(by) - c(ay)) * (c(px) - c(ax))
+    apart = lambda a, b: ((a > 0) & (b < 0)) | ((a < 0) & (b > 0))
+    cross = apart(side(x1, y1, x2, y2, u1, v1), side(x1, y1, x2, y2, u2, v2)) & apart(side(u1, v1, u2, v2, x1, y1), side(u1, v1, u2, v2, x2, y2))
+    return F.when(cross, 0.0).otherwise(F.least(*[point_segment_distance(*e) for e in ends]))
+
+
 def circumradius(x1, y1, x2, y2, x3, y3, flat: float = 1e-9) -> Column:
     """Radius of the circle through three points; infinite where their triangle has no area."""
     a, b, d = distance(x1, y1, x2, y2), distance(x2, y2, x3, y3), distance(x1, y1, x3, y3)

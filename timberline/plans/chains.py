@@ -109,7 +109,7 @@ def detect(cells: DataFrame, grid: dict, reference: DataFrame | None = None, lev
 
 
 def criteria(edges: DataFrame, measured: DataFrame | None = None, mineral: DataFrame | None = None, reference: DataFrame | None = None, parcels: DataFrame | None = None,
-             crest: DataFrame | None = None, tol: float = 5.0, share: float = 0.6, id_col: str = "id") -> DataFrame:
+             crest: DataFrame | None = None, tol: float = 5.0, share: float = 0.6, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
     """Three-valued criteria of each line, unknown where their source is missing.
 
     ``measured``: stations with ``id, FOSSES, LARGEUR_ROULABLE``; ``mineral``:
@@ -118,7 +118,7 @@ def criteria(edges: DataFrame, measured: DataFrame | None = None, mineral: DataF
     """
     out = edges
     if "PEIGNE" not in out.columns:
-        out = network.combs(out, id_col=id_col)
+        out = network.combs(out, id_col=id_col, by=by)
     out = out.withColumn("peigne", F.col("PEIGNE").isNotNull())
     if "connecte_public" in out.columns:
         out = out.withColumn("connecte", F.col("connecte_public"))

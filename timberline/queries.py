@@ -220,13 +220,13 @@ def bound_saturation(spark, sf):
     return rounded(op_cells.saturation(m), 6, "share_low", "share_high")
 
 
-@query("""WITH g AS (SELECT row, col, rugosite AS sigma_geo FROM v_cells WHERE row % 5 > 0), s AS (SELECT row, col, taux_penetration AS sigma_surf FROM v_cells WHERE col % 7 > 0),
+@query("""WITH g AS (SELECT row, col, rugosite AS sigma_geo FROM v_cells), s AS (SELECT row, col, taux_penetration AS sigma_surf FROM v_cells),
 e AS (SELECT *, sigma_geo - sigma_surf AS divergence, """ + _STATE + """ AS etat FROM g JOIN s USING (row, col))
 SELECT row, col, round(divergence, 6) AS divergence, etat, """ + _LABEL + """ AS etat_label FROM e""", "v_cells")
 def state_map(spark, sf):
     c = load(spark, sf, "v_cells")[0]
-    a = c.filter("row % 5 > 0").select("row", "col", F.col("rugosite").alias("sigma_geo"))
-    b = c.filter("col % 7 > 0").select("row", "col", F.col("taux_penetration").alias("sigma_surf"))
+    a = c.select("row", "col", F.col("rugosite").alias("sigma_geo"))
+    b = c.select("row", "col", F.col("taux_penetration").alias("sigma_surf"))
     return op_cells.state_map(a, b).select("row", "col", r("divergence", 6).alias("divergence"), "etat", "etat_label")
 
 
@@ -378,49 +378,45 @@ def plain_labels(spark, sf):
 # ---------------------------------------------------------------- network
 
 
-_PARTS = """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 600 AS a, o_orderkey * 7 % 600 AS b FROM orders WHERE o_orderkey % 30 = 0),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(n, m) AS (SELECT a, a FROM u UNION SELECT r.n, u.b FROM reach r JOIN u ON u.a = r.m)
-SELECT n AS node, min(m) AS component FROM reach GROUP BY n"""
-
-
-@query(_PARTS)
+@query("""WITH RECURSIVE up AS (SELECT o_orderkey AS node, o_orderkey AS top FROM orders UNION ALL SELECT node, top // 2 FROM up WHERE top % 8 <> 0)
+SELECT node, min(top) AS component FROM up GROUP BY node""")
 def components(spark, sf):
     from timberline.plans.components import connected_components
 
-    o = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 30 = 0")
-    return connected_components(o.select((F.col("o_custkey") % 600).alias("src"), (F.col("o_orderkey") * 7 % 600).alias("dst")))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
+    up = F.when(F.col("o_orderkey") % 8 == 0, F.col("o_orderkey")).otherwise(F.floor(F.col("o_orderkey") / 2))
+    return connected_components(o.select(F.col("o_orderkey").alias("src"), up.alias("dst")))
 
 
-_SEG = "s AS (SELECT * FROM v_segments WHERE id % 4 = 0)"
+_NEAR = """b AS (SELECT id, x1, y1, x2, y2, floor(x1 / 200) + dx AS sqx, floor(y1 / 200) + dy AS sqy FROM (SELECT * FROM {0}), (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy))"""  # squares wider than reach and length together
 _DIST = "sqrt((x-(x1+t*(x2-x1)))*(x-(x1+t*(x2-x1)))+(y-(y1+t*(y2-y1)))*(y-(y1+t*(y2-y1))))"
 
 
-@query(f"""WITH p AS (SELECT trace_id AS pid, station, x * 20 AS x, y * 200 AS y FROM v_stations), {_SEG},
-d AS (SELECT pid, station, id, {_DIST} AS d FROM (SELECT *, greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM p JOIN s ON abs(x - x1) <= 90 AND abs(y - y1) <= 90))
+@query(f"""WITH p AS (SELECT trace_id AS pid, station, x * 20 AS x, y * 200 AS y FROM v_stations), {_NEAR.format('v_segments')},
+d AS (SELECT pid, station, id, {_DIST} AS d FROM (SELECT *, greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM p JOIN b ON floor(x / 200) = sqx AND floor(y / 200) = sqy))
 SELECT pid, station, round(min(d), 5) AS d, arg_min(id, struct_pack(a := d, b := id)) AS id FROM d WHERE d <= 20 GROUP BY pid, station""", "v_stations", "v_segments")
 def nearest_segment(spark, sf):
     st, seg = load(spark, sf, "v_stations", "v_segments")
     pts = st.select(F.col("trace_id").alias("pid"), "station", (F.col("x") * 20).alias("x"), (F.col("y") * 200).alias("y"))
-    got = network.nearest_feature(pts, seg.filter("id % 4 = 0").select("id", "x1", "y1", "x2", "y2"), 20.0, ["id"])
+    got = network.nearest_feature(pts, seg.select("id", "x1", "y1", "x2", "y2"), 20.0, ["id"])
     return got.select("pid", "station", r("d", 5).alias("d"), "id")
 
 
-@query("""WITH s AS (SELECT id, x1, y1, x2, y2, greatest(2, CAST(ceil(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))/5) AS INT)) AS n FROM v_segments WHERE id % 8 = 1),
-p AS (SELECT id, k, x1+(x2-x1)*k/(n-1) AS x, y1+(y2-y1)*k/(n-1) AS y FROM (SELECT *, unnest(range(n)) AS k FROM s)), q AS (SELECT x1, y1, x2, y2 FROM v_segments WHERE id % 4 = 0),
-d AS (SELECT id, k, min(sqrt((x-(x1+t*(x2-x1)))*(x-(x1+t*(x2-x1)))+(y-(y1+t*(y2-y1)))*(y-(y1+t*(y2-y1))))) AS d FROM (SELECT *, greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM p LEFT JOIN q ON abs(x - x1) <= 90 AND abs(y - y1) <= 90) GROUP BY id, k)
+@query(f"""WITH s AS (SELECT id, x1, y1, x2, y2, greatest(2, CAST(ceil(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))/5) AS INT)) AS n FROM v_segments),
+p AS (SELECT id, k, x1+(x2-x1)*k/(n-1) AS x, y1+(y2-y1)*k/(n-1) AS y FROM (SELECT *, unnest(range(n)) AS k FROM s)), {_NEAR.format("v_segments WHERE cl_admin = 'Départementale'")},
+d AS (SELECT id, k, min({_DIST}) AS d FROM (SELECT p.id, k, x, y, x1, y1, x2, y2, greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM p LEFT JOIN b ON floor(x / 200) = sqx AND floor(y / 200) = sqy) GROUP BY id, k)
 SELECT id, round(avg(CASE WHEN d <= 10.5 THEN 1.0 ELSE 0 END), 6) AS part FROM d GROUP BY id""", "v_segments")
 def share_along(spark, sf):
-    seg = load(spark, sf, "v_segments")[0].select("id", "x1", "y1", "x2", "y2")
-    return rounded(network.share_along(seg.filter("id % 8 = 1"), seg.filter("id % 4 = 0").drop("id"), 10.5), 6, "part")
+    seg = load(spark, sf, "v_segments")[0].select("id", "x1", "y1", "x2", "y2", "cl_admin")
+    return rounded(network.share_along(seg.drop("cl_admin"), seg.filter("cl_admin = 'Départementale'").select("x1", "y1", "x2", "y2"), 10.5), 6, "part")
 
 
-@query("""WITH RECURSIVE e AS (SELECT 2*id AS pid, x1 AS x, y1 AS y FROM v_segments WHERE id % 25 = 3 UNION ALL SELECT 2*id+1, x2, y2 FROM v_segments WHERE id % 25 = 3),
-n AS (SELECT a.pid AS a, b.pid AS b FROM e a JOIN e b ON sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 40), reach(p, q) AS (SELECT a, a FROM n UNION SELECT r.p, n.b FROM reach r JOIN n ON n.a = r.q),
+@query("""WITH e AS (SELECT 2*id AS pid, x1 AS x, y1 AS y FROM v_segments UNION ALL SELECT 2*id+1, x2, y2 FROM v_segments),
+n AS (SELECT a.pid AS a, b.pid AS b FROM e a JOIN e b ON a.x BETWEEN b.x - 3 AND b.x + 3 AND a.y BETWEEN b.y - 3 AND b.y + 3 AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 3), reach(p, q) AS (SELECT a, a FROM n UNION SELECT r.p, n.b FROM reach r JOIN n ON n.a = r.q),
 c AS (SELECT p AS pid, min(q) AS cl FROM reach GROUP BY p), m AS (SELECT cl, avg(x) AS cx, avg(y) AS cy FROM c JOIN e USING (pid) GROUP BY cl), z AS (SELECT pid, cx, cy FROM c JOIN m USING (cl))
-SELECT s.id, round(a.cx, 4) AS x1, round(a.cy, 4) AS y1, round(b.cx, 4) AS x2, round(b.cy, 4) AS y2 FROM v_segments s JOIN z a ON a.pid = 2*s.id JOIN z b ON b.pid = 2*s.id+1""".replace("WITH RECURSIVE", "WITH"), "v_segments")
+SELECT s.id, round(a.cx, 4) AS x1, round(a.cy, 4) AS y1, round(b.cx, 4) AS x2, round(b.cy, 4) AS y2 FROM v_segments s JOIN z a ON a.pid = 2*s.id JOIN z b ON b.pid = 2*s.id+1""", "v_segments")
 def snap_nodes(spark, sf):
-    seg = load(spark, sf, "v_segments")[0].filter("id % 25 = 3").select("id", "x1", "y1", "x2", "y2")
-    return rounded(network.snap_nodes(seg, 40.0), 4, "x1", "y1", "x2", "y2")
+    return rounded(network.snap_nodes(load(spark, sf, "v_segments")[0].select("id", "x1", "y1", "x2", "y2"), 3.0), 4, "x1", "y1", "x2", "y2")
 
 
 ORACLE_SQL["snap_nodes"] = ORACLE_SQL["snap_nodes"].replace("WITH ", "WITH RECURSIVE ", 1)
@@ -428,20 +424,21 @@ ORACLE_SQL["snap_nodes"] = ORACLE_SQL["snap_nodes"].replace("WITH ", "WITH RECUR
 
 @query()
 def network_edges(spark, sf):
-    seg = load(spark, sf, "v_segments")[0].filter("id % 25 = 3").select("id", "x1", "y1", "x2", "y2")
-    pub = load(spark, sf, "v_segments")[0].filter("id % 500 = 0").select("x1", "y1", "x2", "y2")
-    edges, nodes = network.network(network.snap_nodes(seg, 40.0), pub, 20.0)
+    seg = load(spark, sf, "v_segments")[0].select("id", "x1", "y1", "x2", "y2", "cl_admin")
+    public = seg.filter("cl_admin = 'Nationale'").select("x1", "y1", "x2", "y2")
+    edges, nodes = network.network(network.snap_nodes(seg.drop("cl_admin"), 3.0), public, 5.0)
     return rounded(network.network_summary(edges, nodes), 3, "longueur_deconnectee")
 
 
 @query()
 def dedupe_parallels(spark, sf):
-    return network.dedupe_parallels(load(spark, sf, "v_segments")[0].filter("id % 5 = 0").select("id", "x1", "y1", "x2", "y2"), 6.0)
+    return network.dedupe_parallels(load(spark, sf, "v_segments")[0].select("id", "x1", "y1", "x2", "y2"), 6.0)
 
 
 @query()
 def parallel_combs(spark, sf):
-    return network.combs(load(spark, sf, "v_segments")[0].filter("id % 5 = 0").select("id", "x1", "y1", "x2", "y2"), 2.0)
+    s = load(spark, sf, "v_segments")[0].select("id", "x1", "y1", "x2", "y2")
+    return network.combs(s.withColumn("bx", F.floor(F.col("x1") / 500)).withColumn("by", F.floor(F.col("y1") / 500)), 2.0, by=("bx", "by"))
 
 
 @query("""SELECT id, round(((degrees(atan2(y2 - y1, x2 - x1)) % 180) + 180) % 180, 6) AS cap, round(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)), 6) AS longueur FROM v_segments""", "v_segments")
@@ -536,13 +533,12 @@ def homogeneity(spark, sf):
     return op_catalog.homogeneity(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_nationkey").alias("annee"), F.col("c_mktsegment").alias("logiciel")))
 
 
-@query("""WITH t AS (SELECT CAST(a.range AS DOUBLE) * 1000 AS xmin, CAST(b.range AS DOUBLE) * 1000 AS ymin FROM range(6) a, range(6) b), s AS (SELECT * FROM v_segments WHERE id % 700 = 5),
-p AS (SELECT xmin, ymin, x1 + (x2 - x1) * k / 200 AS x, y1 + (y2 - y1) * k / 200 AS y FROM t, s, (SELECT unnest(range(201)) AS k))
+@query("""WITH t AS (SELECT CAST(a.range AS DOUBLE) * 1000 AS xmin, CAST(b.range AS DOUBLE) * 1000 AS ymin FROM range(6) a, range(6) b), p AS (SELECT xmin, ymin, x1 + (x2 - x1) * k / 10 AS x, y1 + (y2 - y1) * k / 10 AS y FROM t, v_segments, (SELECT unnest(range(11)) AS k))
 SELECT DISTINCT xmin, ymin, xmin + 1000 AS xmax, ymin + 1000 AS ymax FROM p WHERE sqrt(pow(greatest(xmin - x, 0, x - xmin - 1000), 2) + pow(greatest(ymin - y, 0, y - ymin - 1000), 2)) <= 40""", "v_segments")
 def tiles_required(spark, sf):
     t = spark.range(36).select((F.floor(F.col("id") / 6) * 1000.0).alias("xmin"), (F.col("id") % 6 * 1000.0).alias("ymin"))
     t = t.withColumn("xmax", F.col("xmin") + 1000).withColumn("ymax", F.col("ymin") + 1000)
-    return network.tiles_required(t, load(spark, sf, "v_segments")[0].filter("id % 700 = 5"))
+    return network.tiles_required(t, load(spark, sf, "v_segments")[0])
 
 
 @query("""WITH r AS (SELECT *, lower(regexp_extract(content, '<remark>(.*?)</remark>', 1)) AS rem FROM v_responses)
@@ -697,15 +693,16 @@ def mode_mass(spark, sf):
 
 def _along(name: str, lines: str, targets: str) -> str:
     return f"""{name}p AS (SELECT id, k, x1+(x2-x1)*k/(n-1) AS x, y1+(y2-y1)*k/(n-1) AS y FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, greatest(2, CAST(ceil(s/2) AS INT)) AS n FROM (SELECT *, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) AS s FROM {lines}) WHERE s > 2))),
-{name}d AS (SELECT p.id, k, min(d) FILTER (WHERE d <= 105) AS d FROM {name}p p LEFT JOIN LATERAL (SELECT {_DIST} AS d FROM (SELECT x1, y1, x2, y2, p.x AS x, p.y AS y, greatest(0, least(1, ((p.x-x1)*(x2-x1)+(p.y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM {targets} WHERE abs(x1 - p.x) <= 150 AND abs(y1 - p.y) <= 150)) ON TRUE GROUP BY p.id, k)"""
+{_NEAR.format(targets).replace('b AS', name + 'b AS', 1)},
+{name}d AS (SELECT id, k, min(d) FILTER (WHERE d <= 105) AS d FROM (SELECT id, k, {_DIST} AS d FROM (SELECT p.id, k, x, y, x1, y1, x2, y2, greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM {name}p p LEFT JOIN {name}b q ON floor(x / 200) = sqx AND floor(y / 200) = sqy)) GROUP BY id, k)"""
 
 
-@query(f"""WITH f AS (SELECT * FROM v_segments WHERE id % 40 = 1), g AS (SELECT * FROM v_segments WHERE id % 20 = 0), {_along('a', 'g', 'f')}, {_along('b', 'f', 'g')},
+@query(f"""WITH f AS (SELECT * FROM v_segments WHERE cl_admin = 'Autre'), g AS (SELECT * FROM v_segments WHERE cl_admin = 'Nationale'), {_along('a', 'g', 'f')}, {_along('b', 'f', 'g')},
 r AS (SELECT avg(CASE WHEN d <= 10.5 THEN 1.0 ELSE 0 END) AS rappel FROM ad), p AS (SELECT avg(CASE WHEN d <= 10.5 THEN 1.0 ELSE 0 END) AS precision, median(d) AS ecart_median FROM bd)
 SELECT round(rappel, 6) AS rappel, round(precision, 6) AS precision, round(ecart_median, 5) AS ecart_median, round(2 * rappel * precision / nullif(rappel + precision, 0), 6) AS f1 FROM r, p""", "v_segments")
 def detection_scores(spark, sf):
-    seg = load(spark, sf, "v_segments")[0].select("id", "x1", "y1", "x2", "y2")
-    got = chains.evaluate(seg.filter("id % 40 = 1"), seg.filter("id % 20 = 0"), 10.5)
+    seg = load(spark, sf, "v_segments")[0].select("id", "x1", "y1", "x2", "y2", "cl_admin")
+    got = chains.evaluate(seg.filter("cl_admin = 'Autre'"), seg.filter("cl_admin = 'Nationale'"), 10.5)
     return rounded(rounded(got, 6, "rappel", "precision", "f1"), 5, "ecart_median")
 
 
@@ -731,8 +728,9 @@ def detected_roads(spark, sf):
 @query()
 def line_criteria(spark, sf):
     seg, st = load(spark, sf, "v_segments", "v_stations")
-    e = seg.filter("id % 5 = 0").select("id", "x1", "y1", "x2", "y2")
-    got = chains.criteria(e, st.withColumnRenamed("trace_id", "id"), reference=seg.filter("id % 4 = 1").select("x1", "y1", "x2", "y2"))
+    e = seg.select("id", "x1", "y1", "x2", "y2").withColumn("bx", F.floor(F.col("x1") / 500)).withColumn("by", F.floor(F.col("y1") / 500))
+    known = seg.filter("cl_admin = 'Départementale'").select("x1", "y1", "x2", "y2")
+    got = chains.criteria(e, st.withColumnRenamed("trace_id", "id"), reference=known, by=("bx", "by"))
     return op_classify.classify(got).select("id", "CLASSE", "CLASSE_MOTIF", "OSM_TAGS")
 
 
