@@ -22,6 +22,8 @@ from timberline.llm.tables import bounded_sample, slices
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
+#: Bytes of text scored at once; the arrays of its n-grams take some sixty times as much.
+SLICE = 1 << 20
 #: At most about so many labelled documents are used to fit.
 MAX_TRAIN_DOCS = 12_000
 UNKNOWN = "und"
@@ -104,7 +106,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     def count(batches):
         held: dict = {}
         for batch in batches:
-            for piece, texts in slices(batch, 1):
+            for piece, texts in slices(batch, 1, SLICE):
                 langs = piece.column(2).to_pylist()
                 buckets, starts, _ = grams(texts)
                 ends = np.append(starts[1:], buckets.shape[1])
@@ -148,7 +150,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text",
 
     def run(batches):
         for batch in batches:
-            for piece, texts in slices(batch, at):
+            for piece, texts in slices(batch, at, SLICE):
                 langs, scores = shared.value.score(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
