@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.session import materialize
+
 #: Role that gives context and is no participant.
 SYSTEM = "system"
 #: Speaker of turns without a role.
@@ -37,6 +39,8 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.coalesce(text_col, F.lit("")).alias("text"),
     )
     speakers = said.filter(F.col("by") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("by").alias("speaker")).distinct()
+    # written out, so that both sides of the join are plain exchanges and a hot conversation can be split
+    speakers = materialize(speakers)
     both = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("c")))
     own = F.col("by") == F.col("speaker")
     role = F.when(own, "assistant").when(F.col("by") == SYSTEM, SYSTEM).otherwise("user")

@@ -101,7 +101,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     languages, which says ``und``.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    rows = bounded_sample(rows.filter("t is not null and l is not null"), "i", max_docs)
+    rows = bounded_sample(rows.filter("t is not null and l is not null"), max_docs)
 
     def count(batches):
         held: dict = {}

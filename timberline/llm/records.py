@@ -165,13 +165,16 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
     time. Parts are written under the name of the attempt and renamed, so
     a repeated task replaces its own part and nothing else. Rows with a null
     id come first and are written as the least 64-bit integer. Null text
-    counts as empty. Returns one small row for each part: name, documents,
+    counts as empty. Rows of one id follow each other by a hash of the text.
+    Returns one small row for each part: name, documents,
     tokens.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.repartitionByRange(n, "i").sortWithinPartitions("i")
+    # the text's hash splits an id that a large share of the rows has
+    keyed = rows.withColumn("h", F.xxhash64("t"))
+    dealt = keyed.repartitionByRange(n, "i", "h").sortWithinPartitions("i", "h").select("i", "t")
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches):

@@ -185,7 +185,7 @@ def learn(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", id_
     other the most telling is kept. No usable labels: no stems, low scores.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
-    rows = bounded_sample(rows.filter("t is not null and y in (0, 1)"), "i", max_docs).repartition(8)
+    rows = bounded_sample(rows.filter("t is not null and y in (0, 1)"), max_docs).repartition(8)
 
     def sketch(batches):
         for batch in batches:
