@@ -71,3 +71,10 @@ def test_tiles_of_a_corridor(spark):
     tiles = spark.createDataFrame([(1000.0 * a, 1000.0 * b, 1000.0 * a + 1000, 1000.0 * b + 1000) for a in range(3) for b in range(3)], "xmin double, ymin double, xmax double, ymax double")
     line = spark.createDataFrame([(100.0, 980.0, 900.0, 980.0)], "x1 double, y1 double, x2 double, y2 double")
     assert sorted((r.xmin, r.ymin) for r in network.tiles_required(tiles, line).collect()) == [(0.0, 0.0), (0.0, 1000.0)]
+
+
+def test_reconnecting_ends(spark):
+    line = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
+    rows = [(1, line((0, 0), (5, 0), (10, 0))), (2, line((12, 0), (16, 0), (20, 0))), (3, line((12, 4), (12, 10))), (4, line((500, 0), (600, 0)))]
+    got = {r.id: r.geom for r in network.reconnect(spark.createDataFrame(rows, "id long, geom array<struct<x:double,y:double>>"), 5.0).collect()}
+    assert set(got) == {1, 3, 4} and sorted((got[1][0].x, got[1][-1].x)) == [0.0, 20.0] and len(got[1]) == 6

@@ -102,3 +102,17 @@ def test_points_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.row, r.col): r.n_points for r in spark.table("cells").collect()} == {(0, 0): 3, (0, 1): 1}
+
+
+def test_points_by_box_and_corridor(spark, tmp_path):
+    from timberline.sources import points as pts
+
+    rows = [("a", float(x), float(y), 1.0) for x in range(0, 200, 10) for y in range(0, 200, 10)]
+    spark.createDataFrame(rows, "tile_key string, x double, y double, z double").write.parquet(str(tmp_path / "p"))
+    df = pts.read_points(spark, [str(tmp_path / "p")], (0, 0, 50, 50))
+    assert df.count() == 36 and "PushedFilters: [IsNotNull(x)" in df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    line = spark.createDataFrame([(0.0, 0.0, 190.0, 0.0)], "x1 double, y1 double, x2 double, y2 double")
+    near = pts.in_corridor(pts.read_points(spark, [str(tmp_path / "p")]), line, 15.0)
+    assert near.count() == 40
+    with pytest.raises(ValueError):
+        pts.require_paths([])

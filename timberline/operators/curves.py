@@ -142,7 +142,7 @@ def smooth_lines(lines: DataFrame, method: str = "savitzky", res: float = 1.0, b
 
 
 def finalise(lines: DataFrame, tol: float = 1.0, length_min: float = 30.0, id_col: str = "id") -> DataFrame:
-    """Simplified lines of ``length_min`` at least: ``id, longueur, geom``. Ids follow a hash-free order of the input's ids."""
+    """Simplified lines of ``length_min`` at least: ``id, longueur, geom``; ids stay."""
 
     def run(frames):
         for pdf in frames:
