@@ -116,3 +116,11 @@ def test_points_by_box_and_corridor(spark, tmp_path):
     assert near.count() == 40
     with pytest.raises(ValueError):
         pts.require_paths([])
+
+
+def test_heights_above_ground(spark):
+    grid = {"xmin": 0.0, "ymin": 0.0, "xmax": 2.0, "ymax": 2.0, "res": 1.0, "nrow": 2, "ncol": 2}
+    ground = spark.createDataFrame([(0, 0, 100.0), (0, 1, 110.0)], "row int, col int, z double")
+    pts = spark.createDataFrame([(0.5, 1.5, 103.0), (1.5, 1.5, 110.0), (0.5, 0.5, 99.0), (9.0, 9.0, 1.0)], "x double, y double, z double")
+    assert sorted((r.x, r.y, r.h) for r in pointcloud.normalised(pts, ground, grid).collect() if r.h is not None) == [(0.5, 1.5, 3.0), (1.5, 1.5, 0.0)]
+    assert pointcloud.normalised(pts, ground, grid).count() == 3
