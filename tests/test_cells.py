@@ -126,3 +126,17 @@ def test_learned_conductivity(spark):
     assert model.auc_cv > 0.9 and model.prevalence == 0.5 and "AUC" in str(model)
     with pytest.raises(ValueError):
         learn.predict_conductivity(df.drop("bruit"), model)
+
+
+def test_ranks_and_running_sums(spark):
+    from timberline.plans.ranks import hash_rank, running_sum
+
+    df = spark.createDataFrame([(k % 2, k, float(k * 7 % 400)) for k in range(400)], "g int, k int, v double")
+    got = hash_rank(df, ["g"], F.xxhash64("k"), "r").collect()
+    for g in (0, 1):
+        assert sorted(r.r for r in got if r.g == g) == list(range(1, 201))
+    for by in ([], ["g"]):
+        rows = running_sum(df, by, "v", "k", "s").collect()
+        assert all(r.s == sum(o.k for o in rows if o.v <= r.v and (not by or o.g == r.g)) for r in rows)
+    sizes = [r["count"] for r in learn.folds(df, "g", "k").groupBy("g", "pli").count().collect()]
+    assert set(sizes) == {40} and hash_rank(df.limit(0), ["g"], F.xxhash64("k"), "r").count() == 0

@@ -8,19 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.operators.cells import Rule, base_name, near_segments
+from timberline.plans.ranks import hash_rank, running_sum
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve by average ranks; null where a class is missing.
 
-    Scores are counted first, so ranks are a cumulative sum over distinct
-    values. ``by`` gives one area for each group.
+    Scores are counted first, so ranks are a running sum over distinct
+    values, in slices. ``by`` gives one area for each group.
     """
     counts = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(
         F.count("*").alias("c"), F.sum(F.col(label).cast("long")).alias("p")
     )
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("mid", F.sum("c").over(w) - F.col("c") + (F.col("c") + 1) / 2)
+    ranked = running_sum(counts, list(by), score, "c", "__c").withColumn("mid", F.col("__c") - F.col("c") + (F.col("c") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum(F.col("p") * F.col("mid")).alias("r"), F.sum("p").alias("np"), (F.sum("c") - F.sum("p")).alias("nn"))
     area = (F.col("r") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn"))
     return sums.select(*by, F.when((F.col("np") > 0) & (F.col("nn") > 0), area).alias("auc"))
@@ -28,8 +28,8 @@ def auc(scored: DataFrame, score: str = "score", label: str = "y", by: tuple[str
 
 def folds(rows: DataFrame, label: str = "y", key: str = "id", k: int = 5, seed: int = 1) -> DataFrame:
     """Stratified folds 1 to k: by class, in the order of a hash of the key."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    return rows.withColumn("pli", (F.pmod(F.row_number().over(w) - 1, F.lit(k)) + 1).cast("int"))
+    ranked = hash_rank(rows, [label], F.xxhash64(F.lit(seed), F.col(key)), "__r")
+    return ranked.withColumn("pli", (F.pmod(F.col("__r") - 1, F.lit(k)) + 1).cast("int")).drop("__r")
 
 
 def sample_cells(cells: DataFrame, positives: DataFrame, channels: list[str], near: float = 3.0, far: float = 25.0, n_max: int = 20_000,
@@ -50,8 +50,7 @@ def sample_cells(cells: DataFrame, positives: DataFrame, channels: list[str], ne
         return rows
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n = min(counts.get(0, 0), counts.get(1, 0), n_max // 2)
-    w = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "row", "col"), "row", "col")
-    return rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= n).drop("__k")
+    return hash_rank(rows, ["label"], F.xxhash64(F.lit(seed), "row", "col"), "__r").filter(F.col("__r") <= n).drop("__r")
 
 
 @dataclass
