@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from timberline.llm.tables import slices
 
 WINDOW = 10
-#: Text of test items that one broadcast may hold; more items are dealt into several passes.
-BLOCK_BYTES = 32 << 20
+#: Text of test items that one broadcast may hold (its windows take some hundred times as much); more items are dealt into several passes.
+BLOCK_BYTES = 2 << 20
 
 _WORD = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(0x80, 0x100))
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c in _WORD else 32 for c in range(256))
