@@ -28,7 +28,7 @@ from timberline.llm.tables import slices
 from timberline.session import scratch_dir
 
 #: Entries kept in a worker's memory between batches, at most before a slice.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_000_000
 _SPACE, _ODD = re.compile(r"[ \t\n\r]+"), re.compile(r"[\x1c-\x1f]")
 _PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]{1,64}")
 _END = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=[ \n]|$)")
