@@ -1,0 +1,53 @@
+"""The pipeline's near-duplicate stage against the similarity of all pairs."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from timberline.llm import minhash
+from tests.llm.test_pairs import components, frame
+
+
+def shingles(text):
+    w = (text or "").split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def edited(n=90):
+    """Copies with up to a tenth of their words changed, so that similarities lie on both sides of 0.8."""
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(900)]
+    base = [rng.choices(vocabulary, k=rng.randint(80, 200)) for _ in range(6)]
+    rows = []
+    for k in range(n):
+        words = list(rng.choice(base))
+        for at in rng.sample(range(len(words)), rng.randint(0, 4)):
+            words[at] = rng.choice(vocabulary)
+        rows.append((k, " ".join(words)))
+    return rows + [(900, None), (901, ""), (None, rows[0][1]), (902, "a"), (903, "a"), (3, rows[3][1])]
+
+
+def wanted(rows):
+    sets = [shingles(t) for _, t in rows]
+    close = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    named = [k for k, (i, _) in enumerate(rows) if i is not None]
+    linked = [(x, y) for x in range(len(named)) for y in range(x) if close(sets[named[x]], sets[named[y]])]
+    least = components([rows[k][0] for k in named], linked)
+    return sorted([str(rows[k][0]) for k, c in zip(named, least) if rows[k][0] == c] + ["None"])
+
+
+@pytest.mark.parametrize("max_bucket", [64, 2])
+def test_keeps_one_by_all_pairs(spark, max_bucket):
+    rows = edited()
+    got = minhash.keep_one(frame(spark, rows), max_bucket=max_bucket)
+    assert sorted(str(r.doc_id) for r in got.collect()) == wanted(rows)
+
+
+def test_stage_drops_a_copy_with_edited_words(spark):
+    words = [f"n{k}" for k in range(200)]
+    copy = [f"x{k}" if k in (30, 90, 150) else w for k, w in enumerate(words)]
+    other = [f"x{k}" if k % 10 == 0 else w for k, w in enumerate(words)]
+    docs = frame(spark, [(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(other))])
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3] and got.columns == docs.columns

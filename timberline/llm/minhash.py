@@ -1,0 +1,165 @@
+"""Near-duplicates by the exact similarity of shingle sets.
+
+The similarity of two documents is the share of their distinct word shingles
+that both have. Candidates share one of 20 keys, each made of four min-wise
+hashes of the set; a pair of similarity 0.8 shares none with a chance of
+(1 - 0.8^4)^20 = 3 in 100,000, closer pairs with less. Every candidate is then
+compared over its whole sets, so no pair below the bound is linked.
+
+Documents with equal sets are one. Keys of more than ``max_bucket`` sets are not
+expanded into pairs: each is compared with the first of the key, and those that
+are linked to it leave. One minus similarity is a metric, so a set left over can
+only be linked to a set that left if it is near enough to the first one; only
+such pairs are compared besides.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from timberline.llm.tables import slices
+from timberline.plans.components import connected_components
+from timberline.session import materialize
+
+SHINGLE = 5
+SIMILARITY = 0.8
+KEYS, PER_KEY = 20, 4
+SEED = 42
+MAX_BUCKET = 64
+#: Rounds of comparing crowded keys with their first set; what is left then is compared pair by pair.
+ROUNDS = 8
+
+_RNG = np.random.default_rng(SEED)
+_FACTOR = _RNG.integers(0, 1 << 63, KEYS * PER_KEY, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = _RNG.integers(0, 1 << 63, KEYS * PER_KEY, dtype=np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, a text without words has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, size = b" ".join(words), min(shingle, len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    ends = (starts + lengths)[size - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(ends)].tolist(), ends)], np.uint64))
+
+
+def name(hashes: np.ndarray) -> int:
+    """64 bits that stand for a whole set."""
+    return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+
+
+def keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set; an empty set has none."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    low = np.full(len(_FACTOR), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 4096):
+        low = np.minimum(low, ((hashes[k : k + 4096, None] ^ _SHIFT) * _FACTOR).min(axis=0))
+    raw = low.tobytes()
+    width = 8 * PER_KEY
+    return np.array([xxhash.xxh64_intdigest(raw[k * width : (k + 1) * width], k) for k in range(KEYS)], np.uint64).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the distinct members of two sorted sets that both have; empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    total = len(a) + len(b) - both
+    return both / total if total else 1.0
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int, whole: bool) -> DataFrame:
+    """``(doc_id, sig)`` with the keys of each set or, if ``whole``, with the set itself."""
+
+    def run(batches):
+        for batch in batches:
+            for piece, texts in slices(batch, 1):
+                sets = [shingle_set(t, shingle) for t in texts]
+                sig = pa.array([name(s) for s in sets], pa.int64())
+                last = pa.array([s.tobytes() for s in sets], pa.binary()) if whole else pa.array([keys(s).tolist() for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([piece.column(0), sig, last], names=["doc_id", "sig", "hashes" if whole else "keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, sig long, " + ("hashes binary" if whole else "keys array<long>"))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs of names ``(a, b)`` with their similarity ``s``."""
+
+    def run(batches):
+        for batch in batches:
+            held: tuple = (None, None)
+            out = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                right = b.as_buffer()
+                if held[0] is None or not held[0].equals(right):
+                    held = (right, np.frombuffer(right, np.uint64))
+                out.append(similarity(np.frombuffer(a.as_buffer(), np.uint64), held[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "s"])
+
+    left, right = sets.select(F.col("sig").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("sig").alias("b"), F.col("hashes").alias("hb"))
+    rows = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
+    return materialize(rows.mapInArrow(run, "a long, b long, s double"))
+
+
+def _pairs(entries: DataFrame) -> DataFrame:
+    """All pairs of names that share a key."""
+    return entries.alias("l").join(entries.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.sig") < F.col("r.sig"))).select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b"))
+
+
+def links(entries: DataFrame, sets: DataFrame, bound: float = SIMILARITY, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Pairs ``(a, b)`` of names that connect all names of similarity ``bound`` that share a key in ``(key, sig)``."""
+    found = None
+    add = lambda more: more.filter(F.col("s") >= bound).select("a", "b") if found is None else found.union(more.filter(F.col("s") >= bound).select("a", "b"))
+    left = entries
+    for _ in range(ROUNDS):
+        counts = materialize(left.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("first")).filter("n > 1"))
+        crowded = counts.filter(F.col("n") > max_bucket)
+        few = left.join(counts.filter(F.col("n") <= max_bucket).select("key"), "key", "left_semi")
+        found = add(_compared(_pairs(few), sets))
+        if crowded.isEmpty():
+            return found
+        rest = left.join(crowded.select("key", "first"), "key").filter(F.col("sig") != F.col("first"))
+        judged = _compared(rest.select(F.col("sig").alias("a"), F.col("first").alias("b")), sets)
+        found = add(judged)
+        held = materialize(rest.join(judged.select(F.col("a").alias("sig"), F.col("b").alias("first"), "s"), ["sig", "first"]))
+        gone, stay = held.filter(F.col("s") >= bound), materialize(held.filter(F.col("s") < bound))
+        near = stay.filter(F.col("s") >= 2 * bound - 1 - 1e-9).select("key", F.col("sig").alias("a"), F.col("s").alias("sa"))
+        other = gone.select("key", F.col("sig").alias("b"), F.col("s").alias("sb"))
+        # the distance of a to the first is at most that of b and the bound's together
+        across = near.join(other, "key").filter(F.col("sb") <= F.col("sa") + (1 - bound) + 1e-9)
+        found = add(_compared(across.select("a", "b"), sets))
+        left = stay.select("key", "sig")
+    return add(_compared(_pairs(left), sets))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: float = SIMILARITY, shingle: int = SHINGLE, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Keep the document with the smallest id of each group that pairs of similarity ``bound`` connect; columns stay as they are.
+
+    Null and empty texts have equal sets. Rows with a null id stay, as nothing
+    can name them. Of several rows with one id all stay: they are one document.
+    """
+    named = materialize(_named(docs, id_col, text_col, shingle, whole=False))
+    reps = materialize(named.filter("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    entries = reps.select("sig", "rep", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    entries = materialize(entries.join(shared, "key", "left_semi"))
+    asked = entries.select("sig", "rep").distinct()
+    texts = docs.join(asked.select(F.col("rep").alias("__tl_rep")).distinct(), F.col(id_col).cast("long") == F.col("__tl_rep"), "left_semi")
+    sets = _named(texts, id_col, text_col, shingle, whole=True)
+    sets = materialize(sets.join(asked, (sets.sig == asked.sig) & (sets.doc_id == asked.rep), "left_semi").dropDuplicates(["sig"]).select("sig", "hashes"))
+    near = links(entries.select("key", "sig"), sets, bound, max_bucket)
+    rep = lambda c, out: reps.select(F.col("sig").alias(c), F.col("rep").alias(out))
+    edges = near.join(rep("a", "src"), "a").join(rep("b", "dst"), "b").select("src", "dst").distinct()
+    parts = materialize(connected_components(materialize(edges)))
+    least = reps.join(parts, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
+    groups = named.select("doc_id", "sig").join(least, "sig")
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__tl_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__tl_gone"), "left_anti")
