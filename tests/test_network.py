@@ -1,4 +1,7 @@
 import math
+import random
+
+import numpy as np
 
 from timberline.operators import classify, network, norms
 from timberline.plans.components import connected_components
@@ -43,6 +46,35 @@ def test_comb_of_four(spark):
     assert all(got[k].PEIGNE_N == 4 and math.isclose(got[k].PEIGNE_ESPACEMENT, 20) for k in range(4)) and got[9].PEIGNE is None
 
 
+def test_query_keeps_a_comb_across_500_m(spark, monkeypatch):
+    from timberline import queries
+
+    rows = [(k, 100.0, 450.0 + 20.0 * k, 200.0, 450.0 + 20.0 * k) for k in range(6)]
+    segments = spark.createDataFrame(rows, SEG)
+    monkeypatch.setattr(queries, "load", lambda *a: [segments])
+    got = {(r.PEIGNE, r.PEIGNE_N) for r in queries.parallel_combs(spark, "").collect()}
+    assert got == {(0, 6)}
+
+
+def test_combs_of_many_lines_by_one_scan(spark):
+    rng = random.Random(4)
+    rows, at = [], 0.0
+    for k in range(900):
+        at += rng.choice([0.0, 2.0, 10.0, 11.0, 12.0, 12.0, 30.0, 60.0])
+        rows.append((k, 0.0, at, 100.0, at))
+    rows += [(2000 + k, 50.0 + 10 * k, 0.0, 50.0 + 10 * k, 30.0) for k in range(4)]
+    want, off = {}, np.array([r[2] for r in rows[:900]])
+    gaps = np.diff(off)
+    for a, b in network.regular_runs(gaps, 4.0, 40.0, 0.5):
+        if b - a >= 2:
+            want.update((t, (b - a + 1, a, float(np.median(gaps[a:b])))) for t in range(a, b + 1))
+    want.update((2000 + k, (4, 2000, 10.0)) for k in range(4))
+    rng.shuffle(rows)
+    got = {r.id: r for r in network.combs(spark.createDataFrame(rows, SEG)).collect()}
+    assert len(got) == 904 and {k: (r.PEIGNE_N, r.PEIGNE) for k, r in got.items() if r.PEIGNE is not None} == {k: v[:2] for k, v in want.items()}
+    assert all(math.isclose(got[k].PEIGNE_ESPACEMENT, v[2], abs_tol=1e-6) for k, v in want.items())
+
+
 def test_directions_meet_across_180(spark):
     rows = [(1, 0.0, 0.0, 100.0, 1.0), (2, 0.0, 20.0, 100.0, 19.0), (3, 0.0, 40.0, 100.0, 41.0)]
     assert all(r.PEIGNE_N == 3 for r in network.combs(spark.createDataFrame(rows, SEG)).collect())

@@ -438,7 +438,7 @@ def dedupe_parallels(spark, sf):
 @query()
 def parallel_combs(spark, sf):
     s = load(spark, sf, "v_segments")[0].select("id", "x1", "y1", "x2", "y2")
-    return network.combs(s.withColumn("bx", F.floor(F.col("x1") / 500)).withColumn("by", F.floor(F.col("y1") / 500)), 2.0, by=("bx", "by"))
+    return network.combs(s, 2.0)
 
 
 @query("""SELECT id, round(((degrees(atan2(y2 - y1, x2 - x1)) % 180) + 180) % 180, 6) AS cap, round(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)), 6) AS longueur FROM v_segments""", "v_segments")
@@ -728,9 +728,9 @@ def detected_roads(spark, sf):
 @query()
 def line_criteria(spark, sf):
     seg, st = load(spark, sf, "v_segments", "v_stations")
-    e = seg.select("id", "x1", "y1", "x2", "y2").withColumn("bx", F.floor(F.col("x1") / 500)).withColumn("by", F.floor(F.col("y1") / 500))
+    e = seg.select("id", "x1", "y1", "x2", "y2")
     known = seg.filter("cl_admin = 'Départementale'").select("x1", "y1", "x2", "y2")
-    got = chains.criteria(e, st.withColumnRenamed("trace_id", "id"), reference=known, by=("bx", "by"))
+    got = chains.criteria(e, st.withColumnRenamed("trace_id", "id"), reference=known)
     return op_classify.classify(got).select("id", "CLASSE", "CLASSE_MOTIF", "OSM_TAGS")
 
 
