@@ -164,14 +164,24 @@ def test_phrases_by_brute_force(spark, window, phrase, vocabulary):
 
 
 def test_phrases_in_small_automata_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "AUTOMATON_WORDS", 20)
-    out = [(None, ws, np.zeros(len(ws), bool)) for ws in ([b"%d" % (k % 7) for k in range(58)], [b"%d" % (k % 5) for k in range(60)])]
-    held = [(k, 10, phrases._hashes(ws)) for k, (_, ws, _) in enumerate(out)]
-    found = {}
-    for k, (_, _, h) in enumerate(held):
-        phrases._add_passages(h[10 * k : 10 * k + 30], np.full(18, 3), 10, 13, found)
-    phrases._stream(held, found, out)
-    assert all(g.all() for _, _, g in out)
+    rng = random.Random(9)
+    passages = [(k % 4, [b"%d" % rng.randrange(3) for _ in range(rng.randint(5, 12))]) for k in range(12)]
+    docs = [(k, [b"%d" % rng.randrange(3) for _ in range(80)]) for k in range(6)]
+    for limit in (1, 20, 1_000_000):
+        held = [(doc, ws, np.zeros(len(ws), bool)) for doc, ws in docs]
+        phrases.locate(passages, held, 5, limit)
+        for doc, ws, gone in held:
+            want = np.zeros(len(ws), bool)
+            for low, p in passages:
+                for k in range(len(p) - 4):
+                    for j in range(len(ws) - 4):
+                        if low < doc and ws[j : j + 5] == p[k : k + 5]:
+                            want[j : j + 5] = True
+            assert gone.tolist() == want.tolist()
+    # where passages stand is known from the automata alone
+    rows = [(k, " ".join(f"{k}x{j}" for j in range(k + 3)) + " " + " ".join(f"p{j}" for j in range(20))) for k in range(4)]
+    total = lambda: sorted((r.doc_id, r.n_removed) for r in phrases.dedup_phrases(frame(spark, rows)).collect())
+    assert total() == [(0, 0), (1, 20), (2, 20), (3, 20)]
     assert phrases.dedup_phrases(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
 

@@ -1,16 +1,21 @@
 """Substring deduplication with automata of repeated phrases.
 
-Three passes over documents that are dealt into blocks by a hash.
+Documents are dealt into blocks by a hash. Hashes find out what recurs; where it
+occurs is found by automata over the words themselves.
 
 1. Each block names its phrase keys: of every window of 13 words the least
    hash among its six-word phrases. Equal windows have equal keys, and a
    document has about two keys for nine words. Keys that a second document
    shares are sent back to the blocks that hold them.
-2. Windows with a shared key are named by 128 bits; those that start in
-   several documents are confirmed, with the smallest id among these.
-3. Each block compiles its confirmed passages (runs of confirmed windows) into
-   Aho-Corasick automata of bounded size and streams its documents through
-   them; what an occurrence covers goes.
+2. Windows with a shared key are named by 96 bits and counted. Those that start
+   in several documents are confirmed; the smallest document is their owner.
+   Nothing is kept of where else they stand.
+3. The owners cut their confirmed windows out of their texts: runs of them are
+   the recurring passages of the corpus, each written out once, with its owner.
+4. A passage is dealt to the blocks that named one of its windows. Each block
+   compiles what it got into automata of bounded size, shard by shard, and
+   streams all its documents through every shard. Each occurrence of a
+   window is located there, and it goes where its owner is a smaller document.
 
 A block sends one row for each key or window however many of its documents
 hold it, so a phrase of a third of all documents is as many rows as there
@@ -31,11 +36,15 @@ from pyspark.sql import functions as F
 WINDOW = 13
 PHRASE = 6
 BLOCK_BYTES = 16 << 20
-#: Words that one automaton holds at most (one passage at least).
-AUTOMATON_WORDS = 500_000
+#: Words that the windows of one automaton hold at most (those of one passage at least).
+AUTOMATON_WORDS = 1_000_000
+#: Windows of a passage at most; longer runs are several passages that overlap.
+PASSAGE_WINDOWS = 512
 _NO_ID = (1 << 63) - 1  # rows without an id come after all others
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_ROWS = "kind int, a long, b long, block int, many boolean, doc long"
+_KEYS = "kind int, a long, b long, block int, many boolean, doc long"
+_WINDOWS = "a long, b int, block int, many boolean, doc long"
+_PASSAGES = "low long, pid long, text string, names array<struct<a: long, b: int>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -72,8 +81,8 @@ def window_keys(h: np.ndarray, window: int, phrase: int) -> np.ndarray:
 
 
 def window_names(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each window."""
-    return _rolled(h, window, _A), _rolled(_mix(h ^ _B), window, _B)
+    """96 bits for each window, as 64 and 32."""
+    return _rolled(h, window, _A), (_rolled(_mix(h ^ _B), window, _B) >> np.uint64(32))
 
 
 def _whole(ws: list[bytes]) -> tuple[int, int]:
@@ -100,13 +109,13 @@ def _least(a: np.ndarray, b: np.ndarray, doc: np.ndarray):
     return a[first], b[first], doc[first], doc[last] != doc[first]
 
 
-def _table(kind: int, block: int, a, b, doc, many) -> pa.Table:
+def _key_table(kind: int, block: int, a, b, doc, many) -> pa.Table:
     n = len(a)
     return pa.table(
         {
             "kind": pa.array(np.full(n, kind, np.int32)),
-            "a": pa.array(np.asarray(a).astype(np.uint64, copy=False).view(np.int64)),
-            "b": pa.array(np.asarray(b).astype(np.uint64, copy=False).view(np.int64)),
+            "a": pa.array(a.view(np.int64)),
+            "b": pa.array(b.view(np.int64)),
             "block": pa.array(np.full(n, block, np.int32)),
             "many": pa.array(many, pa.bool_()),
             "doc": pa.array(doc, pa.int64()),
@@ -152,30 +161,22 @@ def dedup_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         w = np.array(wholes, np.int64).reshape(-1, 3)
         wa, wb, wdoc, wmany = _least(w[:, 0].copy().view(np.uint64), w[:, 1].copy().view(np.uint64), w[:, 2])
         # the document of a phrase key is of no use further on
-        return pa.concat_tables([_table(0, block, a, b, [None] * len(a), many), _table(1, block, wa, wb, wdoc, wmany)])
+        return pa.concat_tables([_key_table(0, block, a, b, [None] * len(a), many), _key_table(1, block, wa, wb, wdoc, wmany)])
 
     together = Window.partitionBy("kind", "a", "b")
-    named = texts.groupBy("block").applyInArrow(name_keys, _ROWS)
+    named = texts.groupBy("block").applyInArrow(name_keys, _KEYS)
     shared = (
         named.withColumn("n", F.count("*").over(together)).withColumn("low", F.min("doc").over(together)).filter("n > 1 or many")
-        .select("kind", "a", "b", "block", "low")
+        .select("kind", "a", "b", "block", "low", "n")
     )
 
     def name_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = _table(0, 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64), [], [])
-        if not left.num_rows or not right.num_rows:
-            return empty
-        block = left.column("block")[0].as_py()
-        keys, firsts = _split(right)
-        out_a, out_b, owners, copies = [], [], [], {}
-        for doc, _, ws in _each(left):
-            if len(ws) < window:
+        out_a, out_b, owners = [], [], []
+        block = left.column("block")[0].as_py() if left.num_rows else 0
+        keys, firsts = _shared(right) if left.num_rows and right.num_rows else (np.zeros(0, np.uint64), {})
+        for doc, _, ws in _each(left) if len(keys) else ():
+            if len(ws) < window or (firsts and firsts.get(_whole(ws), doc) < doc):
                 continue
-            if firsts:
-                low = firsts.get(whole := _whole(ws), doc)
-                if low < doc:
-                    copies[whole] = low
-                    continue
             h = _hashes(ws)
             hit = _member(window_keys(h, window, phrase), keys)
             if hit.any():
@@ -184,32 +185,65 @@ def dedup_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out_b.append(b[hit])
                 owners.append(np.full(int(hit.sum()), doc, np.int64))
         a, b, doc, many = _least(_stack(out_a, np.uint64), _stack(out_b, np.uint64), _stack(owners, np.int64))
-        c = np.array(list(copies), np.int64).reshape(-1, 2)
-        ca, cb = c[:, 0].copy().view(np.uint64), c[:, 1].copy().view(np.uint64)
-        return pa.concat_tables([_table(0, block, a, b, doc, many), _table(1, block, ca, cb, list(copies.values()), [True] * len(c))])
+        return pa.table(
+            {
+                "a": pa.array(a.view(np.int64)),
+                "b": pa.array(b.astype(np.uint32).view(np.int32)),
+                "block": pa.array(np.full(len(a), block, np.int32)),
+                "many": pa.array(many, pa.bool_()),
+                "doc": pa.array(doc, pa.int64()),
+            }
+        )
 
-    windows = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(name_windows, _ROWS)
+    # dealt out once, for counting and for sending passages
+    windows = texts.groupBy("block").cogroup(shared.drop("n").groupBy("block")).applyInArrow(name_windows, _WINDOWS).repartition("a", "b")
     confirmed = (
-        windows.withColumn("low", F.min("doc").over(together)).filter("kind = 1 or low < doc or many").select("kind", "a", "b", "block", "low")
+        windows.groupBy("a", "b").agg(F.min(F.struct("doc", "block")).alias("own"), F.max("doc").alias("top"), F.bool_or("many").alias("many"))
+        .filter("own.doc < top or many").select("a", "b", F.col("own.block").alias("block"), F.col("own.doc").alias("low"))
     )
 
-    def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+    def cut_passages(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        known, firsts = _split(right, True) if right.num_rows else (None, {})
-        held, passages = [], {}
+        if left.num_rows and right.num_rows:
+            a, b, low = right.column("a").to_numpy().view(np.uint64), right.column("b").to_numpy().view(np.uint32), right.column("low").to_numpy()
+            order = np.lexsort((b, a))
+            known, owners = (a[order], b[order], low[order]), set(np.unique(low).tolist())
+            for doc, _, ws in _each(left):
+                if doc in owners and len(ws) >= window:
+                    out += _runs(ws, doc, window, known)
+        lows, pids, texts_, names = zip(*out) if out else ((),) * 4
+        return pa.table({
+            "low": pa.array(lows, pa.int64()), "pid": pa.array(pids, pa.int64()), "text": pa.array(texts_, pa.string()),
+            "names": pa.array(names, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int32())]))),
+        })
+
+    passages = texts.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(cut_passages, _PASSAGES).repartition("pid")
+    starts = passages.select("pid", F.explode("names").alias("w")).select("pid", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
+    wanted = starts.join(windows.select("a", "b", "block"), ["a", "b"]).select("pid", "block").repartition("pid").distinct()
+    none = F.lit(None)
+    sent = wanted.join(passages.select("pid", "low", "text"), "pid").select(
+        "block", "low", "text", none.cast("long").alias("a"), none.cast("long").alias("b")
+    )
+    # the condition on the count keeps the filter above the window function, whose input is thus computed once
+    wholes = shared.filter(F.when(F.col("n") > 0, F.col("kind")) == 1).select("block", "low", none.cast("string").alias("text"), "a", "b")
+
+    def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+        firsts, found = {}, []
+        for low, text, a, b in zip(*(right.column(c).to_pylist() for c in ("low", "text", "a", "b"))) if right.num_rows else ():
+            if text is None:
+                firsts[a, b] = low
+            else:
+                found.append((low, text.encode("utf-8", "surrogatepass").split()))
+        out, streamed = [], []
         for doc, own, ws in _each(left):
             gone = np.zeros(len(ws), bool)
-            if len(ws) >= window and (known or firsts):
+            if len(ws) >= window:
                 if firsts and firsts.get(_whole(ws), doc) < doc:
                     gone[:] = True
-                elif known:
-                    h = _hashes(ws)
-                    low = _lows(h, window, known)
-                    if (low < _NO_ID).any():
-                        held.append((len(out), doc, h))
-                        _add_passages(h, low, doc, window, passages)
+                else:
+                    streamed.append((doc, ws, gone))
             out.append((own, ws, gone))
-        _stream(held, passages, out)
+        locate(found, streamed, window)
         kept = [b" ".join([w for w, g in zip(ws, gone.tolist()) if not g]) if gone.any() else b" ".join(ws) for _, ws, gone in out]
         return pa.table(
             {
@@ -221,23 +255,18 @@ def dedup_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
 
     last = "kept_sha256" if digest else "kept"
-    return texts.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(
+    return texts.groupBy("block").cogroup(sent.union(wholes).groupBy("block")).applyInArrow(
         remove, f"doc_id long, n_words long, n_removed long, {last} string"
     )
 
 
-def _split(right: pa.Table, with_low: bool = False):
-    """Sorted keys (or windows with their smallest documents), and whole documents' first ids."""
+def _shared(right: pa.Table) -> tuple[np.ndarray, dict]:
+    """Sorted phrase keys, and the first ids of whole documents."""
     kind, a, b = (right.column(c).to_numpy() for c in ("kind", "a", "b"))
     whole = kind == 1
     low = right.column("low").to_pylist()
     firsts = {(x, y): low[k] for k, x, y in zip(np.flatnonzero(whole).tolist(), a[whole].tolist(), b[whole].tolist())}
-    a, b = a[~whole].view(np.uint64), b[~whole].view(np.uint64)
-    if not with_low:
-        return np.unique(a), firsts
-    lows = np.array([low[k] for k in np.flatnonzero(~whole).tolist()], np.int64)
-    order = np.lexsort((b, a))
-    return ((a[order], b[order], lows[order]) if len(a) else None), firsts
+    return np.unique(a[~whole].view(np.uint64)), firsts
 
 
 def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -247,53 +276,72 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
-def _lows(h: np.ndarray, window: int, known: tuple) -> np.ndarray:
-    """For each window the smallest document it starts in, where that is known."""
+def _owned(a: np.ndarray, b: np.ndarray, doc: int, known: tuple) -> np.ndarray:
+    """Whether ``doc`` is the owner of each of its windows."""
     ka, kb, klow = known
-    a, b = window_names(h, window)
     at = np.searchsorted(ka, a)
-    out = np.full(len(a), _NO_ID, np.int64)
+    out = np.zeros(len(a), bool)
     open_ = np.arange(len(a))
     while len(open_):  # windows whose first 64 bits agree stand side by side
         open_ = open_[at[open_] < len(ka)]
         open_ = open_[ka[at[open_]] == a[open_]]
         same = kb[at[open_]] == b[open_]
-        out[open_[same]] = klow[at[open_[same]]]
+        out[open_[same]] = klow[at[open_[same]]] == doc
         open_ = open_[~same]
         at[open_] += 1
     return out
 
 
-def _add_passages(h: np.ndarray, low: np.ndarray, doc: int, window: int, passages: dict) -> None:
-    """Runs of windows that start in a smaller document; a passage holds for documents above the largest of these."""
-    hit = low < doc
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-    for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        passages[h[start : end + window - 1].tobytes()] = int(low[start:end].max())
+def _runs(ws: list[bytes], doc: int, window: int, known: tuple) -> list[tuple]:
+    """``(low, pid, text, names of its windows)`` of each passage that ``doc`` owns."""
+    a, b = window_names(_hashes(ws), window)
+    own = _owned(a, b, doc, known)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
+    a, b = a.view(np.int64).tolist(), b.astype(np.uint32).view(np.int32).tolist()
+    out = []
+    for first, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        for k in range(first, end, PASSAGE_WINDOWS):
+            stop = min(k + PASSAGE_WINDOWS, end)
+            text = b" ".join(ws[k : stop + window - 1])
+            pid = xxhash.xxh3_64_intdigest(text, doc & 0xFFFFFFFFFFFFFFFF)
+            out.append((doc, pid - (1 << 64) if pid >> 63 else pid, text.decode("utf-8", "surrogatepass"),
+                        [{"a": x, "b": y} for x, y in zip(a[k:stop], b[k:stop])]))
+    return out
 
 
-def _stream(held: list, passages: dict, out: list) -> None:
-    """Mark what occurrences of the passages cover in the documents held."""
-    if not passages:
-        return
-    shards, size = [[]], 0
-    for raw, low in sorted(passages.items(), key=lambda p: (-len(p[0]), p[0])):
-        if shards[-1] and size + len(raw) // 8 > AUTOMATON_WORDS:
-            shards.append([])
-            size = 0
-        shards[-1].append((raw, low))
-        size += len(raw) // 8
-    for shard in shards:
-        letters = np.unique(np.concatenate([np.frombuffer(raw, np.uint64) for raw, _ in shard]))
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for raw, low in shard:
-            ids = np.searchsorted(letters, np.frombuffer(raw, np.uint64)) + 1
-            automaton.add_word(tuple(ids.tolist()), (len(ids), low))
+def shards(passages: list[tuple[int, list[int]]], window: int, limit: int):
+    """Automata over word ids, one after the other; each holds the windows of some passages with their owners."""
+    automaton, size = None, 0
+    for low, ids in passages:
+        n = window * (len(ids) - window + 1)
+        if automaton is not None and size + n > limit:
+            automaton.make_automaton()
+            yield automaton
+            automaton = None
+        if automaton is None:
+            automaton, size = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0
+        size += n
+        for k in range(len(ids) - window + 1):
+            automaton.add_word(tuple(ids[k : k + window]), low)
+    if automaton is not None:
         automaton.make_automaton()
-        for k, doc, h in held:
-            at = np.minimum(np.searchsorted(letters, h), len(letters) - 1)
-            ids = np.where(letters[at] == h, at + 1, 0)
-            gone = out[k][2]
-            for end, (n, low) in automaton.iter(tuple(ids.tolist())):
-                if low < doc:
-                    gone[end - n + 1 : end + 1] = True
+        yield automaton
+
+
+def locate(passages: list[tuple[int, list[bytes]]], docs: list[tuple[int, list[bytes], np.ndarray]], window: int, limit: int = AUTOMATON_WORDS) -> None:
+    """Stream every document through every shard and mark what windows of smaller owners cover."""
+    letters: dict[bytes, int] = {}
+    known = [(low, [letters.setdefault(w, len(letters) + 1) for w in ws]) for low, ws in sorted(passages, key=lambda p: p[1])]
+    if not known:
+        return
+    get = letters.get
+    coded = [np.fromiter((get(w, 0) for w in ws), np.int32, len(ws)) for _, ws, _ in docs]
+    for automaton in shards(known, window, limit):
+        for ids, (doc, _, gone) in zip(coded, docs):
+            ends = [end for end, low in automaton.iter(tuple(ids.tolist())) if low < doc]
+            if ends:
+                at = np.array(ends)
+                edge = np.zeros(len(gone) + 1, np.int32)
+                np.add.at(edge, at - window + 1, 1)
+                np.add.at(edge, at + 1, -1)
+                gone |= np.cumsum(edge[:-1]) > 0
