@@ -30,9 +30,12 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.llm.tables import slices
+
 WINDOW = 13
 PHRASE = 6
 BLOCK_BYTES = 16 << 20
@@ -44,7 +47,7 @@ _NO_ID = (1 << 63) - 1  # rows without an id come after all others
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _KEYS = "kind int, a long, b long, block int, many boolean, doc long"
 _WINDOWS = "a long, b int, block int, many boolean, doc long"
-_PASSAGES = "low long, pid long, text string, names array<struct<a: long, b: int>>"
+_PASSAGES = "low long, pid long, packed binary, names array<struct<a: long, b: int>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -91,11 +94,24 @@ def _whole(ws: list[bytes]) -> tuple[int, int]:
     return int(a), int(b) or 1
 
 
+def _pack(docs: DataFrame) -> DataFrame:
+    """Texts compressed for the way to their blocks, which several passes read."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for piece, texts in slices(batch, 2):
+                packed = pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), packed], names=["doc_id", "block", "packed"])
+
+    return docs.mapInArrow(run, "doc_id long, block int, packed binary")
+
+
 def _each(table: pa.Table):
-    """Documents of a block, with their ids for comparison."""
-    ids = table.column("doc_id").to_pylist()
-    for k, text in enumerate(table.column("text")):
-        yield (_NO_ID if ids[k] is None else ids[k]), ids[k], words(text.as_py())
+    """Documents of a block: ids for comparison, ids as they are, words."""
+    ids, unpack = table.column("doc_id").to_pylist(), zstandard.ZstdDecompressor().decompress
+    for k, packed in enumerate(table.column("packed")):
+        yield (_NO_ID if ids[k] is None else ids[k]), ids[k], unpack(packed.as_py()).split()
 
 
 def _least(a: np.ndarray, b: np.ndarray, doc: np.ndarray):
@@ -145,7 +161,8 @@ def dedup_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // block_bytes))
-    texts = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
+    block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int")
+    texts = _pack(rows.select("doc_id", block.alias("block"), "text"))
 
     def name_keys(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -211,29 +228,42 @@ def dedup_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for doc, _, ws in _each(left):
                 if doc in owners and len(ws) >= window:
                     out += _runs(ws, doc, window, known)
-        lows, pids, texts_, names = zip(*out) if out else ((),) * 4
+        lows, pids, packed, names = zip(*out) if out else ((),) * 4
         return pa.table({
-            "low": pa.array(lows, pa.int64()), "pid": pa.array(pids, pa.int64()), "text": pa.array(texts_, pa.string()),
+            "low": pa.array(lows, pa.int64()), "pid": pa.array(pids, pa.int64()), "packed": pa.array(packed, pa.binary()),
             "names": pa.array(names, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int32())]))),
         })
 
+    def windows_of(batches):
+        for b in batches:
+            names = b.column(3)
+            at = pa.array(np.repeat(np.arange(b.num_rows), np.diff(names.offsets.to_numpy())))
+            flat = names.flatten()
+            yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(0).take(at), flat.field(0), flat.field(1)], names=["pid", "low", "a", "b"])
+
+    def texts_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), b.column(2)], names=["pid", "low", "packed"])
+
+    # both read all columns, so that passages are cut and dealt out once
     passages = texts.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(cut_passages, _PASSAGES).repartition("pid")
-    starts = passages.select("pid", F.explode("names").alias("w")).select("pid", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
-    wanted = starts.join(windows.select("a", "b", "block"), ["a", "b"]).select("pid", "block").repartition("pid").distinct()
+    starts = passages.mapInArrow(windows_of, "pid long, low long, a long, b int")
+    # a block that knows a window from its owner alone has nothing to remove
+    wanted = starts.join(windows, ["a", "b"]).filter("doc > low or many").select("pid", "block").repartition("pid").distinct()
     none = F.lit(None)
-    sent = wanted.join(passages.select("pid", "low", "text"), "pid").select(
-        "block", "low", "text", none.cast("long").alias("a"), none.cast("long").alias("b")
+    sent = wanted.join(passages.mapInArrow(texts_of, "pid long, low long, packed binary"), "pid").select(
+        "block", "low", "packed", none.cast("long").alias("a"), none.cast("long").alias("b")
     )
     # the condition on the count keeps the filter above the window function, whose input is thus computed once
-    wholes = shared.filter(F.when(F.col("n") > 0, F.col("kind")) == 1).select("block", "low", none.cast("string").alias("text"), "a", "b")
+    wholes = shared.filter(F.when(F.col("n") > 0, F.col("kind")) == 1).select("block", "low", none.cast("binary").alias("packed"), "a", "b")
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        firsts, found = {}, []
-        for low, text, a, b in zip(*(right.column(c).to_pylist() for c in ("low", "text", "a", "b"))) if right.num_rows else ():
-            if text is None:
+        firsts, found, unpack = {}, [], zstandard.ZstdDecompressor().decompress
+        for low, packed, a, b in zip(*(right.column(c).to_pylist() for c in ("low", "packed", "a", "b"))) if right.num_rows else ():
+            if packed is None:
                 firsts[a, b] = low
             else:
-                found.append((low, text.encode("utf-8", "surrogatepass").split()))
+                found.append((low, unpack(packed).split()))
         out, streamed = [], []
         for doc, own, ws in _each(left):
             gone = np.zeros(len(ws), bool)
@@ -293,7 +323,7 @@ def _owned(a: np.ndarray, b: np.ndarray, doc: int, known: tuple) -> np.ndarray:
 
 
 def _runs(ws: list[bytes], doc: int, window: int, known: tuple) -> list[tuple]:
-    """``(low, pid, text, names of its windows)`` of each passage that ``doc`` owns."""
+    """``(low, pid, packed words, names of its windows)`` of each passage that ``doc`` owns."""
     a, b = window_names(_hashes(ws), window)
     own = _owned(a, b, doc, known)
     edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
@@ -304,7 +334,7 @@ def _runs(ws: list[bytes], doc: int, window: int, known: tuple) -> list[tuple]:
             stop = min(k + PASSAGE_WINDOWS, end)
             text = b" ".join(ws[k : stop + window - 1])
             pid = xxhash.xxh3_64_intdigest(text, doc & 0xFFFFFFFFFFFFFFFF)
-            out.append((doc, pid - (1 << 64) if pid >> 63 else pid, text.decode("utf-8", "surrogatepass"),
+            out.append((doc, pid - (1 << 64) if pid >> 63 else pid, zstandard.compress(text, 1),
                         [{"a": x, "b": y} for x, y in zip(a[k:stop], b[k:stop])]))
     return out
 
