@@ -167,16 +167,22 @@ def test_phrases_in_small_automata_and_empty(spark, monkeypatch):
     rng = random.Random(9)
     passages = [(k % 4, [b"%d" % rng.randrange(3) for _ in range(rng.randint(5, 12))]) for k in range(12)]
     docs = [(k, [b"%d" % rng.randrange(3) for _ in range(80)]) for k in range(6)]
-    for limit in (1, 20, 1_000_000):
+    for limit, crowd, n in [(1, 16, 5), (20, 16, 5), (1_000_000, 16, 5), (1_000_000, 1, 5), (30, 2, 4), (1_000_000, 0, 4), (1_000_000, 1, 1)]:
         held = [(doc, ws, np.zeros(len(ws), bool)) for doc, ws in docs]
-        phrases.locate(passages, held, 5, limit)
+        # one owner a window: the smallest document
+        owner = {}
+        for low, p in passages:
+            for k in range(len(p) - n + 1):
+                owner[tuple(p[k : k + n])] = min(low, owner.get(tuple(p[k : k + n]), low))
+        cut = [(low, list(w)) for w, low in owner.items()]
+        phrases.locate(cut, held, n, limit, crowd)
         for doc, ws, gone in held:
             want = np.zeros(len(ws), bool)
             for low, p in passages:
-                for k in range(len(p) - 4):
-                    for j in range(len(ws) - 4):
-                        if low < doc and ws[j : j + 5] == p[k : k + 5]:
-                            want[j : j + 5] = True
+                for k in range(len(p) - n + 1):
+                    for j in range(len(ws) - n + 1):
+                        if low < doc and ws[j : j + n] == p[k : k + n]:
+                            want[j : j + n] = True
             assert gone.tolist() == want.tolist()
     # where passages stand is known from the automata alone
     rows = [(k, " ".join(f"{k}x{j}" for j in range(k + 3)) + " " + " ".join(f"p{j}" for j in range(20))) for k in range(4)]

@@ -15,7 +15,8 @@ occurs is found by automata over the words themselves.
 4. A passage is dealt to the blocks that named one of its windows. Each block
    compiles what it got into automata of bounded size, shard by shard, and
    streams all its documents through every shard. Each occurrence of a
-   window is located there, and it goes where its owner is a smaller document.
+   passage, or of a part that is a window long, is located there, and it goes
+   where the passage's owner is a smaller document.
 
 A block sends one row for each key or window however many of its documents
 hold it, so a phrase of a third of all documents is as many rows as there
@@ -39,10 +40,12 @@ from timberline.llm.tables import slices
 WINDOW = 13
 PHRASE = 6
 BLOCK_BYTES = 16 << 20
-#: Words that the windows of one automaton hold at most (those of one passage at least).
+#: Words of the passages in one automaton, about (those of one passage at least).
 AUTOMATON_WORDS = 1_000_000
 #: Windows of a passage at most; longer runs are several passages that overlap.
 PASSAGE_WINDOWS = 512
+#: Places that a chunk of a passage may come from before whole windows take its place.
+CROWD = 16
 _NO_ID = (1 << 63) - 1  # rows without an id come after all others
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _KEYS = "kind int, a long, b long, block int, many boolean, doc long"
@@ -213,7 +216,9 @@ def dedup_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
 
     # dealt out once, for counting and for sending passages
-    windows = texts.groupBy("block").cogroup(shared.drop("n").groupBy("block")).applyInArrow(name_windows, _WINDOWS).repartition("a", "b")
+    windows = texts.groupBy("block").cogroup(shared.drop("n").groupBy("block")).applyInArrow(name_windows, _WINDOWS)
+    # both uses have this filter, which the join implies, and thus the same exchange
+    windows = windows.filter("a is not null and b is not null").repartition("a", "b")
     confirmed = (
         windows.groupBy("a", "b").agg(F.min(F.struct("doc", "block")).alias("own"), F.max("doc").alias("top"), F.bool_or("many").alias("many"))
         .filter("own.doc < top or many").select("a", "b", F.col("own.block").alias("block"), F.col("own.doc").alias("low"))
@@ -339,39 +344,73 @@ def _runs(ws: list[bytes], doc: int, window: int, known: tuple) -> list[tuple]:
     return out
 
 
-def shards(passages: list[tuple[int, list[int]]], window: int, limit: int):
-    """Automata over word ids, one after the other; each holds the windows of some passages with their owners."""
-    automaton, size = None, 0
-    for low, ids in passages:
-        n = window * (len(ids) - window + 1)
-        if automaton is not None and size + n > limit:
-            automaton.make_automaton()
-            yield automaton
-            automaton = None
-        if automaton is None:
-            automaton, size = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0
-        size += n
-        for k in range(len(ids) - window + 1):
-            automaton.add_word(tuple(ids[k : k + window]), low)
-    if automaton is not None:
+def shards(passages: list[tuple[int, list[int]]], window: int, limit: int, crowd: int):
+    """Automata over word ids, one after the other, each of some passages, with what its patterns stand for.
+
+    Every window holds exactly one of the chunks of ``(window + 1) // 2`` words that a
+    passage is cut into from its beginning; chunks are the patterns, with the
+    passages and places they come from. A chunk that comes from more than
+    ``crowd`` places gives way to the windows around them, with their owners.
+    """
+    half = (window + 1) // 2
+    at = 0
+    while at < len(passages):
+        begin, size = at, 0
+        chunks: dict[tuple, list] = {}
+        while at < len(passages) and (at == begin or size < limit):
+            ids = passages[at][1]
+            for k in range(0, len(ids) - half + 1, half):
+                chunks.setdefault(tuple(ids[k : k + half]), []).append((at, k))
+            size += len(ids)
+            at += 1
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for chunk, places in chunks.items():
+            if len(places) <= crowd:
+                automaton.add_word(chunk, places)
+                continue
+            for i, k in places:
+                low, ids = passages[i]
+                for first in range(max(0, k + half - window), min(k, len(ids) - window) + 1):
+                    automaton.add_word(tuple(ids[first : first + window]), low)
         automaton.make_automaton()
         yield automaton
 
 
-def locate(passages: list[tuple[int, list[bytes]]], docs: list[tuple[int, list[bytes], np.ndarray]], window: int, limit: int = AUTOMATON_WORDS) -> None:
-    """Stream every document through every shard and mark what windows of smaller owners cover."""
+def locate(passages: list[tuple[int, list[bytes]]], docs: list[tuple[int, list[bytes], np.ndarray]], window: int,
+           limit: int = AUTOMATON_WORDS, crowd: int = CROWD) -> None:
+    """Stream every document through every shard and mark what windows of smaller owners cover.
+
+    A chunk found in a document is extended to both sides as far as the words
+    of the passage go on; what is a window long or longer is an occurrence.
+    """
     letters: dict[bytes, int] = {}
     known = [(low, [letters.setdefault(w, len(letters) + 1) for w in ws]) for low, ws in sorted(passages, key=lambda p: p[1])]
     if not known:
         return
-    get = letters.get
+    get, half = letters.get, (window + 1) // 2
     coded = [np.fromiter((get(w, 0) for w in ws), np.int32, len(ws)) for _, ws, _ in docs]
-    for automaton in shards(known, window, limit):
+    for automaton in shards(known, window, limit, crowd):
         for ids, (doc, _, gone) in zip(coded, docs):
-            ends = [end for end, low in automaton.iter(tuple(ids.tolist())) if low < doc]
-            if ends:
-                at = np.array(ends)
-                edge = np.zeros(len(gone) + 1, np.int32)
-                np.add.at(edge, at - window + 1, 1)
-                np.add.at(edge, at + 1, -1)
-                gone |= np.cumsum(edge[:-1]) > 0
+            words_ = tuple(ids.tolist())
+            reached: dict[tuple[int, int], int] = {}
+            for end, places in automaton.iter(words_):
+                if type(places) is int:  # a whole window, and its owner
+                    if places < doc:
+                        gone[end - window + 1 : end + 1] = True
+                    continue
+                for i, k in places:
+                    low, passage = known[i]
+                    way = (i, end - k)
+                    if low >= doc or reached.get(way, -1) >= end:
+                        continue
+                    right, to = end + 1, k + half
+                    while right < len(words_) and to < len(passage) and words_[right] == passage[to]:
+                        right += 1
+                        to += 1
+                    left, to = end - half, k - 1
+                    while left >= 0 and to >= 0 and words_[left] == passage[to]:
+                        left -= 1
+                        to -= 1
+                    reached[way] = right - 1
+                    if right - left - 1 >= window:
+                        gone[left + 1 : right] = True
