@@ -1,160 +1,298 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, report, other). Four
-transducers over symbol strings, for insults and threats, targets, negation
-and reported speech, are composed into one deterministic machine; the weight
-of a clause is the product of what the transitions carry, times the
-lexical weight of the word that each match begins with. A document's score
-is a logistic function of its clauses' summed weights.
-
-The lexicon is learned: word beginnings that separate toxic from other
-labelled documents, found on a bounded sample. Small fixed word lists give
-threats, targets, negations and verbs of report.
+Words become symbols: insult, threat, target, negation, report, quotation mark, copula
+or determiner, intention, adversative, pause, other. Five transducers over symbol strings are
+composed into one deterministic machine:
+
+* insults: how an insult stands in its clause: called out at its beginning,
+  predicated (after a copula or determiner), or mentioned among other words;
+* threats: a threat is one after an intention or target, or before a target;
+* targets: an insult near a person is addressed to that person;
+* negation: what a negation reaches is negated, up to a pause or a "but";
+* reported speech: what follows a verb of report, or stands in quotation marks, is reported.
+
+What the machine puts out are matches of the grammar; a word alone is none. A
+match weighs its word's log-odds times the weight of its kind, and a
+document's score is a logistic function of the logarithm of its summed weights.
+
+The lexicon of insults (word beginnings that separate toxic from other
+labelled documents) and all weights are fitted on a bounded sample. Closed
+classes of words and rules of inflection for four languages are fixed.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.llm.tables import bounded_sample, slices
-from timberline.session import materialize
+from timberline.session import materialize, release
 
 #: At most about so many labelled documents are used to learn.
 MAX_TRAIN_DOCS = 10_000
-#: Word beginnings of these lengths are candidates; longer words count by their beginning.
+#: Word beginnings of these lengths are candidates, and whole words of any length.
 STEM = (3, 10)
-#: Least G statistic of a stem, and the most stems kept.
-MIN_G, MAX_STEMS = 26.0, 2_000
+#: Least G statistic of a stem.
+MIN_G = 26.0
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITGNRO"
+INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, COPULA, INTENT, BUT, PAUSE, OTHER = "ITGNRQCFBPO"
+
+# Closed classes of English, German, French and Spanish.
 WORDS = {
-    THREAT: "kill hurt destroy beat punish threaten töten verletzen zerstören tuer blesser détruire matar herir destruir".split(),
-    TARGET: "you your yours they them he she him her du dich ihr euch sie tu toi vous ils elles tú usted ustedes ellos".split(),
-    NEGATION: "not no never isn't aren't don't nicht kein keine nie pas jamais aucun nunca jamás ningún".split(),
-    REPORT: "said says say claimed reported wrote quoted sagte sagt schrieb dit disait écrit dijo dice escribió".split(),
+    TARGET: """you your yours yourself yourselves he him his she her hers they them their theirs we us our everyone everybody someone anyone people
+        du dich dir dein deine deinen deinem deiner ihr euch euer eure er ihn ihm sie ihnen ihre ihren alle jeder jemand leute
+        tu toi te ton ta tes vous votre vos il elle lui ils elles eux leur leurs tous gens
+        tú usted ustedes vosotros vosotras ti él ella ellos ellas vuestro vuestra todos todas gente""".split(),
+    NEGATION: """not no never neither nor none nobody nothing hardly without isn't aren't wasn't weren't don't doesn't didn't won't can't cannot ain't shouldn't wouldn't
+        nicht kein keine keinen keinem keiner nie niemals niemand nichts kaum ohne weder
+        ne pas jamais aucun aucune rien personne sans ni guère nunca jamás ningún ninguna ninguno nadie nada tampoco sin""".split(),
+    COPULA: """am is are was were be been being seem seems seemed look looks sound sounds such so very really total complete utter absolute
+        bin bist ist sind seid war waren wart sein gewesen scheint so sehr wirklich total völlig ein eine einen einem einer der die das den dem
+        suis es est sommes êtes sont était étaient être semble si très vraiment un une des le la les
+        soy eres somos sois son era eran ser está están estás parece tan muy una unos unas el los las a an the this that these those""".split(),
+    INTENT: """will shall going gonna want wants wanna should must would could deserve deserves hope wish let'll i'll we'll you'll he'll they'll
+        werde wirst wird werden werdet will wollen soll sollte sollten muss müssen verdient hoffe
+        vais vas va allons allez vont veux veut voulons devrait devraient doit mérite mérites espère
+        voy vamos van quiero quiere queremos debe deberían merece mereces ojalá espero""".split(),
+    BUT: "but however although though yet sondern aber doch jedoch obwohl mais cependant pourtant quoique pero sino aunque mas".split(),
+}
+# Beginnings of verbs, with the endings that their language's inflection may add.
+_VERBS = {
+    THREAT: [
+        ("kill hurt destroy beat punish threaten murder stab shoot strangle crush smash attack burn hang drown poison slaughter torture", "|s|es|ed|t|ing|er"),
+        ("töt verletz zerstör schlag bestraf bedroh ermord erschieß erwürg verbrenn verprügel vergift folter vernicht", "e|st|t|en|te|ten|et|end"),
+        ("tu bless détrui frapp pun menac assassin poignard étrangl écras brûl empoisonn tortur massacr", "e|es|ons|ez|ent|er|é|ée|re|s|t|ir|is"),
+        ("mat her destru golpe castig amenaz asesin apuñal estrangul aplast quem envenen tortur", "o|as|a|amos|an|ar|é|ó|ado|ada|ir|ido|iré|aré|ando"),
+    ],
+    REPORT: [
+        ("say said says tell told claim report write wrote written quote state argue explain recall repeat shout whisper allege", "|s|d|ed|ing|ting"),
+        ("sag schrieb erklär bericht behaupt zitier erzähl mein rief antwort", "e|st|t|en|te|ten|ete|eten"),
+        ("di disait écri déclar affirm racont cit rapport répét cri", "t|s|re|e|er|ent|ait|a|é|vit|vait|sent"),
+        ("dij dic dec escrib declar afirm cont cit repit grit", "o|e|a|es|en|an|ía|ió|ó|ieron|ir|aron|aba"),
+    ],
 }
-_CLAUSE = re.compile(r"[.!?;:,\n]+")
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+# Fixed values end here.
+
+_STRONG = re.compile(r"[.!?;\n]+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]|[,:]")
+
+
+def _verb(symbol: str) -> str:
+    return "|".join(f"(?:{'|'.join(stems.split())})(?:{endings})" for stems, endings in _VERBS[symbol])
+
+
+_VERB = {s: re.compile(_verb(s)) for s in _VERBS}
+
+
+@functools.lru_cache(1 << 16)
+def closed_class(token: str) -> str:
+    """The symbol of a token that is no insult."""
+    if len(token) == 1 and not token.isalpha():
+        return PAUSE if token in ",:" else QUOTE
+    for symbol, words in _SETS.items():
+        if token in words:
+            return symbol
+    return next((s for s, r in _VERB.items() if r.fullmatch(token)), OTHER)
+
+
+_SETS = {s: frozenset(w) for s, w in WORDS.items()}
 
 
 class Transducer:
-    """Deterministic, weighted: ``arcs[state][symbol] = (output, weight, next state)``."""
+    """Deterministic: a step from a state with a symbol gives an output symbol and the next state. Steps are remembered."""
 
-    def __init__(self, start, arcs: dict):
-        self.start, self.arcs = start, arcs
+    def __init__(self, start, step: Callable):
+        self.start, self._step, self._known = start, step, {}
+
+    def step(self, state, symbol: str) -> tuple:
+        known = self._known.get((state, symbol))
+        if known is None:
+            known = self._known[state, symbol] = self._step(state, symbol)
+        return known
 
     def compose(self, other: Transducer) -> Transducer:
-        """Read with ``self``, feed its output to ``other``; weights multiply. Reachable states only."""
-        start = (self.start, other.start)
-        arcs: dict = {}
-        todo = [start]
-        while todo:
-            a, b = state = todo.pop()
-            if state in arcs:
-                continue
-            arcs[state] = {}
-            for symbol, (out, w, a2) in self.arcs[a].items():
-                final, w2, b2 = other.arcs[b][out]
-                arcs[state][symbol] = (final, w * w2, (a2, b2))
-                todo.append((a2, b2))
-        return Transducer(start, arcs)
-
-    def run(self, symbols: str) -> list[tuple[str, float]]:
+        """Read with ``self`` and feed its output to ``other``; states are made as they are reached."""
+
+        def both(state, symbol):
+            middle, a = self.step(state[0], symbol)
+            out, b = other.step(state[1], middle)
+            return out, (a, b)
+
+        return Transducer((self.start, other.start), both)
+
+    def run(self, symbols) -> list[str]:
         state, out = self.start, []
         for s in symbols:
-            o, w, state = self.arcs[state][s]
-            out.append((o, w))
+            o, state = self.step(state, s)
+            out.append(o)
         return out
 
 
-def _within(opens: str, reach: int, factor: float) -> Transducer:
-    """Insults and threats at most ``reach`` symbols after ``opens`` carry ``factor``."""
-    arcs = {}
-    for left in range(reach + 1):
-        arcs[left] = {}
-        for s in (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER):
-            nxt = reach if s == opens else max(0, left - 1)
-            arcs[left][s] = (s, factor if s in (INSULT, THREAT) and left else 1.0, nxt)
-    return Transducer(0, arcs)
+#: Reach, in symbols, of what comes before and after.
+BEFORE, AFTER, NEGATED = 5, 3, 4
+CALLED, MENTIONED, PREDICATED, ADDRESSED, POINTED, THREATENED = KINDS = "xmpdat"
+_INSULTS = (CALLED, MENTIONED, PREDICATED)
+
+
+def _insults() -> Transducer:
+    def step(state, s):
+        if s == INSULT:
+            return (CALLED, MENTIONED, PREDICATED, PREDICATED)[state], 1
+        return s, 0 if s in (PAUSE, QUOTE) else 2 if s == COPULA else 3 if state == 2 else 1
+
+    return Transducer(0, step)
 
 
 def _threats() -> Transducer:
-    """A threat counts only in a clause that has named its target; without one it is another word."""
-    arcs = {}
-    for seen in (0, 1):
-        arcs[seen] = {s: (s, 1.0, 1 if s == TARGET else seen) for s in (INSULT, TARGET, NEGATION, REPORT, OTHER)}
-        arcs[seen][THREAT] = (THREAT if seen else OTHER, 1.0, seen)
-    return Transducer(0, arcs)
+    """State: symbols since an intention or target, and since a threat that waits for its target."""
+
+    def step(state, s):
+        near, waits = state
+        if s == THREAT:
+            return (THREATENED, (max(near - 1, 0), 0)) if near else (OTHER, (0, AFTER))
+        if s == TARGET and waits:
+            return THREATENED, (BEFORE, 0)
+        return s, (BEFORE if s in (INTENT, TARGET) else 0 if s in (BUT, REPORT) else max(near - 1, 0), max(waits - 1, 0))
+
+    return Transducer((0, 0), step)
 
 
-#: threats, then targets near what hits them, then negation, then reported speech
-GRAMMAR = _threats().compose(_within(TARGET, 4, 1.25)).compose(_within(NEGATION, 3, 0.45)).compose(_within(REPORT, 12, 0.75))
-THREAT_WEIGHT = 2.0
+def _targets() -> Transducer:
+    """Insults after a target are addressed, unless the target is who reports; a target soon after an insult points at it."""
+
+    def step(state, s):
+        near, waits = state
+        if s in _INSULTS:
+            return (ADDRESSED, (max(near - 1, 0), 0)) if near else (s, (0, AFTER))
+        if s == TARGET:
+            return (POINTED if waits else s), (BEFORE, 0)
+        return s, (0 if s == REPORT else max(near - 1, 0), max(waits - 1, 0))
+
+    return Transducer((0, 0), step)
+
+
+def _negation() -> Transducer:
+    def step(left, s):
+        if s[0] in KINDS:
+            return s + "-" if left else s, max(left - 1, 0)
+        return s, NEGATED if s == NEGATION else 0 if s in (BUT, PAUSE) else max(left - 1, 0)
+
+    return Transducer(0, step)
+
+
+def _reports() -> Transducer:
+    """State: whether a verb of report has come, whether a quotation is open."""
+
+    def step(state, s):
+        told, quoted = state
+        if s[0] in KINDS:
+            return s + "'" if told or quoted else s, state
+        return s, (told or s == REPORT, quoted ^ (s == QUOTE))
+
+    return Transducer((False, False), step)
+
+
+GRAMMAR = _insults().compose(_threats()).compose(_targets()).compose(_negation()).compose(_reports())
+#: Log-odds that stand for a threat.
+THREAT_ODDS = 3.0
+#: Where fitting starts, and what it is drawn to: weights of the kinds, factors of negation and report.
+PRIOR = {CALLED: 1.0, MENTIONED: 0.6, PREDICATED: 1.0, ADDRESSED: 1.5, POINTED: 0.5, THREATENED: 1.5}
+NEGATED_FACTOR, REPORTED_FACTOR = 0.4, 0.6
+WEIGHTS = {k + n + r: w * (NEGATED_FACTOR if n else 1.0) * (REPORTED_FACTOR if r else 1.0) for k, w in PRIOR.items() for n in ("", "-") for r in ("", "'")}
+CELLS = sorted(WEIGHTS)
+
+
+def _either(words: list[str]) -> str:
+    """A regular expression for any of the words, shared beginnings first."""
+    if "" in words:
+        return ""
+    by: dict[str, list[str]] = defaultdict(list)
+    for w in words:
+        by[w[0]].append(w[1:])
+    return "(?:" + "|".join(re.escape(c) + _either(rest) for c, rest in sorted(by.items())) + ")"
 
 
 @dataclass
 class ToxicityModel:
-    """Stems with weights, and the logistic from clause weights to a score."""
+    """Stems with log-odds, weights of the grammar's matches, and the logistic from their sum to a score."""
 
     stems: dict[str, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
     bias: float = -3.0
-    scale: float = 1.0
+    scale: float = 2.0
 
     def __post_init__(self):
-        self._fixed = {w: s for s, ws in WORDS.items() for w in ws}
-        keys = sorted(self.stems, key=lambda w: (-len(w), w))
-        threats = [re.escape(w) for w in WORDS[THREAT]]
-        either = "|".join([*map(re.escape, keys), *(f"{w}(?![^\\W\\d_])" for w in threats)])
-        self._hit = re.compile(rf"(?<![^\W\d_])(?:{either})")
-        self._long = max(map(len, keys), default=0)
+        threat = f"(?:{_verb(THREAT)})(?![^\\W\\d_])"
+        self._hit = re.compile(rf"(?<![^\W\d_])(?:{threat}{'|' + _either(sorted(self.stems)) if self.stems else ''})")
+        self._long = max(map(len, self.stems), default=0)
 
     def __reduce__(self):
-        return (ToxicityModel, (self.stems, self.bias, self.scale))
+        return (ToxicityModel, (self.stems, self.weights, self.bias, self.scale))
 
     def symbol(self, word: str) -> tuple[str, float]:
         for n in range(min(len(word), self._long), 0, -1):
             w = self.stems.get(word[:n])
             if w is not None:
                 return INSULT, w
-        kind = self._fixed.get(word, OTHER)
-        return kind, THREAT_WEIGHT if kind == THREAT else 0.0
+        kind = closed_class(word)
+        return kind, THREAT_ODDS if kind == THREAT else 0.0
 
-    def clauses(self, text: str) -> list[tuple[str, float]]:
-        """Matched clauses with their weights, in order. Clauses without an insult or threat weigh nothing."""
+    def matches(self, text: str) -> list[tuple[str, list[tuple[str, float]]]]:
+        """Clauses with what the grammar finds in them: kinds of match and log-odds of the words that make them."""
         low = text.lower()
         if not self._hit.search(low):
             return []
         found, end = [], 0
-        cuts = [(m.start(), m.end()) for m in _CLAUSE.finditer(low)] + [(len(low), len(low))]
+        cuts = [(m.start(), m.end()) for m in _STRONG.finditer(low)] + [(len(low), len(low))]
         for a, b in cuts:
             clause = low[end:a]
             end = b
             if not clause or not self._hit.search(clause):
                 continue
-            tokens = [self.symbol(w) for w in _TOKEN.findall(clause)]
-            run = GRAMMAR.run("".join(s for s, _ in tokens))
-            weight = sum(w * lex for (out, w), (_, lex) in zip(run, tokens) if out in (INSULT, THREAT))
-            if weight > 0:
-                found.append((clause.strip(), weight))
+            state, odds, out = GRAMMAR.start, 0.0, []
+            for token in _TOKEN.findall(clause):
+                symbol, lex = self.symbol(token)
+                kind, state = GRAMMAR.step(state, symbol)
+                odds = lex or odds  # a match that a target completes is that of the word before
+                if kind[0] in KINDS:
+                    out.append((kind, odds))
+            if out:
+                found.append((clause.strip(), out))
         return found
 
+    def clauses(self, text: str) -> list[tuple[str, float]]:
+        """Matched clauses with their weights, in order."""
+        return [(c, sum(self.weights[k] * x for k, x in out)) for c, out in self.matches(text)]
+
+    def evidence(self, text: str) -> np.ndarray:
+        """Summed log-odds by kind of match."""
+        x = np.zeros(len(CELLS))
+        for _, out in self.matches(text):
+            for k, odds in out:
+                x[_CELL[k]] += odds
+        return x
+
     def score(self, text: str | None) -> float:
         total = sum(w for _, w in self.clauses(text or ""))
-        return float(1 / (1 + np.exp(-(self.bias + self.scale * min(total, 50.0)))))
+        return float(1 / (1 + np.exp(-(self.bias + self.scale * np.log1p(total)))))
+
+
+_CELL = {k: i for i, k in enumerate(CELLS)}
 
 
 def _features(text: str) -> set[str]:
-    words = {w[: STEM[1]] for w in _TOKEN.findall(text.lower())}
-    return {w[:n] for w in words for n in range(STEM[0], len(w) + 1)}
+    words = {w for w in _TOKEN.findall(text.lower()) if w[0].isalpha()}
+    return {w[:n] for w in words for n in range(STEM[0], min(len(w), STEM[1]) + 1)} | {w for w in words if len(w) > STEM[1]}
 
 
 def _sketch(text: str) -> int:
@@ -163,26 +301,25 @@ def _sketch(text: str) -> int:
     return min((xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1 for a, b in zip(words, words[1:])), default=xxhash.xxh3_64_intdigest(text) >> 1)
 
 
-def _g(a, b, pos, neg):
-    """G statistic of a feature seen in ``a`` of ``pos`` and ``b`` of ``neg`` documents; 0 unless it leans to the first."""
-    a, b = np.asarray(a, float), np.asarray(b, float)
+def _g(a: Column, b: Column, pos: int, neg: int) -> Column:
+    """G statistic of a feature seen in ``a`` of ``pos`` and ``b`` of ``neg`` documents."""
     share = (a + b) / (pos + neg)
 
     def term(x, e):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(e, 1e-12)), 0.0)
+        return F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
 
-    g = 2 * (term(a, pos * share) + term(b, neg * share) + term(pos - a, pos * (1 - share)) + term(neg - b, neg * (1 - share)))
-    return np.where(a / max(pos, 1) > 3 * b / max(neg, 1), g, 0.0)
+    return 2 * (term(a, pos * share) + term(b, neg * share) + term(pos - a, pos * (1 - share)) + term(neg - b, neg * (1 - share)))
 
 
 def learn(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id",
           max_docs: int = MAX_TRAIN_DOCS) -> ToxicityModel:
-    """Lexicon and logistic from at most about ``max_docs`` labelled rows.
+    """Lexicon, weights and logistic from at most about ``max_docs`` labelled rows.
 
     Tasks count, per word beginning, the toxic and other documents that have
-    it; sums by key follow, and only beginnings with a significant lean come
-    to the driver, ``MAX_STEMS`` at most. Of near copies one is counted. Of beginnings that extend each
-    other the most telling is kept. No usable labels: no stems, low scores.
+    it; sums by key and their G statistic follow, and what leans to the toxic
+    ones significantly comes to the driver: parts of a bounded sample. Of near
+    copies one is counted. Of beginnings that extend each other the most
+    telling is kept. No usable labels: no stems, low scores.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
     rows = bounded_sample(rows.filter("t is not null and y in (0, 1)"), max_docs).repartition(8)
@@ -213,52 +350,45 @@ def learn(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", id_
     size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
+        release(rows)
         return ToxicityModel()
-    lean = F.col("a") * neg - 3 * F.col("b") * pos
-    some = counted.filter((F.col("a") >= 3) & (lean > 0)).orderBy(lean.desc(), "f").limit(20 * MAX_STEMS).collect()
-    if not some:
-        return ToxicityModel()
-    g = _g([r["a"] for r in some], [r["b"] for r in some], pos, neg)
-    order = sorted(range(len(some)), key=lambda k: (-g[k], -len(some[k]["f"]), some[k]["f"]))
+    leans = counted.filter((F.col("a") >= 3) & (F.col("a") * neg > 3 * F.col("b") * pos)).withColumn("g", _g(F.col("a"), F.col("b"), pos, neg))
+    some = leans.filter(F.col("g") >= MIN_G).collect()
     stems: dict[str, float] = {}
     begun: Counter = Counter()
-    for k in order:
-        f, a, b = some[k]["f"], some[k]["a"], some[k]["b"]
-        if g[k] < MIN_G or len(stems) >= MAX_STEMS:
-            break
+    for r in sorted(some, key=lambda r: (-r["g"], -len(r["f"]), r["f"])):
+        f, a, b = r["f"], r["a"], r["b"]
         if begun[f] or any(f[:n] in stems for n in range(1, len(f))):
             continue
         stems[f] = float(np.log((a + 0.5) / (pos + 1)) - np.log((b + 0.5) / (neg + 1)))
         begun.update(f[:n] for n in range(1, len(f) + 1))
     model = ToxicityModel(stems)
 
-    def totals(batches):
+    def evidence(batches):
         for batch in batches:
             for piece, texts in slices(batch, 1):
-                total = [sum(w for _, w in model.clauses(t)) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(total, pa.float64()), piece.column(2)], names=["x", "y"])
-
-    seen = rows.mapInArrow(totals, "x double, y int")
-    # a bounded histogram stands for the sample when the logistic is fitted
-    bins = seen.groupBy(F.round(F.least("x", F.lit(50.0)), 1).alias("x"), "y").count().collect()
-    x, y, n = (np.array([float(r[k]) for r in bins]) for k in range(3))
-    return ToxicityModel(stems, *_logistic(x, y, n))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Bias and scale by Newton steps with a weak prior; a scale below 0.05 is not taken."""
-    w = np.array([-3.0, 1.0])
-    a = np.stack([np.ones_like(x), x], axis=1)
-    prior = np.diag([0.01, 0.1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (n * (p - y)) + prior @ (w - np.array([-3.0, 1.0]))
-        hess = (a * (n * p * (1 - p))[:, None]).T @ a + prior
-        step = np.linalg.solve(hess, grad)
-        w = w - np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(w[0]), float(max(w[1], 0.05))
+                yield pa.RecordBatch.from_arrays([pa.array([model.evidence(t).tolist() for t in texts], pa.list_(pa.float64())), piece.column(2)], names=["x", "y"])
+
+    # documents with equal evidence are one row with a count
+    seen = rows.mapInArrow(evidence, "x array<double>, y int").groupBy("x", "y").count().orderBy("x", "y").collect()
+    release(rows)
+    return ToxicityModel(stems, *fitted(np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float), np.array([r["count"] for r in seen], float)))
+
+
+def fitted(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 400) -> tuple[dict[str, float], float, float]:
+    """Weights of the kinds, bias and scale: most likely on rows of evidence with labels and counts, drawn to the prior."""
+    start = np.concatenate([np.log([WEIGHTS[k] for k in CELLS]), [-3.0, np.log(2.0)]])
+    theta, m, v = start.copy(), np.zeros(len(start)), np.zeros(len(start))
+    for step in range(1, steps + 1):
+        w, bias, scale = np.exp(theta[:-2]), theta[-2], np.exp(theta[-1])
+        total = x @ w
+        low = np.log1p(total)
+        d = n * (1 / (1 + np.exp(-np.clip(bias + scale * low, -30, 30))) - y)
+        g = np.concatenate([(d * scale / (1 + total)) @ x * w, [d.sum(), (d * low).sum() * scale]]) + 0.5 * (theta - start)
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        theta = theta - 0.05 * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return dict(zip(CELLS, np.exp(theta[:-2]).tolist())), float(theta[-2]), float(np.exp(theta[-1]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_out: str = "score",
@@ -266,7 +396,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     """Append a score from 0 to 1 to every row, and the matched clauses with weights if wanted.
 
     Whole texts are read. Null and empty texts get the score of a text
-    without matches. Input columns named like an output are replaced.
+    without matches; more matched clauses always score higher. Input columns named like an output are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     drop = [c for c in (score_out, clauses_out) if c and c != text_col]
