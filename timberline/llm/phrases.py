@@ -254,7 +254,7 @@ def dedup_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     passages = texts.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(cut_passages, _PASSAGES).repartition("pid")
     starts = passages.mapInArrow(windows_of, "pid long, low long, a long, b int")
     # a block that knows a window from its owner alone has nothing to remove
-    wanted = starts.join(windows, ["a", "b"]).filter("doc > low or many").select("pid", "block").repartition("pid").distinct()
+    wanted = starts.join(windows, ["a", "b"]).filter("doc > low or many").select("pid", "block").distinct()
     none = F.lit(None)
     sent = wanted.join(passages.mapInArrow(texts_of, "pid long, low long, packed binary"), "pid").select(
         "block", "low", "packed", none.cast("long").alias("a"), none.cast("long").alias("b")
