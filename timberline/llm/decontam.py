@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.llm.tables import slices
+from timberline.session import materialize, release
 
 WINDOW = 10
-#: Text of test items that one broadcast may hold (its windows take some hundred times as much); more items are dealt into several passes.
-BLOCK_BYTES = 2 << 20
+#: Text of test items that one broadcast may hold (its windows take some ten times as much); more items are dealt into several passes, one after the other.
+BLOCK_BYTES = 8 << 20
 
 _WORD = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(0x80, 0x100))
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c in _WORD else 32 for c in range(256))
@@ -33,26 +34,33 @@ def words(text: str | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """Windows of the test items, interned: those of full length and whole shorter items."""
+    """Beginnings of the suffixes of the test items, interned: of full length, and whole shorter items.
+
+    Equal ones are one row; ``first`` bounds each row's places, which are an item and a position in it.
+    """
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.window = window
         self.ids: dict[bytes, int] = {}
-        found: dict[tuple, list] = defaultdict(list)
         self.names: list[str | None] = []
-        for name, text in items:
-            seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            at = len(self.names)
+        found: dict[int, list] = defaultdict(list)
+        for at, (name, text) in enumerate(items):
             self.names.append(name)
+            seq = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)], np.uint32)
             n = min(window, len(seq))
-            for j in range(len(seq) - n + 1 if n else 0):
-                found[tuple(seq[j : j + n])].append((at, j))
-        self.by_length: dict[int, tuple[np.ndarray, list]] = {}
-        for n in sorted({len(k) for k in found}):
-            keys = [k for k in found if len(k) == n]
-            self.by_length[n] = (np.array(keys, np.int64).reshape(len(keys), n), [found[k] for k in keys])
+            if n:
+                rows = np.lib.stride_tricks.sliding_window_view(seq, n)
+                found[n].append((rows, np.full(len(rows), at, np.int64), np.arange(len(rows))))
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(found):
+            rows, item, position = (np.concatenate(x) for x in zip(*found[n]))
+            keys = self.keys(rows, 0)
+            order = np.argsort(keys, kind="stable")
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[order][1:] != keys[order][:-1]
+            self.by_length[n] = (rows[order][new], np.append(np.flatnonzero(new), len(keys)), item[order], position[order])
         self.shortest = min(self.by_length, default=0)
 
     def keys(self, rows: np.ndarray, pad: int) -> np.ndarray:
@@ -85,13 +93,14 @@ def search(tests: TestSuffixes, texts: list) -> list[tuple]:
     order = np.argsort(keys, kind="stable")
     keys, array = keys[order], suffixes[order]
     hits: dict[int, list] = defaultdict(list)  # document: (position, length, places in items)
-    for n, (windows, places) in tests.by_length.items():
+    for n, (windows, first, item, position) in tests.by_length.items():
         low = np.searchsorted(keys, tests.keys(windows, 0), "left")
         high = np.searchsorted(keys, tests.keys(windows, 0xFFFFFFFF if n < tests.window else 0), "right")
         for k in np.flatnonzero(high > low):
             at = array[low[k] : high[k]]
+            places = list(zip(item[first[k] : first[k + 1]].tolist(), position[first[k] : first[k + 1]].tolist()))
             for p, d in zip(at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist()):
-                hits[d].append((p - int(starts[d]), n, places[k]))
+                hits[d].append((p - int(starts[d]), n, places))
     for d, found in hits.items():
         found.sort(key=lambda x: x[:2])
         spans: list[list[int]] = []
@@ -134,28 +143,29 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> lis
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                       item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                       item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
     """Append what each row of ``docs`` shares verbatim with the test items.
 
     ``n_words``; ``hits``: intervals of word positions inside occurrences of
     test windows; ``items``: the ids of items that have a window here, sorted;
-    the longest verbatim match with its place and item. Only items are
-    broadcast, in blocks of a proven size; each further block is another pass
-    in the same stage. Null text has no words; an item whose id is null counts
+    the longest verbatim match with its place and item. A match is at least a
+    window long (or a whole shorter item): suffixes are searched by their first ``window``
+    words, and where the following suffix of an item matches the following word, the match goes on.
+    Only items are broadcast, a block of proven size at a time; with several
+    blocks each is a pass of its own, whose outcome is written before
+    the next block is fetched. Null text has no words; an item whose id is null counts
     for hits but cannot be listed; items without words and an empty benchmark
-    match nothing. Input columns named like an output are replaced.
+    match nothing. Outputs are named with ``prefix``; input columns named like one are replaced.
     """
-    names = [f.name for f in _OUT]
+    names = [prefix + f.name for f in _OUT]
     kept = docs.drop(*[n for n in names if n != text_col])
     columns_in = kept.columns
     at, width = columns_in.index(text_col), len(columns_in)
-    schema = T.StructType([*kept.schema.fields, *_OUT])
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(names, _OUT))])
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    context = docs.sparkSession.sparkContext
 
-    def one_pass(df: DataFrame, block: DataFrame, first: bool) -> DataFrame:
-        items = [(r["i"], r["t"]) for r in block.collect()]
-        shared = df.sparkSession.sparkContext.broadcast(TestSuffixes(items, window))
-
+    def one_pass(df: DataFrame, shared, first: bool) -> DataFrame:
         def run(batches):
             for batch in batches:
                 for piece, texts in slices(batch, at):
@@ -172,9 +182,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema_arrow = [pa.int64(), pa.list_(span), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string()]
-    out = kept
+    out, before = kept, None
     for k, block in enumerate(blocks):
-        out = one_pass(out, block, k == 0)
+        shared = context.broadcast(TestSuffixes([(r["i"], r["t"]) for r in block.collect()], window))
+        out = one_pass(out, shared, k == 0)
+        if len(blocks) > 1:
+            out = materialize(out)
+            shared.destroy()
+            release(before)
+            before = out
     return out
 
 
@@ -195,8 +211,6 @@ def n_hit(column: str = "hits"):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """Drop the rows that hold an occurrence of a test window; columns stay as they are."""
-    marked = find_contamination(docs.withColumn("__tl_text", F.col(text_col)), benchmark, "__tl_text", **options)
-    if {f.name for f in _OUT} & set(docs.columns):
-        raise ValueError("rename columns of docs that are called like an output of find_contamination")
-    return marked.filter(F.size("hits") == 0).select(docs.columns)
+    """Drop the rows that hold an occurrence of a test window; columns stay as they are, whatever their names."""
+    marked = find_contamination(docs, benchmark, text_col, prefix="__tl_", **options)
+    return marked.filter(F.size("__tl_hits") == 0).select(docs.columns)

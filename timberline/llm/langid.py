@@ -27,6 +27,8 @@ SLICE = 1 << 20
 #: At most about so many labelled documents are used to fit.
 MAX_TRAIN_DOCS = 12_000
 UNKNOWN = "und"
+#: Letters from which on a text is judged by how likely its n-grams are, and how far below all training texts it may lie (nats an n-gram).
+JUDGED_LETTERS, MARGIN = 20, 2.0
 
 
 @functools.lru_cache(1)
@@ -37,7 +39,7 @@ def _letters() -> np.ndarray:
 def grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams of all texts, (orders x positions), the first position of each text, letters per text.
 
-    Texts are lower-cased; each run of other than letters becomes a space, and a space bounds each text.
+    Texts are lower-cased; each run of other than letters becomes a space, and spaces bound each text.
     """
     letters = _letters()
     parts, counts = [], np.zeros(len(texts), np.int64)
@@ -48,7 +50,8 @@ def grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes = np.where(is_letter, codes, 32)
         keep = is_letter.copy()
         keep[1:] |= is_letter[:-1]  # the first of the others after a letter stays as a space
-        parts.append(np.concatenate(([np.uint32(32)], codes[keep], [np.uint32(32), np.uint32(32)])))
+        # the n-grams of a text end in spaces, its own and those that the next one begins with
+        parts.append(np.concatenate(([np.uint32(32)] * 2, codes[keep], [np.uint32(32)])))
     starts = np.cumsum([0] + [len(p) for p in parts])
     codes = np.concatenate([*parts, np.full(max(ORDERS), 32, np.uint32)]).astype(np.uint64)
     n = int(starts[-1])
@@ -63,11 +66,36 @@ def grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """``log_prob`` is (buckets x languages), ``log_prior`` one value a language."""
+    """``log_prob`` is (buckets x languages), ``log_prior`` one value a language.
+
+    ``least`` is, by language, the lowest mean log-probability an n-gram that a training text of the language has.
+    """
 
     languages: list
     log_prob: np.ndarray
     log_prior: np.ndarray
+    least: np.ndarray | None = None
+
+    def likelihood(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Mean log-probability of an n-gram in each language (texts x languages), and letters of each text."""
+        buckets, starts, letters = grams(texts)
+        total = np.zeros((len(texts), len(self.languages)))
+        for row in buckets:
+            total += np.add.reduceat(self.log_prob[row], starts, axis=0, dtype=np.float64)
+        n = len(ORDERS) * np.diff(np.append(starts, buckets.shape[1]))
+        return total / n[:, None], letters
+
+    def accepted(self, texts: list, min_score: float) -> list[bool]:
+        """Whether a learned language explains each text: its n-grams are about as likely as those of training texts, and no other language is nearly as good."""
+        if not texts:
+            return []
+        if not self.languages:
+            return [bool(n) for n in grams(texts)[2]]
+        mean, letters = self.likelihood(texts)
+        langs, scores = self.score(texts)
+        best = (mean + 0.0).argmax(axis=1)
+        near = (letters < JUDGED_LETTERS) | (mean[np.arange(len(texts)), best] >= self.least[best] - MARGIN)
+        return [lang != UNKNOWN and s >= min_score and bool(ok) for lang, s, ok in zip(langs, scores, near)]
 
     def score(self, texts: list) -> tuple[list, list]:
         """Best language and a score from 0 to 1 for each text; ``und`` and 0 without letters."""
@@ -92,12 +120,13 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-        max_docs: int = MAX_TRAIN_DOCS, alpha: float = 0.5) -> LanguageModel:
+        max_docs: int = MAX_TRAIN_DOCS, alpha: float = 0.5, ranges: bool = False) -> LanguageModel:
     """Fit on at most about ``max_docs`` rows of ``docs`` with text and language.
 
     Counting is a Spark job: tasks count n-grams by (language, bucket), the
     counts are summed by key, and only that bounded table (languages x
-    buckets) comes to the driver. No labelled rows: a model without
+    buckets) comes to the driver. With ``ranges`` a second job notes how unlikely
+    training texts get. No labelled rows: a model without
     languages, which says ``und``.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
@@ -132,7 +161,23 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     log_prob = np.log(seen / seen.sum(axis=0)).astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32)
     n_docs = sums[BUCKETS]
     log_prior = np.log((n_docs + 1) / (n_docs + 1).sum()) if languages else np.zeros(0)
-    return LanguageModel(languages, log_prob, log_prior)
+    model = LanguageModel(languages, log_prob, log_prior, np.full(len(languages), -np.inf))
+
+    def lowest(batches):
+        held: dict = {}
+        for batch in batches:
+            for piece, texts in slices(batch, 1, SLICE):
+                mean, letters = model.likelihood(texts)
+                for lang, row, n in zip(piece.column(2).to_pylist(), mean, letters):
+                    if n >= JUDGED_LETTERS:
+                        x = float(row[at[lang]])
+                        held[lang] = min(x, held.get(lang, x))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.float64())], names=["lang", "x"])
+
+    if ranges and languages:
+        lows = {r["lang"]: r["x"] for r in rows.repartition(8).mapInArrow(lowest, "lang string, x double").groupBy("lang").agg(F.min("x").alias("x")).collect()}
+        model.least = np.array([lows.get(lang, -np.inf) for lang in languages])
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text",
@@ -161,10 +206,20 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text",
 
 
 def filter_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
-    """Keep the rows whose language is known with ``min_score`` at least; columns stay as they are.
+    """Keep the rows that a learned language explains; columns stay as they are.
 
-    Letterless and null texts go. A document that is written in one of the
-    learned languages scores far above the default.
+    Letterless and null texts go; so do texts of ``JUDGED_LETTERS`` letters or more
+    whose n-grams are by ``MARGIN`` less likely than those of any training text of
+    the best language (another language or script, or junk), and texts whose
+    language is known with less than ``min_score``. Without ``ranges``
+    in the fit the likelihood is not judged. A model without languages keeps every text that has a letter.
     """
-    marked = identify(docs, model, text_col, "__tl_lang", "__tl_score")
-    return marked.filter((F.col("__tl_lang") != UNKNOWN) & (F.col("__tl_score") >= min_score)).select(docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for piece, texts in slices(batch, at, SLICE):
+                yield piece.filter(pa.array(shared.value.accepted(texts, min_score), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -53,7 +53,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.rotate(table(spark, sf_dir, "conversations")))
 
 
 def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

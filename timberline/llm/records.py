@@ -6,11 +6,14 @@ The payload holds the document's id (8 bytes signed) and its token ids, in
 16 bits each where the vocabulary allows, else in 32; the first byte of the
 file's name after the dash says which. Beside each part lies an index:
 document id, offset, and number of tokens, 8 bytes each, one row a record.
+The file ``parts.json`` lists the parts in order; only what it lists belongs to the
+data, so that a lost task leaves nothing behind that a reader would take up.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -29,6 +32,8 @@ from timberline.session import scratch_dir
 
 #: Entries kept in a worker's memory between batches, at most before a slice.
 CACHE_ENTRIES = 1_000_000
+#: Text that one part file holds, about.
+PART_BYTES = 256 << 20
 _SPACE, _ODD = re.compile(r"[ \t\n\r]+"), re.compile(r"[\x1c-\x1f]")
 _PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]{1,64}")
 _END = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=[ \n]|$)")
@@ -157,21 +162,23 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id",
-                  text_col: str = "text", partitions: int | None = None) -> list[dict]:
+                  text_col: str = "text", part_bytes: int = PART_BYTES) -> list[dict]:
     """Encode whole texts and write part files with their indexes in ascending order of id.
 
     Rows are dealt by ranges of ids, so that the parts in order hold the
     documents in order; within a part a task streams, one slice of texts at a
-    time. Parts are written under the name of the attempt and renamed, so
-    a repeated task replaces its own part and nothing else. Rows with a null
+    time. A part holds about ``part_bytes`` of text. Each attempt of a task writes
+    files of its own name, and those whose task was counted are listed in
+    ``parts.json``, which is written last: nothing is renamed, and a repeated
+    task disturbs nothing. Rows with a null
     id come first and are written as the least 64-bit integer. Null text
     counts as empty. Rows of one id follow each other by a hash of the text.
-    Returns one small row for each part: name, documents,
-    tokens.
+    Returns one small row for each part: name, documents, tokens.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // part_bytes))
     # the text's hash splits an id that a large share of the rows has
     keyed = rows.withColumn("h", F.xxhash64("t"))
     dealt = keyed.repartitionByRange(n, "i", "h").sortWithinPartitions("i", "h").select("i", "t")
@@ -182,8 +189,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
         bits = 16 if words.size <= 1 << 16 and (end_id or 0) < 1 << 16 else 32
         store, base = _open(folder)
         ctx = TaskContext.get()
-        name = f"part-{'h' if bits == 16 else 'w'}{ctx.partitionId():06d}"
-        own = f"{base}/_{name}-{ctx.taskAttemptId()}"
+        name = f"part-{'h' if bits == 16 else 'w'}{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
+        own = f"{base}/{name}"
         at = docs_ = tokens = 0
         wrote = False
         with store.open_output_stream(own + ".rec") as f, store.open_output_stream(own + ".idx") as x:
@@ -202,18 +209,26 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
                         tokens += len(ids) // 4
                     x.write(b"".join(index))
                     wrote = wrote or bool(index)
-        for kind in (".rec", ".idx"):
-            if wrote:
-                store.move(own + kind, f"{base}/{name}{kind}")
-            else:
-                store.delete_file(own + kind)
         if wrote:
             yield pa.RecordBatch.from_pylist([{"part": name, "docs": docs_, "tokens": tokens}])
+        else:
+            for kind in (".rec", ".idx"):
+                store.delete_file(own + kind)
 
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
     done = dealt.mapInArrow(run, "part string, docs long, tokens long").collect()
-    return [r.asDict() for r in sorted(done, key=lambda r: r["part"])]
+    parts = [r.asDict() for r in sorted(done, key=lambda r: r["part"])]
+    with store.open_output_stream(f"{base}/parts.json") as f:
+        f.write(json.dumps(parts).encode())
+    return parts
+
+
+def read_parts(folder: str) -> list[dict]:
+    """The parts of a folder that ``write_records`` filled."""
+    store, base = _open(folder)
+    with store.open_input_stream(f"{base}/parts.json") as f:
+        return json.loads(f.read())
 
 
 def read_records(spark, folder: str, parts: list[dict], slice_bytes: int = 4 << 20) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm.tables import slices
 from timberline.plans.components import connected_components
-from timberline.session import materialize
+from timberline.session import materialize, release
 
 SHINGLE = 3
 SEED = 42
@@ -128,21 +128,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents whose fingerprints differ in ``max_bits`` bits at most are
     linked; ``component_id`` is the smallest id reachable. Exact copies share
     a fingerprint and are handled as one. Null or empty text has fingerprint
-    zero and is linked like any other. Rows with a null id get the component
+    zero and is linked like any other. Rows with a null id link others and get the component
     of their fingerprint, null if all rows of that component have none.
     Repeated rows are returned as often as they come; an empty table gives
     an empty result. Other columns are not carried.
     """
     fpd = materialize(fingerprints(docs, id_col, text_col, shingle))
-    fps = materialize(fpd.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    edges = materialize(links(fps.filter("rep is not null"), max_bits, max_bucket))
+    fps = materialize(fpd.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    edges = materialize(links(fps.select("fp", F.col("fp").alias("rep")), max_bits, max_bucket))
     parts = materialize(connected_components(edges))
-    whole = materialize(
-        fps.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    )
-    return fpd.join(whole, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    placed = materialize(fps.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("part")))
+    ids = placed.groupBy("part").agg(F.min("least").alias("component_id"))
+    whole = materialize(placed.join(ids, "part").select("fp", "component_id"))
+    for done in (fps, edges, parts, placed):
+        release(done)
+    out = materialize(fpd.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    for done in (fpd, whole):
+        release(done)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -2,9 +2,10 @@
 
 One more component makes all vectors equally long, so that the largest inner
 product is the least distance. Each vector is keyed by its nearest pivot and
-its distance to it. A query meets the vectors of a pivot in rings of sorted
-distance, nearest ring first, and stops where the triangle inequality leaves
-no ring that could hold a score as good as its k-th. Pivots, and the rows that
+its distance to it. The vectors of a pivot are cut into annuli by distance; a query goes
+to those that the triangle inequality leaves open. There it meets the vectors in
+rings of sorted distance, nearest ring first, and stops where no ring is left that
+could hold a score as good as its k-th. Pivots, and the rows that
 give a first bound on each query's k-th score, are bounded samples; they
 steer the search and never its result.
 """
@@ -16,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.session import materialize
+from timberline.session import materialize, release
 
 PIVOTS = 64
 BOUND_SAMPLE = 2_048
-BLOCK = 8_192
-QUERY_BLOCK = 2_048
+#: Vectors and queries that meet in one group, about.
+BLOCK = 16_384
+QUERY_BLOCK = 8_192
 RING = 512
+#: Annuli of a pivot at most; larger ones are dealt by a hash of the id.
+ANNULI = 1_024
 SCALE = 256
 
 
@@ -123,8 +127,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     Rows without an id or a whole finite vector take no part; vectors of
     differing length count as padded with zeros. An id that comes more than
     once asks once, with its least vector, and its rows are no candidates
-    of its own. Blocks of a crowded pivot are dealt by a hash of the id, and
-    each holds about ``block`` vectors.
+    of its own. A group of the search holds about ``block`` vectors of one annulus and
+    ``QUERY_BLOCK`` queries: vectors are sent once for so many queries that reach their annulus.
     """
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score long"
@@ -149,11 +153,34 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
                 )
 
     index = materialize(base.mapInArrow(key, "vec_id long, v array<bigint>, cell int, dist double"))
-    # one row a pivot comes to the driver
-    cells = {r["cell"]: (r["n"], r["low"], r["high"]) for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect()}
-    parts = {c: -(-n // block) for c, (n, _, _) in cells.items()}
+    # bounds of the annuli: so many a pivot that each holds a block, and ANNULI at most
+    sizes = index.groupBy("cell").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0]
+    cuts = min(ANNULI, -(-largest // block))
+    bounds: dict[int, np.ndarray] = {}
+    if cuts > 1:
+        share = [i / cuts for i in range(1, cuts)]
+        for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("dist", share).alias("at")).collect():
+            own = min(cuts, -(-r["n"] // block))
+            bounds[r["cell"]] = np.unique([r["at"][round(i * cuts / own) - 1] for i in range(1, own)])
+    shared_bounds = spark.sparkContext.broadcast(bounds)
+
+    def ring(batches):
+        for b in batches:
+            cell, dist = b.column(2).to_numpy(), b.column(3).to_numpy()
+            out = np.zeros(len(cell), np.int32)
+            for c in np.unique(cell).tolist():
+                who = cell == c
+                out[who] = np.searchsorted(shared_bounds.value.get(c, ()), dist[who], "left")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=["vec_id", "v", "cell", "dist", "ring"])
+
+    ringed = index.mapInArrow(ring, "vec_id long, v array<bigint>, cell int, dist double, ring int")
+    # at most ANNULI rows a pivot come to the driver
+    facts = {(r["cell"], r["ring"]): (r["n"], r["low"], r["high"]) for r in ringed.groupBy("cell", "ring").agg(
+        F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect()}
     asked = base.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    rounds = max(1, -(-asked.count() // QUERY_BLOCK))
+    annuli = {c: sorted(x for x in facts if x[0] == c) for c in {x[0] for x in facts}}
+    shared_annuli = spark.sparkContext.broadcast({c: (np.array([r for _, r in x], np.int32), np.array([facts[k][1] for k in x]), np.array([facts[k][2] for k in x])) for c, x in annuli.items()})
 
     def route(batches):
         grid, near, near_ids = shared.value
@@ -169,23 +196,24 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
             d = grid.distances(np.concatenate([q.astype(float), np.zeros((len(q), 1))], axis=1))
             length2 = (q.astype(float) ** 2).sum(axis=1)
             radius = np.sqrt(np.maximum(length2 + reach2 - 2 * floor + 2e-7 * (length2 + reach2) + 2, 0))
-            for c, (_, low, high) in cells.items():
-                who = np.flatnonzero((d[:, c] - radius <= high) & (d[:, c] + radius >= low))
-                for part in range(parts[c]):
-                    if len(who):
-                        yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), pa.array(np.full(len(who), c, np.int32)),
-                             pa.array(np.full(len(who), part, np.int32)), pa.array(d[who, c]), pa.array(floor[who].astype(np.int64))],
-                            names=["vec_id", "v", "cell", "part", "to_pivot", "floor"],
-                        )
-
-    turn = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(rounds)).cast("int")
-    routed = asked.mapInArrow(route, "vec_id long, v array<bigint>, cell int, part int, to_pivot double, floor long").withColumn("turn", turn("vec_id"))
-    n_parts = F.element_at(F.create_map(*[F.lit(x) for c, n in parts.items() for x in (c, n)]), F.col("cell"))
-    dealt = index.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(9)), n_parts).cast("int")).withColumn(
-        "turn", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    )
-    keys = ["cell", "part", "turn"]
+            for c, (rings, low, high) in shared_annuli.value.items():
+                who, at = np.nonzero(((d[:, c] - radius)[:, None] <= high) & ((d[:, c] + radius)[:, None] >= low))
+                if len(who):
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), pa.array(np.full(len(who), c, np.int32)),
+                         pa.array(rings[at]), pa.array(d[who, c]), pa.array(floor[who].astype(np.int64))],
+                        names=["vec_id", "v", "cell", "ring", "to_pivot", "floor"],
+                    )
+
+    routed = held = materialize(asked.mapInArrow(route, "vec_id long, v array<bigint>, cell int, ring int, to_pivot double, floor long"))
+    reached = {(r["cell"], r["ring"]): r["count"] for r in routed.groupBy("cell", "ring").count().collect()}
+    plan = [(c, r, -(-facts[c, r][0] // block), -(-n // QUERY_BLOCK)) for (c, r), n in reached.items()]
+    deal = lambda: F.broadcast(spark.createDataFrame(plan, "cell int, ring int, parts int, turns int"))
+    among = lambda seed, n: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = ringed.join(deal(), ["cell", "ring"]).withColumn("part", among(9, "parts")).withColumn("turn", each("turns"))
+    routed = routed.join(deal(), ["cell", "ring"]).withColumn("turn", among(5, "turns")).withColumn("part", each("parts"))
+    keys = ["cell", "ring", "part", "turn"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -200,4 +228,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
 
     found = dealt.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = materialize(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    for done in (base, index, held):
+        release(done)
+    return best
