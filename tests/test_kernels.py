@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from timberline.operators import agent, curves, earthworks, measure, pathfind, skeleton, stencils
 
@@ -67,7 +68,13 @@ def test_reposition_moves_a_little_and_keeps_rows(spark):
     g = {"xmin": 0.0, "ymin": 0.0, "xmax": 60.0, "ymax": 60.0, "res": 1.0, "nrow": 60, "ncol": 60}
     seg = spark.createDataFrame([(1, 5.0, 31.0, 55.0, 31.0), (2, 500.0, 500.0, 510.0, 500.0)], "id long, x1 double, y1 double, x2 double, y2 double")
     got = {r.id: r for r in pathfind.reposition(seg, cells, g).collect()}
-    assert got[1].RECALE and 0 < got[1].DEPLACEMENT_MAX <= 10 and not got[2].RECALE and len(got[2].geom) == 2
+    assert got[1].RECALE and 0 < got[1].DEPLACEMENT_MAX <= 10 and not got[2].RECALE and len(got[2].geom) == 2 and got[2].DEPLACEMENT_MAX is None
+    # a polyline with a bend that its ends know nothing of: the corridor follows it
+    bent = [{"x": 5.0, "y": 35.0}, {"x": 30.0, "y": 12.0}, {"x": 55.0, "y": 35.0}]
+    line = spark.createDataFrame([(3, bent)], "id long, geom array<struct<x:double,y:double>>")
+    flat = cells.withColumn("sigma", F.lit(0.8))
+    moved = pathfind.reposition(line, flat, g, deviation=6.0).collect()[0]
+    assert moved.RECALE and min(p.y for p in moved.geom) < 20 and moved.DEPLACEMENT_MAX <= 6 and (moved.geom[0].x, moved.geom[-1].x) == (5.0, 55.0)
 
 
 def road_map(gap=None):
@@ -96,13 +103,40 @@ def test_driver_stops_at_the_network():
     assert d["why"] == "reseau_rejoint" and 125 < d["route"][:, 0].max() < 145
 
 
-def test_rounds_do_not_depend_on_order(spark):
-    g = {"xmin": 0.0, "ymin": 0.0, "xmax": 160.0, "ymax": 160.0, "res": 2.0, "nrow": 80, "ncol": 80}
-    rows = [(r, c, 2 * c + 1.0, 159.0 - 2 * r, 0.9 if abs(r - 40) <= 1 or (abs(c - 40) <= 1 and r < 40) else 0.1) for r in range(80) for c in range(80)]
+def test_rounds_do_not_depend_on_order_or_tiles(spark):
+    g = {"xmin": 0.0, "ymin": 0.0, "xmax": 400.0, "ymax": 160.0, "res": 2.0, "nrow": 80, "ncol": 200}
+    bent = lambda c: 40 + round(6 * math.sin(c / 30))
+    rows = [(r, c, 2 * c + 1.0, 159.0 - 2 * r, 0.9 if abs(r - bent(c)) <= 1 or (abs(c - 100) <= 1 and r < 40) else 0.1) for r in range(80) for c in range(200) if not 150 < 10 * r + c < 155]
     cells = spark.createDataFrame(rows, "row int, col int, x double, y double, p double")
-    run = lambda df: sorted((r.why, len(r.geom)) for r in agent.vectorise(df, g, rounds=2, reach=40.0, tile=128, halo=16).collect())
-    a = run(cells)
-    assert a and a == run(cells.repartition(7, "col"))
+    run = lambda df, tile: sorted((r.why, [(p.x, p.y) for p in r.geom]) for r in agent.vectorise(df, g, rounds=3, reach=20.0, buffer=5.0, tile=tile, halo=20).collect())
+    one = run(cells, 512)
+    assert one and max(max(x for x, _ in geom) - min(x for x, _ in geom) for _, geom in one) > 250  # over several tiles
+    assert one == run(cells.repartition(7, "col"), 512) == run(cells, 32) == run(cells, 64)
+    with pytest.raises(ValueError):
+        agent.vectorise(cells, g, reach=100.0, halo=20)
+
+
+def test_fan_looks_straight_ahead_and_to_both_sides():
+    for reach in (25, 40, 100, 6.25):
+        a = agent.fan(reach, 160, 1.0)
+        assert np.allclose(a, -a[::-1]) and 0 in a and abs(a[-1]) <= math.radians(80) + 1e-9
+
+
+def test_troughs_of_a_fan():
+    cost = np.full(41, 500.0)
+    cost[8:13], cost[30:33] = 60.0, 300.0
+    got = agent.directions(cost, 100.0)
+    assert [k for k, _ in got][:1] == [8] and math.isclose(got[0][1], 60 / 250) and all(r <= 1 for _, r in got)
+    assert agent.directions(np.full(41, np.inf), 100.0) == [] == agent.directions(cost[:5], 100.0)
+    one = agent.directions(cost * 100, 100.0)
+    assert len(one) == 1 and one[0][1] > 1
+
+
+def test_lines_side_by_side_are_kept_once_wherever_they_begin(spark):
+    line = lambda x, y, n: [{"x": float(x + 10 * k), "y": float(y)} for k in range(n)]
+    rows = [(0, "a", line(3990, 100, 30)), (0, "b", line(4010, 102, 20)), (0, "c", line(4010, 200, 5)), (0, "d", line(4010, 100, 10) + line(4110, 140, 10))]
+    df = spark.createDataFrame(rows, "round int, why string, geom array<struct<x: double, y: double>>")
+    assert sorted(r.why for r in agent._apart(df, 10.0).collect()) == ["a", "c", "d"]
 
 
 def test_curves():

@@ -110,3 +110,65 @@ def test_reconnecting_ends(spark):
     rows = [(1, line((0, 0), (5, 0), (10, 0))), (2, line((12, 0), (16, 0), (20, 0))), (3, line((12, 4), (12, 10))), (4, line((500, 0), (600, 0)))]
     got = {r.id: r.geom for r in network.reconnect(spark.createDataFrame(rows, "id long, geom array<struct<x:double,y:double>>"), 5.0).collect()}
     assert set(got) == {1, 3, 4} and sorted((got[1][0].x, got[1][-1].x)) == [0.0, 20.0] and len(got[1]) == 6
+
+
+def test_polylines_and_networks_that_hang_together(spark):
+    g = "id long, geom array<struct<x:double,y:double>>"
+    rows = [(1, [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0)]), (2, [(0.0, 1.0), (48.0, 1.0)]), (3, [(50.0, 50.0), (90.0, 50.0)]), (4, [(50.0, 50.0), (50.0, 0.0), (0.0, 0.0)])]
+    df = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in p]) for i, p in rows], g)
+    assert sorted(r.id for r in network.dedupe_parallels(df, 3.0).collect()) == [1, 3]  # 4 is 1 the other way round
+    edges, nodes = network.network(df)
+    assert {r.id: round(r.longueur) for r in edges.collect()} == {1: 100, 2: 48, 3: 40, 4: 100} and nodes.count() == 5
+    # a connected grid: nothing runs beside anything, nothing goes, and no step holds the grid in one group
+    n = 40
+    mesh = [(2 * (n * i + j), 10.0 * i, 10.0 * j, 10.0 * i + 10, 10.0 * j) for i in range(n) for j in range(n)] + [(2 * (n * i + j) + 1, 10.0 * i, 10.0 * j, 10.0 * i, 10.0 * j + 10) for i in range(n) for j in range(n)]
+    assert network.dedupe_parallels(spark.createDataFrame(mesh, "id long, x1 double, y1 double, x2 double, y2 double"), 3.0).count() == len(mesh)
+
+
+def test_greedy_cover_by_a_plain_choice(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, float(rng.integers(0, 60)), float(rng.integers(0, 3)), float(rng.integers(5, 40))) for k in range(120)]
+    segs = [(k, x, y, x + n, y + float(rng.integers(0, 2))) for k, x, y, n in rows]
+    got = sorted(r.id for r in network.dedupe_parallels(spark.createDataFrame(segs, "id long, x1 double, y1 double, x2 double, y2 double"), 3.0).collect())
+    kept = []
+    for k, a, b, c, d in sorted(segs, key=lambda s: (-math.hypot(s[3] - s[1], s[4] - s[2]), s[0])):
+        found = [i for o in kept if (i := network.capsule_interval((a, b), (c, d), (o[1], o[2]), (o[3], o[4]), 1.5))]
+        if network.covered(found) < 0.7:
+            kept.append((k, a, b, c, d))
+    assert got == sorted(k[0] for k in kept)
+
+
+def test_reconnecting_takes_the_nearest_first_and_closes_no_ring(spark):
+    from timberline.operators.curves import as_array, join_ends
+
+    rng = np.random.default_rng(12)
+    lines = []
+    for k in range(60):
+        x, y, a = rng.random() * 120, rng.random() * 120, rng.random() * 2 * math.pi
+        lines.append(np.array([[x + t * math.cos(a), y + t * math.sin(a)] for t in (0.0, 4.0, 8.0, 12.0)]))
+    r = 20 / math.sqrt(3)
+    for k in range(3):  # a triangle with gaps at its corners
+        p, q = (np.array([300 + r * math.cos(t), 300 + r * math.sin(t)]) for t in (2.1 * k, 2.1 * (k + 1)))
+        lines.append(np.array([p + t * (q - p) for t in (0.1, 0.4, 0.6, 0.9)]))
+    df = spark.createDataFrame([(k, [{"x": float(x), "y": float(y)} for x, y in xy]) for k, xy in enumerate(lines)], "id long, geom array<struct<x:double,y:double>>")
+    form = lambda xy: min(str(np.round(xy, 6).tolist()), str(np.round(xy[::-1], 6).tolist()))
+    got = sorted(form(as_array(r.geom)) for r in network.reconnect(df, 9.0, 70.0).collect())
+    want = join_ends(lines, 9.0, 70.0)
+    assert len(want) < len(lines) and got == sorted(form(x) for x in want)
+
+
+def test_points_in_polygons(spark):
+    from timberline.operators.cells import inside
+
+    ring = [(0.0, 0.0), (30.0, 0.0), (30.0, 30.0), (15.0, 10.0), (0.0, 30.0)]
+    poly = spark.createDataFrame([([{"x": x, "y": y} for x, y in ring],)], "geom array<struct<x:double,y:double>>")
+    pts = [(2.5 * k + 0.1, 2.5 * j + 0.2) for k in range(-2, 15) for j in range(-2, 15)]
+    got = {(r.x, r.y) for r in inside(spark.createDataFrame(pts, "x double, y double"), poly, 7.0).collect()}
+
+    def plain(x, y):
+        hit = False
+        for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]):
+            hit ^= (b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a
+        return hit
+
+    assert got == {p for p in pts if plain(*p)} and len(got) > 50

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,19 @@ def line_length(geom) -> Column:
             + (F.element_at(g, i)["y"] - F.element_at(g, i - 1)["y"]) * (F.element_at(g, i)["y"] - F.element_at(g, i - 1)["y"])
         ),
     )
+
+
+def legs(lines: DataFrame, *keep: str, geom: str = "geom") -> DataFrame:
+    """Straight pieces ``x1, y1, x2, y2`` of polylines (an array of x, y), one row each, with the columns of ``keep``."""
+    g = F.col(geom)
+    pairs = F.arrays_zip(F.slice(g, F.lit(1), F.size(g) - 1).alias("a"), F.slice(g, F.lit(2), F.size(g) - 1).alias("b"))
+    rows = lines.filter(F.size(g) > 1).select(*keep, F.explode(pairs).alias("__s"))
+    return rows.select(*keep, *[F.col(f"__s.{e}.{c}").alias(f"{c}{n}") for n, e in ((1, "a"), (2, "b")) for c in ("x", "y")])
+
+
+def with_ends(lines: DataFrame, geom: str = "geom") -> DataFrame:
+    """Polylines with their ends as ``x1, y1, x2, y2``; lines without ``geom`` have them already."""
+    if geom not in lines.columns:
+        return lines
+    g = F.col(geom)
+    return lines.withColumns({f"{c}{n}": F.element_at(g, k)[c] for n, k in ((1, 1), (2, -1)) for c in ("x", "y")})

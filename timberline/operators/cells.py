@@ -161,9 +161,29 @@ def state_map(cells_geo: DataFrame, cells_surf: DataFrame, keys: tuple[str, ...]
     return both.withColumn("divergence", divergence("sigma_geo", "sigma_surf")).withColumn("etat", code).withColumn("etat_label", state_label(F.col("etat")))
 
 
+def inside(points: DataFrame, polygons: DataFrame, side: float = 1_000.0) -> DataFrame:
+    """Distinct ``x, y`` of the points that lie in one of the polygons (``geom``: a ring of x, y, closed or not), by the even-odd rule.
+
+    Points and polygons meet in squares of ``side`` that a polygon's bounds touch.
+    """
+    g, s = F.col("geom"), F.lit(float(side))
+    bound = lambda f, c: f(F.transform(g, lambda v: v[c]))
+    span = lambda c: F.explode(F.sequence(F.floor(bound(F.array_min, c) / s).cast("long"), F.floor(bound(F.array_max, c) / s).cast("long")))
+    laid = polygons.filter(F.size(g) >= 3).select("geom").withColumn("__gx", span("x")).withColumn("__gy", span("y"))
+    spots = points.select("x", "y").distinct().withColumn("__gx", F.floor(F.col("x") / s).cast("long")).withColumn("__gy", F.floor(F.col("y") / s).cast("long"))
+
+    def crosses(k: Column) -> Column:
+        a, b = F.element_at(g, k), F.element_at(g, k % F.size(g) + 1)
+        straddles = (a["y"] > F.col("y")) != (b["y"] > F.col("y"))
+        return F.when(straddles & (F.col("x") < (b["x"] - a["x"]) * (F.col("y") - a["y"]) / (b["y"] - a["y"]) + a["x"]), 1).otherwise(0)
+
+    odd = F.aggregate(F.sequence(F.lit(1), F.size(g)), F.lit(0), lambda acc, k: acc + crosses(k)) % 2 == 1
+    return spots.join(laid, ["__gx", "__gy"]).filter(odd).select("x", "y").distinct()
+
+
 def detection_index(cells: DataFrame, weights: dict[str, float] | None = None, vessel_min: float = 0.3, reference: DataFrame | None = None,
-                    reference_buffer: float = 15.0, out: str = "indice") -> DataFrame:
-    """Weighted geometric mean of conductivities and vesselness; cells near the known network are null.
+                    reference_buffer: float = 15.0, out: str = "indice", extent: DataFrame | None = None) -> DataFrame:
+    """Weighted geometric mean of conductivities and vesselness; cells near the known network, or outside the polygons of ``extent`` where given, are null.
 
     ``cells`` has ``x, y, sigma_geo, sigma_surf, vesselness``; ``reference``
     segments ``x1, y1, x2, y2``. Missing weights are zero; none above zero is
@@ -177,6 +197,8 @@ def detection_index(cells: DataFrame, weights: dict[str, float] | None = None, v
     parts = {"geo": F.col("sigma_geo"), "surf": F.col("sigma_surf"), "vessel": ramp("vesselness", "up", vessel_min, 1.0)}
     logs = [F.when(v.isNotNull(), F.log(F.greatest(v, F.lit(1e-6)))) * w[k] for k, v in parts.items() if w[k] > 0]
     done = cells.withColumn(out, F.exp(sum(logs[1:], logs[0]) / total))
+    if extent is not None:
+        done = done.join(inside(cells, extent).withColumn("__in", F.lit(True)), ["x", "y"], "left").withColumn(out, F.when(F.col("__in"), F.col(out))).drop("__in")
     if reference is None:
         return done
     near = near_segments(cells.select("x", "y"), reference, reference_buffer).withColumn("__near", F.lit(True))

@@ -203,10 +203,10 @@ def unmatched(widths: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def norm_gap(stations: DataFrame, norm: DataFrame, id_col: str = "troncon", measured: str = "LARGEUR_ROULABLE", wanted: str = "LARGEUR_CHAUSSEE_CERTU") -> DataFrame:
-    """Per segment: stations, median width, norm, gap, relative gap (null for a norm of zero), share of stations with a resolved edge."""
+    """Per segment: stations, median width, norm (the least where a segment has several), gap, relative gap (null for a norm of zero), share of stations with a resolved edge."""
     edge = F.avg((F.col("BORDS_CHAUSSEE") > 0).cast("double")) if "BORDS_CHAUSSEE" in stations.columns else F.lit(None).cast("double")
     per = stations.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("N_STATIONS"), F.median(measured).alias("LARGEUR_MED"), edge.alias("BORDS_RESOLUS"))
-    first = norm.groupBy(id_col).agg(F.first(wanted).alias("LARGEUR_NORME"))
+    first = norm.groupBy(id_col).agg(F.min(wanted).alias("LARGEUR_NORME"))
     gap = F.col("LARGEUR_MED") - F.col("LARGEUR_NORME")
     return per.join(first, id_col, "left").withColumn("ECART_NORME", gap).withColumn(
         "ECART_REL", F.when(F.col("LARGEUR_NORME") != 0, F.col("ECART_NORME") / F.col("LARGEUR_NORME"))

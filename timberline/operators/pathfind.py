@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.geometry import point_segment_distance
+from timberline.functions.geometry import legs, point_segment_distance
 from timberline.operators.cells import segment_pieces
 
 #: (row, column) steps; a knight's move needs the cell between to be open, the straight one along its long side.
@@ -124,20 +124,24 @@ def reposition(segments: DataFrame, cells: DataFrame, grid: dict, deviation: flo
                turning: float = 2.0, sigma_min: float = 0.05, id_col: str = "id") -> DataFrame:
     """Re-route each line inside its corridor: ``geom``, ``DEPLACEMENT_MAX``, ``DEPLACEMENT_MOY``, ``RECALE``; rows are kept one for one.
 
-    ``cells`` has ``row, col, x, y, sigma`` and may have ``theta, poids``.
+    Lines are segments ``x1, y1, x2, y2``, or polylines with ``geom``, whose corridor
+    follows all their bends. ``cells`` has ``row, col, x, y, sigma`` and may have ``theta, poids``.
     Conductivity is weakened away from the old axis and closed beyond
-    ``deviation``; both ends stay. Lines that cannot be routed keep their geometry.
+    ``deviation``; both ends stay. Lines that cannot be routed keep their geometry, and their displacement is null.
     """
     res = grid["res"]
     bands = [b for b in ("theta", "poids") if b in cells.columns]
-    near = corridor_cells(cells.select("row", "col", "x", "y", "sigma", *bands), segments, deviation, [id_col])
-    ends = segments.select(F.col(id_col), "x1", "y1", "x2", "y2")
+    old = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    lines = segments if "geom" in segments.columns else segments.withColumn("geom", old)
+    near = corridor_cells(cells.select("row", "col", "x", "y", "sigma", *bands), legs(lines, id_col), deviation, [id_col])
+    axes = lines.select(F.col(id_col), F.col("geom").alias("__axis"))
     schema = f"{id_col} long, geom array<struct<x:double,y:double>>, DEPLACEMENT_MAX double, DEPLACEMENT_MOY double, RECALE boolean"
 
     def route(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.iloc[0]
-        a, b = (float(one.x1), float(one.y1)), (float(one.x2), float(one.y2))
-        kept = {id_col: int(one[id_col]), "geom": [{"x": a[0], "y": a[1]}, {"x": b[0], "y": b[1]}], "DEPLACEMENT_MAX": 0.0, "DEPLACEMENT_MOY": 0.0, "RECALE": False}
+        axis = [(float(q["x"]), float(q["y"])) for q in one["__axis"]]
+        a, b = axis[0], axis[-1]
+        kept = {id_col: int(one[id_col]), "geom": [{"x": x, "y": y} for x, y in axis], "DEPLACEMENT_MAX": None, "DEPLACEMENT_MOY": None, "RECALE": False}
         r0, c0 = int(pdf.row.min()), int(pdf.col.min())
         shape = (int(pdf.row.max()) - r0 + 1, int(pdf.col.max()) - c0 + 1)
         at = (pdf.row.to_numpy() - r0, pdf.col.to_numpy() - c0)
@@ -161,13 +165,12 @@ def reposition(segments: DataFrame, cells: DataFrame, grid: dict, deviation: flo
             return pd.DataFrame([kept])
         xy = [(grid["xmin"] + (k + c0 + 0.5) * res, grid["ymax"] - (r + r0 + 0.5) * res) for r, k in path]
         xy[0], xy[-1] = a, b
-        moved = [segment_gap(p, a, b) for p in xy]
+        moved = [min(segment_gap(p, u, v) for u, v in zip(axis, axis[1:])) for p in xy]
         return pd.DataFrame([kept | {"geom": [{"x": x, "y": y} for x, y in xy], "DEPLACEMENT_MAX": max(moved), "DEPLACEMENT_MOY": float(np.mean(moved)), "RECALE": True}])
 
-    done = near.join(ends, id_col).groupBy(id_col).applyInPandas(route, schema)
-    old = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
-    joined = segments.join(done.withColumnRenamed("geom", "__geom"), id_col, "left")
-    return joined.withColumn("geom", F.coalesce("__geom", old)).withColumn("RECALE", F.coalesce("RECALE", F.lit(False))).drop("__geom")
+    done = near.join(axes, id_col).groupBy(id_col).applyInPandas(route, schema)
+    joined = lines.join(done.withColumnRenamed("geom", "__geom"), id_col, "left")
+    return joined.withColumn("geom", F.coalesce("__geom", "geom")).withColumn("RECALE", F.coalesce("RECALE", F.lit(False))).drop("__geom")
 
 
 def segment_gap(p, a, b) -> float:

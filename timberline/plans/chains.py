@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from timberline.operators import agent, curves, measure, network, skeleton, stations
 from timberline.operators.cells import base_name, detection_index, grid_cells, resample_bilinear, resample_nearest, same_grid
 from timberline.operators.learn import auc, errors, strata
+from timberline.session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -85,27 +86,38 @@ def calibrate_width(traces: DataFrame, cells: DataFrame, grid: dict, reference:
     return out.filter("n > 0").orderBy("mae")
 
 
-def detect(cells: DataFrame, grid: dict, reference: DataFrame | None = None, level: float = 0.6, method: str = "auto", length_min: float = 30.0, smoothing: str = "savitzky", **driving) -> DataFrame:
-    """Unmapped lines of ``cells`` (``row, col, x, y, sigma_geo, sigma_surf, vesselness``): index, lines, smoothing, least length.
+def detect(cells: DataFrame, grid: dict, reference: DataFrame | None = None, level: float = 0.6, method: str = "auto", length_min: float = 30.0, smoothing: str = "savitzky",
+           smoothing_by: float | None = None, regime: str = "complet", extent: DataFrame | None = None, prune: float = 5.0, reconnect: float = 0.0, simplify: float = 1.0, **driving) -> DataFrame:
+    """Unmapped lines of ``cells`` (``row, col, x, y, sigma_geo, sigma_surf, vesselness``): index, lines, gaps closed, smoothing, simplification, least length.
 
     ``auto`` sends drivers out and falls back on the skeleton where there are
     no seeds or they find nothing; ``agent``, ``squelette`` and ``acp`` ask for one way.
+    The regime ``corridor`` looks only inside the polygons of ``extent``. Lengths are
+    in metres: of a skeleton, spurs below ``prune`` go, ends within ``reconnect`` are
+    joined (0: none) and lines are smoothed; all lines are simplified by ``simplify`` (0: straight runs only).
     """
-    p = detection_index(cells, reference=reference).withColumn("p", F.col("indice"))
-    lines = None
+    if regime not in ("complet", "corridor"):
+        raise ValueError(f"unknown regime: {regime}")
+    if regime == "corridor" and extent is None:
+        raise ValueError("the regime corridor needs an extent")
+    index = detection_index(cells, reference=reference, extent=extent if regime == "corridor" else None)
+    p = index.withColumn("p", F.col("indice"))
     if method in ("auto", "agent", "vecnet"):
-        lines = agent.vectorise(p, grid, reference, level, length_min, passable="sigma_surf", **driving).select("id", "geom")
-        if method == "auto" and lines.isEmpty():
-            lines, method = None, "squelette"
+        found = agent.vectorise(p, grid, reference, level, length_min, passable="sigma_surf", **driving).select("id", "geom")
+        if method != "auto" or not found.isEmpty():
+            return curves.finalise(found, simplify, length_min)
+        method = "squelette"
     if method == "squelette":
-        lines = skeleton.skeleton_lines(p.filter(F.col("p") >= level), grid)
+        lines = skeleton.skeleton_lines(p.filter(F.col("p") >= level), grid, round(prune / grid["res"]))
     elif method == "acp":
-        lines = skeleton.straight_lines(p.filter(F.col("p") >= level), grid, length_min)
-    elif lines is None:
+        return curves.finalise(skeleton.straight_lines(p.filter(F.col("p") >= level), grid, length_min), simplify, length_min)
+    else:
         raise ValueError(f"unknown method: {method}")
+    if reconnect > 0:
+        lines = network.reconnect(materialize(lines), reconnect)
     if smoothing != "aucun":
-        lines = curves.smooth_lines(lines, smoothing, grid["res"])
-    return curves.finalise(lines, 1.0, length_min)
+        lines = curves.smooth_lines(lines, smoothing, grid["res"], smoothing_by)
+    return curves.finalise(lines, simplify, length_min)
 
 
 def criteria(edges: DataFrame, measured: DataFrame | None = None, mineral: DataFrame | None = None, reference: DataFrame | None = None, parcels: DataFrame | None = None,

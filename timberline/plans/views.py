@@ -38,6 +38,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) A
 SELECT user_id AS trace_id, CAST(floor((k - 1) / 17) AS INT) AS station, CAST((k - 1) % 17 AS INT) AS k, ((k - 1) % 17 - 8) * 0.5E0 AS off,
   CASE WHEN event_id % 23 = 0 THEN NULL ELSE value / 50.0E0 END AS z
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) + 1 AS k FROM events) AS e""",
+    "v_traces": """
+SELECT c_custkey AS trace_id, 4.25E0 + c_custkey * 37 % 56 AS x1, 4.5E0 + c_custkey * 91 % 56 AS y1, 4.62E0 + c_custkey * 37 % 56 + c_custkey * 13 % 21 - 10 AS x2, 4.81E0 + c_custkey * 91 % 56 + c_custkey * 17 % 19 - 9 AS y2,
+  5.3E0 + c_custkey * 37 % 56 + c_custkey * 13 % 21 - 10 + c_custkey * 7 % 17 - 8 AS x3, 5.7E0 + c_custkey * 91 % 56 + c_custkey * 17 % 19 - 9 + c_custkey * 11 % 15 - 7 AS y3
+FROM customer""",
     "v_segments": """
 SELECT o_orderkey AS id, CAST(o_orderkey * 37 % 5000 AS DOUBLE) AS x1, CAST(o_custkey * 91 % 5000 AS DOUBLE) AS y1,
   CAST(o_orderkey * 37 % 5000 + o_orderkey * 13 % 61 - 30 AS DOUBLE) AS x2, CAST(o_custkey * 91 % 5000 + o_custkey * 17 % 41 + 1 AS DOUBLE) AS y2,

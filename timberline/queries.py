@@ -168,18 +168,8 @@ def otsu_threshold(spark, sf):
     return rounded(stations.otsu(load(spark, sf, "v_profiles")[0], "z"), 6, "seuil")
 
 
-@query("""SELECT trace_id, station, round(sum(CASE WHEN z - 4 > 0 THEN (z - 4) * 0.5 ELSE 0 END), 4) AS deblai, round(sum(CASE WHEN z - 4 < 0 THEN (4 - z) * 0.5 ELSE 0 END), 4) AS remblai
-FROM v_profiles GROUP BY ALL""", "v_profiles")
-def cut_fill_sections(spark, sf):
-    gap = F.col("z") - 4
-    part = lambda test, v: r(F.sum(F.when(test, v * 0.5).otherwise(0.0)))
-    return load(spark, sf, "v_profiles")[0].groupBy("trace_id", "station").agg(part(gap > 0, gap).alias("deblai"), part(gap < 0, -gap).alias("remblai"))
 
 
-@query("""SELECT trace_id, station, round(regr_slope(z, off), 6) AS devers, round(regr_intercept(z, off), 6) AS z_axe FROM v_profiles WHERE abs(off) <= 1 AND z IS NOT NULL GROUP BY ALL""", "v_profiles")
-def central_plane(spark, sf):
-    p = load(spark, sf, "v_profiles")[0].filter("abs(off) <= 1 and z is not null")
-    return p.groupBy("trace_id", "station").agg(r(F.regr_slope("z", "off"), 6).alias("devers"), r(F.regr_intercept("z", "off"), 6).alias("z_axe"))
 
 
 # ---------------------------------------------------------------- cells
@@ -272,35 +262,6 @@ def slope(spark, sf):
     return stencils.slope(load(spark, sf, "v_cells")[0].select("row", "col", "z"), 1.0).select("row", "col", r("pente", 5).alias("pente"))
 
 
-def _sky_sql(radius: int, directions: int = 8) -> str:
-    rows = [f"({d}, {a}, {b}, {dist!r}E0)" for d, s in enumerate(stencils.horizon_shifts(directions, radius)) for a, b, dist in s]
-    reflect = lambda v: f"CASE WHEN {v} < 0 THEN -({v}) WHEN {v} > 63 THEN 126 - ({v}) ELSE {v} END"
-    return f"""WITH sh(d, dr, dc, dist) AS (VALUES {', '.join(rows)}), p AS (SELECT c.row, c.col, c.z, d, dist, {reflect('c.row + dr')} AS nr, {reflect('c.col + dc')} AS nc FROM v_cells c, sh),
-m AS (SELECT p.row, p.col, d, atan(coalesce(max((n.z - p.z) / dist), -1000)) AS up, atan(coalesce(max((p.z - n.z) / dist), -1000)) AS down FROM p LEFT JOIN v_cells n ON n.row = nr AND n.col = nc GROUP BY p.row, p.col, d)
-SELECT row, col, round(avg(1 - sin(greatest(up, 0))), 5) AS svf, round(degrees(pi() / 2 - avg(up)), 5) AS openness_pos, round(degrees(pi() / 2 - avg(down)), 5) AS openness_neg FROM m GROUP BY row, col"""
-
-
-@query(_sky_sql(3), "v_cells")
-def micro_relief(spark, sf):
-    got = stencils.micro_relief(load(spark, sf, "v_cells")[0], GRID, 3, 8, tile=24)
-    return rounded(got, 5, "svf", "openness_pos", "openness_neg")
-
-
-@query("""SELECT row, col, round(CASE WHEN l2 > 0 THEN exp(-(l1/l2)*(l1/l2)/0.5)*(1-exp(-(l1*l1+l2*l2)/2)) ELSE 0 END, 6) AS v FROM (
-  SELECT row, col, CASE WHEN abs(m-d) > abs(m+d) THEN m+d ELSE m-d END AS l1, CASE WHEN abs(m-d) > abs(m+d) THEN m-d ELSE m+d END AS l2 FROM (
-    SELECT row, col, (rugosite+vesselness)/2 - 0.4 AS m, sqrt(((rugosite-vesselness)/2)*((rugosite-vesselness)/2) + (taux_penetration-0.5)*(taux_penetration-0.5)) AS d FROM v_cells))""", "v_cells")
-def valley_response(spark, sf):
-    """The eigenvalue formula of vesselness on given second derivatives, as Column math."""
-    c = load(spark, sf, "v_cells")[0]
-    m, half, x = (F.col("rugosite") + F.col("vesselness")) / 2 - 0.4, (F.col("rugosite") - F.col("vesselness")) / 2, F.col("taux_penetration") - 0.5
-    e = c.select("row", "col", m.alias("m"), F.sqrt(half * half + x * x).alias("d"))
-    swap = F.abs(F.col("m") - F.col("d")) > F.abs(F.col("m") + F.col("d"))
-    e = e.withColumn("l1", F.when(swap, F.col("m") + F.col("d")).otherwise(F.col("m") - F.col("d"))).withColumn("l2", F.when(swap, F.col("m") - F.col("d")).otherwise(F.col("m") + F.col("d")))
-    ratio = F.col("l1") / F.col("l2")
-    v = F.when(F.col("l2") > 0, F.exp(-ratio * ratio / 0.5) * (1 - F.exp(-(F.col("l1") * F.col("l1") + F.col("l2") * F.col("l2")) / 2))).otherwise(0.0)
-    return e.select("row", "col", r(v, 6).alias("v"))
-
-
 @query()
 def terrain_layers(spark, sf):
     return stencils.terrain_layers(load(spark, sf, "v_cells")[0].select("row", "col", "z"), GRID, (2, 4), (5, 15), 5, (1, 2), c=[1.0, 1.0], tile=32)
@@ -564,10 +525,6 @@ def extent(spark, sf):
     return acquisition.extent(load(spark, sf, "v_stations")[0])
 
 
-@query("SELECT user_id, count(*) AS n, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS INT) <> 42) AS changes FROM events GROUP BY user_id")
-def provenance_changes(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("p", F.from_json("props", "k int"))
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("p.k") != 42).alias("changes"))
 
 
 # ---------------------------------------------------------------- kernels in groups (no SQL; tests hold them against known answers)
@@ -580,20 +537,15 @@ def _scene(spark, sf) -> DataFrame:
     return c.withColumn("sigma", F.when(road, 0.7 + 0.3 * F.col("vesselness")).otherwise(0.05 + 0.2 * F.col("vesselness")))
 
 
-def _traces(spark) -> DataFrame:
-    rows = [(1, [(4.0, 33.0), (58.0, 31.0)]), (2, [(40.0, 4.0), (41.0, 30.0), (38.0, 60.0)])]
-    return spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in g]) for i, g in rows], "trace_id long, geom array<struct<x:double,y:double>>")
-
-
-@query()
-def cross_profiles(spark, sf):
-    st = measure.densify(_traces(spark), 4.0)
-    return measure.cross_profiles(st, _scene(spark, sf), GRID, half=3.0)
+def _traces(spark, sf) -> DataFrame:
+    """A polyline of three points for each customer."""
+    t = load(spark, sf, "v_traces")[0]
+    return t.select("trace_id", F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2, 3)]).alias("geom"))
 
 
 @query()
 def measured_stations(spark, sf):
-    st = measure.densify(_traces(spark), 2.0)
+    st = measure.densify(_traces(spark, sf), 2.0)
     return rounded(measure.measure(measure.cross_profiles(st, _scene(spark, sf), GRID, half=4.0), 4.0, tol=3.0), 5, "LARGEUR_ROULABLE", "PENTE_LONG")
 
 
@@ -602,37 +554,23 @@ def measured_summary(spark, sf):
     return measure.measure_summary(measured_stations(spark, sf))
 
 
-@query()
-def lateral_clearance(spark, sf):
-    st = measure.densify(_traces(spark), 2.0)
-    p = measure.cross_profiles(st, _scene(spark, sf).withColumn("h", F.when(F.col("sigma") > 0.5, 0.0).otherwise(10.0)), GRID, "h", half=4.0)
-    return measure.lateral_clearance(p, p.select("trace_id", "station", F.lit(4.0).alias("LARGEUR_ROULABLE")), half=4.0)
 
 
-@query()
-def mineral_width(spark, sf):
-    st = measure.densify(_traces(spark), 2.0)
-    p = measure.cross_profiles(st, _scene(spark, sf), GRID, "sigma", half=4.0, step=0.5)
-    return measure.mineral_width(p, 0.5, half=4.0, step=0.5)
 
 
 @query()
 def earthwork_volumes(spark, sf):
-    st = measure.densify(_traces(spark), 4.0)
+    st = measure.densify(_traces(spark, sf), 4.0)
     p = measure.cross_profiles(st, _scene(spark, sf).withColumn("z", F.col("z") / 30 + 0.3 * F.col("y")), GRID, half=7.0, step=0.25)
     return earthworks.earthworks_summary(earthworks.earthworks(p, 3.0, 7.0, 0.25, rock=10.0))
 
 
-@query()
-def platform_share(spark, sf):
-    st = measure.densify(_traces(spark), 4.0)
-    return earthworks.platform_share(measure.cross_profiles(st, _scene(spark, sf), GRID, half=5.0, step=0.5), 4.0, 5.0, 0.5)
 
 
 @query()
 def repositioned(spark, sf):
-    seg = spark.createDataFrame([(1, 4.0, 36.0, 58.0, 36.0), (2, 36.0, 4.0, 36.0, 60.0)], "id long, x1 double, y1 double, x2 double, y2 double")
-    return pathfind.reposition(seg, _scene(spark, sf), GRID).select("id", "RECALE", r("DEPLACEMENT_MAX").alias("DEPLACEMENT_MAX"), r("DEPLACEMENT_MOY").alias("DEPLACEMENT_MOY"), F.size("geom").alias("n"))
+    lines = _traces(spark, sf).withColumnRenamed("trace_id", "id")
+    return pathfind.reposition(lines, _scene(spark, sf), GRID, deviation=5.0).select("id", "RECALE", r("DEPLACEMENT_MAX").alias("DEPLACEMENT_MAX"), r("DEPLACEMENT_MOY").alias("DEPLACEMENT_MOY"), F.size("geom").alias("n"))
 
 
 @query()
@@ -642,7 +580,7 @@ def skeleton_lines(spark, sf):
 
 @query()
 def straight_lines(spark, sf):
-    return skeleton.straight_lines(_scene(spark, sf).filter("sigma > 0.5 and col < 38"), GRID, 10.0).select("id", F.size("geom").alias("n"))
+    return skeleton.straight_lines(_scene(spark, sf).filter("sigma > 0.5"), GRID, 10.0, ratio_min=0.5).select("id", F.size("geom").alias("n"))
 
 
 @query()
@@ -658,13 +596,10 @@ def agent_seeds(spark, sf):
 
 @query()
 def agent_lines(spark, sf):
-    got = agent.vectorise(_scene(spark, sf).withColumn("p", F.col("sigma")), GRID, length_min=10.0, rounds=2, tile=64, halo=16, reach=12.0, buffer=3.0)
+    got = agent.vectorise(_scene(spark, sf).withColumn("p", F.col("sigma")), GRID, length_min=10.0, tile=64, halo=24, reach=12.0, buffer=3.0)
     return got.select("round", "why", F.size("geom").alias("n"), r(geo.line_length("geom")).alias("longueur"))
 
 
-@query()
-def vessels(spark, sf):
-    return rounded(stencils.vesselness(_scene(spark, sf).select("row", "col", "z"), GRID, (1, 2), tile=32), 6, "vesselness", "theta")
 
 
 @query()
@@ -709,14 +644,14 @@ def detection_scores(spark, sf):
 @query()
 def state_of_traces(spark, sf):
     c = _scene(spark, sf)
-    _, runs, _ = chains.state_of_traces(_traces(spark), c.select("row", "col", F.col("sigma").alias("sigma_geo")), c.select("row", "col", F.col("taux_penetration").alias("sigma_surf")), GRID)
+    _, runs, _ = chains.state_of_traces(_traces(spark, sf), c.select("row", "col", F.col("sigma").alias("sigma_geo")), c.select("row", "col", F.col("taux_penetration").alias("sigma_surf")), GRID)
     return runs.select("trace_id", "etat", "debut", "fin", "longueur")
 
 
 @query()
 def width_calibration(spark, sf):
-    ref = spark.createDataFrame([(4.0, 33.0, 58.0, 31.0, 3.0), (40.0, 4.0, 38.0, 60.0, 4.0)], "x1 double, y1 double, x2 double, y2 double, largeur double")
-    return rounded(chains.calibrate_width(_traces(spark), _scene(spark, sf), GRID, ref, [("planeite", 1.0), ("gradient", 1.0)], half=4.0), 5, "biais", "mae", "rmse", "mediane_mesure")
+    ref = load(spark, sf, "v_traces")[0].select("x1", "y1", F.col("x3").alias("x2"), F.col("y3").alias("y2"), (F.col("trace_id") % 5 + 2.0).alias("largeur"))
+    return rounded(chains.calibrate_width(_traces(spark, sf), _scene(spark, sf), GRID, ref, [("planeite", 1.0), ("gradient", 1.0)], half=4.0), 5, "biais", "mae", "rmse", "mediane_mesure")
 
 
 @query()
@@ -741,3 +676,7 @@ def external_channels(spark, sf):
     low = c.groupBy(F.floor(F.col("row") / 4).cast("int").alias("row"), F.floor(F.col("col") / 4).cast("int").alias("col")).agg(F.min("vesselness").alias("v"))
     same = c.select("row", "col", F.col("z").alias("v"))
     return chains.external_channels({"rugosite": (same, GRID), "vesselness": (low, coarse)}, GRID, spark).select("row", "col", r("rugosite").alias("rugosite"), r("vesselness", 6).alias("vesselness"))
+
+
+# the queries over profiles register themselves here
+from timberline import queries_profiles  # noqa: E402, F401

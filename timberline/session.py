@@ -28,12 +28,16 @@ def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset
-    (local tests) is a temporary folder made, once for each application.
+    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset and
+    driver and executors are one process (local tests) is a temporary folder
+    made, once for each application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-timberline-")
@@ -57,9 +61,11 @@ def materialize(df: DataFrame) -> DataFrame:
 def release(df: DataFrame | None) -> None:
     """Delete a table that ``materialize`` wrote and nothing reads any more."""
     path = getattr(df, "_timberline_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    if path is not None:
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
