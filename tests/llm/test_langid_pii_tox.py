@@ -1,9 +1,10 @@
 import re
+import zlib
 
 import numpy as np
 import pytest
 
-from timberline.llm import langid, pii, toxicity
+from timberline.llm import langid, pii, tagger, toxicity
 
 WORDS = {"en": "the of and that house river stone water wood", "de": "der die und nicht straße wasser holz über", "fr": "le la et être maison rivière eau pierre forêt"}
 
@@ -27,18 +28,59 @@ def test_language_of_held_out_rows_and_edges(spark):
     assert [got[k].lang_pred for k in (1, 2, 3, 4, None)] == ["und", "und", "und", "de", "de"] and got[1].score == 0.0
     kept = langid.filter_language(odd, model)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "None"]
+    strict = langid.fit(df.filter("doc_id < 160"), ranges=True)
+    foreign = [(5, "это совсем другой язык без общих букв", "x"), (6, "qqq zzz xxq zqx qzx xqz zzq qxx zxq", "x"), (7, "das wasser und der wald", "x"), (8, "вода", "x")]
+    more = odd.union(spark.createDataFrame(foreign, odd.schema))
+    # too few letters to be judged by likelihood: 8 stays
+    assert {r.doc_id for r in langid.filter_language(more, strict).collect()} >= {7, None} and not {1, 2, 3, 5, 6} & {r.doc_id for r in langid.filter_language(more, strict).collect()}
+    bare = langid.fit(df.limit(0), ranges=True)
+    assert {r.doc_id for r in langid.filter_language(more, bare).collect()} == {4, 5, 6, 7, 8, None}
     assert langid.identify(odd.limit(0), model).count() == 0
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(df.limit(0))).collect()} == {"und"}
 
 
-def test_scores_against_a_plain_loop(spark):
-    rows = corpus(60)
+def plain_grams(text):
+    """Buckets of a text by plain loops over its characters, straight from the definition."""
+    clean, gap = "  ", False
+    for ch in (text or "").lower():
+        if ch.isalpha():
+            clean, gap = clean + ch, True
+        elif gap:
+            clean, gap = clean + " ", False
+    clean += " "
+    out = []
+    for k in (1, 2, 3):
+        for i in range(len(clean)):
+            h = 0
+            for ch in (clean + "   ")[i : i + k]:
+                h = (h * 1_000_003 + ord(ch) + 1) % 2**32
+            out.append(((h + k - 1) * 0x9E3779B97F4A7C15 % 2**64) >> 48)
+    return out
+
+
+def test_fit_and_scores_from_scratch(spark):
+    rows = corpus(60) + [(60, None, "de"), (61, "", "fr"), (62, "x", None)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    texts = [t for _, t, _ in rows[:5]] + ["Ein Wort!", "ünïcödé 漢字"]
-    buckets, starts, _ = langid.grams(texts)
-    ends = [*starts[1:], buckets.shape[1]]
-    want = [model.languages[int(np.argmax(model.log_prior + sum(model.log_prob[b].sum(axis=0) for row in buckets for b in [row[s:e]])))] for s, e in zip(starts, ends)]
-    assert model.score(texts)[0] == want
+    counts = {lang: [0] * 2**16 for lang in WORDS}
+    docs = dict.fromkeys(WORDS, 0)
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            docs[lang] += 1
+            for b in plain_grams(text):
+                counts[lang][b] += 1
+    assert model.languages == sorted(WORDS)
+    texts = [t for _, t, _ in rows[:9]] + ["Ein Wort!", "ünïcödé 漢字 der", "a", "the  river,\n\nla maison"]
+    assert [model.score([t]) for t in texts] == [([a], [b]) for a, b in zip(*model.score(texts))]
+    for text, lang, score in zip(texts, *model.score(texts)):
+        grams = plain_grams(text)
+        logs = {}
+        for k, c in counts.items():
+            total = sum(c) + 0.5 * 2**16
+            logs[k] = np.log((docs[k] + 1) / (sum(docs.values()) + len(docs))) + sum(np.log((c[b] + 0.5) / total) for b in grams)
+        letters = sum(ch.isalpha() for ch in text.lower())
+        best = max(sorted(logs), key=logs.get)
+        tempered = {k: (v - logs[best]) * min(1.0, 60 / letters) for k, v in logs.items()}
+        assert lang == best and abs(score - 1 / sum(np.exp(v) for v in tempered.values())) < 1e-3
 
 
 def naive_base(text):
@@ -71,9 +113,9 @@ def test_long_runs_take_no_time():
 
 def test_gradients_and_accuracy():
     rng = np.random.default_rng(1)
-    t = pii.Tagger(embed=4, hidden=3)
+    t = tagger.Tagger(embed=4, hidden=3)
     t.p = {k: v.astype(float) for k, v in t.p.items()}
-    x, y = pii.batch(rng, 2)
+    x, y = tagger.batch(rng, 2)
     _, g = t.gradients(x, y)
     for k in ("xf", "hb", "out", "trans"):
         i = tuple(rng.integers(0, s) for s in t.p[k].shape)
@@ -84,16 +126,51 @@ def test_gradients_and_accuracy():
         down, _ = t.gradients(x, y)
         t.p[k][i] = old
         assert abs((up - down) / (2 * e) - g[k][i]) < 1e-2
-    model = pii.trained()
-    x, y = pii.batch(np.random.default_rng(77), 200)
-    assert (model.decode(x)[0] == y).mean() > 0.97
+    model = tagger.trained()
+    x, y = tagger.batch(np.random.default_rng(77), 200)
+    tags, sure = model.decode(x)
+    assert (tags == y).mean() > 0.97 and sure.min() >= 0 and sure.max() <= 1 + 1e-6
+    # the bound that spares most windows the search for the best path never changes the path
+    em = model.emissions(x)
+    assert (model.best_path(em) == tags).all() and len(model.open_rows(em)) < len(em)
+
+
+def held_out_text(rng):
+    """Sentences of another making than the training texts: other words, forms and surroundings."""
+    fake = ["Please write to {} before Friday", "Server {} did not answer twice", "Paid with {} at the counter", "Ring {} in the morning", "See chapter 12 of 2019, p. 33", "The ratio was 3.14 to 1.5",
+            "Version 10.2.1 fixed 47 faults", "It cost 1,250 dollars in 1998", "We met at 10:45 on 03/04/2017", "Order no. 55213 was late", "Nothing of note happened that day", "Les enfants jouaient dans le jardin"]
+    makers = [lambda: (0, f"{rng.choice(['anna', 'p.miller', 'info', 'j_doe77'])}{rng.choice(['@', ' [at] ', '(at)'])}{rng.choice(['post', 'uni-bonn', 'shop24'])}.{rng.choice(['de', 'org', 'net'])}"),
+              lambda: (1, ".".join(str(rng.integers(0, 256)) for _ in range(4))),
+              lambda: (2, rng.choice([" ", "-", "."]).join(["4539", "1488", "0343", "6467"])),
+              lambda: (3, rng.choice(["+49 30 {} {}", "+1 (212) {}-{}", "(415) {}-{}", "212-{}-{}"]).format(rng.integers(200, 999), rng.integers(1000, 9999)))]
+    text, spans = "", []
+    for _ in range(6):
+        s = str(rng.choice(fake))
+        if "{}" in s:
+            kind, v = makers[fake.index(s)]()
+            spans.append((kind, len(text) + s.index("{"), len(text) + s.index("{") + len(v)))
+            s = s.replace("{}", v)
+        text += s + rng.choice([". ", ".\n", "; "])
+    return text, spans
+
+
+def test_spans_of_texts_of_another_making():
+    rng = np.random.default_rng(3)
+    made = [held_out_text(rng) for _ in range(300)]
+    got = pii.find(tagger.trained(), [t for t, _ in made])
+    hit = sum(any(k == s[0] and a < s[2] and s[1] < b for k, a, b in all_) for (_, spans), (_, all_) in zip(made, got) for s in spans)
+    right = [any(k == s[0] and a < s[2] and s[1] < b for s in spans) for (_, spans), (_, all_) in zip(made, got) for k, a, b in all_]
+    assert hit / sum(len(s) for _, s in made) > 0.9 and np.mean(right) > 0.9
+    alone = [set(pii.reconcile(h)) for h in pii.tagged(tagger.trained(), [t for t, _ in made])]
+    base = [s for (t, _), _ in zip(made, got) for s in pii.base_spans(t)]
+    assert sum(s in a for (t, _), a in zip(made, alone) for s in pii.base_spans(t)) / len(base) > 0.85
 
 
 def test_spans_added_and_kept_and_redacted(spark):
     text = "Call +1 (476) 555-2313 or (476) 555-2313, mail a.b@x.example.com, or bob [at] site [dot] com, version 2.0, year 2024-01-05."
-    base, all_ = pii.find(pii.trained(), [text])[0]
+    base, all_ = pii.find(tagger.trained(), [text])[0]
     assert set(base) <= set(all_) and len(all_) > len(base)
-    assert pii.find(pii.trained(), [None, "", "no numbers here"]) == [([], [])] * 3
+    assert pii.find(tagger.trained(), [None, "", "no numbers here"]) == [([], [])] * 3
     df = spark.createDataFrame([(1, text, len(text)), (2, None, 0), (1, "x", 1)], "doc_id long, text string, n_chars long")
     got = {r.text: r for r in pii.redact_pii(df, length_col="n_chars").collect()}
     red = next(t for t in got if t and "[EMAIL]" in t)
@@ -136,20 +213,117 @@ def test_grammar_weighs_clauses():
     w = lambda t: sum(x for _, x in m.clauses(t))
     plain = w("what an idiot")
     assert w("you are an idiot") > plain > w("he said what an idiot") > 0 and w("not an idiot") < plain
-    assert w("they will kill") > 0 == w("kill the process") and w("not here. an idiot") == plain and w("nothing") == 0
+    assert w("they will kill") > 0 == w("kill the process") == w("nothing") and w("kill you") > 0
+    assert w("not here. an idiot") == w("not here, an idiot") == plain and w("no words but an idiot") == plain
+    assert w("\u201cidiot\u201d") < w("idiot") and w("such idiots") == plain > w("two words idiot here")
+
 
+def plain_matches(model, text):
+    """The grammar by looking around each word, without any machine."""
+    out = []
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        tokens = [(t, *model.symbol(t)) for t in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"\u201c\u201d\u00ab\u00bb\u201e]|[,:]", clause)]
+        kinds = [None] * len(tokens)
+        eaten = set()  # targets that a threat took
+        for k, (_, s, _) in enumerate(tokens):
+            if s == "T":
+                for j in range(k - 1, max(k - 6, -1), -1):
+                    if tokens[j][1] in "BR":
+                        j = -1
+                        break
+                    if tokens[j][1] in "FG":
+                        break
+                else:
+                    j = -1
+                if j >= 0:
+                    kinds[k] = "t"
+                    continue
+                for j in range(k + 1, min(k + 4, len(tokens))):
+                    if tokens[j][1] == "T":
+                        break
+                    if tokens[j][1] == "G":
+                        kinds[j] = "t"
+                        eaten.add(j)
+                        break
+        waits = None
+        for k, (_, s, _) in enumerate(tokens):
+            if s == "I":
+                back = [tokens[j][1] for j in range(k - 1, -1, -1)]
+                if not back or back[0] in "PQ":
+                    kind = "x"
+                elif back[0] == "C" or (len(back) > 1 and back[1] == "C" and back[0] not in "PQI"):
+                    kind = "p"
+                else:
+                    kind = "m"
+                for j in range(k - 1, max(k - 6, -1), -1):
+                    if tokens[j][1] == "R":
+                        break
+                    if tokens[j][1] == "G" and j not in eaten:
+                        kind = "d"
+                        break
+                kinds[k] = kind
+                waits = None if kind == "d" else k
+            elif s == "G" and k not in eaten:
+                if waits is not None and k - waits <= 3:
+                    kinds[k] = "a"
+                waits = None
+        for k, kind in enumerate(kinds):
+            if kind is None:
+                continue
+            negated = False
+            for j in range(k - 1, max(k - 5, -1), -1):
+                if kinds[j] is None and tokens[j][1] in "BP":
+                    break
+                if kinds[j] is None and tokens[j][1] == "N":
+                    negated = True
+                    break
+            told = any(s == "R" for _, s, _ in tokens[:k]) or sum(s == "Q" for _, s, _ in tokens[:k]) % 2
+            odds = next(x for _, _, x in tokens[k::-1] if x)
+            out.append((kind + "-" * negated + "'" * bool(told), odds))
+    return out
 
-def test_composed_machine_equals_one_after_another():
+
+def test_machine_against_looking_around():
     rng = np.random.default_rng(5)
-    parts = [toxicity._threats(), toxicity._within("G", 4, 1.25), toxicity._within("N", 3, 0.45), toxicity._within("R", 12, 0.75)]
-    for _ in range(200):
-        s = "".join(rng.choice(list("ITGNRO"), 20))
-        out, weights = s, np.ones(20)
-        for p in parts:
-            run = p.run(out)
-            out, weights = "".join(o for o, _ in run), weights * [w for _, w in run]
-        whole = toxicity.GRAMMAR.run(s)
-        assert out == "".join(o for o, _ in whole) and np.allclose(weights, [w for _, w in whole])
+    model = toxicity.ToxicityModel({"idiot": 4.0, "scum": 2.5}, {k: 0.1 + i / 7 for i, k in enumerate(toxicity.CELLS)}, -2.0, 1.5)
+    words = "idiot scum idiots kill killed destroy you they not never said wrote is a the will must but however house tree , : \" . ! \n töten dich".split(" ")
+    for _ in range(3000):
+        text = " ".join(rng.choice(words, rng.integers(1, 25)))
+        want = plain_matches(model, text)
+        assert [m for _, out in model.matches(text) for m in out] == want, text
+        total = sum(model.weights[k] * x for k, x in want)
+        assert abs(model.score(text) - 1 / (1 + np.exp(2.0 - 1.5 * np.log1p(total)))) < 1e-12
+
+
+def test_toxicity_query(spark, tmp_path):
+    rows = tox_rows(900) + [(900, None, 0), (901, "", 0), (902, "x" * 200_000, 0), (0, "once more grumpfa", 1), (None, "grumpfel", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    df.drop("toxic").write.parquet(f"{tmp_path}/documents.parquet")
+    df.filter("doc_id < 850 or doc_id >= 900").select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    from timberline.llm import queries
+
+    got = queries.op4_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    truth = {i: y for i, _, y in rows}
+    held = [r.predicted == truth[r.doc_id] for r in got if r.held_out]
+    assert len(held) > 150 and np.mean(held) > 0.97
+    known = {i for i in truth if i is not None and zlib.crc32(str(i).encode()) % 4 != 2 and (i < 850 or i >= 900)}
+    model = toxicity.learn(df.filter(df.doc_id.isin(list(known))))
+    for r in got:
+        texts = [t for i, t, _ in rows if i == r.doc_id]
+        scores = [1 / (1 + np.exp(-(model.bias + model.scale * np.log1p(sum(model.weights[k] * x for k, x in plain_matches(model, t or "")))))) for t in texts]
+        assert any(abs(r.score - x) < 1e-9 for x in scores)
+
+
+def test_fitting_lowers_the_loss_and_keeps_weights_positive():
+    rng = np.random.default_rng(2)
+    x = rng.random((200, len(toxicity.CELLS))) * (rng.random((200, len(toxicity.CELLS))) < 0.1) * 5
+    y = (x[:, 3] + x[:, 5] > 0).astype(float)
+    weights, bias, scale = toxicity.fitted(x, y, np.ones(200))
+    loss = lambda w, b, s: np.mean(np.log1p(np.exp(-(2 * y - 1) * (b + s * np.log1p(x @ w)))))
+    prior = np.array([toxicity.WEIGHTS[k] for k in toxicity.CELLS])
+    assert min(weights.values()) > 0 and scale > 0 and loss(np.array([weights[k] for k in toxicity.CELLS]), bias, scale) < loss(prior, -3.0, 2.0)
 
 
 @pytest.fixture(autouse=True)

@@ -1,17 +1,16 @@
 """Personal data: fixed patterns, and a character BiLSTM with CRF transitions.
 
-The tagger is trained in numpy, on the driver, from labelled spans that
-``training_text`` makes from a seed. It runs over overlapping windows around
-digits and at-signs (a span of any kind holds one of those); the spans of
-all windows of a document are then reconciled at once, by the choice of
-non-overlapping spans with the greatest weight. What the patterns find
-always stays; the tagger adds forms that they cannot express.
+The tagger (``tagger``) is trained in numpy from labelled spans (``spans``). It
+reads every text whole, in overlapping windows; the spans of all windows of a
+document are then reconciled at once, by the choice of non-overlapping spans
+with the greatest weight. What the patterns find always stays; the tagger
+adds what lies elsewhere, on its own decision. Only numbers are checked
+as numbers: parts of an address, check digits of a card, digits of a telephone.
 """
 
 from __future__ import annotations
 
 import bisect
-import functools
 import hashlib
 import re
 
@@ -21,11 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timberline.llm.spans import KINDS, luhn
 from timberline.llm.tables import slices
-
-KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE = 96, 48
-_TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
+from timberline.llm.tagger import O_TAG, PAD, Tagger, codes, trained
+
+#: Characters of a window and from one to the next; what is read in two windows is longer than most spans.
+WINDOW, STRIDE = 320, 272
+#: Windows decoded at once.
+ROWS = 512
+#: Least mean probability of a span's tags, and the most characters of a span.
+MIN_SURE, MAX_SPAN = 0.9, 96
+_TRIGGER = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # a number starts where no digit stands before it, which changes no match
@@ -38,17 +43,11 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
-def luhn(digits: str) -> bool:
-    total = 0
-    for k, c in enumerate(reversed(digits)):
-        n = int(c)
-        total += n if k % 2 == 0 else (n * 2 - 9 if n > 4 else n * 2)
-    return total % 10 == 0
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(kind, start, end)`` of the fixed patterns, ordered by kind, then start."""
     out, end, at = [], 0, text.find("@")
+    if not _TRIGGER.search(text):
+        return out
     while at >= 0:
         start = at
         while start > end and text[start - 1] in _LOCAL:
@@ -71,209 +70,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-# ---------------------------------------------------------------- tagger
-
-O_TAG, TAGS = 0, 1 + 2 * len(KINDS)  # outside; for each kind its first and its further characters
-_SYMBOLS = 131
-
-
-def codes(text: str) -> np.ndarray:
-    """Symbol of each character: ASCII as it is, other letters, other characters."""
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(raw < 128, raw, np.where((raw >= 0xC0) & (raw < 0x250), 128, 129)).astype(np.int64)
-
-
-def training_text(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
-    """Words of filler with labelled spans and with numbers that are none."""
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    digits = lambda n: "".join(str(int(x)) for x in rng.integers(0, 10, n))
-    letters = lambda a, b: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, int(rng.integers(a, b))))
-
-    def email():
-        user, host, top = letters(2, 8), letters(3, 9), pick(["com", "org", "net", "io", "de", "fr"])
-        user += pick(["", "." + letters(2, 6), digits(2), "." + digits(2), "_" + letters(2, 4)])
-        return pick([f"{user}@{host}.{top}", f"{user}@{host}.example.{top}", f"{user}[at]{host}.{top}",
-                     f"{user} [at] {host} [dot] {top}", f"{user}(at){host}(dot){top}", f"{user} @ {host}.{top}"])
-
-    def card():
-        d = digits(15)
-        d += next(c for c in "0123456789" if luhn(d + c))
-        sep = pick(["", " ", "-", ".", "/"])
-        return sep.join(d[k : k + 4] for k in range(0, 16, 4))
-
-    def phone():
-        a, b, c = digits(3), digits(3), digits(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(2)} {a} {b} {c}"])
-
-    def ip():
-        return ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
-
-    def other():
-        return pick([f"{int(rng.integers(1, 10))}.{int(rng.integers(0, 10))}", f"20{digits(2)}-0{digits(1)}-1{digits(1)}", digits(4), digits(2),
-                     digits(int(rng.integers(5, 18))), f"{digits(2)}:{digits(2)}", f"{digits(3)}.{digits(2)}",
-                     f"{letters(2, 6)}={letters(1, 3)}{digits(5)}{letters(1, 3)}{digits(6)}", f"{letters(2, 4)}{digits(3)}".upper(),
-                     f"{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(3)}-{digits(3)}", "@" + letters(3, 8), f"{digits(2)}%"])
-
-    makers, text, spans = (email, ip, card, phone), "", []
-    while len(text) < WINDOW:
-        roll = rng.random()
-        if roll < 0.2:
-            kind = int(rng.integers(len(KINDS)))
-            s = makers[kind]()
-            spans.append((kind, len(text), len(text) + len(s)))
-            text += s
-        elif roll < 0.4:
-            text += other()
-        else:
-            w = letters(2, 10)
-            text += pick([w, w.capitalize(), w.replace("e", "é")])
-        text += pick([" ", " ", " ", ", ", ". ", "\n"])
-    return text, spans
-
-
-class Tagger:
-    """Embedding, LSTMs in both directions, emissions, CRF transitions."""
-
-    def __init__(self, seed: int = 11, embed: int = 12, hidden: int = 20):
-        rng = np.random.default_rng(seed)
-        w = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.hidden = hidden
-        self.p = {"emb": w(_SYMBOLS, embed) * 4, "out": w(2 * hidden, TAGS), "bias": np.zeros(TAGS, np.float32), "trans": np.zeros((TAGS, TAGS), np.float32), "first": np.zeros(TAGS, np.float32)}
-        for d in "fb":
-            bias = np.zeros(4 * hidden, np.float32)
-            bias[hidden : 2 * hidden] = 1.0
-            self.p |= {f"x{d}": w(embed, 4 * hidden), f"h{d}": w(hidden, 4 * hidden), f"g{d}": bias}
-
-    def _lstm(self, x: np.ndarray, d: str, keep: list | None):
-        n, steps, h = x.shape[0], x.shape[1], self.hidden
-        pre = x @ self.p[f"x{d}"] + self.p[f"g{d}"]
-        s, c, out = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.empty((n, steps, h), np.float32)
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = pre[:, t] + s @ self.p[f"h{d}"]
-            gates = 1 / (1 + np.exp(-z[:, : 3 * h]))
-            i, f, o, g = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :], np.tanh(z[:, 3 * h :])
-            before = (s, c)
-            c = f * c + i * g
-            tanh = np.tanh(c)
-            s = o * tanh
-            out[:, t] = s
-            if keep is not None:
-                keep.append((t, i, f, o, g, tanh, *before))
-        return out
-
-    def emissions(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        e = self.p["emb"][x]
-        f = self._lstm(e, "f", None if keep is None else keep.setdefault("f", []))
-        b = self._lstm(e, "b", None if keep is None else keep.setdefault("b", []))
-        both = np.concatenate([f, b], axis=2)
-        if keep is not None:
-            keep |= {"e": e, "both": both}
-        return both @ self.p["out"] + self.p["bias"]
-
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags (Viterbi) and how sure the emissions are of them, for rows of symbols."""
-        em = self.emissions(x)
-        n, steps, _ = em.shape
-        score, back = self.p["first"] + em[:, 0], np.zeros((n, steps, TAGS), np.int64)
-        for t in range(1, steps):
-            all_ = score[:, :, None] + self.p["trans"]
-            back[:, t] = all_.argmax(axis=1)
-            score = all_.max(axis=1) + em[:, t]
-        tags = np.zeros((n, steps), np.int64)
-        tags[:, -1] = score.argmax(axis=1)
-        for t in range(steps - 1, 0, -1):
-            tags[:, t - 1] = back[np.arange(n), t, tags[:, t]]
-        p = np.exp(em - em.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        return tags, np.take_along_axis(p, tags[:, :, None], 2)[:, :, 0]
-
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        """Negative log-likelihood of the tags and its gradient."""
-        keep: dict = {}
-        em = self.emissions(x, keep).astype(np.float64)
-        n, steps, k = em.shape
-        trans, first = self.p["trans"].astype(np.float64), self.p["first"].astype(np.float64)
-
-        def logsum(a, axis):
-            top = a.max(axis=axis, keepdims=True)
-            return (np.log(np.exp(a - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
-
-        alpha, beta = np.empty_like(em), np.zeros_like(em)
-        alpha[:, 0] = first + em[:, 0]
-        for t in range(1, steps):
-            alpha[:, t] = logsum(alpha[:, t - 1][:, :, None] + trans, 1) + em[:, t]
-        for t in range(steps - 2, -1, -1):
-            beta[:, t] = logsum(trans + (em[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-        z = logsum(alpha[:, -1], 1)
-        rows = np.arange(n)
-        gold = first[y[:, 0]] + em[rows[:, None], np.arange(steps), y].sum(axis=1) + trans[y[:, :-1], y[:, 1:]].sum(axis=1)
-        dem = np.exp(alpha + beta - z[:, None, None])
-        dtrans = np.zeros((k, k))
-        for t in range(1, steps):
-            dtrans += np.exp(alpha[:, t - 1][:, :, None] + trans + (em[:, t] + beta[:, t])[:, None, :] - z[:, None, None]).sum(axis=0)
-        np.add.at(dtrans, (y[:, :-1].ravel(), y[:, 1:].ravel()), -1.0)
-        dem[rows[:, None], np.arange(steps), y] -= 1.0
-        dem = (dem / n).astype(np.float32)
-        g = {"trans": (dtrans / n).astype(np.float32), "first": dem[:, 0].sum(axis=0)}
-        g["bias"] = dem.sum(axis=(0, 1))
-        g["out"] = keep["both"].reshape(n * steps, -1).T @ dem.reshape(n * steps, -1)
-        dboth = dem @ self.p["out"].T
-        h, de = self.hidden, np.zeros_like(keep["e"])
-        for d, part in (("f", dboth[:, :, :h]), ("b", dboth[:, :, h:])):
-            dz_all = np.zeros((n, steps, 4 * h), np.float32)
-            gh, ds, dc = np.zeros_like(self.p[f"h{d}"]), np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-            for t, i, f, o, gg, tanh, s0, c0 in reversed(keep[d]):
-                ds = ds + part[:, t]
-                dc = dc + ds * o * (1 - tanh**2)
-                dz = np.concatenate([dc * gg * i * (1 - i), dc * c0 * f * (1 - f), ds * tanh * o * (1 - o), dc * i * (1 - gg**2)], axis=1)
-                dz_all[:, t] = dz
-                gh += s0.T @ dz
-                ds, dc = dz @ self.p[f"h{d}"].T, dc * f
-            flat = dz_all.reshape(n * steps, -1)
-            g[f"h{d}"], g[f"g{d}"] = gh, flat.sum(axis=0)
-            g[f"x{d}"] = keep["e"].reshape(n * steps, -1).T @ flat
-            de += dz_all @ self.p[f"x{d}"].T
-        g["emb"] = np.zeros_like(self.p["emb"])
-        np.add.at(g["emb"], x.ravel(), de.reshape(n * steps, -1))
-        return float((z - gold).mean()), g
-
-    def train(self, steps: int = 200, rows: int = 48, seed: int = 5, rate: float = 0.02) -> Tagger:
-        rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        for step in range(1, steps + 1):
-            x, y = batch(rng, rows)
-            _, g = self.gradients(x, y)
-            norm = np.sqrt(sum(float((a**2).sum()) for a in g.values()))
-            now = rate * min(1.0, 2.0 * (1 - step / (steps + 1)))
-            for k, a in g.items():
-                a = a * min(1.0, 5.0 / (norm + 1e-9))
-                m[k] += 0.1 * (a - m[k])
-                v[k] += 0.01 * (a * a - v[k])
-                self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        return self
-
-
-def batch(rng: np.random.Generator, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Training windows and their tags."""
-    x, y = np.zeros((rows, WINDOW), np.int64), np.zeros((rows, WINDOW), np.int64)
-    for r in range(rows):
-        text, spans = training_text(rng)
-        tags = np.zeros(len(text), np.int64)
-        for kind, a, b in spans:
-            tags[a:b] = 2 + 2 * kind
-            tags[a] = 1 + 2 * kind
-        shift = int(rng.integers(0, len(text) - WINDOW + 1))
-        x[r], y[r] = codes(text)[shift : shift + WINDOW], tags[shift : shift + WINDOW]
-    return x, y
-
-
-@functools.lru_cache(1)
-def trained() -> Tagger:
-    """The production tagger; the same weights for the same seed."""
-    return Tagger().train()
-
-
 # ---------------------------------------------------------------- documents
 
 
@@ -308,45 +104,77 @@ def reconcile(candidates: dict[tuple[int, int, int], float]) -> list[tuple[int,
     return out[::-1]
 
 
-def plausible(kind: int, s: str) -> bool:
-    """Whether a span of the tagger has what its kind needs at least."""
-    d = _digits(s)
-    if kind == 0:
-        return bool(re.search(r"@|[\[(]at[\])]", s)) and bool(re.search(r"\.|[\[(]dot[\])]", s)) and not s[0].isspace() and len(s) >= 6
-    if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", s)) and all(int(p) <= 255 for p in s.split("."))
-    if kind == 2:
-        return bool(re.fullmatch(r"[0-9](?:[ ./-]?[0-9]){15,18}", s)) and luhn(d)
-    return bool(re.fullmatch(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}", s))
+def consistent(kind: int, s: str) -> bool:
+    """Whether the numbers in a span are such as its kind has, whatever its form."""
+    if kind == KINDS.index("ip"):
+        return all(int(p) <= 255 for p in re.findall("[0-9]{1,9}", s)) or ":" in s
+    if kind == KINDS.index("card"):
+        return 13 <= len(d := _digits(s)) <= 19 and luhn(d)
+    return kind != KINDS.index("phone") or 7 <= len(_digits(s)) <= 15
 
 
-def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]], rows: int = 256) -> list[list]:
-    """Spans that the tagger adds to the base spans of each text."""
-    work = []
-    for i, text in enumerate(texts):
-        wanted: set[int] = set()
-        for m in _TRIGGER.finditer(text):
-            k = m.start() // STRIDE
-            wanted.update(j for j in range(k - WINDOW // STRIDE + 1, k + 1) if j >= 0)
-        work += [(i, k) for k in sorted(wanted)]
+def windows(text: str) -> np.ndarray:
+    """Symbols of all windows of a text, one row each."""
+    c = codes(text)
+    n = 1 + max(0, -(-(len(c) - WINDOW) // STRIDE))
+    padded = np.full((n - 1) * STRIDE + WINDOW, PAD, np.uint8)
+    padded[: len(c)] = c
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
+
+
+def tagged(model: Tagger, texts: list[str]) -> list[dict[tuple[int, int, int], float]]:
+    """Spans of the tagger in all windows of each text, with their weights."""
     held: list[dict] = [{} for _ in texts]
-    for at in range(0, len(work), rows):
-        part = work[at : at + rows]
-        x = np.full((len(part), WINDOW), 130, np.int64)
-        for r, (i, k) in enumerate(part):
-            c = codes(texts[i][k * STRIDE : k * STRIDE + WINDOW])
-            x[r, : len(c)] = c
-        tags, sure = model.decode(x)
-        for r, (i, k) in enumerate(part):
-            if not tags[r].any():
-                continue
-            room = min(WINDOW, len(texts[i]) - k * STRIDE)
+    rows, owners, size = [], [], 0
+    open_em, open_who = [], []  # windows that may hold a span
+
+    def search():
+        nonlocal open_em, open_who
+        em, who = np.concatenate(open_em), np.concatenate(open_who)
+        open_em, open_who = [], []
+        tags = model.best_path(em)
+        hit = np.flatnonzero(tags.any(axis=1))
+        for r, sure in zip(hit.tolist(), model.certainty(em[hit], tags[hit]) if len(hit) else ()):
+            i, at = int(who[r, 0]), int(who[r, 1])
+            room = min(WINDOW, len(texts[i]) - at)
             for kind, a, b in _spans_of(tags[r, :room]):
-                cut = (a == 0 and k > 0) or (b == WINDOW and k * STRIDE + b < len(texts[i]))
-                key = (kind, k * STRIDE + a, k * STRIDE + b)
-                held[i][key] = held[i].get(key, 0.0) + float(sure[r, a:b].sum()) * (0.2 if cut else 1.0)
+                cut = (a == 0 and at > 0) or (b == WINDOW and at + b < len(texts[i]))
+                s = float(sure[a:b].mean())
+                if s >= MIN_SURE and b - a <= MAX_SPAN:
+                    key = (kind, at + a, at + b)
+                    held[i][key] = held[i].get(key, 0.0) + s * (b - a) * (0.2 if cut else 1.0)
+
+    def flush():
+        nonlocal rows, owners, size
+        em, who = model.emissions(np.concatenate(rows)), np.concatenate(owners)
+        rows, owners, size = [], [], 0
+        some = model.open_rows(em)
+        if len(some):
+            open_em.append(em[some])
+            open_who.append(who[some])
+        if sum(map(len, open_em)) >= ROWS // 2:
+            search()
+
+    for i, text in enumerate(texts):
+        x = windows(text)
+        for k in range(0, len(x), ROWS):
+            part = x[k : k + ROWS]
+            if size + len(part) > ROWS:
+                flush()
+            rows.append(part)
+            owners.append(np.stack([np.full(len(part), i), (k + np.arange(len(part))) * STRIDE], axis=1))
+            size += len(part)
+    if size:
+        flush()
+    if open_em:
+        search()
+    return held
+
+
+def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list]:
+    """Spans that the tagger adds to the base spans of each text: those that overlap none of them."""
     out = []
-    for text, found, fixed in zip(texts, held, base):
+    for text, found, fixed in zip(texts, tagged(model, texts), base):
         taken: list[list[int]] = []
         for a, b in sorted((a, b) for _, a, b in fixed):
             if taken and a < taken[-1][1]:
@@ -357,7 +185,7 @@ def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int,
         ok = {}
         for s, w in found.items():
             k = bisect.bisect_right(stops, s[1])  # the first that ends after the start
-            if (k == len(taken) or taken[k][0] >= s[2]) and plausible(s[0], text[s[1] : s[2]]):
+            if (k == len(taken) or taken[k][0] >= s[2]) and consistent(s[0], text[s[1] : s[2]]):
                 ok[s] = w
         out.append(reconcile(ok))
     return out
@@ -365,11 +193,10 @@ def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int,
 
 def find(model: Tagger, texts: list[str | None]) -> list[tuple[list, list]]:
     """Base spans and all spans of each text, both ordered by kind and start."""
-    hot = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
-    some = [texts[i] for i in hot]
-    base = [base_spans(t) for t in some]
+    some = [i for i, t in enumerate(texts) if t]
+    base = [base_spans(texts[i]) for i in some]
     out: list[tuple[list, list]] = [([], [])] * len(texts)
-    for i, b, more in zip(hot, base, added_spans(model, some, base)):
+    for i, b, more in zip(some, base, added_spans(model, [texts[i] for i in some], base)):
         out[i] = (b, sorted([*b, *more]))
     return out
 
