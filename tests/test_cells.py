@@ -140,3 +140,17 @@ def test_ranks_and_running_sums(spark):
         assert all(r.s == sum(o.k for o in rows if o.v <= r.v and (not by or o.g == r.g)) for r in rows)
     sizes = [r["count"] for r in learn.folds(df, "g", "k").groupBy("g", "pli").count().collect()]
     assert set(sizes) == {40} and hash_rank(df.limit(0), ["g"], F.xxhash64("k"), "r").count() == 0
+
+
+def test_quantiles_without_one_task_for_all(spark, monkeypatch):
+    from timberline.plans import ranks
+
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal(5000), rng.integers(0, 4, 5000).astype(float)
+    df = spark.createDataFrame([(float(x), None if y == 3 else float(y), None) for x, y in zip(a, b)], "a double, b double, c double")
+    asked = {"a": [0.0, 0.25, 0.5, 0.95, 1.0], "b": [0.5, 0.9], "c": [0.5]}
+    want = {"a": np.quantile(a, asked["a"]), "b": np.quantile(b[b != 3], asked["b"])}
+    for limit in (200_000, 3):
+        monkeypatch.setattr(ranks, "COLLECTED", limit)
+        got = ranks.quantiles(df, asked)
+        assert np.allclose(got["a"], want["a"]) and np.allclose(got["b"], want["b"]) and got["c"] == [None]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.geometry import c, point_segment_distance
+from timberline.plans.ranks import quantiles
 
 
 @dataclass(frozen=True)
@@ -52,22 +53,17 @@ def ramp(v, kind: str, a, b, margin=None) -> Column:
     raise ValueError(f"unknown kind of rule: {kind}")
 
 
-def bounds(cells: DataFrame, band: str, kind: str, a: float | None = None, b: float | None = None) -> DataFrame:
-    """One row ``(a, b)``: given bounds, or exact quantiles of the band (.5 and .95; .25 and .75 for a bell)."""
-    low, high = (0.25, 0.75) if kind == "bell" else (0.5, 0.95)
-    q = F.percentile(F.col(band), F.array(F.lit(low), F.lit(high)))
-    return cells.agg(q.alias("q")).select(
-        (F.lit(a) if a is not None else F.col("q")[0]).cast("double").alias("a"),
-        (F.lit(b) if b is not None else F.col("q")[1]).cast("double").alias("b"),
-    )
+def bounds(cells: DataFrame, band: str, kind: str, a: float | None = None, b: float | None = None) -> tuple[float | None, float | None]:
+    """Given bounds, or exact quantiles of the band (.5 and .95; .25 and .75 for a bell)."""
+    q = quantiles(cells, {band: [0.25, 0.75] if kind == "bell" else [0.5, 0.95]})[band]
+    return (q[0] if a is None else a), (q[1] if b is None else b)
 
 
 def membership(cells: DataFrame, band: str, kind: str = "up", a: float | None = None, b: float | None = None, out: str = "mu") -> DataFrame:
     """Append the membership of one band."""
-    if a is not None and b is not None:
-        return cells.withColumn(out, ramp(band, kind, a, b))
-    edge = bounds(cells, band, kind, a, b).select(F.col("a").alias("__a"), F.col("b").alias("__b"))
-    return cells.crossJoin(F.broadcast(edge)).withColumn(out, ramp(band, kind, F.col("__a"), F.col("__b"))).drop("__a", "__b")
+    if a is None or b is None:
+        a, b = bounds(cells, band, kind, a, b)
+    return cells.withColumn(out, ramp(band, kind, a, b) if a is not None else F.lit(None).cast("double"))
 
 
 def base_name(band: str) -> str:
@@ -88,28 +84,23 @@ def fuse(cells: DataFrame, rules: dict[str, Rule], sigma_min: float = 0.05, out:
     """Weighted geometric mean of memberships: mean over the scales of a channel, floored at ``sigma_min``.
 
     A null at any scale makes the cell null. Bounds that the data must give
-    are computed for all bands in one aggregate.
+    are computed for all bands at once.
     """
     groups = matching(bands or cells.columns, rules)
-    asked = [(name, band) for name, bs in groups.items() for band in bs if rules[name].a is None or rules[name].b is None]
-    if asked:
-        one = []
-        for name, band in asked:
-            low, high = (0.25, 0.75) if rules[name].kind == "bell" else (0.5, 0.95)
-            one.append(F.percentile(F.col(band), F.array(F.lit(low), F.lit(high))).alias(f"__q_{band}"))
-        cells = cells.crossJoin(F.broadcast(cells.agg(*one)))
+    asked = {band: [0.25, 0.75] if rules[name].kind == "bell" else [0.5, 0.95] for name, bs in groups.items() for band in bs if rules[name].a is None or rules[name].b is None}
+    found = quantiles(cells, asked) if asked else {}
     terms, total = [], 0.0
     for name, bs in groups.items():
         rule, mus = rules[name], []
         for band in bs:
-            a = F.lit(rule.a) if rule.a is not None else F.col(f"__q_{band}")[0]
-            b = F.lit(rule.b) if rule.b is not None else F.col(f"__q_{band}")[1]
-            mus.append(ramp(band, rule.kind, a, b, rule.margin))
+            a = found[band][0] if rule.a is None else rule.a
+            b = found[band][1] if rule.b is None else rule.b
+            mus.append(ramp(band, rule.kind, F.lit(a).cast("double"), F.lit(b).cast("double"), rule.margin))
         mean = sum(mus[1:], mus[0]) / len(mus)
         terms.append(F.when(mean.isNotNull(), F.log(F.greatest(mean, F.lit(sigma_min)))) * rule.weight)
         total += rule.weight
     fused = F.exp(sum(terms[1:], terms[0]) / total)
-    return cells.withColumn(out, fused).drop(*[f"__q_{band}" for _, band in asked])
+    return cells.withColumn(out, fused)
 
 
 def conductivity(cells: DataFrame, rules: dict[str, Rule] | None = None, sigma_min: float = 0.05, confidence: str | None = None, out: str = "sigma_geo") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.operators.cells import Rule, base_name, near_segments
-from timberline.plans.ranks import hash_rank, running_sum
+from timberline.plans.ranks import hash_rank, running_sum, quantiles
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
@@ -174,9 +174,9 @@ def channel_bases(bands: list[str]) -> list[str]:
 
 def terrain_facts(cells: DataFrame, slope: str = "pente", rough: str = "rugosite", relief: str = "slrm_5") -> DataFrame:
     """Median and 90th percentile of slope, median roughness, interquartile range of relief."""
-    p = lambda c, q: F.percentile(F.col(c), F.lit(q))
-    return cells.agg(F.median(slope).alias("pente_mediane"), p(slope, 0.9).alias("pente_p90"), F.median(rough).alias("rugosite_mediane"),
-                     (p(relief, 0.75) - p(relief, 0.25)).alias("slrm_iqr"))
+    q = quantiles(cells, {slope: [0.5, 0.9], rough: [0.5], relief: [0.25, 0.75]})
+    spread = None if q[relief][0] is None else q[relief][1] - q[relief][0]
+    return cells.sparkSession.createDataFrame([(*q[slope], *q[rough], spread)], "pente_mediane double, pente_p90 double, rugosite_mediane double, slrm_iqr double")
 
 
 def errors(pairs: DataFrame, measured: str, reference: str, by: tuple[str, ...] = ()) -> DataFrame:

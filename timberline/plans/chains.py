@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from timberline.operators import agent, curves, measure, network, skeleton, stations
 from timberline.operators.cells import base_name, detection_index, grid_cells, resample_bilinear, resample_nearest, same_grid
 from timberline.operators.learn import auc, errors, strata
+from timberline.plans.ranks import quantiles
 from timberline.session import materialize
 
 log = logging.getLogger(__name__)
@@ -174,8 +175,10 @@ def evaluate(found: DataFrame, reference: DataFrame, tol: float = 10.0) -> DataF
 
 def contrast(cells: DataFrame, band: str, presence: str = "presence") -> DataFrame:
     """Difference of the medians on and off the road, and the area under the curve."""
-    m = lambda y: F.median(F.when(F.col(presence) == y, F.col(band)))
-    return cells.agg((m(1) - m(0)).alias("contraste")).crossJoin(auc(cells, band, presence))
+    parts = cells.select(*[F.when(F.col(presence) == y, F.col(band)).alias(f"m{y}") for y in (0, 1)])
+    (off,), (on,) = quantiles(parts, {"m0": [0.5], "m1": [0.5]}).values()
+    gap = None if on is None or off is None else on - off
+    return auc(cells, band, presence).withColumn("contraste", F.lit(gap).cast("double"))
 
 
 def mode_mass(cells: DataFrame, band: str, width: float = 0.005) -> DataFrame:
