@@ -154,3 +154,42 @@ def test_quantiles_without_one_task_for_all(spark, monkeypatch):
         monkeypatch.setattr(ranks, "COLLECTED", limit)
         got = ranks.quantiles(df, asked)
         assert np.allclose(got["a"], want["a"]) and np.allclose(got["b"], want["b"]) and got["c"] == [None]
+
+
+def test_cubic_and_average_resampling(spark):
+    from timberline.operators import cells as op
+
+    rng = np.random.default_rng(8)
+    z = rng.random((12, 12))
+    df = spark.createDataFrame([(r, c, None if (r, c) == (9, 9) else float(z[r, c])) for r in range(12) for c in range(12)], "row int, col int, v double")
+    src = {"xmin": 0.0, "ymin": 0.0, "xmax": 12.0, "ymax": 12.0, "res": 1.0, "nrow": 12, "ncol": 12}
+    dst = {"xmin": 0.0, "ymin": 0.0, "xmax": 12.0, "ymax": 12.0, "res": 1.5, "nrow": 8, "ncol": 8}
+    got = {(r.row, r.col): r.v for r in op.resample_average(df, src, op.grid_cells(spark, dst), dst, "v").collect()}
+    fine = np.kron(np.where(np.indices(z.shape).min(0) == 99, 0, z), np.ones((2, 2)))
+    fine[18:20, 18:20] = np.nan
+    assert len(got) == 64 and all(abs(v - np.nanmean(fine[3 * r : 3 * r + 3, 3 * c : 3 * c + 3])) < 1e-9 for (r, c), v in got.items())
+    near = lambda d: (1.5 * d - 2.5) * d * d + 1
+    away = lambda d: ((-0.5 * d + 2.5) * d - 4) * d + 2
+    k = lambda d: near(abs(d)) if abs(d) <= 1 else away(abs(d)) if abs(d) < 2 else 0.0
+    pts = [(3.2, 7.9), (5.5, 5.5), (4.75, 6.25), (0.2, 0.2)]
+    out = {(r.x, r.y): r.v for r in op.resample_cubic(df, src, spark.createDataFrame(pts, "x double, y double"), "v").collect()}
+    for x, y in pts[:3]:
+        fx, fy = x - 0.5, 12 - y - 0.5
+        want = sum(k(fx - c) * k(fy - r) * z[r, c] for r in range(12) for c in range(12))
+        assert abs(out[x, y] - want) < 1e-9
+    assert out[0.2, 0.2] is None and abs(out[5.5, 5.5] - z[6, 5]) < 1e-12
+
+
+def test_specs_from_sampled_blocks(spark):
+    from timberline.operators import learn
+
+    rows = [(r, c, c + 0.5, 60 - r - 0.5, float(10 - abs(r - 30) + (r * 7 + c * 3) % 5), float((r * 31 + c * 17) % 97), float((r + c) % 180)) for r in range(60) for c in range(60)]
+    df = spark.createDataFrame(rows, "row int, col int, x double, y double, pente_1 double, bruit double, theta double").withColumn("pente_2", F.col("pente_1") + 1)
+    road = spark.createDataFrame([(0.0, 29.5, 60.0, 29.5)], "x1 double, y1 double, x2 double, y2 double")
+    got = learn.calibrate_specs([(df, road), (df.filter("col < 40"), road)], n=150)
+    by = {r.canal: r for r in got["diagnostic"].collect()}
+    assert set(by) == {"pente", "bruit"} and by["pente"].retenu and by["pente"].auc > 0.95 and not by["bruit"].retenu and by["pente"].n_massifs == 2
+    assert list(got["specs"]) == ["pente"] and got["specs"]["pente"].kind == "up" and got["terrain"] is None
+    assert {r.n_pres for r in got["par_massif"].collect()} == {150}
+    with pytest.raises(ValueError):
+        learn.calibrate_specs([(df, road)], present=30, absent=20)

@@ -152,6 +152,44 @@ def state_map(cells_geo: DataFrame, cells_surf: DataFrame, keys: tuple[str, ...]
     return both.withColumn("divergence", divergence("sigma_geo", "sigma_surf")).withColumn("etat", code).withColumn("etat_label", state_label(F.col("etat")))
 
 
+def resample_cubic(cells: DataFrame, source: dict, points: DataFrame, band: str, out: str | None = None) -> DataFrame:
+    """Value by cubic convolution over four by four cells at each point; null where one that counts is missing or null."""
+    res = source["res"]
+    fx, fy = (F.col("x") - source["xmin"]) / res - 0.5, (source["ymax"] - F.col("y")) / res - 0.5
+    keyed = points.withColumn("__id", F.monotonically_increasing_id()).withColumn("__fx", fx).withColumn("__fy", fy)
+
+    def weights(t: Column) -> list[Column]:
+        a = -0.5
+        near = lambda d: ((a + 2) * d - (a + 3)) * d * d + 1
+        away = lambda d: ((a * d - 5 * a) * d + 8 * a) * d - 4 * a
+        return [away(1 + t), near(t), near(1 - t), away(2 - t)]
+
+    wx, wy = weights(F.col("__fx") - F.floor("__fx")), weights(F.col("__fy") - F.floor("__fy"))
+    r0, c0 = F.floor("__fy").cast("int") - 1, F.floor("__fx").cast("int") - 1
+    around = F.array(*[F.struct((r0 + i).alias("r"), (c0 + j).alias("c"), (wy[i] * wx[j]).alias("w")) for i in range(4) for j in range(4)])
+    asked = keyed.select("*", F.explode(around).alias("__q")).filter("__q.w <> 0")
+    src = cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(band).alias("__v"))
+    got = asked.join(src, (F.col("__q.r") == F.col("__r")) & (F.col("__q.c") == F.col("__c")), "left")
+    return got.groupBy("__id", *points.columns).agg(F.when(F.count("__v") == F.count("*"), F.sum(F.col("__q.w") * F.col("__v"))).alias(out or band)).drop("__id")
+
+
+def resample_average(cells: DataFrame, source: dict, target: DataFrame, grid: dict, band: str) -> DataFrame:
+    """Mean of the source cells over each cell of ``target`` (a table of cells of ``grid``), by the area they share; null values don't count."""
+    res, side = source["res"], grid["res"]
+    x0, y1 = source["xmin"] + F.col("col") * res, source["ymax"] - F.col("row") * res
+    first = lambda v: F.floor(v / side + 1e-9).cast("int")
+    last = lambda v: (F.ceil(v / side - 1e-9) - 1).cast("int")
+    cut = cells.filter(F.col(band).isNotNull()).select("row", "col", F.col(band).alias("__v"), x0.alias("__x0"), y1.alias("__y1"))
+    cut = cut.withColumn("__c", F.explode(F.sequence(first(F.col("__x0") - grid["xmin"]), last(F.col("__x0") + res - grid["xmin"]))))
+    cut = cut.withColumn("__r", F.explode(F.sequence(first(grid["ymax"] - F.col("__y1")), last(grid["ymax"] - F.col("__y1") + res))))
+    left, top = grid["xmin"] + F.col("__c") * side, grid["ymax"] - F.col("__r") * side
+    wide = F.least(F.col("__x0") + res, left + side) - F.greatest(F.col("__x0"), left)
+    high = F.least(F.col("__y1"), top) - F.greatest(F.col("__y1") - res, top - side)
+    w = F.greatest(F.lit(0.0), wide) * F.greatest(F.lit(0.0), high)
+    mean = cut.withColumn("__w", w).filter("__w > 0").groupBy(F.col("__r").alias("row"), F.col("__c").alias("col")).agg((F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias(band))
+    return target.join(mean, ["row", "col"], "left")
+
+
 def inside(points: DataFrame, polygons: DataFrame, side: float = 1_000.0) -> DataFrame:
     """Distinct ``x, y`` of the points that lie in one of the polygons (``geom``: a ring of x, y, closed or not), by the even-odd rule.
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.operators.cells import Rule, base_name, near_segments
-from timberline.plans.ranks import hash_rank, running_sum, quantiles
+from timberline.plans.ranks import hash_rank, quantiles, running_sum
+from timberline.session import materialize
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
@@ -163,6 +164,50 @@ def calibrate(areas: DataFrame, auc_min: float = 0.55, weight_max: float = 3.0,
     return done.withColumn("poids", weight).select("canal", "n_massifs", "auc", "stable", "sens", "retenu", "poids", F.when(F.col("retenu"), a).alias("a"), F.when(F.col("retenu"), b).alias("b"))
 
 
+def labelled_cells(cells: DataFrame, reference: DataFrame, bands: list[str], present: float = 3.0, absent: float = 20.0, n: int = 2_500, seed: int = 1) -> DataFrame:
+    """Cells within ``present`` of the reference (1) and beyond ``absent`` of it (0), ``n`` of each at most by a hash of the cell.
+
+    Cells need not be complete: a band is judged where it has a value.
+    """
+    if present >= absent:
+        raise ValueError("present must be below absent")
+    spots = cells.select("x", "y")
+    on, close = near_segments(spots, reference, present), near_segments(spots, reference, absent)
+    both = on.withColumn("presence", F.lit(1)).union(spots.join(close, ["x", "y"], "left_anti").withColumn("presence", F.lit(0)))
+    rows = cells.select("row", "col", "x", "y", *bands).join(both, ["x", "y"])
+    return hash_rank(rows, ["presence"], F.xxhash64(F.lit(seed), "row", "col"), "__r").filter(F.col("__r") <= n).drop("__r")
+
+
+def calibrate_specs(blocks: list[tuple[DataFrame, DataFrame]], present: float = 3.0, absent: float = 20.0, auc_min: float = 0.55, weight_max: float = 3.0, n: int = 2_500,
+                    exclude: tuple[str, ...] = ("theta",), bounded: bool = True, seed: int = 1, n_min: int = 50) -> dict:
+    """Rules of conductivity from blocks of ``(cells, reference segments)``.
+
+    A channel is the mean over its scales. ``specs``: rules of the channels
+    kept (without bounds unless ``bounded``); ``diagnostic``: one row a channel; ``par_massif``: areas by block;
+    ``terrain``: facts of each block that has the bands for them.
+    """
+    areas, terrain = None, None
+    for k, (cells, reference) in enumerate(blocks, 1):
+        held = [c for c in cells.columns if c not in ("row", "col", "x", "y")]
+        names = [b for b in channel_bases(held) if b not in exclude]
+        scales = {b: [F.col(c) for c in held if base_name(c) == b] for b in names}
+        means = cells.select("row", "col", "x", "y", *[(sum(v[1:], v[0]) / len(v)).alias(b) for b, v in scales.items()])
+        sample = labelled_cells(means, reference, names, present, absent, n, seed).withColumn("massif", F.lit(k))
+        one = channel_areas(sample, names, n_min=n_min)
+        areas = one if areas is None else areas.unionByName(one)
+        if {"pente", "rugosite", "slrm_5"} <= set(held):
+            facts = terrain_facts(cells).withColumn("massif", F.lit(k))
+            terrain = facts if terrain is None else terrain.unionByName(facts)
+    areas = materialize(areas)
+    if areas.filter("auc is not null").isEmpty():
+        raise ValueError("no channel can be measured: look at the reference")
+    diagnostic = materialize(calibrate(areas, auc_min, weight_max)).orderBy(F.col("auc").desc(), "canal")
+    rules = rules_from(diagnostic)
+    if not bounded:
+        rules = {k: Rule(v.kind, v.weight) for k, v in rules.items()}
+    return {"specs": rules, "diagnostic": diagnostic, "par_massif": areas, "terrain": terrain}
+
+
 def rules_from(calibrated: DataFrame) -> dict[str, Rule]:
     """Rules of the channels kept; a handful of rows come to the driver."""
     return {r["canal"]: Rule("up" if r["sens"] > 0 else "down", r["poids"], r["a"], r["b"]) for r in calibrated.filter("retenu").collect()}

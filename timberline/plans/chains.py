@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.operators import agent, curves, measure, network, skeleton, stations
-from timberline.operators.cells import base_name, detection_index, grid_cells, resample_bilinear, resample_nearest, same_grid
+from timberline.operators.cells import base_name, detection_index, grid_cells, resample_average, resample_bilinear, resample_cubic, resample_nearest, same_grid
 from timberline.operators.learn import auc, errors, strata
 from timberline.plans.ranks import quantiles
 from timberline.session import materialize
@@ -26,7 +26,7 @@ ANGULAR = {"theta"}
 def external_channels(layers: dict[str, tuple[DataFrame, dict]], reference: dict, spark, methods: dict[str, str] | None = None) -> DataFrame:
     """Named rasters ``(cells with row, col, v; grid)`` on the reference grid, one band each.
 
-    Same lattice: an equi-join. Otherwise bilinear or nearest, as asked.
+    Same lattice: an equi-join. Otherwise ``bilinear``, ``near``, ``cubic`` or ``average``, as asked.
     Directions must be taken nearest (a warning says so), and meshes more
     than a fifth coarser than the grid are told about. Composites (all whole
     numbers from 0 to 255 that fill most of that range) are refused.
@@ -46,7 +46,14 @@ def external_channels(layers: dict[str, tuple[DataFrame, dict]], reference: dict
         if grid["res"] > 1.2 * reference["res"]:
             log.warning("%s has a mesh of %g for a grid of %g", name, grid["res"], reference["res"])
         src = cells.select("row", "col", F.col("v").alias(name))
-        out = resample_nearest(src, grid, out, [name]) if method == "near" else resample_bilinear(src, grid, out, name)
+        if method == "average":
+            out = resample_average(src, grid, out, reference, name)
+        elif method == "near":
+            out = resample_nearest(src, grid, out, [name])
+        elif method in ("bilinear", "cubic"):
+            out = (resample_bilinear if method == "bilinear" else resample_cubic)(src, grid, out, name)
+        else:
+            raise ValueError(f"unknown method: {method}")
     return out
 
 
