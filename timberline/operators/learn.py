@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timberline.operators.cells import Rule, base_name, near_segments
 from timberline.plans.ranks import hash_rank, quantiles, running_sum
-from timberline.session import materialize
+from timberline.session import materialize, release
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
@@ -87,21 +87,24 @@ def learn_conductivity(sample: DataFrame, channels: list[str], method: str = "gl
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
-    data = sample.withColumn("__key", F.xxhash64("row", "col")).withColumn("label", F.col("label").cast("double")).cache()
+    data = materialize(sample.withColumn("__key", F.xxhash64("row", "col")).withColumn("label", F.col("label").cast("double")))
     counts = {int(r["label"]): r["count"] for r in data.groupBy("label").count().collect()}
     n = sum(counts.values())
     pipe = Pipeline(stages=[VectorAssembler(inputCols=channels, outputCol="__features"), _estimator(method, seed)])
     area = lambda df: auc(df.withColumn("score", road_probability()), "score", "label").first()["auc"]
     cv = None
     if min(counts.get(0, 0), counts.get(1, 0)) >= k:
-        dealt = folds(data, "label", "__key", k, seed).cache()
+        dealt = materialize(folds(data, "label", "__key", k, seed))
         held = None
         for f in range(1, k + 1):
             part = pipe.fit(dealt.filter(F.col("pli") != f)).transform(dealt.filter(F.col("pli") == f))
             held = part if held is None else held.union(part)
         cv = area(held)
+        release(dealt)
     fitted = pipe.fit(data)
-    return LearnedConductivity(fitted, method, channels, cv, area(fitted.transform(data)), n, counts.get(1, 0) / max(n, 1), k)
+    own = area(fitted.transform(data))
+    release(data)
+    return LearnedConductivity(fitted, method, channels, cv, own, n, counts.get(1, 0) / max(n, 1), k)
 
 
 def road_probability() -> Column:
