@@ -678,5 +678,5 @@ def external_channels(spark, sf):
     return chains.external_channels({"rugosite": (same, GRID), "vesselness": (low, coarse)}, GRID, spark).select("row", "col", r("rugosite").alias("rugosite"), r("vesselness", 6).alias("vesselness"))
 
 
-# the queries over profiles register themselves here
-from timberline import queries_profiles  # noqa: E402, F401
+# more queries register themselves here
+from timberline import queries_profiles, queries_sources  # noqa: E402, F401
