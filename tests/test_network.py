@@ -120,7 +120,7 @@ def test_polylines_and_networks_that_hang_together(spark):
     edges, nodes = network.network(df)
     assert {r.id: round(r.longueur) for r in edges.collect()} == {1: 100, 2: 48, 3: 40, 4: 100} and nodes.count() == 5
     # a connected grid: nothing runs beside anything, nothing goes, and no step holds the grid in one group
-    n = 40
+    n = 24
     mesh = [(2 * (n * i + j), 10.0 * i, 10.0 * j, 10.0 * i + 10, 10.0 * j) for i in range(n) for j in range(n)] + [(2 * (n * i + j) + 1, 10.0 * i, 10.0 * j, 10.0 * i, 10.0 * j + 10) for i in range(n) for j in range(n)]
     assert network.dedupe_parallels(spark.createDataFrame(mesh, "id long, x1 double, y1 double, x2 double, y2 double"), 3.0).count() == len(mesh)
 

@@ -55,27 +55,23 @@ def roughness(cells: DataFrame, res: float, window_m: float = 5, band: str = "z"
     return box_mean(r, "__r2", n, "__m2").withColumn(out, F.sqrt("__m2")).drop("__mean", "__r2", "__m2")
 
 
-def neighbours(cells: DataFrame, band: str) -> DataFrame:
-    """Append the eight neighbours as ``n_<dr>_<dc>`` by one self-join on shifted keys; null where missing."""
-    shifts = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
-    sent = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in shifts]))
-    far = cells.select("row", "col", F.col(band).alias("__v"), sent.alias("__s")).select(
-        (F.col("row") - F.col("__s.dr")).alias("row"), (F.col("col") - F.col("__s.dc")).alias("col"), "__s", "__v"
-    )
-    pick = [F.max(F.when((F.col("__s.dr") == dr) & (F.col("__s.dc") == dc), F.col("__v"))).alias(f"n_{dr}_{dc}".replace("-", "m")) for dr, dc in shifts]
-    return cells.join(far.groupBy("row", "col").agg(*pick), ["row", "col"], "left")
-
-
 def slope(cells: DataFrame, res: float, band: str = "z", out: str = "pente", unit: str = "degrees") -> DataFrame:
-    """Slope by the eight-neighbour weighted gradient; null where a neighbour is missing."""
-    near = neighbours(cells, band)
-    n = lambda dr, dc: F.col(f"n_{dr}_{dc}".replace("-", "m"))
-    gx = ((n(-1, 1) + 2 * n(0, 1) + n(1, 1)) - (n(-1, -1) + 2 * n(0, -1) + n(1, -1))) / (8 * res)
-    gy = ((n(-1, -1) + 2 * n(-1, 0) + n(-1, 1)) - (n(1, -1) + 2 * n(1, 0) + n(1, 1))) / (8 * res)
-    tan = F.sqrt(gx * gx + gy * gy)
+    """Slope by the eight-neighbour weighted gradient; null where a neighbour is missing.
+
+    The gradient is separable: differences and weighted sums along rows, then along columns.
+    """
+    across, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
+    left = F.when(F.lag("col").over(across) == F.col("col") - 1, F.lag(band).over(across))
+    right = F.when(F.lead("col").over(across) == F.col("col") + 1, F.lead(band).over(across))
+    rows = cells.withColumn("__d", right - left).withColumn("__w", left + 2 * F.col(band) + right)
+    above = lambda c: F.when(F.lag("row").over(down) == F.col("row") - 1, F.lag(c).over(down))
+    below = lambda c: F.when(F.lead("row").over(down) == F.col("row") + 1, F.lead(c).over(down))
+    gx = (above("__d") + 2 * F.col("__d") + below("__d")) / (8 * res)
+    gy = (above("__w") - below("__w")) / (8 * res)
+    both = rows.withColumn("__x", gx).withColumn("__y", gy)
+    tan = F.sqrt(F.col("__x") * F.col("__x") + F.col("__y") * F.col("__y"))
     value = {"degrees": F.degrees(F.atan(tan)), "radians": F.atan(tan), "tangent": tan}[unit]
-    gone = [c for c in near.columns if c.startswith("n_")]
-    return near.withColumn(out, F.when(F.col(band).isNotNull(), value)).drop(*gone)
+    return both.withColumn(out, F.when(F.col(band).isNotNull(), value)).drop("__d", "__w", "__x", "__y")
 
 
 def on_tiles(cells: DataFrame, grid: dict, halo: int, kernel: Callable[[dict[str, np.ndarray], dict], dict[str, np.ndarray]], bands: list[str],
