@@ -444,13 +444,22 @@ def channel_areas(spark, sf):
     return rounded(learn.channel_areas(rows, ["score", "size"], n_min=5), 6, "auc")
 
 
-@query()
+@query("""WITH u AS (SELECT massif, y, 'score' AS canal, score AS v FROM v_scores UNION ALL SELECT massif, y, 'size', size FROM v_scores), u2 AS (SELECT * FROM u WHERE v IS NOT NULL AND y IS NOT NULL),
+c AS (SELECT massif, canal, v, count(*) AS c, sum(y) AS p FROM u2 GROUP BY ALL), k AS (SELECT *, sum(c) OVER (PARTITION BY massif, canal ORDER BY v) - c + (c + 1) / 2.0E0 AS mid FROM c),
+s AS (SELECT massif, canal, sum(p * mid) AS r, sum(p) AS np, sum(c) - sum(p) AS nn FROM k GROUP BY ALL),
+a AS (SELECT massif, canal, CASE WHEN np >= 5 AND nn >= 5 THEN (r - np * (np + 1) / 2.0E0) / (np * nn) END AS a FROM s),
+q AS (SELECT massif, canal, quantile_cont(v, 0.25) FILTER (WHERE y = 1) AS q25, quantile_cont(v, 0.75) FILTER (WHERE y = 1) AS q75, quantile_cont(v, 0.5) FILTER (WHERE y = 0) AS q50 FROM u2 GROUP BY ALL),
+g AS (SELECT canal, median(greatest(a, 1 - a)) AS auc, count(DISTINCT CASE WHEN a >= 0.5 THEN 1 ELSE -1 END) AS ns, min(CASE WHEN a >= 0.5 THEN 1 ELSE -1 END) AS s, count(massif) AS nm, median(q25) AS q25, median(q75) AS q75, median(q50) AS q50 FROM a JOIN q USING (massif, canal) WHERE a IS NOT NULL GROUP BY canal),
+d AS (SELECT *, ns = 1 AS stable, ns = 1 AND auc >= 0.5 AS retenu FROM g), e AS (SELECT *, max(CASE WHEN retenu THEN auc - 0.5 END) OVER () AS top, CASE WHEN s > 0 THEN q50 ELSE q25 END AS lo, CASE WHEN s > 0 THEN q75 ELSE q50 END AS hi FROM d)
+SELECT canal, nm AS n_massifs, round(auc, 6) AS auc, stable, CASE WHEN stable THEN CAST(s AS INT) END AS sens, retenu, CASE WHEN retenu THEN greatest(1.0E0, round_even(3 * (auc - 0.5) / top, 0)) END AS poids,
+  round(CASE WHEN retenu AND hi > lo THEN lo END, 6) AS a, round(CASE WHEN retenu AND hi > lo THEN hi END, 6) AS b FROM e""", "v_scores")
 def calibrated_rules(spark, sf):
     rows = load(spark, sf, "v_scores")[0].withColumnRenamed("y", "presence")
-    return learn.calibrate(learn.channel_areas(rows, ["score", "size"], n_min=5), 0.5)
+    return rounded(learn.calibrate(learn.channel_areas(rows, ["score", "size"], n_min=5), 0.5), 6, "auc", "a", "b")
 
 
-@query()
+@query("""WITH n AS (SELECT y, count(*) AS n FROM v_scores GROUP BY y), f AS (SELECT y, n, unnest([1, 2, 3, 4, 5]) AS pli FROM n)
+SELECT y, CAST(pli AS INT) AS pli, CAST(n // 5 + CASE WHEN pli <= n % 5 THEN 1 ELSE 0 END AS BIGINT) AS count FROM f WHERE n // 5 + CASE WHEN pli <= n % 5 THEN 1 ELSE 0 END > 0""", "v_scores")
 def stratified_folds(spark, sf):
     return learn.folds(load(spark, sf, "v_scores")[0]).groupBy("y", "pli").count()
 
@@ -669,13 +678,17 @@ def line_criteria(spark, sf):
     return op_classify.classify(got).select("id", "CLASSE", "CLASSE_MOTIF", "OSM_TAGS")
 
 
-@query()
+@query("""WITH g AS (SELECT CAST(range // 64 AS INT) AS row, CAST(range % 64 AS INT) AS col FROM range(4096)), l AS (SELECT CAST(floor(row / 4) AS INT) AS rr, CAST(floor(col / 4) AS INT) AS cc, min(vesselness) AS v FROM v_cells GROUP BY ALL),
+q AS (SELECT row, col, (col + 0.5E0) / 4 - 0.5 AS fx, (row + 0.5E0) / 4 - 0.5 AS fy FROM g), p AS (SELECT *, CAST(floor(fx) AS INT) AS c0, CAST(floor(fy) AS INT) AS r0, fx - floor(fx) AS tx, fy - floor(fy) AS ty FROM q),
+f AS (SELECT row, col, r0 AS rr, c0 AS cc, (1-tx)*(1-ty) AS w FROM p UNION ALL SELECT row, col, r0, c0+1, tx*(1-ty) FROM p UNION ALL SELECT row, col, r0+1, c0, (1-tx)*ty FROM p UNION ALL SELECT row, col, r0+1, c0+1, tx*ty FROM p),
+v AS (SELECT f.row, f.col, CASE WHEN count(l.v) = count(*) THEN round(sum(w * l.v) * 1.0137E0, 6) END AS vesselness FROM f LEFT JOIN l USING (rr, cc) WHERE w > 0 GROUP BY ALL)
+SELECT v.row, v.col, round(c.z * 1.0137E0, 4) AS rugosite, v.vesselness FROM v LEFT JOIN v_cells c ON c.row = v.row AND c.col = v.col""", "v_cells")
 def external_channels(spark, sf):
     c = load(spark, sf, "v_cells")[0]
     coarse = {"xmin": 0.0, "ymin": 0.0, "xmax": 64.0, "ymax": 64.0, "res": 4.0, "nrow": 16, "ncol": 16}
     low = c.groupBy(F.floor(F.col("row") / 4).cast("int").alias("row"), F.floor(F.col("col") / 4).cast("int").alias("col")).agg(F.min("vesselness").alias("v"))
     same = c.select("row", "col", F.col("z").alias("v"))
-    return chains.external_channels({"rugosite": (same, GRID), "vesselness": (low, coarse)}, GRID, spark).select("row", "col", r("rugosite").alias("rugosite"), r("vesselness", 6).alias("vesselness"))
+    return chains.external_channels({"rugosite": (same, GRID), "vesselness": (low, coarse)}, GRID, spark).select("row", "col", r(F.col("rugosite") * 1.0137).alias("rugosite"), r(F.col("vesselness") * 1.0137, 6).alias("vesselness"))
 
 
 # more queries register themselves here
