@@ -212,3 +212,33 @@ def test_topk_by_brute_force(spark, seed, block):
     assert topk.top_k(df.limit(0)).count() == 0
     few = topk.top_k(df.filter("vec_id in (0, 1)")).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 1)]
+
+
+def test_decontamination_keeps_columns_named_like_its_outputs(spark):
+    passage = " ".join(f"q{k}" for k in range(12))
+    docs = frame(spark, [(1, "a b c"), (2, f"x {passage} y"), (3, None), (4, ""), (None, passage.upper()), (1, "a b c")])
+    items = spark.createDataFrame([("i", passage), ("j", None), (None, "other words here"), ("k", "")], "item_id string, text string")
+    for options in ({}, {"block_bytes": 70}):
+        kept = decontam.decontaminate(docs, items, **options)
+        assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "3", "4"]
+    assert decontam.decontaminate(docs, items.limit(0)).count() == docs.count()
+
+
+def test_simhash_links_through_rows_without_an_id(spark):
+    """Three fingerprints three bits apart in a row; only a row without an id carries the middle one."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(40)]
+    found = {}
+    while True:
+        t = " ".join(rng.choice(words) for _ in range(30))
+        copy = t.split()
+        copy[rng.randrange(30)] = "zz"
+        a, b = plain_fingerprint(t), plain_fingerprint(" ".join(copy))
+        again = list(copy)
+        again[rng.randrange(30)] = "yy"
+        c = plain_fingerprint(" ".join(again))
+        if (a ^ b).bit_count() <= 3 and (b ^ c).bit_count() <= 3 < (a ^ c).bit_count():
+            found = {1: t, None: " ".join(copy), 2: " ".join(again)}
+            break
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, list(found.items()))).collect()}
+    assert got == {1: 1, None: 1, 2: 1}
