@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, chat, decontam, langid, phrases, pii, records, simhash, topk, toxicity
+from timberline.llm import bpe, chat, decontam, langid, phrases, pii, records, shards, simhash, topk, toxicity
 from timberline.llm.tables import bounded_sample, fold, table
 
 
@@ -85,6 +85,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.numbered(table(spark, sf_dir, "documents"), shards.Tree.even(shards.SHARDS))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -96,6 +100,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_records": op9_records,
     "op10_simhash": op10_simhash,
+    "op11_shards": op11_shards,
 }
 
 #: DuckDB's text for those that SQL can express over whole tables.
@@ -114,4 +119,5 @@ WITH valid AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
     "op6_chat": chat.SQL,
+    "op11_shards": shards.SQL,
 }
