@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, chat, decontam, langid, phrases, pii, records, shards, simhash, topk, toxicity
+from timberline.llm import bpe, chat, decontam, langid, phrases, pii, records, shards, simhash, topk, toxicity, whitening
 from timberline.llm.tables import bounded_sample, fold, table
 
 
@@ -89,6 +89,10 @@ def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.numbered(table(spark, sf_dir, "documents"), shards.Tree.even(shards.SHARDS))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -101,6 +105,7 @@ QUERIES = {
     "op9_records": op9_records,
     "op10_simhash": op10_simhash,
     "op11_shards": op11_shards,
+    "op12_whitening": op12_whitening,
 }
 
 #: DuckDB's text for those that SQL can express over whole tables.
