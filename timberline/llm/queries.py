@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, chat, decontam, langid, phrases, pii, records, shards, simhash, topk, toxicity, whitening
+from timberline.llm import bpe, chat, decontam, langid, lexical, phrases, pii, records, shards, simhash, topk, toxicity, whitening
 from timberline.llm.tables import bounded_sample, fold, table
 
 
@@ -93,6 +93,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -106,6 +110,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_shards": op11_shards,
     "op12_whitening": op12_whitening,
+    "op13_lexical": op13_lexical,
 }
 
 #: DuckDB's text for those that SQL can express over whole tables.
@@ -125,4 +130,5 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
     "op6_chat": chat.SQL,
     "op11_shards": shards.SQL,
+    "op13_lexical": lexical.SQL,
 }
