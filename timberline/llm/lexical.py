@@ -2,7 +2,7 @@
 
 Texts are cut into terms once. Each document leaves one narrow row: its length and, of
 the terms that any query asks for, those it holds with their counts. These rows are
-dealt into index shards of some ``SHARD`` documents. A shard orders its documents by id,
+dealt into index shards of some ``SHARD`` documents and ``POSTINGS`` entries. A shard orders its documents by id,
 inverts them into postings, and walks them in windows of ``WINDOW`` documents: for
 each query the postings of its terms that lie in the window are added into an array
 that fits a cache, a bitset marks what was touched, and what is marked is harvested into the
@@ -26,10 +26,10 @@ from timberline.llm.tables import slices
 from timberline.session import materialize, release
 
 K = 50
-#: Documents of a window: sums of 512 kB.
-WINDOW = 1 << 16
-#: Documents of an index shard, about.
-SHARD = 1 << 17
+#: Documents of a window: sums of 32 kB.
+WINDOW = 1 << 12
+#: Documents of an index shard and its postings, about, at most.
+SHARD, POSTINGS = 1 << 15, 1 << 21
 #: Terms of the queries of one block, about.
 BLOCK = 1 << 18
 #: Query terms that are sent to the tasks that cut texts; more are joined.
@@ -162,7 +162,7 @@ def search(postings: Postings, ids: np.ndarray, queries: list[tuple[int, np.ndar
 
 
 def rank(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id",
-         query_text: str = "text", window: int = WINDOW, shard: int = SHARD, block: int = BLOCK, sent: int = SENT_TERMS) -> DataFrame:
+         query_text: str = "text", window: int = WINDOW, shard: int = SHARD, postings: int = POSTINGS, block: int = BLOCK, sent: int = SENT_TERMS) -> DataFrame:
     """``(item_id, rank, doc_id, score)``: for each query its ``k`` best documents with a score above 0.
 
     Equal scores are ranked by ascending ``doc_id``. Every row with an id is a document: rows of one id
@@ -191,7 +191,8 @@ def rank(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id"
         numbers = spark.createDataFrame([(bytearray(t), i) for t, i in known.items()], "name binary, term int")
         lists = asked.withColumnRenamed("term", "name").join(numbers, "name").join(counts, "term")
     through = lambda n: (F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    groups = max(1, -(-rows.count() // shard))
+    held, entries = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
+    groups = max(1, -(-held // shard), -(-entries // postings))
     weighed = lists.withColumn("w", weight(n_docs, F.col("df"))).filter("w > 0")
     blocks = max(1, -(-weighed.count() // block))
     per_query = weighed.groupBy("qid").agg(F.collect_list(F.struct("term", "w")).alias("asked"))
@@ -222,9 +223,9 @@ def rank(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id"
             parts = (1_000_000_000 * tf) // (1000 * tf + 20 * np.repeat(m, sizes))
             places = np.repeat(np.arange(len(n)), sizes)
             inside = numbers >= 0
-            postings = Postings(numbers[inside], places[inside], parts[inside])
+            inverted = Postings(numbers[inside], places[inside], parts[inside])
             coded = [(q, np.array([number[t] for t in asked]), np.array(w, np.int64)) for q, asked, w in mine]
-            for q, heap in search(postings, index.column("doc_id").to_numpy(), coded, k, window).items():
+            for q, heap in search(inverted, index.column("doc_id").to_numpy(), coded, k, window).items():
                 for s, doc in sorted(heap.kept, reverse=True):
                     out["qid"].append(q)
                     out["doc_id"].append(-doc)
