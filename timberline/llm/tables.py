@@ -45,10 +45,19 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Ite
         yield piece, piece.column(text_at).to_pylist()
 
 
+def hash_bound(limit: int, total: int) -> int:
+    """The signed 64-bit value below which the share ``limit / total`` of all hashes lies; never so low that it is none."""
+    return max(1, (limit << 64) // total) - (1 << 63)
+
+
 def bounded_sample(df: DataFrame, limit: int, seed: int = 7) -> DataFrame:
-    """About ``limit`` rows at most, chosen by a hash of the row: the same rows on every run, also where many share an id."""
+    """About ``limit`` rows at most, chosen by a hash of the row: the same rows on every run, also where many share an id.
+
+    The whole hash is compared, so that the sample of a table of any size has about ``limit`` rows. Of
+    rows that are equal one is drawn.
+    """
     total = df.count()
     if total <= limit:
         return df
-    span = 1 << 20
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(span)) < int(limit / total * span))
+    drawn = df.filter(F.xxhash64(F.lit(seed), *df.columns) < F.lit(hash_bound(limit, total)))
+    return drawn.distinct()
