@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -169,3 +170,83 @@ def test_patches_and_straight_lines(spark):
     assert skeleton.patches(df, 90).select("patch").distinct().count() == 2
     got = skeleton.straight_lines(df, g, 20.0).collect()
     assert len(got) == 2 and all(len(r.geom) >= 2 for r in got)
+
+
+@pytest.mark.parametrize("headings, turning", [(16, 2.0), (1, 0.0)])
+def test_sparse_search_equals_the_search_in_a_box(headings, turning):
+    rng = np.random.default_rng(headings)
+    for _ in range(6):
+        n, m = rng.integers(12, 34, 2)
+        s = rng.random((n, m))
+        s[rng.random((n, m)) < 0.2] = np.nan
+        theta, weight = rng.random((n, m)) * 180, rng.random((n, m)) * (rng.random((n, m)) < 0.7)
+        theta[rng.random((n, m)) < 0.1] = np.nan
+        r, c = np.nonzero(~np.isnan(s))
+        a, b = ((int(r[k]), int(c[k])) for k in rng.choice(len(r), 2, replace=False))
+        cost, path = pathfind.least_cost(s, a, None, theta, weight, headings, 4.0, turning)
+        g = pathfind.Ground(np.zeros(len(r)), r, c, s[r, c], theta[r, c], weight[r, c], headings, 4.0, turning)
+        dist, free, at = g.labels(), np.zeros(len(r), bool), g.place([0], [a[0]], [a[1]])
+        free[at] = True
+        first = np.unique((at[:, None] * headings + np.arange(headings)).ravel())
+        dist[first] = 0
+        g.correct(dist, first, free)
+        want = np.where(np.isnan(cost), np.inf, cost)[g.row, g.col]
+        assert np.array_equal(dist.reshape(-1, headings).min(axis=1), want)
+        found = pathfind.sparse_paths(g, at, g.place([0], [b[0]], [b[1]]))[0]
+        assert (found is None) == np.isnan(cost[b])
+        if found:
+            assert (g.row[found[0]], g.col[found[0]]) == a and (g.row[found[-1]], g.col[found[-1]]) == b
+
+
+def test_five_kilometres_fit_in_the_cells_of_their_corridor():
+    """A diagonal whose box would have 25 million cells and 16 headings each."""
+    along = np.arange(5000)
+    r, c = (np.concatenate(x) for x in zip(*[(along, along + d) for d in range(-10, 11)]))
+    r, c = r[c >= 0], c[c >= 0]
+    tracemalloc.start()
+    g = pathfind.Ground(np.zeros(len(r)), r, c, np.where(r == c, 0.9, 0.2))
+    path = pathfind.sparse_paths(g, g.place([0], [3], [3]), g.place([0], [4990], [4990]))[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4e8 and len(path) == 4988 and (g.row[path] == g.col[path]).all()
+
+
+def test_areas_are_searched_side_by_side_and_apart():
+    rng = np.random.default_rng(7)
+    grids = [rng.random((15, 18)) for _ in range(5)]
+    cells = [(k, i, j, s[i, j]) for k, s in enumerate(grids) for i in range(15) for j in range(18) if s[i, j] > 0.15]
+    area, r, c, v = (np.array(x) for x in zip(*cells))
+    g = pathfind.Ground(area, r, c, v)
+    starts, goals = (np.array([int(g.place([k], [i], [j])[0]) for k, i, j in ends]) for ends in ([(k, 2 + k, 1) for k in range(5)], [(k, 12, 15 - k) for k in range(5)]))
+    for k, path in enumerate(pathfind.sparse_paths(g, starts, goals)):
+        one = pathfind.Ground(np.zeros((area == k).sum()), r[area == k], c[area == k], v[area == k])
+        alone = pathfind.sparse_paths(one, one.place([0], [2 + k], [1]), one.place([0], [12], [15 - k]))[0]
+        assert (path is None) == (alone is None)
+        if path:
+            assert [(g.row[p], g.col[p]) for p in path] == [(one.row[p], one.col[p]) for p in alone]
+
+
+@pytest.mark.parametrize("tile", [7, 16, 64])
+def test_cost_field_over_tiles(spark, tile):
+    rng = np.random.default_rng(3)
+    s = rng.random((40, 33))
+    s[rng.random(s.shape) < 0.15] = np.nan
+    s[20, :28] = np.nan  # a wall that paths must go around, through several tiles
+    starts = [(2, 3), (35, 30)]
+    s[2, 3] = s[35, 30] = 0.5
+    rows = [(i, j, float(s[i, j]), float(10 * i % 180), 0.4) for i in range(40) for j in range(33)]
+    df = spark.createDataFrame(rows, "row int, col int, sigma double, theta double, poids double")
+    got = pathfind.cost_field(df, spark.createDataFrame(starts, "row int, col int"), tile=tile, res=2.0)
+    theta, weight = (10.0 * np.arange(40) % 180)[:, None] + np.zeros(33), np.full(s.shape, 0.4)
+    each = [pathfind.least_cost(s, a, None, theta, weight, res=2.0)[0] for a in starts]
+    want = np.fmin(*each)
+    found = {(r.row, r.col): r.cost for r in got.collect()}
+    assert set(found) == set(map(tuple, np.argwhere(~np.isnan(want)).tolist()))
+    assert all(found[k] == want[k] for k in found)
+
+
+def test_cost_field_without_cells_or_starts(spark):
+    one, none = spark.createDataFrame([(0, 0, 1.0)], "row int, col int, sigma double"), spark.createDataFrame([], "row int, col int")
+    assert pathfind.cost_field(one, none).count() == 0
+    assert pathfind.cost_field(one.limit(0), one.select("row", "col")).count() == 0
+    assert [tuple(r) for r in pathfind.cost_field(one, one.select("row", "col")).collect()] == [(0, 0, 0.0)]

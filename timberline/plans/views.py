@@ -24,6 +24,11 @@ SELECT CAST(l_partkey % 64 AS INT) AS row, CAST(l_suppkey % 64 AS INT) AS col,
   sum(CAST(l_quantity AS BIGINT)) / (count(*) * 50.0E0) AS taux_penetration,
   CAST(min(l_orderkey) % 100 AS DOUBLE) AS densite_sousetage
 FROM lineitem GROUP BY CAST(l_partkey % 64 AS INT), CAST(l_suppkey % 64 AS INT)""",
+    "v_ground": """
+SELECT CAST(floor(o_orderkey / 64) AS INT) AS row, CAST(o_orderkey % 64 AS INT) AS col, (CAST(round(o_totalprice * 100) AS BIGINT) % 1000) / 1000.0E0 AS sigma,
+  CASE WHEN o_orderkey % 64 % 21 < 5 OR floor(o_orderkey / 64) % 17 < 4 OR o_custkey % 29 = 0 THEN CASE WHEN o_custkey % 31 = 0 THEN 0 ELSE 1 END ELSE 0 END AS route,
+  CAST(round(o_totalprice * 100) AS BIGINT) % 7919 / 100.0E0 AS z
+FROM orders""",
     "v_stations": """
 SELECT user_id AS trace_id, CAST(k AS INT) AS station, 2.0E0 * (k - 1) AS chainage,
   2.0E0 * k + (event_id * 7919 % 200) / 100.0E0 AS x, (event_id * 104729 % 1000) / 50.0E0 AS y, value / 8.0E0 AS z,
@@ -98,4 +103,6 @@ def with_views(body: str, *names: str) -> str:
     """DuckDB text that begins with the named views; ``body`` goes on with more CTEs or a SELECT."""
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in names)
     lead = body.lstrip()
+    if lead[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {lead[15:]}"
     return f"WITH {ctes}, {lead[5:]}" if lead[:5].upper() == "WITH " else f"WITH {ctes}\n{lead}"

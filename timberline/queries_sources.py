@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from timberline.functions import geometry as geo
@@ -71,10 +70,24 @@ def harvested_areas(spark, sf):
     return spark.createDataFrame(rows, "xmin double, ymin double, n long")
 
 
-@query("""WITH g AS (SELECT CAST(range // 64 AS INT) AS row, CAST(range % 64 AS INT) AS col FROM range(4096)), d AS (SELECT row, col, greatest(abs(row - 20), abs(col - 41)) AS a, least(abs(row - 20), abs(col - 41)) AS b FROM g)
-SELECT row, col, round(2 * CASE WHEN 2 * b <= a THEN b * sqrt(5) + a - 2 * b ELSE (a - b) * sqrt(5) + (2 * b - a) * sqrt(2) END, 6) AS cout FROM d""")
+#: Rows and columns of the moves of a king and a knight, and the cell beside a knight's move that must be open.
+_MOVES = ", ".join(f"({dr}, {dc}, {dr - (dr > 0) + (dr < 0) if knight else 0}, {dc - (dc > 0) + (dc < 0) if knight else 0})"
+                   for dr in range(-2, 3) for dc in range(-2, 3) for knight in [abs(dr) + abs(dc) == 3] if knight or 0 < max(abs(dr), abs(dc)) == 1)
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT row, col, 1 / greatest(sigma, 0.05E0) AS w FROM v_ground WHERE sigma >= 0.08),
+m AS (SELECT * FROM (VALUES {_MOVES}) m(dr, dc, sr, sc)),
+e AS (SELECT a.row, a.col, b.row AS r2, b.col AS c2, (a.w + b.w) / 2 * (sqrt(dr * dr + dc * dc) * 2) AS price FROM c a, m JOIN c b ON b.row = a.row + m.dr AND b.col = a.col + m.dc
+  WHERE (sr = 0 AND sc = 0) OR EXISTS (SELECT 1 FROM c s WHERE s.row = a.row + m.sr AND s.col = a.col + m.sc)),
+f(row, col, cost) USING KEY (row, col) AS (
+  SELECT row, col, CAST(0 AS DOUBLE) AS cost FROM c WHERE row % 48 = 11 AND col % 40 = 9
+  UNION ALL
+  (SELECT n.row, n.col, n.cost FROM (SELECT e.r2 AS row, e.c2 AS col, min(f.cost + e.price) AS cost FROM f JOIN e ON e.row = f.row AND e.col = f.col GROUP BY ALL) n
+    LEFT JOIN recurring.f o ON o.row = n.row AND o.col = n.col WHERE o.cost IS NULL OR n.cost < o.cost))
+SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(cost, 6) AS cout FROM f""", "v_ground")
 def cost_field(spark, sf):
-    """Least cost on even ground: moves of a king and a knight, and no price on turns."""
-    cost, _ = pathfind.least_cost(np.ones((64, 64)), (20, 41), turning=0.0, res=2.0)
-    rows = [(int(i), int(k), float(cost[i, k])) for i, k in np.ndindex(cost.shape)]
-    return spark.createDataFrame(rows, "row int, col int, cout double").withColumn("cout", r("cout", 6))
+    """Least cost over given cells from the nearest of many starts, in tiles that hand labels over their borders."""
+    g = load(spark, sf, "v_ground")[0].filter("sigma >= 0.08")
+    starts = g.filter("row % 48 = 11 and col % 40 = 9")
+    got = pathfind.cost_field(g.select("row", "col", "sigma"), starts, headings=1, turning=0.0, res=2.0, tile=64)
+    return got.select("row", "col", r("cost", 6).alias("cout"))
