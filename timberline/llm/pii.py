@@ -31,8 +31,8 @@ WINDOW = 704
 STRIDE = WINDOW - MAX_SPAN - 24
 #: The last window of a text is as wide as it must be, in such steps.
 STEP = 128
-#: Windows decoded at once.
-ROWS = 512
+#: Characters of the windows decoded at once, and how many windows that are at most.
+CHARS, ROWS = 163_840, 1_024
 _TRIGGER = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -131,12 +131,12 @@ class _Queue:
     """Windows of one width that wait to be read together."""
 
     def __init__(self, model: Tagger, width: int, found):
-        self.model, self.width, self.found = model, width, found
+        self.model, self.room, self.found = model, min(ROWS, CHARS // width), found
         self.rows, self.owners, self.size = [], [], 0
         self.open_em, self.open_who = [], []  # windows that may hold a span
 
     def add(self, rows: np.ndarray, owner: int, starts: np.ndarray) -> None:
-        if self.size + len(rows) > ROWS:
+        if self.size + len(rows) > self.room:
             self.read()
         self.rows.append(rows)
         self.owners.append(np.stack([np.full(len(rows), owner), starts], axis=1))
@@ -151,7 +151,7 @@ class _Queue:
         if len(some):
             self.open_em.append(em[some])
             self.open_who.append(who[some])
-        if sum(map(len, self.open_em)) >= ROWS // 2:
+        if sum(map(len, self.open_em)) >= self.room // 2:
             self.search()
 
     def search(self) -> None:
@@ -181,8 +181,8 @@ def tagged(model: Tagger, texts: list[str]) -> list[dict[tuple[int, int, int], f
     queues = {w: _Queue(model, w, found) for w in {*range(STEP, WINDOW, STEP), WINDOW}}
     for i, text in enumerate(texts):
         full, last = windows(text)
-        for k in range(0, len(full), ROWS):
-            part = full[k : k + ROWS]
+        for k in range(0, len(full), CHARS // WINDOW):
+            part = full[k : k + CHARS // WINDOW]
             queues[WINDOW].add(part, i, (k + np.arange(len(part))) * STRIDE)
         queues[last.shape[1]].add(last, i, np.array([len(full) * STRIDE]))
     for q in queues.values():
