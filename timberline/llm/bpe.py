@@ -249,6 +249,11 @@ class ByteBpe:
                 del known[piece]
         return out
 
+    def forget(self) -> None:
+        """Drop what was learned about words, so that a worker that goes on to other work holds none of it."""
+        self._pieces.clear()
+        self._words.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, little-endian, 32 bits each; none for null or empty text."""
         if self._cut is None or not any(t and self._cut.search(t) for t in texts):
@@ -291,6 +296,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"]
                 )
+        bpe.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
