@@ -582,9 +582,38 @@ def repositioned(spark, sf):
     return pathfind.reposition(lines, _scene(spark, sf), GRID, deviation=5.0).select("id", "RECALE", r("DEPLACEMENT_MAX").alias("DEPLACEMENT_MAX"), r("DEPLACEMENT_MOY").alias("DEPLACEMENT_MOY"), F.size("geom").alias("n"))
 
 
+def _strip(spark, sf):
+    """A mask of roads that hang together on a strip of ground that grows with the table, and its grid."""
+    cells = load(spark, sf, "v_ground")[0]
+    n = cells.agg(F.max("row")).first()[0] + 1
+    return cells.filter("route = 1"), {"xmin": 0.0, "ymin": 0.0, "xmax": 64.0, "ymax": float(n), "res": 1.0, "nrow": n, "ncol": 64}
+
+
+def _deletion(k: int) -> str:
+    """Cells that are left of ``t{k}`` after half a round of thinning: neighbours are bits, clockwise from the north."""
+    spared = "(b & 21) <> 21 AND (b & 84) <> 84" if k % 2 == 0 else "(b & 69) <> 69 AND (b & 81) <> 81"
+    return f"""b{k} AS MATERIALIZED (SELECT c.row, c.col, CAST(coalesce(sum(CASE WHEN n.row IS NULL THEN 0 ELSE 1 << bit END), 0) AS INT) AS b FROM t{k} c CROSS JOIN o LEFT JOIN t{k} n ON n.row = c.row + dr AND n.col = c.col + dc GROUP BY ALL),
+t{k + 1} AS MATERIALIZED (SELECT row, col FROM b{k} WHERE NOT (bit_count(b) BETWEEN 2 AND 6 AND bit_count(((b >> 1) | ((b & 1) << 7)) & (255 - b)) = 1 AND {spared}))"""
+
+
+@query(f"""WITH o AS (SELECT * FROM (VALUES (0, -1, 0), (1, -1, 1), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, -1), (6, 0, -1), (7, -1, -1)) o(bit, dr, dc)),
+t0 AS MATERIALIZED (SELECT row, col FROM v_ground WHERE route = 1), n AS (SELECT max(row) + 1 AS n FROM v_ground), {", ".join(_deletion(k) for k in range(20))},
+l AS (SELECT a.row, a.col, b.row AS r2, b.col AS c2 FROM t20 a JOIN t20 b ON (b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND abs(b.col - a.col) <= 1)
+  WHERE a.row = b.row OR a.col = b.col OR NOT EXISTS (SELECT 1 FROM t20 s WHERE (s.row = a.row AND s.col = b.col) OR (s.row = b.row AND s.col = a.col)))
+SELECT col + 0.5 AS x1, n - row - 0.5 AS y1, c2 + 0.5 AS x2, n - r2 - 0.5 AS y2, CAST(1 AS BIGINT) AS lignes FROM l, n""", "v_ground")
+def skeleton_links(spark, sf):
+    """Each link of a thinned mask is in one line: legs of all lines, from the upper or left cell to the other, with the number of lines."""
+    mask, grid = _strip(spark, sf)
+    legs = geo.legs(skeleton.skeleton_lines(mask, grid, prune=0, tile=64), "id")
+    down = (F.col("y1") > F.col("y2")) | ((F.col("y1") == F.col("y2")) & (F.col("x1") < F.col("x2")))
+    ends = [F.when(down, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"))] + [F.when(down, F.col(b)).otherwise(F.col(a)).alias(b) for a, b in (("x1", "x2"), ("y1", "y2"))]
+    return legs.select("id", *ends).groupBy("x1", "y1", "x2", "y2").agg(F.count("*").alias("lignes"))
+
+
 @query()
 def skeleton_lines(spark, sf):
-    return skeleton.skeleton_lines(_scene(spark, sf).filter("sigma > 0.5"), GRID).select("id", F.size("geom").alias("n"), r(geo.line_length("geom")).alias("longueur"))
+    mask, grid = _strip(spark, sf)
+    return skeleton.skeleton_lines(mask, grid, tile=64).select("id", F.size("geom").alias("n"), r(geo.line_length("geom")).alias("longueur"))
 
 
 @query()
@@ -594,7 +623,8 @@ def straight_lines(spark, sf):
 
 @query()
 def smoothed_lines(spark, sf):
-    lines = skeleton.skeleton_lines(_scene(spark, sf).filter("sigma > 0.5"), GRID)
+    mask, grid = _strip(spark, sf)
+    lines = skeleton.skeleton_lines(mask, grid, tile=64)
     return curves.finalise(curves.smooth_lines(lines), 0.5, 5.0).select("id", r("longueur").alias("longueur"), F.size("geom").alias("n"))
 
 
