@@ -11,7 +11,7 @@ from timberline.operators import pathfind
 from timberline.plans.views import load
 from timberline.queries import query, r, rounded
 from timberline.session import materialize, scratch_dir
-from timberline.sources import acquisition, points, sinks
+from timberline.sources import acquisition, las, points, sinks, tiff
 
 
 @query("""WITH h AS (SELECT id, atan2(y2 - y1, x2 - x1) AS a, atan2(x1 - 2500, y1 - 2400) AS b FROM v_segments), d AS (SELECT id, abs(a - b) AS d FROM h)
@@ -36,6 +36,31 @@ def points_in_box(spark, sf):
     return points.read_points(spark, [stored._timberline_path], (10.0, 5.0, 40.5, 30.0), ["t1", "t2"]).select("x", "y", "h", "cls")
 
 
+@query("SELECT round(x, 3) AS x, round(y, 3) AS y, round(h, 3) AS z, CAST(cls AS INT) AS classification FROM v_points WHERE x BETWEEN 10 AND 40.5 AND y BETWEEN 20 AND 60", "v_points")
+def las_points(spark, sf):
+    """All points as LAS files, and those of a rectangle read from them by ranges."""
+    cloud = load(spark, sf, "v_points")[0].select("x", "y", F.col("h").alias("z"), F.col("cls").alias("classification"))
+    files = las.write_points(cloud, f"{scratch_dir(spark)}/las-{uuid.uuid4().hex}")
+    return rounded(las.points(spark, files, (10.0, 20.0, 40.5, 60.0)).select("x", "y", "z", "classification"), 3, "x", "y", "z")
+
+
+@query("SELECT count(*) AS n_points, min(x) AS xmin, max(y) AS ymax, round(max(h), 3) AS zmax FROM v_points", "v_points")
+def las_headers(spark, sf):
+    """What the first bytes of the files say of all points."""
+    cloud = load(spark, sf, "v_points")[0].select("x", "y", F.col("h").alias("z"), F.col("cls").alias("classification"))
+    files = las.write_points(cloud, f"{scratch_dir(spark)}/las-{uuid.uuid4().hex}")
+    return las.headers(spark, files).agg(F.sum("n_points").alias("n_points"), F.min("xmin").alias("xmin"), F.max("ymax").alias("ymax"), r(F.max("zmax"), 3).alias("zmax"))
+
+
+@query("SELECT col + 0.5 AS x, -row - 0.5 AS y, z AS value FROM v_ground WHERE col BETWEEN 10 AND 49", "v_ground")
+def tiff_cells(spark, sf):
+    """All heights as GeoTIFF tiles, and those of a rectangle read from them chunk by chunk."""
+    ground = load(spark, sf, "v_ground")[0]
+    grid = {"xmin": 0.0, "ymax": 0.0, "res": 1.0, "nrow": ground.agg(F.max("row")).first()[0] + 1, "ncol": 64}
+    files = tiff.write_rasters(ground, grid, f"{scratch_dir(spark)}/tiff-{uuid.uuid4().hex}", "z", tile=256, chunk=16)
+    return tiff.cells(spark, files, (10.0, -1e12, 50.0, 0.0)).filter("value is not null").select("x", "y", "value")
+
+
 @query("""WITH s AS (SELECT x1, y1, x2, y2 FROM v_traces UNION ALL SELECT x2, y2, x3, y3 FROM v_traces), p AS (SELECT DISTINCT x, y FROM v_points),
 t AS (SELECT x, y, x1, y1, x2, y2, greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1)) / nullif((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1), 0))) AS t FROM p, s),
 c AS (SELECT DISTINCT x, y FROM t WHERE sqrt((x-x1-coalesce(t, 0)*(x2-x1))*(x-x1-coalesce(t, 0)*(x2-x1)) + (y-y1-coalesce(t, 0)*(y2-y1))*(y-y1-coalesce(t, 0)*(y2-y1))) <= 0.3)
