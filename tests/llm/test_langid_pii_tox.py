@@ -335,25 +335,12 @@ def quiet():
 @pytest.mark.parametrize("span", ["christopher_montgomery [at] mail [dot] records [dot] example [dot] institute [dot] uk", "christopher_montgomery [at] mail [dot] records [dot] example [dot] institute [dot] co [dot] uk"])
 def test_long_spans_come_whole_wherever_they_lie(span):
     assert len(span) > 80
-    texts = [("word and other things are in the text here " * 60)[: at - 1] + f" {span} " + "more words follow it now " * 30 for at in range(2 * pii.STRIDE - 130, 2 * pii.STRIDE + 60, 3)]
+    texts = [("word and other things are in the text here " * 60)[: at - 1] + f" {span} " + "more words follow it now " * 30 for at in range(pii.STRIDE, 2 * pii.STRIDE + 60, 3)]
     for text, (_, spans) in zip(texts, pii.find(tagger.trained(), texts)):
         at = text.index(span)
         assert any((a, b) == (at, at + len(span)) for _, a, b in spans)
 
 
-def test_last_windows_are_as_wide_as_they_must_be():
-    for n in (1, 127, 128, 129, pii.WINDOW, pii.WINDOW + 1, 5000):
-        text = "".join(chr(97 + k % 26) for k in range(n))
-        full, last = pii.windows(text)
-        assert last.shape[1] <= min(pii.WINDOW, -(-n // pii.STEP) * pii.STEP)
-        covered = np.zeros(n, int)
-        for k in range(len(full)):
-            assert (full[k] == tagger.codes(text)[k * pii.STRIDE : k * pii.STRIDE + pii.WINDOW]).all()
-            covered[k * pii.STRIDE : k * pii.STRIDE + pii.WINDOW] += 1
-        covered[len(full) * pii.STRIDE :] += 1
-        assert (covered > 0).all()
-
-
 def test_samples_of_huge_tables_are_not_empty(spark):
     from timberline.llm import tables
 

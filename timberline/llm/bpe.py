@@ -28,6 +28,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONG = 64
 #: Entries kept in a worker's memory between batches.
 CACHE_ENTRIES = 300_000
+#: Pieces and words that ``encode`` carries from slice to slice, at most.
+HELD = 150_000
 _NONE = np.int64(1) << 62
 _ODD_SPACE = re.compile(r" (?=\s|$)")
 _SPLIT = re.compile(r" (?=\S)")
@@ -249,6 +251,9 @@ class ByteBpe:
                 del known[piece]
         return out
 
+    def known(self) -> int:
+        return len(self._pieces) + len(self._words)
+
     def forget(self) -> None:
         """Drop what was learned about words, so that a worker that goes on to other work holds none of it."""
         self._pieces.clear()
@@ -296,6 +301,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"]
                 )
+                if bpe.known() > HELD:
+                    bpe.forget()
         bpe.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -24,15 +24,15 @@ from timberline.llm.spans import KINDS, luhn
 from timberline.llm.tables import slices
 from timberline.llm.tagger import O_TAG, PAD, Tagger, codes, trained
 
+#: Characters of a window and from one to the next. Where the tagger has a span near a window's end, a window
+#: around that end is read as well, in which a span of ``MAX_SPAN`` lies whole.
+WINDOW, STRIDE = 320, 272
+#: A span that begins or ends so near a window's end may be a part of a longer one.
+NEAR = 24
+#: Windows decoded at once.
+ROWS = 512
 #: Least mean probability of a span's tags, and the most characters of a span.
 MIN_SURE, MAX_SPAN = 0.9, 96
-#: Characters of a window and from one to the next: every span lies whole in a window, with some characters to spare.
-WINDOW = 704
-STRIDE = WINDOW - MAX_SPAN - 24
-#: The last window of a text is as wide as it must be, in such steps.
-STEP = 128
-#: Characters of the windows decoded at once, and how many windows that are at most.
-CHARS, ROWS = 163_840, 1_024
 _TRIGGER = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -116,78 +116,86 @@ def consistent(kind: int, s: str) -> bool:
     return kind != KINDS.index("phone") or 7 <= len(_digits(s)) <= 15
 
 
-def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all windows of a text but the last, one row each, and those of the last, which is no wider than it must be."""
+def windows(text: str) -> np.ndarray:
+    """Symbols of all windows of a text, one row each."""
     c = codes(text)
-    n = max(0, -(-(len(c) - WINDOW) // STRIDE))
-    full = np.lib.stride_tricks.sliding_window_view(c, WINDOW)[::STRIDE][:n] if n else np.empty((0, WINDOW), np.uint8)
-    rest = len(c) - n * STRIDE
-    last = np.full((1, min(WINDOW, -(-rest // STEP) * STEP)), PAD, np.uint8)
-    last[0, :rest] = c[n * STRIDE :]
-    return full, last
-
-
-class _Queue:
-    """Windows of one width that wait to be read together."""
-
-    def __init__(self, model: Tagger, width: int, found):
-        self.model, self.room, self.found = model, min(ROWS, CHARS // width), found
-        self.rows, self.owners, self.size = [], [], 0
-        self.open_em, self.open_who = [], []  # windows that may hold a span
-
-    def add(self, rows: np.ndarray, owner: int, starts: np.ndarray) -> None:
-        if self.size + len(rows) > self.room:
-            self.read()
-        self.rows.append(rows)
-        self.owners.append(np.stack([np.full(len(rows), owner), starts], axis=1))
-        self.size += len(rows)
-
-    def read(self) -> None:
-        if not self.size:
-            return
-        em, who = self.model.emissions(np.concatenate(self.rows)), np.concatenate(self.owners)
-        self.rows, self.owners, self.size = [], [], 0
-        some = self.model.open_rows(em)
-        if len(some):
-            self.open_em.append(em[some])
-            self.open_who.append(who[some])
-        if sum(map(len, self.open_em)) >= self.room // 2:
-            self.search()
+    n = 1 + max(0, -(-(len(c) - WINDOW) // STRIDE))
+    padded = np.full((n - 1) * STRIDE + WINDOW, PAD, np.uint8)
+    padded[: len(c)] = c
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
-    def search(self) -> None:
-        if not self.open_em:
-            return
-        em, who = np.concatenate(self.open_em), np.concatenate(self.open_who)
-        self.open_em, self.open_who = [], []
-        tags = self.model.best_path(em)
-        hit = np.flatnonzero(tags.any(axis=1))
-        for r, sure in zip(hit.tolist(), self.model.certainty(em[hit], tags[hit]) if len(hit) else ()):
-            self.found(int(who[r, 0]), int(who[r, 1]), tags[r], sure)
+
+def around_end(start: int) -> int:
+    """Start of the window in whose middle a window that starts at ``start`` and the one before it overlap."""
+    return max(0, start + (WINDOW - STRIDE) // 2 - WINDOW // 2)
 
 
 def tagged(model: Tagger, texts: list[str]) -> list[dict[tuple[int, int, int], float]]:
     """Spans of the tagger in all windows of each text, with their weights."""
     held: list[dict] = [{} for _ in texts]
+    rows, owners, size = [], [], 0
+    open_em, open_who = [], []  # windows that may hold a span
+    again: set[tuple[int, int]] = set()  # texts and starts of windows around ends that a span is near
+
+    def search():
+        nonlocal open_em, open_who
+        em, who = np.concatenate(open_em), np.concatenate(open_who)
+        open_em, open_who = [], []
+        tags = model.best_path(em)
+        hit = np.flatnonzero(tags.any(axis=1))
+        for r, sure in zip(hit.tolist(), model.certainty(em[hit], tags[hit]) if len(hit) else ()):
+            i, at = int(who[r, 0]), int(who[r, 1])
+            room = min(WINDOW, len(texts[i]) - at)
+            for kind, a, b in _spans_of(tags[r, :room]):
+                before, after = a == 0 and at > 0, b == WINDOW and at + b < len(texts[i])
+                if a < NEAR and at > 0:
+                    again.add((i, around_end(at)))
+                if b > WINDOW - NEAR and at + WINDOW < len(texts[i]):
+                    again.add((i, around_end(at + STRIDE)))
+                s = float(sure[a:b].mean())
+                if s >= MIN_SURE and b - a <= MAX_SPAN:
+                    key = (kind, at + a, at + b)
+                    held[i][key] = held[i].get(key, 0.0) + s * (b - a) * (0.2 if before or after else 1.0)
+
+    def flush():
+        nonlocal rows, owners, size
+        if not size:
+            return
+        em, who = model.emissions(np.concatenate(rows)), np.concatenate(owners)
+        rows, owners, size = [], [], 0
+        some = model.open_rows(em)
+        if len(some):
+            open_em.append(em[some])
+            open_who.append(who[some])
+        if sum(map(len, open_em)) >= ROWS // 2:
+            search()
+
+    def add(i, x, starts):
+        nonlocal size
+        if size + len(x) > ROWS:
+            flush()
+        rows.append(x)
+        owners.append(np.stack([np.full(len(x), i), starts], axis=1))
+        size += len(x)
+
+    def finish():
+        flush()
+        if open_em:
+            search()
 
-    def found(i: int, at: int, tags: np.ndarray, sure: np.ndarray) -> None:
-        room = min(len(tags), len(texts[i]) - at)
-        for kind, a, b in _spans_of(tags[:room]):
-            cut = (a == 0 and at > 0) or (b == WINDOW and at + b < len(texts[i]))
-            s = float(sure[a:b].mean())
-            if s >= MIN_SURE and b - a <= MAX_SPAN:
-                key = (kind, at + a, at + b)
-                held[i][key] = held[i].get(key, 0.0) + s * (b - a) * (0.2 if cut else 1.0)
-
-    queues = {w: _Queue(model, w, found) for w in {*range(STEP, WINDOW, STEP), WINDOW}}
     for i, text in enumerate(texts):
-        full, last = windows(text)
-        for k in range(0, len(full), CHARS // WINDOW):
-            part = full[k : k + CHARS // WINDOW]
-            queues[WINDOW].add(part, i, (k + np.arange(len(part))) * STRIDE)
-        queues[last.shape[1]].add(last, i, np.array([len(full) * STRIDE]))
-    for q in queues.values():
-        q.read()
-        q.search()
+        x = windows(text)
+        for k in range(0, len(x), ROWS):
+            part = x[k : k + ROWS]
+            add(i, part, (k + np.arange(len(part))) * STRIDE)
+    finish()
+    ends, again = sorted(again), set()
+    for i, at in ends:
+        c = codes(texts[i][at : at + WINDOW])
+        x = np.full((1, WINDOW), PAD, np.uint8)
+        x[0, : len(c)] = c
+        add(i, x, np.array([at]))
+    finish()
     return held
 
 
