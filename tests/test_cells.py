@@ -193,3 +193,67 @@ def test_specs_from_sampled_blocks(spark):
     assert {r.n_pres for r in got["par_massif"].collect()} == {150}
     with pytest.raises(ValueError):
         learn.calibrate_specs([(df, road)], present=30, absent=20)
+
+
+def _sampled(spark, frame, how):
+    from timberline.operators import blocks, cells
+
+    grid = {"xmin": 5.0, "ymin": 0.0, "xmax": 45.0, "ymax": 30.0, "res": 1.0, "nrow": 30, "ncol": 40}
+    rows = [(r, c, float((r * 37 + c * 91) % 101), float(r)) for r in range(30) for c in range(40) if (r * 40 + c) % 17]
+    df = spark.createDataFrame(rows, "row int, col int, z double, q double")
+    pts = spark.createDataFrame([(k, 4.0 + (k * 7919 % 4300) / 100, -1.0 + (k * 104729 % 3200) / 100, "a") for k in range(400)] + [(400, None, 3.0, "b"), (401, 20.5, 10.5, None)], "id int, x double, y double, row string")
+    held = {(r, c): z for r, c, z, _ in rows}
+
+    def plain(x, y):
+        if x is None:
+            return None
+        fx, fy = x - 5.0 - 0.5, 30.0 - y - 0.5
+        if how == "nearest":
+            return held.get((math.floor(fy + 0.5), math.floor(fx + 0.5)))
+        r, c = math.floor(fy), math.floor(fx)
+        tx, ty = fx - c, fy - r
+        four = [(held.get((r + i, c + j)), (ty if i else 1 - ty) * (tx if j else 1 - tx)) for i in (0, 1) for j in (0, 1)]
+        four = [(v, w) for v, w in four if w > 0]
+        return None if any(v is None for v, _ in four) else sum(v * w for v, w in four)
+
+    want = {r.id: plain(r.x, r.y) for r in pts.collect()}
+    if how == "bilinear":
+        got = {r.id: r.v for r in cells.resample_bilinear(df, grid, pts, "z", "v").collect()}
+        assert all(got[k] == want[k] if want[k] is None or got[k] is None else abs(got[k] - want[k]) < 1e-9 for k in want)
+    for side, points in ((7, 20), (64, 20_000)):
+        blocks.POINTS, kept = points, blocks.POINTS
+        try:
+            got = blocks.sample(blocks.Blocks.of(df, grid, ["z", "q"], side), pts, how, ["z"], ["v"])
+            assert got.columns == [*pts.columns, "v"]
+            found = {r.id: r.v for r in got.collect()}
+        finally:
+            blocks.POINTS = kept
+        assert set(found) == set(range(402))
+        for k in range(402):
+            assert found[k] == want[k] if want[k] is None or found[k] is None else abs(found[k] - want[k]) < 1e-9
+    return want
+
+
+def test_blocks_sample_as_joins_do(spark):
+    for how in ("bilinear", "nearest"):
+        want = _sampled(spark, None, how)
+        assert sum(v is not None for v in want.values()) > 150
+
+
+def test_profiles_take_one_exchange_of_stations(spark):
+    from timberline.operators import measure
+
+    grid = {"xmin": 0.0, "ymin": 0.0, "xmax": 40.0, "ymax": 40.0, "res": 1.0, "nrow": 40, "ncol": 40}
+    df = spark.createDataFrame([(r, c, 2.0 * c - 3.0 * r) for r in range(40) for c in range(40)], "row int, col int, z double")
+    line = spark.createDataFrame([(1, [(12.0, 12.0), (30.0, 24.0)])], "trace_id long, geom array<struct<x:double,y:double>>")
+    st = measure.densify(line, 2.0)
+    got = measure.cross_profiles(st, df, grid, half=4.0, step=0.5)
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan
+    normal = {r.station: r for r in st.collect()}
+    for r in got.collect():
+        n = normal[r.station]
+        for k, z in enumerate(r.z):
+            off = (k - 8) * 0.5
+            x, y = r.x - n.nx * off, r.y - n.ny * off
+            assert abs(z - (2 * (x - 0.5) - 3 * (40 - y - 0.5))) < 1e-9

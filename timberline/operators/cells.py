@@ -305,20 +305,9 @@ def resample_nearest(cells: DataFrame, source: dict, target: DataFrame, bands: l
 def resample_bilinear(cells: DataFrame, source: dict, points: DataFrame, band: str, out: str | None = None) -> DataFrame:
     """Bilinear value at each point; null where one of the four cells is missing or null.
 
-    Each point asks for its four cells in one equi-join and sums the weights;
-    points need not be distinct.
+    Points go once to the block of cells that they lie in, and are read there as arrays; they
+    need not be distinct, and a null place gives null.
     """
-    res = source["res"]
-    fx, fy = (F.col("x") - source["xmin"]) / res - 0.5, (source["ymax"] - F.col("y")) / res - 0.5
-    keyed = points.withColumn("__id", F.monotonically_increasing_id()).withColumn("__fx", fx).withColumn("__fy", fy)
-    c0, r0 = F.floor("__fx").cast("int"), F.floor("__fy").cast("int")
-    tx, ty = F.col("__fx") - F.floor("__fx"), F.col("__fy") - F.floor("__fy")
-    corner = lambda r, k, w: F.struct(r.alias("r"), k.alias("c"), w.alias("w"))
-    four = F.array(corner(r0, c0, (1 - tx) * (1 - ty)), corner(r0, c0 + 1, tx * (1 - ty)), corner(r0 + 1, c0, (1 - tx) * ty), corner(r0 + 1, c0 + 1, tx * ty))
-    asked = keyed.select("*", F.explode(four).alias("__q")).filter("__q.w > 0")
-    src = cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(band).alias("__v"))
-    got = asked.join(src, (F.col("__q.r") == F.col("__r")) & (F.col("__q.c") == F.col("__c")), "left")
-    sums = got.groupBy("__id", *points.columns).agg(
-        F.when(F.count("__v") == F.count("*"), F.sum(F.col("__q.w") * F.col("__v"))).alias(out or band)
-    )
-    return sums.drop("__id")
+    from timberline.operators import blocks
+
+    return blocks.sample(blocks.Blocks.of(cells, source, [band]), points, "bilinear", [band], [out or band])

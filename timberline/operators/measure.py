@@ -1,7 +1,6 @@
 """Cross-profiles and what is measured on them.
 
-Stations and samples are DataFrames: stations explode from traces, samples
-from stations, and heights come by one bilinear join. The reading of a
+Stations explode from traces; heights across them are read from the block of the raster that a station lies in. The reading of a
 profile is sequential along its offsets, so it runs as a pandas group for
 each trace over the arrays of its stations.
 """
@@ -15,10 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.operators.cells import resample_bilinear, resample_nearest
+from timberline.operators import blocks
 from timberline.operators.stations import fitted_radius, long_slope, smooth
 
 
+#: Cells of a block's side.
+BLOCK = 64
+
+
 def densify(traces: DataFrame, step: float = 2.0, id_col: str = "trace_id") -> DataFrame:
     """Stations every ``step`` metres along polylines (``geom``: array of x, y) and at the end, with chainage and unit normal.
 
@@ -48,19 +51,13 @@ def densify(traces: DataFrame, step: float = 2.0, id_col: str = "trace_id") -> D
     return st.withColumn("nx", F.when(norm > 0, -F.col("__ty") / norm).otherwise(0.0)).withColumn("ny", F.when(norm > 0, F.col("__tx") / norm).otherwise(1.0)).drop("__tx", "__ty")
 
 
-def cross_profiles(stations: DataFrame, cells: DataFrame, grid: dict, band: str = "z", half: float = 8.0, step: float = 0.5, method: str = "bilinear", id_col: str = "trace_id") -> DataFrame:
-    """One row a station with ``z``: values across it from left (negative) to right, ``2 * half / step + 1`` of them; null where there is none."""
-    n = round(half / step)
-    k = F.explode(F.sequence(F.lit(-n), F.lit(n)))
-    pts = stations.select(id_col, "station", "chainage", F.col("x").alias("__sx"), F.col("y").alias("__sy"), "nx", "ny", k.alias("k"))
-    # the normal points left of the direction of travel
-    pts = pts.withColumn("x", F.col("__sx") - F.col("nx") * F.col("k") * step).withColumn("y", F.col("__sy") - F.col("ny") * F.col("k") * step)
-    if method == "bilinear":
-        got = resample_bilinear(cells, grid, pts.select(id_col, "station", "chainage", "__sx", "__sy", "k", "x", "y"), band, "__z")
-    else:
-        got = resample_nearest(cells, grid, pts, [band]).withColumnRenamed(band, "__z")
-    order = F.array_sort(F.collect_list(F.struct("k", "__z")))
-    return got.groupBy(id_col, "station", "chainage", F.col("__sx").alias("x"), F.col("__sy").alias("y")).agg(F.transform(order, lambda s: s["__z"]).alias("z"))
+def cross_profiles(stations: DataFrame, cells: DataFrame | blocks.Blocks, grid: dict, band: str = "z", half: float = 8.0, step: float = 0.5, method: str = "bilinear", id_col: str = "trace_id") -> DataFrame:
+    """One row a station with ``z``: values across it from left (negative) to right, ``2 * half / step + 1`` of them; null where there is none.
+
+    ``cells`` may be blocks with ``band`` and a halo that reaches the profiles' ends.
+    """
+    raster = cells if isinstance(cells, blocks.Blocks) else blocks.Blocks.of(cells, grid, [band], BLOCK, math.ceil(half / grid["res"]) + 2)
+    return blocks.profiles(raster, stations.select(id_col, "station", "chainage", "x", "y", "nx", "ny"), band, half, step, method).drop("nx", "ny")
 
 
 def moving_mean(v: np.ndarray, width: int) -> np.ndarray:
