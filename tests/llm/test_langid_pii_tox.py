@@ -192,7 +192,8 @@ def tox_rows(n=600):
         bad = int(k % 5 == 0)
         words = list(rng.choice(vocabulary, 30))
         if bad:
-            words.insert(int(rng.integers(30)), "grumpf" + str(rng.choice(["a", "el", "os"])))
+            at = int(rng.integers(30))
+            words[at:at] = [str(rng.choice(["the", "of", "eine", "les"])), "grumpf" + str(rng.choice(["a", "el", "os"]))]
         rows.append((k, " ".join(words), bad))
     return rows
 
@@ -203,7 +204,7 @@ def test_toxicity_learns_stems_and_holds_out(spark):
     assert any("grumpfa".startswith(s) for s in model.stems)
     got = toxicity.score_toxicity(df.filter("doc_id >= 400"), model, clauses_out="why").collect()
     assert all((r.score >= 0.3) == bool(r.toxic) for r in got) and all(bool(r.why) == bool(r.toxic) for r in got)
-    odd = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "grumpfa " * 5000, 1.0)], "doc_id long, text string, score double")
+    odd = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "a grumpfa " * 5000, 1.0)], "doc_id long, text string, score double")
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(odd, model).collect()}
     assert got[1] == got[2] < 0.3 < got[3] <= 1
     assert not toxicity.learn(df.limit(0)).stems and not toxicity.learn(df.filter("toxic = 0")).stems
@@ -212,18 +213,24 @@ def test_toxicity_learns_stems_and_holds_out(spark):
 def test_grammar_weighs_clauses():
     m = toxicity.ToxicityModel({"idiot": 4.0})
     w = lambda t: sum(x for _, x in m.clauses(t))
-    plain = w("what an idiot")
-    assert w("you are an idiot") > plain > w("he said what an idiot") > 0 and w("not an idiot") < plain
+    plain = w("such an idiot")
+    assert w("you are an idiot") > plain > w("he said such an idiot") > 0 and w("not an idiot") < plain
     assert w("they will kill") > 0 == w("kill the process") == w("nothing") and w("kill you") > 0
     assert w("not here. an idiot") == w("not here, an idiot") == plain and w("no words but an idiot") == plain
-    assert w("\u201cidiot\u201d") < w("idiot") and w("such idiots") == plain > w("two words idiot here")
+    assert w("\u201can idiot\u201d") < w("an idiot") and w("such idiots") == plain > w("two words of idiot here") > 0
+    # the context decides whether a word counts at all
+    assert w("idiot") == w("idiot. idiot") == w("one idiot two three") == w("house tree idiot house") == 0
+    assert w("idiot!") > 0 and w("idiot, come here") > 0 and w("idiots are many") > 0 and w("stupid idiot") == 0 < w("idiot idiot")
 
 
 def plain_matches(model, text):
     """The grammar by looking around each word, without any machine."""
     out = []
-    for clause in re.split(r"[.!?;\n]", text.lower()):
+    for clause, end in re.findall(r"([^.!?;\n]*)([.!?;\n]*)", text.lower()):
         tokens = [(t, *model.symbol(t)) for t in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"\u201c\u201d\u00ab\u00bb\u201e]|[,:]", clause)]
+        if not any(s in "IT" for _, s, _ in tokens):
+            continue
+        tokens += [("!", "!", 0.0)] * ("!" in end)
         kinds = [None] * len(tokens)
         eaten = set()  # targets that a threat took
         for k, (_, s, _) in enumerate(tokens):
@@ -246,24 +253,46 @@ def plain_matches(model, text):
                         kinds[j] = "t"
                         eaten.add(j)
                         break
+        reach = toxicity.GOVERNS
+        where = [k for k, (_, s, _) in enumerate(tokens) if s == "I"]
+        addressed = set()
+        for k in where:
+            for j in range(k - 1, max(k - 6, -1), -1):
+                if tokens[j][1] == "R":
+                    break
+                if tokens[j][1] == "G" and j not in eaten:
+                    addressed.add(k)
+                    break
+            first = k == 0 or tokens[k - 1][1] in "P!Q"
+            kind = None
+            for j in range(k - 1, max(k - 1 - reach, -1), -1):
+                s = tokens[j][1]
+                if s in "P!Q":
+                    break
+                if s == "I":  # one at the start reaches the next word only
+                    kind = "m" if k - j == 1 or not (j == 0 or tokens[j - 1][1] in "P!Q") else None
+                    break
+                if s in "CL":
+                    kind = "p" if s == "C" else "m"
+                    break
+            kinds[k] = "d" if k in addressed else kind
+            if kind is None:
+                for j in range(k + 1, min(k + 1 + reach, len(tokens))):
+                    s = tokens[j][1]
+                    if first and j == k + 1 and s in "P!":
+                        if k not in addressed:
+                            kinds[j] = "x"
+                        break
+                    if s in "P!QI":
+                        break
+                    if s in "CL":
+                        if k not in addressed:
+                            kinds[j] = "h"
+                        break
         waits = None
         for k, (_, s, _) in enumerate(tokens):
             if s == "I":
-                back = [tokens[j][1] for j in range(k - 1, -1, -1)]
-                if not back or back[0] in "PQ":
-                    kind = "x"
-                elif back[0] == "C" or (len(back) > 1 and back[1] == "C" and back[0] not in "PQI"):
-                    kind = "p"
-                else:
-                    kind = "m"
-                for j in range(k - 1, max(k - 6, -1), -1):
-                    if tokens[j][1] == "R":
-                        break
-                    if tokens[j][1] == "G" and j not in eaten:
-                        kind = "d"
-                        break
-                kinds[k] = kind
-                waits = None if kind == "d" else k
+                waits = None if k in addressed else k
             elif s == "G" and k not in eaten:
                 if waits is not None and k - waits <= 3:
                     kinds[k] = "a"
@@ -273,7 +302,7 @@ def plain_matches(model, text):
                 continue
             negated = False
             for j in range(k - 1, max(k - 5, -1), -1):
-                if kinds[j] is None and tokens[j][1] in "BP":
+                if tokens[j][1] == "P" or kinds[j] is None and tokens[j][1] == "B":
                     break
                 if kinds[j] is None and tokens[j][1] == "N":
                     negated = True
@@ -287,7 +316,7 @@ def plain_matches(model, text):
 def test_machine_against_looking_around():
     rng = np.random.default_rng(5)
     model = toxicity.ToxicityModel({"idiot": 4.0, "scum": 2.5}, {k: 0.1 + i / 7 for i, k in enumerate(toxicity.CELLS)}, -2.0, 1.5)
-    words = "idiot scum idiots kill killed destroy you they not never said wrote is a the will must but however house tree , : \" . ! \n töten dich".split(" ")
+    words = "idiot scum idiots kill killed destroy you they not never said wrote is a the will must but however house tree river of with , : \" . ! \n töten dich".split(" ")
     for _ in range(3000):
         text = " ".join(rng.choice(words, rng.integers(1, 25)))
         want = plain_matches(model, text)
@@ -297,7 +326,7 @@ def test_machine_against_looking_around():
 
 
 def test_toxicity_query(spark, tmp_path):
-    rows = tox_rows(900) + [(900, None, 0), (901, "", 0), (902, "x" * 200_000, 0), (0, "once more grumpfa", 1), (None, "grumpfel", None)]
+    rows = tox_rows(900) + [(900, None, 0), (901, "", 0), (902, "x" * 200_000, 0), (0, "once more of grumpfa", 1), (None, "grumpfel", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     df.drop("toxic").write.parquet(f"{tmp_path}/documents.parquet")
     df.filter("doc_id < 850 or doc_id >= 900").select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")

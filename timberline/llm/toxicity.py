@@ -4,14 +4,16 @@ Words become symbols: insult, threat, target, negation, report, quotation mark,
 or determiner, intention, adversative, pause, other. Five transducers over symbol strings are
 composed into one deterministic machine:
 
-* insults: how an insult stands in its clause: called out at its beginning,
-  predicated (after a copula or determiner), or mentioned among other words;
+* insults: how an insult stands in its clause: called out (alone before a pause or an exclamation mark),
+  predicated (after a copula or determiner), mentioned (after a preposition, a conjunction or another insult), or
+  heading a phrase (before a copula, preposition or conjunction);
 * threats: a threat is one after an intention or target, or before a target;
 * targets: an insult near a person is addressed to that person;
 * negation: what a negation reaches is negated, up to a pause or a "but";
 * reported speech: what follows a verb of report, or stands in quotation marks, is reported.
 
-What the machine puts out are matches of the grammar; a word alone is none. A
+What the machine puts out are matches of the grammar. An insult that nothing of the kind stands by is no
+match, whatever its word: the context decides whether a word counts, and how much. A
 match weighs its word's log-odds times the weight of its kind, and a
 document's score is a logistic function of the logarithm of its summed weights.
 
@@ -45,7 +47,7 @@ STEM = (3, 10)
 #: Least G statistic of a stem.
 MIN_G = 26.0
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, COPULA, INTENT, BUT, PAUSE, OTHER = "ITGNRQCFBPO"
+INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, COPULA, INTENT, BUT, PAUSE, LINK, BANG, OTHER = "ITGNRQCFBPL!O"
 
 # Closed classes of English, German, French and Spanish.
 WORDS = {
@@ -64,6 +66,10 @@ WORDS = {
         werde wirst wird werden werdet will wollen soll sollte sollten muss müssen verdient hoffe
         vais vas va allons allez vont veux veut voulons devrait devraient doit mérite mérites espère
         voy vamos van quiero quiere queremos debe deberían merece mereces ojalá espero""".split(),
+    LINK: """of in to by as with for and or on at from into like than about against between after before over under through
+        von mit und oder zu zum zur auf für als wie bei aus nach über unter durch gegen im am vom
+        de du des en à au aux pour avec et ou par sur dans comme chez contre
+        del al con y e o por para en como sobre entre contra desde hasta""".split(),
     BUT: "but however although though yet sondern aber doch jedoch obwohl mais cependant pourtant quoique pero sino aunque mas".split(),
 }
 # Beginnings of verbs, with the endings that their language's inflection may add.
@@ -140,17 +146,29 @@ class Transducer:
 
 #: Reach, in symbols, of what comes before and after.
 BEFORE, AFTER, NEGATED = 5, 3, 4
-CALLED, MENTIONED, PREDICATED, ADDRESSED, POINTED, THREATENED = KINDS = "xmpdat"
-_INSULTS = (CALLED, MENTIONED, PREDICATED)
+#: Words that a copula, determiner, preposition or conjunction reaches.
+GOVERNS = 6
+CALLED, MENTIONED, PREDICATED, ADDRESSED, POINTED, THREATENED, HEADED = KINDS = "xmpdath"
 
 
 def _insults() -> Transducer:
+    """State: what stands before (the clause's start, a copula, a link, an insult at the start, nothing), how many words it still reaches,
+    and how many words an insult that nothing governs still waits for what it heads."""
+
     def step(state, s):
+        before, reach, waits = state
         if s == INSULT:
-            return (CALLED, MENTIONED, PREDICATED, PREDICATED)[state], 1
-        return s, 0 if s in (PAUSE, QUOTE) else 2 if s == COPULA else 3 if state == 2 else 1
+            out = {COPULA: PREDICATED, LINK: MENTIONED, CALLED: MENTIONED}.get(before, s)
+            return out, (CALLED if before == PAUSE else LINK, GOVERNS, GOVERNS if out == s else 0)
+        if s in (PAUSE, BANG):
+            return CALLED if before == CALLED else s, (PAUSE, 0, 0)
+        if s == QUOTE:
+            return s, (PAUSE, 0, 0)
+        if s in (COPULA, LINK):
+            return HEADED if waits else s, (s, GOVERNS, 0)
+        return s, (*((before, reach - 1) if before in (COPULA, LINK) and reach > 1 else (OTHER, 0)), max(waits - 1, 0))
 
-    return Transducer(0, step)
+    return Transducer((PAUSE, 0, 0), step)
 
 
 def _threats() -> Transducer:
@@ -168,23 +186,28 @@ def _threats() -> Transducer:
 
 
 def _targets() -> Transducer:
-    """Insults after a target are addressed, unless the target is who reports; a target soon after an insult points at it."""
+    """Insults after a target are addressed, unless the target is who reports; a target soon after an insult points at it.
+
+    State: symbols since a target and since an insult that waits for one, and whether the insult before was addressed, which a call or a phrase does not count again.
+    """
 
     def step(state, s):
-        near, waits = state
-        if s in _INSULTS:
-            return (ADDRESSED, (max(near - 1, 0), 0)) if near else (s, (0, AFTER))
+        near, waits, taken = state
+        if s in (INSULT, MENTIONED, PREDICATED):
+            return (ADDRESSED, (max(near - 1, 0), 0, True)) if near else (s, (0, AFTER, False))
+        if s in (CALLED, HEADED):
+            return (PAUSE if s == CALLED else OTHER) if taken else s, (max(near - 1, 0), max(waits - 1, 0), False)
         if s == TARGET:
-            return (POINTED if waits else s), (BEFORE, 0)
-        return s, (0 if s == REPORT else max(near - 1, 0), max(waits - 1, 0))
+            return (POINTED if waits else s), (BEFORE, 0, taken)
+        return s, (0 if s == REPORT else max(near - 1, 0), max(waits - 1, 0), taken)
 
-    return Transducer((0, 0), step)
+    return Transducer((0, 0, False), step)
 
 
 def _negation() -> Transducer:
     def step(left, s):
         if s[0] in KINDS:
-            return s + "-" if left else s, max(left - 1, 0)
+            return s + "-" if left else s, 0 if s == CALLED else max(left - 1, 0)
         return s, NEGATED if s == NEGATION else 0 if s in (BUT, PAUSE) else max(left - 1, 0)
 
     return Transducer(0, step)
@@ -206,7 +229,7 @@ GRAMMAR = _insults().compose(_threats()).compose(_targets()).compose(_negation()
 #: Log-odds that stand for a threat.
 THREAT_ODDS = 3.0
 #: Where fitting starts, and what it is drawn to: weights of the kinds, factors of negation and report.
-PRIOR = {CALLED: 1.0, MENTIONED: 0.6, PREDICATED: 1.0, ADDRESSED: 1.5, POINTED: 0.5, THREATENED: 1.5}
+PRIOR = {CALLED: 1.0, MENTIONED: 0.6, PREDICATED: 1.0, HEADED: 0.6, ADDRESSED: 1.5, POINTED: 0.5, THREATENED: 1.5}
 NEGATED_FACTOR, REPORTED_FACTOR = 0.4, 0.6
 WEIGHTS = {k + n + r: w * (NEGATED_FACTOR if n else 1.0) * (REPORTED_FACTOR if r else 1.0) for k, w in PRIOR.items() for n in ("", "-") for r in ("", "'")}
 CELLS = sorted(WEIGHTS)
@@ -253,7 +276,7 @@ class ToxicityModel:
         if not self._hit.search(low):
             return []
         found, end = [], 0
-        cuts = [(m.start(), m.end()) for m in _STRONG.finditer(low)] + [(len(low), len(low))]
+        cuts = [m.span() for m in _STRONG.finditer(low)] + [(len(low), len(low))]
         for a, b in cuts:
             clause = low[end:a]
             end = b
@@ -266,6 +289,10 @@ class ToxicityModel:
                 odds = lex or odds  # a match that a target completes is that of the word before
                 if kind[0] in KINDS:
                     out.append((kind, odds))
+            if "!" in low[a:b]:
+                kind, state = GRAMMAR.step(state, BANG)
+                if kind[0] in KINDS:
+                    out.append((kind, odds))
             if out:
                 found.append((clause.strip(), out))
         return found
