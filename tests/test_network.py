@@ -5,6 +5,7 @@ import numpy as np
 
 from timberline.operators import classify, network, norms
 from timberline.plans.components import connected_components
+from tests import plain
 
 SEG = "id long, x1 double, y1 double, x2 double, y2 double"
 
@@ -132,7 +133,7 @@ def test_greedy_cover_by_a_plain_choice(spark):
     got = sorted(r.id for r in network.dedupe_parallels(spark.createDataFrame(segs, "id long, x1 double, y1 double, x2 double, y2 double"), 3.0).collect())
     kept = []
     for k, a, b, c, d in sorted(segs, key=lambda s: (-math.hypot(s[3] - s[1], s[4] - s[2]), s[0])):
-        found = [i for o in kept if (i := network.capsule_interval((a, b), (c, d), (o[1], o[2]), (o[3], o[4]), 1.5))]
+        found = [i for o in kept if (i := plain.capsule_interval((a, b), (c, d), (o[1], o[2]), (o[3], o[4]), 1.5))]
         if network.covered(found) < 0.7:
             kept.append((k, a, b, c, d))
     assert got == sorted(k[0] for k in kept)

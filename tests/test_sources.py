@@ -124,3 +124,24 @@ def test_heights_above_ground(spark):
     pts = spark.createDataFrame([(0.5, 1.5, 103.0), (1.5, 1.5, 110.0), (0.5, 0.5, 99.0), (9.0, 9.0, 1.0)], "x double, y double, z double")
     assert sorted((r.x, r.y, r.h) for r in pointcloud.normalised(pts, ground, grid).collect() if r.h is not None) == [(0.5, 1.5, 3.0), (1.5, 1.5, 0.0)]
     assert pointcloud.normalised(pts, ground, grid).count() == 3
+
+
+def test_a_death_between_table_and_manifest_leaves_the_old_layer(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}"
+    get = lambda p, n: cache.cached(spark, folder, "osm", "here", {"x": p}, lambda: spark.range(n))
+    old = get(1, 3)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(cache, "write_provenance", dies)
+        with pytest.raises(RuntimeError):
+            get(2, 5)
+    # the layer that counts is whole and has its own parameters
+    assert cache.read_provenance(spark, cache.paths(folder, "osm")[1])["parameters"] == {"x": 1}
+    assert cache.cached(spark, folder, "osm", "here", {"x": 1}, dies, "echouer").count() == 3
+    assert get(2, 6).count() == 6
+    assert old.count() == 3  # who reads the version before still can
+    get(3, 7), get(4, 8)
+    assert len(list((tmp_path / "osm.versions").iterdir())) == 2

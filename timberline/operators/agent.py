@@ -21,7 +21,7 @@ from timberline.operators.curves import GEOM, as_array, as_geom, length, sinuosi
 from timberline.operators.network import greedy_cover
 from timberline.operators.pathfind import least_cost
 from timberline.operators.skeleton import border_runs
-from timberline.session import materialize
+from timberline.session import materialize, release
 
 
 # How a fan of costs is smoothed and what a trough may cost.
@@ -283,7 +283,7 @@ def vectorise(cells: DataFrame, grid: dict, reference: DataFrame | None = None,
     found = None
     for k in range(rounds):
         lines = known if found is None else (found.select("geom") if known is None else known.union(found.select("geom")))
-        ended, going = None, ask
+        ended, going, held = None, ask, []
         while not going.isEmpty():  # until every drive of the round has come to its end
             last = F.element_at("geom", -1)
             keyed = going.select(tile_row(last["y"]).alias("tr"), tile_col(last["x"]).alias("tc"), F.lit(0).alias("what"), "geom", "way")
@@ -297,15 +297,24 @@ def vectorise(cells: DataFrame, grid: dict, reference: DataFrame | None = None,
                 work = work.union(near.join(keyed.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi"))
             got = materialize(sent.groupBy("tr", "tc").cogroup(work.groupBy("tr", "tc")).applyInPandas(_drivers(k, grid, tile, halo, bands, passable, length_min, sinuosity_max, driving), _DRIVES))
             done = got.filter("why <> 'suite'")
+            held.append(got)
             ended = done if ended is None else ended.union(done)
-            going = materialize(got.filter("why = 'suite'").select("geom", "way"))
+            before, going = going, materialize(got.filter("why = 'suite'").select("geom", "way"))
+            release(before)
+        release(going)
         if ended is None:
             break
         ended = materialize(ended)
+        for got in held:
+            release(got)
         new = _apart(ended.filter("legs > 0").select("round", "why", "geom"), buffer)
-        found = materialize(new if found is None else found.union(new))
+        before, found = found, materialize(new if found is None else found.union(new))
+        release(before)
         b = ended.select(F.explode("branches").alias("b")).select(*[F.col("b")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]).distinct()
         ask = materialize(seeded(b))
+        release(ended)
+    release(ask)
+    release(sent)
     if found is None:
         return cells.sparkSession.createDataFrame([], f"id long, round int, why string, {GEOM}")
     return found.select(F.xxhash64(F.to_json("geom")).alias("id"), "round", "why", "geom")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -14,9 +15,9 @@ log = logging.getLogger(__name__)
 
 
 def paths(folder: str, layer: str) -> tuple[str, str]:
-    """Of a layer's table and of its provenance."""
-    base = f"{folder.rstrip('/')}/{layer}.parquet"
-    return base, f"{base}.provenance.json"
+    """Of the folder that holds a layer's versions, and of the manifest that names the one that counts."""
+    base = f"{folder.rstrip('/')}/{layer}.versions"
+    return base, f"{folder.rstrip('/')}/{layer}.parquet.provenance.json"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -25,12 +26,18 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
-def write_provenance(spark: SparkSession, path: str, source: str, parameters: dict) -> None:
-    text = json.dumps({"source": source, "parameters": parameters, "date": datetime.now(UTC).isoformat(timespec="seconds")}, sort_keys=True)
+def write_provenance(spark: SparkSession, path: str, source: str, parameters: dict, table: str | None = None) -> None:
+    """The manifest: written beside its place, then put there in one step that replaces the one before."""
+    held = {"source": source, "parameters": parameters, "date": datetime.now(UTC).isoformat(timespec="seconds"), "table": table}
+    hadoop = spark._jvm.org.apache.hadoop.fs
     fs, p = _fs(spark, path)
-    out = fs.create(p, True)
-    out.write(bytearray(text.encode()))
+    new = hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps(held, sort_keys=True).encode()))
     out.close()
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.makeQualified(p).toUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(fs.makeQualified(new), fs.makeQualified(p), options)
 
 
 def read_provenance(spark: SparkSession, path: str) -> dict | None:
@@ -54,13 +61,18 @@ def differences(known: dict | None, source: str, parameters: dict) -> list[str]:
 
 
 def cached(spark: SparkSession, folder: str, layer: str, source: str, parameters: dict, acquire: Callable[[], DataFrame | None], policy: str = "reacquerir") -> DataFrame | None:
-    """The layer from the cache if its parameters agree, else as the policy says. An empty answer is not kept."""
+    """The layer from the cache if its parameters agree, else as the policy says. An empty answer is not kept.
+
+    A new version is written whole into a folder of its own before the manifest names it: whoever dies in between leaves the old layer with
+    its own parameters. The version before stays for those who still read it; older ones go.
+    """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
-    table, side = paths(folder, layer)
-    fs, p = _fs(spark, table)
-    if fs.exists(p):
-        gaps = differences(read_provenance(spark, side), source, parameters)
+    base, side = paths(folder, layer)
+    known = read_provenance(spark, side)
+    table = (known or {}).get("table")
+    if table:
+        gaps = differences(known, source, parameters)
         if not gaps or policy == "ignorer":
             return spark.read.parquet(table)
         if policy == "echouer":
@@ -71,6 +83,12 @@ def cached(spark: SparkSession, folder: str, layer: str, source: str, parameters
     got = acquire()
     if got is None:
         return None
-    got.write.mode("overwrite").parquet(table)
-    write_provenance(spark, side, source, parameters)
-    return spark.read.parquet(table)
+    new = f"{base}/{uuid.uuid4().hex}"
+    got.write.parquet(new)
+    write_provenance(spark, side, source, parameters, new)
+    fs, p = _fs(spark, base)
+    kept = {v.rsplit("/", 1)[1] for v in (new, table) if v}
+    for status in fs.listStatus(p):
+        if status.getPath().getName() not in kept:
+            fs.delete(status.getPath(), True)
+    return spark.read.parquet(new)
