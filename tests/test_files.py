@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from timberline.sources import las, ranges, tiff
 
@@ -259,3 +260,36 @@ def test_written_rasters_come_back(spark, tmp_path):
     (tmp_path / "junk.tif").write_bytes(b"II*")
     with pytest.raises(Exception, match="no TIFF"):
         tiff.cells(spark, [str(tmp_path / "junk.tif")]).count()
+
+
+def test_a_rectangle_skips_most_of_what_lies_along_the_curve(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from timberline.sources import points
+
+    rng = np.random.default_rng(4)
+    xy = np.concatenate([rng.random((4000, 2)) * 1000 - 300, rng.random((4000, 2)) * 20 + 400])
+    df = spark.createDataFrame([(float(a), float(b), k) for k, (a, b) in enumerate(xy)], "x double, y double, k int").repartition(5)
+    points.write_by_curve(df, str(tmp_path / "z"), files=40)
+    box = (100.0, 100.0, 180.0, 190.0)
+    got = points.read_points(spark, [str(tmp_path / "z")], box)
+    want = [k for k, (a, b) in enumerate(xy) if box[0] <= a <= box[2] and box[1] <= b <= box[3]]
+    assert sorted(r.k for r in got.collect()) == want and len(want) > 10
+    groups = [g.row_group(i) for f in glob.glob(f"{tmp_path}/z/*.parquet") for g in [pq.ParquetFile(f).metadata] for i in range(g.num_row_groups)]
+    stats = lambda g, c: next(g.column(i).statistics for i in range(g.num_columns) if g.column(i).path_in_schema == c)
+    met = [g for g in groups if stats(g, "x").min <= box[2] and stats(g, "x").max >= box[0] and stats(g, "y").min <= box[3] and stats(g, "y").max >= box[1]]
+    assert len(groups) >= 35 and len(met) <= 6
+    # the cluster is cut as finely as the rest
+    assert max(g.num_rows for g in groups) < 3 * 8000 / len(groups)
+
+
+def test_the_curve_keeps_neighbours_together(spark):
+    from timberline.sources import points
+
+    df = spark.createDataFrame([(x, y) for x in range(8) for y in range(8)], "x int, y int").withColumn("z", points.curve_key(F.col("x"), F.col("y")))
+    ranked = [(r.x, r.y) for r in df.orderBy("z").collect()]
+    for k in range(0, 64, 16):
+        part = ranked[k : k + 16]
+        assert max(x for x, _ in part) - min(x for x, _ in part) == 3 and max(y for _, y in part) - min(y for _, y in part) == 3

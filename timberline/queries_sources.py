@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from timberline.functions import geometry as geo
-from timberline.operators import pathfind
+from timberline.operators import ground, pathfind
 from timberline.plans.views import load
 from timberline.queries import query, r, rounded
 from timberline.session import materialize, scratch_dir
@@ -36,6 +36,23 @@ def points_in_box(spark, sf):
     return points.read_points(spark, [stored._timberline_path], (10.0, 5.0, 40.5, 30.0), ["t1", "t2"]).select("x", "y", "h", "cls")
 
 
+@query("SELECT x, y, h, cls FROM v_points WHERE x BETWEEN 10 AND 40.5 AND y BETWEEN 20 AND 60", "v_points")
+def points_by_curve(spark, sf):
+    """All points laid out along a curve, and those of a rectangle read from there."""
+    path = f"{scratch_dir(spark)}/curve-{uuid.uuid4().hex}"
+    points.write_by_curve(load(spark, sf, "v_points")[0].select("x", "y", "h", "cls"), path)
+    return points.read_points(spark, [path], (10.0, 20.0, 40.5, 60.0))
+
+
+@query("""SELECT x, y, h AS z, cls, round(h - (0.5E0 * x - 0.25E0 * y), 6) AS hauteur FROM v_points WHERE x BETWEEN 8 AND 56 AND y BETWEEN 56.5 AND 61""", "v_points")
+def heights_above_ground(spark, sf):
+    """Points over a triangulated ground that is a plane, so that any triangulation of the table's ground points must give it."""
+    p = load(spark, sf, "v_points")[0].select("x", "y", F.col("h").alias("z"), "cls")
+    base = p.filter("cls = 2").select("x", "y", (F.lit(0.5) * F.col("x") - F.lit(0.25) * F.col("y")).alias("z"))
+    got = ground.normalised(p.filter("x between 8 and 56 and y between 56.5 and 61"), base, tile=16.0, halo=8.0)
+    return got.select("x", "y", "z", "cls", r("h", 6).alias("hauteur"))
+
+
 @query("SELECT round(x, 3) AS x, round(y, 3) AS y, round(h, 3) AS z, CAST(cls AS INT) AS classification FROM v_points WHERE x BETWEEN 10 AND 40.5 AND y BETWEEN 20 AND 60", "v_points")
 def las_points(spark, sf):
     """All points as LAS files, and those of a rectangle read from them by ranges."""
@@ -55,9 +72,9 @@ def las_headers(spark, sf):
 @query("SELECT col + 0.5 AS x, -row - 0.5 AS y, z AS value FROM v_ground WHERE col BETWEEN 10 AND 49", "v_ground")
 def tiff_cells(spark, sf):
     """All heights as GeoTIFF tiles, and those of a rectangle read from them chunk by chunk."""
-    ground = load(spark, sf, "v_ground")[0]
-    grid = {"xmin": 0.0, "ymax": 0.0, "res": 1.0, "nrow": ground.agg(F.max("row")).first()[0] + 1, "ncol": 64}
-    files = tiff.write_rasters(ground, grid, f"{scratch_dir(spark)}/tiff-{uuid.uuid4().hex}", "z", tile=256, chunk=16)
+    cells = load(spark, sf, "v_ground")[0]
+    grid = {"xmin": 0.0, "ymax": 0.0, "res": 1.0, "nrow": cells.agg(F.max("row")).first()[0] + 1, "ncol": 64}
+    files = tiff.write_rasters(cells, grid, f"{scratch_dir(spark)}/tiff-{uuid.uuid4().hex}", "z", tile=256, chunk=16)
     return tiff.cells(spark, files, (10.0, -1e12, 50.0, 0.0)).filter("value is not null").select("x", "y", "value")
 
 
