@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from timberline.functions import geometry as geo
-from timberline.operators import ground, pathfind
+from timberline.operators import ground, network, pathfind
 from timberline.plans.views import load
 from timberline.queries import query, r, rounded
 from timberline.session import materialize, scratch_dir
@@ -112,6 +112,23 @@ def harvested_areas(spark, sf):
     return spark.createDataFrame(rows, "xmin double, ymin double, n long")
 
 
+@query("""WITH RECURSIVE e AS (SELECT x1 || ' ' || y1 AS a, x2 || ' ' || y2 AS b, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) AS len FROM v_segments),
+n AS (SELECT x1 || ' ' || y1 AS node, x1 AS x, y1 AS y FROM v_segments UNION SELECT x2 || ' ' || y2, x2, y2 FROM v_segments),
+l AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+c(node, comp) USING KEY (node) AS (SELECT node, node AS comp FROM n UNION ALL
+  (SELECT q.node, q.comp FROM (SELECT l.v AS node, min(c.comp) AS comp FROM c JOIN l ON l.u = c.node GROUP BY l.v) q JOIN recurring.c o ON o.node = q.node WHERE q.comp < o.comp)),
+p AS (SELECT *, floor((x1 + x2) / 200) + i AS gx, floor((y1 + y2) / 200) + j AS gy FROM v_segments, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) WHERE cl_admin = 'Nationale'),
+d AS (SELECT node, x, y, x1, y1, x2, y2, greatest(0, least(1, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1)) / ((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM n JOIN p ON gx = floor(x / 100) AND gy = floor(y / 100)),
+r AS (SELECT DISTINCT comp FROM d JOIN c USING (node) WHERE sqrt((x-x1-t*(x2-x1))*(x-x1-t*(x2-x1)) + (y-y1-t*(y2-y1))*(y-y1-t*(y2-y1))) <= 5),
+k AS (SELECT e.len, c.comp, r.comp IS NULL AS lost FROM e JOIN c ON c.node = e.a LEFT JOIN r ON r.comp = c.comp)
+SELECT count(*) AS n_aretes, count(DISTINCT comp) AS n_composants, round(coalesce(sum(CASE WHEN lost THEN len END), 0), 3) AS longueur_deconnectee, (SELECT count(*) FROM n) AS n_noeuds FROM k""", "v_segments")
+def network_parts(spark, sf):
+    """Edges, nodes, components and what of them no national road reaches."""
+    seg = load(spark, sf, "v_segments")[0].select("id", "x1", "y1", "x2", "y2", "cl_admin")
+    edges, nodes = network.network(seg.drop("cl_admin"), seg.filter("cl_admin = 'Nationale'").select("x1", "y1", "x2", "y2"), 5.0)
+    return rounded(network.network_summary(edges, nodes), 3, "longueur_deconnectee")
+
+
 #: Rows and columns of the moves of a king and a knight, and the cell beside a knight's move that must be open.
 _MOVES = ", ".join(f"({dr}, {dc}, {dr - (dr > 0) + (dr < 0) if knight else 0}, {dc - (dc > 0) + (dc < 0) if knight else 0})"
                    for dr in range(-2, 3) for dc in range(-2, 3) for knight in [abs(dr) + abs(dc) == 3] if knight or 0 < max(abs(dr), abs(dc)) == 1)
