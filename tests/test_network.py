@@ -173,3 +173,51 @@ def test_points_in_polygons(spark):
         return hit
 
     assert got == {p for p in pts if plain(*p)} and len(got) > 50
+
+
+def _scattered(spark, n, m, seed):
+    """Points and segments, dense at one end of the land and sparse at the other, some twice and some without length, as tables."""
+    from timberline.session import materialize
+
+    rng = random.Random(seed)
+    xy = lambda: (rng.random() ** 3 * 400 - 20, rng.random() * 60)
+    pts = [(k, *xy()) for k in range(n)]
+    segs = []
+    for k in range(m):
+        x, y = xy()
+        segs.append((k, x, y, x + rng.choice([0, rng.uniform(-30, 30)]), y if rng.random() < 0.3 else y + rng.uniform(-30, 30)))
+    segs += [(m + k, *segs[k][1:]) for k in range(0, m, 3)]
+    return pts, segs, materialize(spark.createDataFrame(pts, "pid long, x double, y double")), materialize(spark.createDataFrame(segs, SEG))
+
+
+def _gap(x, y, x1, y1, x2, y2):
+    size = (x2 - x1) ** 2 + (y2 - y1) ** 2
+    t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / size)) if size > 0 else 0.0
+    return math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1))
+
+
+def _joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_segments_without_broadcast_of_lists(spark):
+    from timberline.operators.cells import near_segments
+
+    pts, segs, p, s = _scattered(spark, 300, 120, 5)
+    for reach in (0.7, 4.0, 30.0):
+        got = near_segments(p.select("x", "y"), s, reach)
+        want = {(x, y) for _, x, y in pts if min(_gap(x, y, *g[1:]) for g in segs) <= reach}
+        assert {(r.x, r.y) for r in got.collect()} == want and 0 < len(want)
+        assert "Join" in _joins(got) and "BroadcastHashJoin" not in _joins(got).replace("BroadcastHashJoin [__gx", "")
+
+
+def test_nearest_feature_by_growing_reach(spark):
+    pts, segs, p, s = _scattered(spark, 300, 120, 6)
+    for reach in (2.0, 50.0):
+        got = network.nearest_feature(p, s, reach, ["id"])
+        assert "BroadcastHashJoin" not in _joins(got)
+        near = {k: min((_gap(x, y, *g[1:]), g[0]) for g in segs) for k, x, y in pts}
+        want = {k: i for k, (d, i) in near.items() if d <= reach}
+        rows = got.collect()
+        assert {r.pid: r.id for r in rows} == want and len(rows) == len(want) and all(abs(r.d - near[r.pid][0]) < 1e-9 for r in rows)
+    assert network.nearest_feature(p, s.limit(0), 5.0, ["id"]).count() == 0
