@@ -25,6 +25,8 @@ from timberline.sources.ranges import PUSH, Box, Part, Pushed, Ranges, options,
 HEADER_BYTES = 375
 #: Records decoded at once.
 RECORDS = 65_536
+#: Points that a task writes into one file, about.
+FILE = 1_000_000
 SCHEMA = ("path string, x double, y double, z double, intensity int, return_number int, returns int, classification int, angle double, "
           "user_data int, source int, gps_time double, red int, green int, blue int, nir int")
 _KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
@@ -187,24 +189,32 @@ def encode(x: np.ndarray, y: np.ndarray, z: np.ndarray, cls: np.ndarray | None =
 
 
 def write_points(cloud: DataFrame, folder: str, kind: int = 6, scale: float = 0.001) -> list[str]:
-    """Points ``(x, y, z, classification)`` as one LAS file a task, and the list of files.
+    """Points ``(x, y, z, classification)`` as LAS files, and the list of files: one for each ``FILE`` points of a task, which holds no more at once.
 
     Files carry a name of their attempt, so that a task that runs again leaves no double: only listed files count.
     """
 
-    def run(frames):
-        held = list(frames)
-        if not sum(map(len, held)):
-            return
+    def write(held: list) -> str:
         cols = {c: np.concatenate([f[c].to_numpy() for f in held]) for c in ("x", "y", "z", "classification")}
         path = f"{folder.rstrip('/')}/part-{uuid.uuid4().hex}.las"
         fs, inner = pafs.FileSystem.from_uri(path)
         fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
         with fs.open_output_stream(inner) as out:
             out.write(encode(cols["x"], cols["y"], cols["z"], cols["classification"], kind, scale))
+        return path
+
+    def run(frames):
         import pandas as pd
 
-        yield pd.DataFrame({"path": [path]})
+        held, n = [], 0
+        for f in frames:
+            held, n = [*held, f], n + len(f)
+            if n >= limit:
+                yield pd.DataFrame({"path": [write(held)]})
+                held, n = [], 0
+        if n:
+            yield pd.DataFrame({"path": [write(held)]})
 
+    limit = FILE
     rows = cloud.select(*[F.col(c).cast("double") for c in "xyz"], F.coalesce(F.col("classification").cast("int"), F.lit(0)).alias("classification")).filter("x is not null and y is not null and z is not null")
     return sorted(r["path"] for r in rows.mapInPandas(run, "path string").collect())
