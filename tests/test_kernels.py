@@ -250,3 +250,21 @@ def test_cost_field_without_cells_or_starts(spark):
     assert pathfind.cost_field(one, none).count() == 0
     assert pathfind.cost_field(one.limit(0), one.select("row", "col")).count() == 0
     assert [tuple(r) for r in pathfind.cost_field(one, one.select("row", "col")).collect()] == [(0, 0, 0.0)]
+
+
+def test_weights_do_not_depend_on_the_block():
+    from timberline.operators.blocks import bilinear
+
+    rng = np.random.default_rng(3)
+    a, fy, fx = rng.random((40, 40)), rng.random(5000) * 8 + 20, rng.random(5000) * 8 + 20
+    assert (bilinear(a, fy, fx) == bilinear(a[13:, 11:], fy, fx, 13, 11)).all()
+
+
+def test_large_doubles_round_as_in_duckdb(spark):
+    import duckdb
+
+    from timberline.queries import rounded_double
+
+    values = [7609624449125.756, 976976156052.9061, 3985461612938.329, 233218047730.79514, 1.00035, 0.00005, 12.34565, -3.21455]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", rounded_double("v", 4).alias("g")).orderBy("i").collect()
+    assert [r.g for r in got] == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 4)", [v]).fetchall()[0][0] for v in values]

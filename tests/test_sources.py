@@ -2,10 +2,12 @@ import sqlite3
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from timberline.operators import pointcloud
 from timberline.sources import acquisition as acq
 from timberline.sources import cache, catalog, sinks
+from timberline.sources import las as las_source
 from timberline.streaming import tiles
 
 
@@ -145,3 +147,15 @@ def test_a_death_between_table_and_manifest_leaves_the_old_layer(spark, tmp_path
     assert old.count() == 3  # who reads the version before still can
     get(3, 7), get(4, 8)
     assert len(list((tmp_path / "osm.versions").iterdir())) == 2
+
+
+def test_las_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(las_source, "FILE", 100)
+    cloud = spark.range(950).coalesce(1).select((F.col("id") % 31).cast("double").alias("x"), (F.col("id") % 17).cast("double").alias("y"), F.col("id").cast("double").alias("z"), F.lit(2).alias("classification"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        files = las_source.write_points(cloud, f"file://{tmp_path}/las")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(files) == 10
+    assert sorted(r.z for r in las_source.points(spark, files).collect()) == [float(k) for k in range(950)]

@@ -101,11 +101,14 @@ class Blocks:
         release(self.rows)
 
 
-def bilinear(a: np.ndarray, fy: np.ndarray, fx: np.ndarray) -> np.ndarray:
-    """Values between cell centres at fractional places of an array; NaN where a cell that has weight is missing."""
+def bilinear(a: np.ndarray, fy: np.ndarray, fx: np.ndarray, row0: int = 0, col0: int = 0) -> np.ndarray:
+    """Values between cell centres at fractional places of a raster whose cell ``(row0, col0)`` the array begins with; NaN where a cell that has weight is missing.
+
+    Weights come from places in the whole raster, so that they are the same to the last bit whatever block is read.
+    """
     r, c = np.floor(fy), np.floor(fx)
     ty, tx = fy - r, fx - c
-    r, c = r.astype(np.int64), c.astype(np.int64)
+    r, c = r.astype(np.int64) - row0, c.astype(np.int64) - col0
     n, m = a.shape
     out = np.zeros(fx.shape)
     for dr, dc, w in ((0, 0, (1 - tx) * (1 - ty)), (0, 1, tx * (1 - ty)), (1, 0, (1 - tx) * ty), (1, 1, tx * ty)):
@@ -116,9 +119,9 @@ def bilinear(a: np.ndarray, fy: np.ndarray, fx: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(a: np.ndarray, fy: np.ndarray, fx: np.ndarray) -> np.ndarray:
+def nearest(a: np.ndarray, fy: np.ndarray, fx: np.ndarray, row0: int = 0, col0: int = 0) -> np.ndarray:
     """Values of the cells that fractional places lie in, as ``bilinear`` counts them: centres are whole numbers."""
-    r, c = np.floor(fy + 0.5).astype(np.int64), np.floor(fx + 0.5).astype(np.int64)
+    r, c = np.floor(fy + 0.5).astype(np.int64) - row0, np.floor(fx + 0.5).astype(np.int64) - col0
     inside = (r >= 0) & (r < a.shape[0]) & (c >= 0) & (c < a.shape[1])
     return np.where(inside, a[np.clip(r, 0, a.shape[0] - 1), np.clip(c, 0, a.shape[1] - 1)], np.nan)
 
@@ -133,10 +136,10 @@ def sample(blocks: Blocks, points: DataFrame, method: str = "bilinear", bands: l
 
     def reader(table, arrays, row0, col0):
         x, y = (table.column(c).to_numpy().astype(float) for c in "xy")
-        fx, fy = (x - grid["xmin"]) / res - 0.5 - col0, (grid["ymax"] - y) / res - 0.5 - row0
+        fx, fy = (x - grid["xmin"]) / res - 0.5, (grid["ymax"] - y) / res - 0.5
         known = np.isfinite(fx) & np.isfinite(fy)
         for b in bands:
-            v = how(arrays[b], np.where(known, fy, -9.0), np.where(known, fx, -9.0))
+            v = how(arrays[b], np.where(known, fy, row0 - 9.0), np.where(known, fx, col0 - 9.0), row0, col0)
             yield pa.array(v, mask=np.isnan(v))
 
     return blocks.read(points, reader, [T.StructField(n, T.DoubleType()) for n in names or bands])
@@ -156,9 +159,9 @@ def profiles(blocks: Blocks, stations: DataFrame, band: str, half: float, step:
     def reader(table, arrays, row0, col0):
         x, y, nx, ny = (table.column(c).to_numpy().astype(float)[:, None] for c in ("x", "y", "nx", "ny"))
         # the normal points left of the direction of travel
-        fx, fy = (x - nx * off - grid["xmin"]) / res - 0.5 - col0, (grid["ymax"] - (y - ny * off)) / res - 0.5 - row0
+        fx, fy = (x - nx * off - grid["xmin"]) / res - 0.5, (grid["ymax"] - (y - ny * off)) / res - 0.5
         known = np.isfinite(fx) & np.isfinite(fy)
-        v = how(arrays[band], np.where(known, fy, -9.0), np.where(known, fx, -9.0)).ravel()
+        v = how(arrays[band], np.where(known, fy, row0 - 9.0), np.where(known, fx, col0 - 9.0), row0, col0).ravel()
         yield pa.ListArray.from_arrays(np.arange(len(table) + 1, dtype=np.int32) * len(off), pa.array(v, mask=np.isnan(v)))
 
     return blocks.read(stations, reader, [T.StructField("z", T.ArrayType(T.DoubleType()))])
