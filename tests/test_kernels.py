@@ -268,3 +268,12 @@ def test_large_doubles_round_as_in_duckdb(spark):
     values = [7609624449125.756, 976976156052.9061, 3985461612938.329, 233218047730.79514, 1.00035, 0.00005, 12.34565, -3.21455]
     got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", rounded_double("v", 4).alias("g")).orderBy("i").collect()
     assert [r.g for r in got] == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 4)", [v]).fetchall()[0][0] for v in values]
+
+
+def test_equal_traces_are_measured_once(spark):
+    from timberline.queries import _once
+
+    rows = [(k, [(float(k % 3), 1.0), (5.0, float(k % 2))]) for k in range(12)] + [(20, [])]
+    once, all_ = _once(spark.createDataFrame(rows, "trace_id long, geom array<struct<x:double,y:double>>"))
+    assert sorted(r.trace_id for r in once.collect()) == [0, 1, 2, 3, 4, 5, 20]
+    assert {r.trace_id: r["__first"] for r in all_.collect()} == {**{k: k % 6 for k in range(12)}, 20: 20}

@@ -340,7 +340,8 @@ def corridor_cells(cells: DataFrame, segments: DataFrame, reach: float, keys: li
     listed = cut.withColumn("__gx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("__gy", F.explode(span(F.col("y1"), F.col("y2"))))
     placed = cells.withColumn("__gx", F.floor(F.col("x") / side).cast("long")).withColumn("__gy", F.floor(F.col("y") / side).cast("long"))
     d = point_segment_distance("x", "y", "x1", "y1", "x2", "y2")
-    near = placed.join(listed, ["__gx", "__gy"]).withColumn("dist", d).filter(F.col("dist") <= reach)
+    # a list is many times what it is made from, so it must not be broadcast on that account
+    near = placed.join(listed.hint("merge"), ["__gx", "__gy"]).withColumn("dist", d).filter(F.col("dist") <= reach)
     return near.groupBy(*keys, *cells.columns).agg(F.min("dist").alias("dist"))
 
 
