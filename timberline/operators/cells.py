@@ -262,7 +262,7 @@ def near_segments(points: DataFrame, segments: DataFrame, reach: float) -> DataF
 
 
 #: Squares that are sent to all tasks at most.
-SENT = 300_000
+SENT = 150_000
 
 
 def spread(rows: DataFrame) -> DataFrame:
