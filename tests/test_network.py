@@ -221,3 +221,40 @@ def test_nearest_feature_by_growing_reach(spark):
         rows = got.collect()
         assert {r.pid: r.id for r in rows} == want and len(rows) == len(want) and all(abs(r.d - near[r.pid][0]) < 1e-9 for r in rows)
     assert network.nearest_feature(p, s.limit(0), 5.0, ["id"]).count() == 0
+
+
+def test_parallels_by_tiles_equal_a_plain_choice(spark, monkeypatch):
+    from timberline.operators import parallels
+
+    rng = np.random.default_rng(8)
+    segs = [(k, float(rng.integers(0, 160)), float(rng.integers(0, 160)), float(rng.integers(-25, 26)), float(rng.integers(1, 26))) for k in range(900)]
+    segs = [(k, x, y, x + dx, y + dy) for k, x, y, dx, dy in segs] + [(2000 + k, 40.0, 40.0 + k / 8, 60.0, 40.0 + k / 8) for k in range(200)]
+    segs += [(3000, -400.0, 80.0, 900.0, 81.0)] + [(3001 + k, 3.0 * k, 80.0, 3.0 * k + 0.5, 80.0) for k in range(40)]
+    kept = []
+    for k, *c in sorted(segs, key=lambda s: (-math.hypot(s[3] - s[1], s[4] - s[2]), s[0])):
+        near = [o for o in kept if all(min(c[i], c[i + 2]) - 1.5 <= max(o[i + 1], o[i + 3]) and min(o[i + 1], o[i + 3]) - 1.5 <= max(c[i], c[i + 2]) for i in (0, 1))]
+        found = [i for o in near if (i := plain.capsule_interval(tuple(c[:2]), tuple(c[2:]), tuple(o[1:3]), tuple(o[3:]), 1.5))]
+        if network.covered(found) < 0.7:
+            kept.append((k, *c))
+    df = spark.createDataFrame(segs, SEG)
+    rounds = []
+    view = parallels._view
+    monkeypatch.setattr(parallels, "_view", lambda *a: rounds.append(1) or view(*a))
+    for side, halo, blur, octave in ((10.0, 2.5, 64, 64.0), (1.0, 0.7, 64, 4.0), (1.0, 0.7, 2, 64.0)):
+        for name, v in (("SIDE", side), ("HALO", halo), ("BLUR", blur), ("OCTAVE", octave)):
+            monkeypatch.setattr(parallels, name, v)
+        rounds.clear()
+        assert sorted(r.id for r in network.dedupe_parallels(df, 3.0).collect()) == sorted(k[0] for k in kept)
+        assert len(rounds) <= 8
+
+
+def test_covered_pieces_by_arrays_equal_a_search():
+    from timberline.operators import parallels
+
+    rng = np.random.default_rng(3)
+    p, q = rng.integers(0, 12, (400, 4)).astype(float), rng.integers(0, 12, (400, 4)).astype(float)
+    lo, hi, ok = parallels.capsule_parts(p, q, 1.5)
+    for k in range(400):
+        want = plain.capsule_interval(tuple(p[k, :2]), tuple(p[k, 2:]), tuple(q[k, :2]), tuple(q[k, 2:]), 1.5) if (p[k, :2] != p[k, 2:]).any() else None
+        if want and want[1] - want[0] > 1e-9:
+            assert ok[k] and np.allclose([lo[k], hi[k]], want, atol=1e-9)
