@@ -396,3 +396,25 @@ def test_samples_of_huge_tables_are_not_empty(spark):
     assert 800 < tables.bounded_sample(rows, 1_000).count() < 1_200
     # a row that makes up half the table is drawn once or not at all
     assert tables.bounded_sample(rows.union(spark.range(400_000).select((F.col("id") * 0).alias("k"))), 1_000).count() < 700
+
+
+def test_tagger_by_stretches_equals_step_by_step():
+    from timberline.llm import tagger
+
+    model, rng = tagger.trained(), np.random.default_rng(4)
+    x = rng.integers(32, 127, (70, 48)).astype(np.uint8)
+    e = model.p["emb"][x]
+    want = np.concatenate([model._forward(e, d, []) for d in "fb"], axis=2) @ model.p["out"] + model.p["bias"]
+    em = model.emissions(x)
+    assert em.shape == want.shape and np.abs(em - want).max() < 1e-3
+    em = np.round(rng.standard_normal((40, 30, tagger.TAGS)) * 4).astype(np.float32)  # with ties
+    for row, tags in zip(em, model.best_path(em)):
+        score, back = model.p["first"] + row[0], []
+        for s in row[1:]:
+            all_ = score[:, None] + model.p["trans"]
+            back.append(all_.argmax(axis=0))
+            score = all_.max(axis=0) + s
+        path = [int(score.argmax())]
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        assert tags.tolist() == path[::-1]

@@ -49,37 +49,39 @@ class Tagger:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Scores of the tags, (rows, steps, tags)."""
         n, steps, h = x.shape[0], x.shape[1], self.hidden
-        table = [np.ascontiguousarray(self.p["emb"] @ self.p[f"x{d}"] + self.p[f"g{d}"]) for d in "fb"]
+        # a gate's row holds all windows, so that each step works on long stretches
+        table = [np.ascontiguousarray((self.p["emb"] @ self.p[f"x{d}"] + self.p[f"g{d}"]).T) for d in "fb"]
         # gates are kept at twice their value, so states are too
-        turn = [np.ascontiguousarray(self.p[f"h{d}"] * np.float32(0.5)) for d in "fb"]
+        turn = [np.ascontiguousarray((self.p[f"h{d}"] * np.float32(0.5)).T) for d in "fb"]
         kind = turn[0].dtype
-        s, c = np.zeros((2, n, h), kind), np.zeros((2, n, h), kind)
-        both = np.empty((steps, n, 2 * h), kind)
-        z, size = np.empty((2, n, 4 * h), kind), np.empty((2, n, 4 * h), kind)
-        room = np.empty((n, 4 * h), kind)
+        c = np.zeros((2, h, n), kind)
+        both = np.empty((steps, 2 * h, n), kind)
+        z, size = np.empty((2, 4 * h, n), kind), np.empty((2, 4 * h, n), kind)
+        room, start = np.empty((4 * h, n), kind), np.zeros((h, n), kind)
         order = np.ascontiguousarray(x.T).astype(np.intp)
-        gates, out = z[:, :, : 3 * h], size[:, :, :h]
+        gates, new, out = z[:, : 3 * h], z[:, 3 * h :], size[:, :h]
         for t in range(steps):
             for k, at in enumerate((t, steps - 1 - t)):
-                np.dot(s[k], turn[k], out=z[k])
-                np.take(table[k], order[at], axis=0, out=room, mode="clip")
+                before = start if t == 0 else both[t - 1, :h] if k == 0 else both[at + 1, h:]
+                np.dot(turn[k], before, out=z[k])
+                np.take(table[k], order[at], axis=1, out=room, mode="clip")
                 z[k] += room
             np.abs(z, out=size)
             size += 1
             z /= size
             gates += 1
-            c *= gates[:, :, h : 2 * h]
-            np.multiply(gates[:, :, :h], z[:, :, 3 * h :], out=out)
+            c *= gates[:, h : 2 * h]
+            np.multiply(gates[:, :h], new, out=out)
             c += out
             c *= 0.5
             np.abs(c, out=out)
             out += 1
-            np.divide(c, out, out=s)
-            s *= gates[:, :, 2 * h :]
-            both[t, :, :h] = s[0]
-            both[steps - 1 - t, :, h:] = s[1]
-        em = both.reshape(steps * n, 2 * h) @ (self.p["out"] * np.float32(0.5)) + self.p["bias"]
-        return em.reshape(steps, n, TAGS).transpose(1, 0, 2)
+            np.divide(c, out, out=out)
+            np.multiply(out[0], gates[0, 2 * h :], out=both[t, :h])
+            np.multiply(out[1], gates[1, 2 * h :], out=both[steps - 1 - t, h:])
+        em = np.matmul(np.ascontiguousarray((self.p["out"] * np.float32(0.5)).T), both)
+        em += self.p["bias"][:, None]
+        return np.ascontiguousarray(em.transpose(2, 0, 1))
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags (Viterbi) and their marginal probabilities (1 where all is outside), for rows of symbols."""
@@ -115,15 +117,19 @@ class Tagger:
 
     def best_path(self, em: np.ndarray) -> np.ndarray:
         n, steps, _ = em.shape
-        score, back = self.p["first"] + em[:, 0], np.zeros((n, steps, TAGS), np.int8)
+        e = np.ascontiguousarray(em.transpose(1, 2, 0))
+        score, all_ = np.empty_like(e), np.empty((TAGS, TAGS, n), e.dtype)
+        score[0] = self.p["first"][:, None] + e[0]
+        step = self.p["trans"][:, :, None]
         for t in range(1, steps):
-            all_ = score[:, :, None] + self.p["trans"]
-            back[:, t] = all_.argmax(axis=1)
-            score = all_.max(axis=1) + em[:, t]
+            np.add(score[t - 1][:, None, :], step, out=all_)
+            np.max(all_, axis=0, out=score[t])
+            score[t] += e[t]
         tags = np.zeros((n, steps), np.int64)
-        tags[:, -1] = score.argmax(axis=1)
+        tags[:, -1] = score[-1].argmax(axis=0)
+        # which tag came before is asked along the path only
         for t in range(steps - 1, 0, -1):
-            tags[:, t - 1] = back[np.arange(n), t, tags[:, t]]
+            tags[:, t - 1] = (score[t - 1] + self.p["trans"][:, tags[:, t]]).argmax(axis=0)
         return tags
 
     def certainty(self, em: np.ndarray, tags: np.ndarray) -> np.ndarray:
