@@ -258,3 +258,41 @@ def test_covered_pieces_by_arrays_equal_a_search():
         want = plain.capsule_interval(tuple(p[k, :2]), tuple(p[k, 2:]), tuple(q[k, :2]), tuple(q[k, 2:]), 1.5) if (p[k, :2] != p[k, 2:]).any() else None
         if want and want[1] - want[0] > 1e-9:
             assert ok[k] and np.allclose([lo[k], hi[k]], want, atol=1e-9)
+
+
+def test_snapping_over_blocks_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, *(float(v) for v in rng.integers(-40, 40, 4) + rng.integers(0, 2, 4) / 4)) for k in range(260)]
+    rows += [(300 + k, 3.0 * k - 150, 60.0, 3.0 * k - 150, 70.0) for k in range(100)]  # a chain over many blocks
+    rows += [(900, 500.0, 500.0, 500.0, 500.0), (901, 500.0, 500.0, 502.0, 500.0), (902, None, 1.0, 5e3, 5e3)]
+    pts = [(2 * i + e, *(c[2 * e : 2 * e + 2])) for i, *c in rows for e in (0, 1) if c[2 * e] is not None]
+    top = {p: p for p, _, _ in pts}
+
+    def find(p):
+        while top[p] != p:
+            p = top[p]
+        return p
+
+    for k, (p, x, y) in enumerate(pts):
+        for q, u, v in pts[:k]:
+            if math.sqrt((x - u) * (x - u) + (y - v) * (y - v)) <= 3.0:
+                a, b = find(p), find(q)
+                top[max(a, b)] = min(a, b)
+    groups = {}
+    for p, x, y in pts:
+        groups.setdefault(find(p), []).append((x, y))
+    centre = {g: (sum(x for x, _ in v) / len(v), sum(y for _, y in v) / len(v)) for g, v in groups.items()}
+    assert len(groups) > 5
+    df = spark.createDataFrame(rows, SEG)
+    sizes, parts = [], network.connected_components
+    monkeypatch.setattr(network, "connected_components", lambda e: sizes.append(e.distinct().count()) or parts(e))
+    for block in (network.BLOCK, 4):
+        monkeypatch.setattr(network, "BLOCK", block)
+        got = {r.id: r for r in network.snap_nodes(df, 3.0).collect()}
+        assert len(got) == len(rows) and (got[902].x1, got[902].y1) == (None, 1.0)
+        for i, *c in rows:
+            for e in (0, 1):
+                if c[2 * e] is not None:
+                    assert np.allclose((got[i][1 + 2 * e], got[i][2 + 2 * e]), centre[find(2 * i + e)], atol=1e-9)
+    assert sizes[0] < 40  # one row for each tie between blocks, none for points
+    assert {r.pid: r.cluster for r in network.clusters(spark.createDataFrame(pts, "pid long, x double, y double"), 3.0).collect()} == {p: find(p) for p, _, _ in pts}
