@@ -242,3 +242,18 @@ def test_simhash_links_through_rows_without_an_id(spark):
             break
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, list(found.items()))).collect()}
     assert got == {1: 1, None: 1, 2: 1}
+
+
+def test_stretches_hold_every_chunk():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 4, 4000).astype(np.uint64)
+    ids[500:2500] += np.uint64(10)
+    chunk = ids[3000:3007]
+    keys = phrases._rolled(chunk, 7, phrases._A)
+    open_ = np.zeros(1 << 22, bool)
+    open_[(keys >> np.uint64(42)).astype(np.int64)] = True
+    parts = phrases._stretches(ids, keys, open_, 7, 6)
+    at = [k for k in range(len(ids) - 6) if (ids[k : k + 7] == chunk).all()]
+    assert at and all(any(a <= max(0, k - 6) and min(len(ids), k + 13) <= b for a, b in parts) for k in at)
+    assert all(b - a >= 13 for a, b in parts[1:-1]) and sum(b - a for a, b in parts) < 500  # most is not streamed
+    assert phrases._stretches(ids[:3], keys, open_, 7, 6) == []

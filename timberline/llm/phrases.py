@@ -376,24 +376,46 @@ def shards(passages: list[tuple[int, list[int]]], window: int, limit: int, crowd
         yield automaton
 
 
+def _stretches(ids: np.ndarray, keys: np.ndarray, open_: np.ndarray, size: int, margin: int) -> list[tuple[int, int]]:
+    """Beginnings and ends of the parts of a document around runs of ``size`` words whose hash is among ``keys``; ``open_`` marks their first bits."""
+    if len(ids) < size:
+        return []
+    hashes = _rolled(ids, size, _A)
+    at = np.flatnonzero(open_[(hashes >> np.uint64(42)).astype(np.int64)])
+    at = at[_member(hashes[at], keys)]
+    if not len(at):
+        return []
+    begin, end = np.maximum(at - margin, 0), np.minimum(at + size + margin, len(ids))
+    cut = np.flatnonzero(begin[1:] > end[:-1]) + 1
+    return list(zip(begin[np.append(0, cut)].tolist(), end[np.append(cut - 1, len(at) - 1)].tolist()))
+
+
 def locate(passages: list[tuple[int, list[bytes]]], docs: list[tuple[int, list[bytes], np.ndarray]], window: int,
            limit: int = AUTOMATON_WORDS, crowd: int = CROWD) -> None:
     """Stream every document through every shard and mark what windows of smaller owners cover.
 
     A chunk found in a document is extended to both sides as far as the words
-    of the passage go on; what is a window long or longer is an occurrence.
+    of the passage go on; what is a window long or longer is an occurrence. Of a document only stretches around
+    places whose hash is that of a chunk are streamed: every pattern holds one.
     """
     letters: dict[bytes, int] = {}
     known = [(low, [letters.setdefault(w, len(letters) + 1) for w in ws]) for low, ws in sorted(passages, key=lambda p: p[1])]
     if not known:
         return
     get, half = letters.get, (window + 1) // 2
-    coded = [np.fromiter((get(w, 0) for w in ws), np.int32, len(ws)) for _, ws, _ in docs]
+    keys = np.unique(np.concatenate([_rolled(np.array(ids, np.uint64), half, _A)[::half] for _, ids in known if len(ids) >= half] or [np.zeros(0, np.uint64)]))
+    open_ = np.zeros(1 << 22, bool)
+    open_[(keys >> np.uint64(42)).astype(np.int64)] = True
+    coded = []
+    for doc, ws, gone in docs:
+        ids = [get(w, 0) for w in ws]
+        parts = _stretches(np.array(ids, np.uint64), keys, open_, half, window - half)
+        if parts:
+            coded.append((tuple(ids), parts, doc, gone))
     for automaton in shards(known, window, limit, crowd):
-        for ids, (doc, _, gone) in zip(coded, docs):
-            words_ = tuple(ids.tolist())
+        for words_, parts, doc, gone in coded:
             reached: dict[tuple[int, int], int] = {}
-            for end, places in automaton.iter(words_):
+            for end, places in ((a + end, places) for a, b in parts for end, places in automaton.iter(words_[a:b])):
                 if type(places) is int:  # a whole window, and its owner
                     if places < doc:
                         gone[end - window + 1 : end + 1] = True
