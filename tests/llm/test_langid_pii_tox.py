@@ -40,6 +40,15 @@ def test_language_of_held_out_rows_and_edges(spark):
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(df.limit(0))).collect()} == {"und"}
 
 
+def test_language_is_fitted_on_all_rows(spark):
+    """Every labelled row counts, also of large tables, of languages with one text and of repeated rows."""
+    many = spark.range(13_000).selectExpr("id AS doc_id", "concat('wort', id) AS text", "if(id < 3000, 'de', 'en') AS lang").union(
+        spark.createDataFrame([(k, f"mot{k}", f"x{k:03d}") for k in range(100)] + [(1, "wort1", "de"), (2, "wort2", None), (3, None, "en")], "doc_id long, text string, lang string"))
+    model = langid.fit(many.repartition(3), ranges=True)
+    assert model.languages == ["de", "en"] + [f"x{k:03d}" for k in range(100)]
+    assert np.allclose(np.exp(model.log_prior), np.array([3002, 10_001] + [2] * 100) / 13_203)
+
+
 def plain_grams(text):
     """Buckets of a text by plain loops over its characters, straight from the definition."""
     clean, gap = "  ", False

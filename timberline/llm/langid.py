@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The model is fitted on a bounded sample of labelled documents; its matrix of
+The model is fitted on all labelled documents; its matrix of
 log-probabilities (hash buckets x languages) is broadcast, and each batch of
 texts is scored with one gather and one segmented sum.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.llm.tables import bounded_sample, slices
+from timberline.llm.tables import slices
 
 #: Orders of the n-grams and the number of hash buckets (the same buckets for all orders).
 ORDERS = (1, 2, 3)
@@ -24,8 +24,8 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 #: Bytes of text scored at once; the arrays of its n-grams take some sixty times as much.
 SLICE = 1 << 20
-#: At most about so many labelled documents are used to fit.
-MAX_TRAIN_DOCS = 12_000
+#: Languages whose counts a task holds before it hands them on, half a MB each.
+HELD = 64
 UNKNOWN = "und"
 #: Letters from which on a text is judged by how likely its n-grams are, and how far below all training texts it may lie (nats an n-gram).
 JUDGED_LETTERS, MARGIN = 20, 2.0
@@ -76,13 +76,17 @@ class LanguageModel:
     log_prior: np.ndarray
     least: np.ndarray | None = None
 
-    def likelihood(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log-probability of an n-gram in each language (texts x languages), and letters of each text."""
+    def sums(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sum of the n-grams' log-probabilities in each language (texts x languages), number of n-grams and of letters of each text."""
         buckets, starts, letters = grams(texts)
         total = np.zeros((len(texts), len(self.languages)))
         for row in buckets:
             total += np.add.reduceat(self.log_prob[row], starts, axis=0, dtype=np.float64)
-        n = len(ORDERS) * np.diff(np.append(starts, buckets.shape[1]))
+        return total, len(ORDERS) * np.diff(np.append(starts, buckets.shape[1])), letters
+
+    def likelihood(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Mean log-probability of an n-gram in each language (texts x languages), and letters of each text."""
+        total, n, letters = self.sums(texts)
         return total / n[:, None], letters
 
     def accepted(self, texts: list, min_score: float) -> list[bool]:
@@ -91,8 +95,9 @@ class LanguageModel:
             return []
         if not self.languages:
             return [bool(n) for n in grams(texts)[2]]
-        mean, letters = self.likelihood(texts)
-        langs, scores = self.score(texts)
+        total, n, letters = self.sums(texts)
+        mean = total / n[:, None]
+        langs, scores = self._best(total, letters)
         best = (mean + 0.0).argmax(axis=1)
         near = (letters < JUDGED_LETTERS) | (mean[np.arange(len(texts)), best] >= self.least[best] - MARGIN)
         return [lang != UNKNOWN and s >= min_score and bool(ok) for lang, s, ok in zip(langs, scores, near)]
@@ -103,11 +108,11 @@ class LanguageModel:
             return [], []
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        buckets, starts, letters = grams(texts)
-        total = np.zeros((len(texts), len(self.languages)))
-        for row in buckets:
-            total += np.add.reduceat(self.log_prob[row], starts, axis=0, dtype=np.float64)
-        total += self.log_prior
+        total, _, letters = self.sums(texts)
+        return self._best(total, letters)
+
+    def _best(self, total: np.ndarray, letters: np.ndarray) -> tuple[list, list]:
+        total = total + self.log_prior
         # n-grams overlap, so evidence is tempered before it becomes a probability
         tempered = total * np.minimum(1.0, 60.0 / np.maximum(letters, 1))[:, None]
         tempered -= tempered.max(axis=1, keepdims=True)
@@ -119,38 +124,43 @@ class LanguageModel:
         return langs, scores
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-        max_docs: int = MAX_TRAIN_DOCS, alpha: float = 0.5, ranges: bool = False) -> LanguageModel:
-    """Fit on at most about ``max_docs`` rows of ``docs`` with text and language.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", alpha: float = 0.5, ranges: bool = False) -> LanguageModel:
+    """Fit on all rows of ``docs`` with text and language.
 
-    Counting is a Spark job: tasks count n-grams by (language, bucket), the
+    Counting is a Spark job over the table as it is dealt: tasks count n-grams by (language, bucket), the
     counts are summed by key, and only that bounded table (languages x
     buckets) comes to the driver. With ``ranges`` a second job notes how unlikely
     training texts get. No labelled rows: a model without
     languages, which says ``und``.
     """
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    rows = bounded_sample(rows.filter("t is not null and l is not null"), max_docs)
+    rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("t is not null and l is not null")
 
     def count(batches):
         held: dict = {}
+
+        def told():
+            for lang, sums in held.items():
+                some = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(sums[some])],
+                    names=["lang", "bucket", "n"],
+                )
+            held.clear()
+
         for batch in batches:
-            for piece, texts in slices(batch, 1, SLICE):
-                langs = piece.column(2).to_pylist()
+            for piece, texts in slices(batch, 0, SLICE):
+                names, which = np.unique(np.array(piece.column(1).to_pylist(), object), return_inverse=True)
                 buckets, starts, _ = grams(texts)
-                ends = np.append(starts[1:], buckets.shape[1])
-                for lang, a, b in zip(langs, starts, ends):
-                    held.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-                    held[lang][:BUCKETS] += np.bincount(buckets[:, a:b].ravel(), minlength=BUCKETS)
-                    held[lang][BUCKETS] += 1  # documents
-        for lang, sums in held.items():
-            some = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(sums[some])],
-                names=["lang", "bucket", "n"],
-            )
-
-    counted = rows.repartition(8).mapInArrow(count, "lang string, bucket int, n bigint")
+                of = np.repeat(which, np.diff(np.append(starts, buckets.shape[1])))
+                for k, lang in enumerate(names):
+                    sums = held.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                    sums[:BUCKETS] += np.bincount(buckets[:, of == k].ravel(), minlength=BUCKETS)
+                    sums[BUCKETS] += int((which == k).sum())  # documents
+                    if len(held) >= HELD:
+                        yield from told()
+        yield from told()
+
+    counted = rows.mapInArrow(count, "lang string, bucket int, n bigint")
     got = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(got.column("lang").to_pylist()))
     sums = np.zeros((BUCKETS + 1, len(languages)))
@@ -166,16 +176,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     def lowest(batches):
         held: dict = {}
         for batch in batches:
-            for piece, texts in slices(batch, 1, SLICE):
-                mean, letters = model.likelihood(texts)
-                for lang, row, n in zip(piece.column(2).to_pylist(), mean, letters):
+            for piece, texts in slices(batch, 0, SLICE):
+                mean, letters = shared.value.likelihood(texts)
+                for lang, row, n in zip(piece.column(1).to_pylist(), mean, letters):
                     if n >= JUDGED_LETTERS:
                         x = float(row[at[lang]])
                         held[lang] = min(x, held.get(lang, x))
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.float64())], names=["lang", "x"])
 
     if ranges and languages:
-        lows = {r["lang"]: r["x"] for r in rows.repartition(8).mapInArrow(lowest, "lang string, x double").groupBy("lang").agg(F.min("x").alias("x")).collect()}
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        lows = {r["lang"]: r["x"] for r in rows.mapInArrow(lowest, "lang string, x double").groupBy("lang").agg(F.min("x").alias("x")).collect()}
         model.least = np.array([lows.get(lang, -np.inf) for lang in languages])
     return model
 
