@@ -237,6 +237,31 @@ def test_pairs_of_texts_left_over_of_a_crowd_grow_with_its_size(spark, monkeypat
     assert sum(pairs) <= 20 * len(rows), pairs
 
 
+def test_members_that_nobody_shares_have_no_rows_at_a_hub(spark, monkeypatch):
+    """Copies that share three edits with one other and have two of their own, ten shingles, that can meet nothing."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(60):
+        at = rng.choice(30, 7, replace=False) * 5 + 2
+        for half in (0, 1):
+            words = list(base)
+            for j in (*at[:3], *at[3 + 2 * half : 5 + 2 * half]):
+                words[j] = f"y{k}_{j}"
+            rows.append((1000 + 2 * k + half, " ".join(words)))
+    made, look = [], similar._from_hubs
+
+    def seen(*given):
+        got = look(*given)
+        made.append(got.groupBy("hub", "rep", "total").count().collect())
+        return got
+
+    monkeypatch.setattr(similar, "_from_hubs", seen)
+    got = {r.doc_id: r.component_id for r in similar.groups(frame(spark, rows), max_bucket=4, crowd=16).collect()}
+    assert got == by_all_pairs(rows)
+    assert made[0] and all(r["count"] <= r["total"] - 8 for r in made[0]), made[0][:3]
+
+
 @pytest.mark.parametrize("seed, crowd, rounds", [(1, 2, 4), (2, 2, 1)])
 def test_what_hubs_leave_over_is_found_from_other_hubs(spark, monkeypatch, seed, crowd, rounds):
     """Two templates with much in common, copies with edits from a short list and with ends cut off; crowds are tiny, so that hubs lead to hubs."""
