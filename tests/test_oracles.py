@@ -37,6 +37,16 @@ def test_against_sql(spark, db, name):
     assert plain(got) == plain(want)
 
 
+def test_clearances_are_rounded_as_sql_does(spark, db, monkeypatch):
+    """Values halfway between two decimals, as Spark and DuckDB round them to different ones."""
+    half, columns = [2784.37805, 9.26865, 2099.43335, 11.27855, 0.15625, float("inf")], ("LARGEUR_DEGAGEE", "DEGAGE_G", "DEGAGE_D", "SURPLOMB", "HAUT_SURPLOMB")
+    rows = spark.createDataFrame([(k, *[v] * 5) for k, v in enumerate([*half, None])], "trace_id int, " + ", ".join(f"{c} double" for c in columns))
+    monkeypatch.setattr(queries.measure, "lateral_clearance", lambda *a, **k: rows)
+    want = [v for (v,) in db.sql(f"SELECT round(v, 4) FROM (SELECT unnest({[str(v) for v in half]})::DOUBLE AS v)").fetchall()] + [None]
+    got = queries.QUERIES["lateral_clearance"](spark, SF).orderBy("trace_id").collect()
+    assert [[r[c] for r in got] for c in columns] == [want] * 5
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timberline.operators import earthworks, measure, stencils
 from timberline.plans.views import load
-from timberline.queries import GRID, _traces as traces, query, r, rounded
+from timberline.queries import GRID, _traces as traces, query, r, rounded, rounded_double
 from timberline.session import scratch_dir
 from timberline.sources import cache
 
@@ -76,7 +76,7 @@ SELECT opn.trace_id, CAST(opn.station AS INT) AS station, round(g + d, 4) AS LAR
 def lateral_clearance(spark, sf):
     p = measure.cross_profiles(measure.densify(traces(spark, sf), 2.0), heights(spark, sf), GRID, "h", half=4.0)
     got = measure.lateral_clearance(p, p.select("trace_id", "station", F.lit(4.0).alias("LARGEUR_ROULABLE")), half=4.0)
-    return rounded(got, 4, "LARGEUR_DEGAGEE", "DEGAGE_G", "DEGAGE_D", "SURPLOMB", "HAUT_SURPLOMB")
+    return got.withColumns({c: rounded_double(c, 4) for c in ("LARGEUR_DEGAGEE", "DEGAGE_G", "DEGAGE_D", "SURPLOMB", "HAUT_SURPLOMB")})
 
 
 @query(f"""WITH {profiles_sql(2, 4, 0.5, 'vesselness')}, v AS (SELECT trace_id, station, k, avg(z) OVER (PARTITION BY trace_id, station ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM pr), {open_run_sql('v', 0.5, 8, 0.5)},
