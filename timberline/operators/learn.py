@@ -227,10 +227,15 @@ def terrain_facts(cells: DataFrame, slope: str = "pente", rough: str = "rugosite
     return cells.sparkSession.createDataFrame([(*q[slope], *q[rough], spread)], "pente_mediane double, pente_p90 double, rugosite_mediane double, slrm_iqr double")
 
 
-def errors(pairs: DataFrame, measured: str, reference: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Number, bias, mean absolute and root mean square error, and medians of both."""
+def errors(pairs: DataFrame, measured: str, reference: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """Number, bias, mean absolute and root mean square error, and medians of both; a row counts ``weight`` (a whole number) times."""
     e = F.col(measured) - F.col(reference)
     some = pairs.filter(F.col(measured).isNotNull() & F.col(reference).isNotNull())
+    if weight is not None:
+        w = F.col(weight)
+        mean = lambda v: F.sum(v * w) / F.sum(w)
+        return some.groupBy(*by).agg(F.coalesce(F.sum(w), F.lit(0)).alias("n"), mean(e).alias("biais"), mean(F.abs(e)).alias("mae"), F.sqrt(mean(e * e)).alias("rmse"),
+                                     F.percentile(measured, F.lit(0.5), w).alias("mediane_mesure"), F.percentile(reference, F.lit(0.5), w).alias("mediane_reference"))
     return some.groupBy(*by).agg(F.count("*").alias("n"), F.avg(e).alias("biais"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
                                  F.median(measured).alias("mediane_mesure"), F.median(reference).alias("mediane_reference"))
 
