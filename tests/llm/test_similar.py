@@ -238,7 +238,7 @@ def test_pairs_of_texts_left_over_of_a_crowd_grow_with_its_size(spark, monkeypat
 
 
 def test_members_that_nobody_shares_have_no_rows_at_a_hub(spark, monkeypatch):
-    """Copies that share three edits with one other and have two of their own, ten shingles, that can meet nothing."""
+    """Copies that share three edits with one other and have two of their own, ten shingles (six at both ends of the text), that can meet nothing."""
     rng = np.random.default_rng(8)
     base = [f"w{k}" for k in range(150)]
     rows = [(0, " ".join(base))]
@@ -259,7 +259,7 @@ def test_members_that_nobody_shares_have_no_rows_at_a_hub(spark, monkeypatch):
     monkeypatch.setattr(similar, "_from_hubs", seen)
     got = {r.doc_id: r.component_id for r in similar.groups(frame(spark, rows), max_bucket=4, crowd=16).collect()}
     assert got == by_all_pairs(rows)
-    assert made[0] and all(r["count"] <= r["total"] - 8 for r in made[0]), made[0][:3]
+    assert made[0] and all(r["count"] <= r["total"] - 6 for r in made[0]), made[0][:3]
 
 
 @pytest.mark.parametrize("seed, crowd, rounds", [(1, 2, 4), (2, 2, 1)])
